@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surveyloom.llm.mixing import DIGITS, WEIGHTS, mix_sources
+from surveyloom.llm.near_dedup import near_dedup
+from surveyloom.llm.packing import pack_documents
 from surveyloom.llm.substring_dedup import substring_dedup
 from surveyloom.llm.suffix_dedup import suffix_dedup
 
@@ -25,9 +28,30 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op6_source_mixing": op6_source_mixing,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 _OP1 = r"""
@@ -48,4 +72,50 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n_k
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1}
+_OP6 = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, {DIGITS}) AS INTEGER) AS b
+  FROM documents
+),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (
+  SELECT *, ([{", ".join(map(str, WEIGHTS))}])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}] AS weight, source_size * 2 AS cap
+  FROM s
+),
+l AS (
+  SELECT *, (CAST((SELECT sum(source_size) FROM s) * 150 AS DOUBLE) / 100 - CAST(coalesce(sum(cap) OVER w, 0) AS DOUBLE))
+            / CAST((SELECT sum(weight) FROM r) - coalesce(sum(weight) OVER w, 0) AS DOUBLE) AS level
+  FROM r WINDOW w AS (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+water AS (SELECT min_by(level, CAST(cap AS DOUBLE) / weight) AS level FROM l WHERE level * weight <= cap),
+t AS (
+  SELECT source, source_size, least(coalesce((SELECT level FROM water) * weight, CAST(cap AS DOUBLE)), CAST(cap AS DOUBLE)) AS target FROM r
+),
+k AS (
+  SELECT b.*, t.source_size, t.target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+         coalesce(sum(bucket_size) OVER (PARTITION BY b.source ORDER BY b.b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT source, b, CAST(sum(size) AS BIGINT) AS bucket_size FROM d GROUP BY source, b) b JOIN t ON b.source IS NOT DISTINCT FROM t.source
+)
+SELECT d.doc_id, d.size, k.source_size, k.target,
+       least(CAST(whole AS BIGINT) * size + CAST(floor(size * CASE WHEN bucket_size > 0 THEN least(greatest((target - CAST(whole AS BIGINT) * source_size - CAST(before AS BIGINT)) / bucket_size, 0.0), 1.0) ELSE 0 END) AS BIGINT), size * 2) AS taken
+FROM d JOIN k ON d.b = k.b AND d.source IS NOT DISTINCT FROM k.source
+"""
+
+_OP10 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[p:p + 2], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 2, 1))) AS p FROM w WHERE len(ws) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op6_source_mixing": _OP6, "op10_near_dedup": _OP10}
