@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surveyloom.llm.ann import nearest_neighbours
 from surveyloom.llm.mixing import DIGITS, WEIGHTS, mix_sources
 from surveyloom.llm.near_dedup import near_dedup
 from surveyloom.llm.packing import pack_documents
 from surveyloom.llm.quality import score_quality
 from surveyloom.llm.substring_dedup import substring_dedup
 from surveyloom.llm.suffix_dedup import suffix_dedup
+from surveyloom.llm.topk import top_products
 from surveyloom.llm.toxicity import score_toxicity
 from surveyloom.llm.url_filter import judge_urls
 from surveyloom.llm.url_filter import oracle as url_oracle
@@ -60,6 +62,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -72,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_source_mixing": op6_source_mixing,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_top_products": op9_top_products,
     "op10_near_dedup": op10_near_dedup,
 }
 
@@ -140,4 +152,18 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d
 FROM documents d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_url_filter": url_oracle(), "op6_source_mixing": _OP6, "op10_near_dedup": _OP10}
+_OP9 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_url_filter": url_oracle(), "op6_source_mixing": _OP6, "op9_top_products": _OP9, "op10_near_dedup": _OP10}
