@@ -230,12 +230,12 @@ def _resolved(alphabet: Alphabet, resolve: Callable[[Pieces], np.ndarray]) -> Ca
     return run
 
 
-def repeated_spans(docs: DataFrame, alphabet: Alphabet, resolve: Callable[[Pieces], np.ndarray]) -> DataFrame:
+def repeated_spans(docs: DataFrame, alphabet: Alphabet, resolve: Callable[[Pieces], np.ndarray], carry: tuple[str, ...] = ()) -> DataFrame:
     """Per doc_id the spans (tag, first window, number of windows) of repeated windows."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.filter("doc_id is not null").mapInArrow(_occurrences(alphabet), _OCCURRENCE)
     runs = _classified(found).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "place", "gram", "copy", "wide")).alias("runs"))
-    pieces = keyed(docs).join(runs, "doc_id", "left").mapInArrow(_cut(alphabet), "bucket long, doc_id long, tag int, place long, symbols binary")
+    pieces = keyed(docs, carry).join(runs, "doc_id", "left").mapInArrow(_cut(alphabet), "bucket long, doc_id long, tag int, place long, symbols binary")
     return (
         pieces.repartition("bucket")
         .sortWithinPartitions("bucket", "doc_id", "tag", "place")
@@ -245,9 +245,13 @@ def repeated_spans(docs: DataFrame, alphabet: Alphabet, resolve: Callable[[Piece
     )
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def _fields(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(f"`{c}`" for c in carry))
+
+
+def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Texts dealt by doc_id: one exchange, which Spark reuses wherever this stands in a plan."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null").repartition("doc_id")
+    return _fields(docs, carry).filter("doc_id is not null").repartition("doc_id")
 
 
 def covered(n: int, places: np.ndarray, length: int) -> np.ndarray:
@@ -270,9 +274,15 @@ def own_places(batch: pa.RecordBatch) -> Callable[[int, int], np.ndarray]:
     return lambda row, tag: places[at[row] : at[row + 1]][tags[at[row] : at[row + 1]] == tag]
 
 
-def rewritten(docs: DataFrame, spans: DataFrame, rewrite: Callable, schema: str) -> DataFrame:
+def rewritten(docs: DataFrame, spans: DataFrame, rewrite: Callable, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Documents joined to their spans and rewritten; rows without doc_id have none."""
-    rest = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = keyed(docs).join(spans, "doc_id", "left")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([schema, *(f"`{c}` {kinds[c]}" for c in carry)])
+    joined = keyed(docs, carry).join(spans, "doc_id", "left")
     empty = F.lit(None).cast(joined.schema["spans"].dataType).alias("spans")
-    return joined.mapInArrow(rewrite, schema).union(rest.select("doc_id", "text", empty).mapInArrow(rewrite, schema))
+    rest = _fields(docs, carry).filter("doc_id is null").withColumn("spans", empty)
+    return joined.mapInArrow(rewrite, schema).union(rest.mapInArrow(rewrite, schema))
+
+
+def carried(batch: pa.RecordBatch, chunk: T.Chunk, carry: tuple[str, ...]) -> list[pa.Array]:
+    return [batch.column(c).slice(chunk.first_row, len(chunk)) for c in carry]

@@ -3,9 +3,9 @@
 1. Each document keeps the k smallest hashes of its shingle set.  Documents with equal
    sets form a class; its smallest doc_id stands for it.
 2. Inverted lists of retained values.  Of two sets with Jaccard similarity s, each value
-   of the union's sketch is shared with probability s, so linked documents share far more
-   than ``overlap`` of their retained values (at 48 values and 0.85, fewer than 27 with a
-   probability of about 1e-7).  So only a document's rarest ``len - overlap + 1`` values
+   of the union's sketch is shared with probability s, so linked documents share more than
+   ``overlap`` of their retained values (at 48 values and 0.85, fewer than 27 with a
+   probability of about 4e-7).  So only a document's rarest ``len - overlap + 1`` values
    need to be looked up: two documents that share enough must meet in one of them.  Very
    common values are never among them unless a document consists of such values.
 3. A list is not expanded into pairs: its members are joined to its smallest one, and the
@@ -32,8 +32,8 @@ from surveyloom.llm._io import written
 
 #: Retained values of a document.
 SKETCH = 48
-#: Share of the retained values that linked documents surely have in common.
-OVERLAP = 0.5625
+#: Standard deviations below the threshold down to which retained values are looked up.
+LOOKUP = 5.6
 #: Shingles in a block of a candidate component.
 BLOCK_SHINGLES = 1_000_000
 #: Standard deviations that an estimate may lie below the threshold.
@@ -191,6 +191,8 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch: int
     several sets.  A null doc_id is linked with nothing, has a null component_id and is
     kept.  An empty table gives an empty table.
     """
+    p = percent / 100
+    overlap = max(1 / sketch, p - LOOKUP * (p * (1 - p) / sketch) ** 0.5)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches, _ = written(texts.mapInArrow(_sketch(shingle, sketch), "doc_id long, n_shingles long, h1 long, h2 long, sketch array<long>"))
     usable = sketches.filter("doc_id is not null and n_shingles > 0")
@@ -204,7 +206,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, sketch: int
         retained.join(shared, "value")
         .withColumn("common", F.count(F.lit(1)).over(own))
         .withColumn("place", F.row_number().over(own.orderBy("owners", "value")))
-        .filter(F.col("place") <= F.col("common") - F.ceil(F.col("kept") * OVERLAP) + 1)
+        .filter(F.col("place") <= F.col("common") - F.ceil(F.col("kept") * overlap) + 1)
         .select("value", "rep", "h1", "h2")
     )
     looked_up, _ = written(looked_up)
