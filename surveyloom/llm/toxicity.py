@@ -202,6 +202,24 @@ class Network:
         return 1 / (1 + np.exp(-(self.scale * out.astype(float) + self.shift)))
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    n = end - begin
+    return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+
+
+def _vocabulary_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``word_inputs`` of a list of words, some at a time."""
+    buckets, grams, n = [], [], []
+    for begin in range(0, len(words), 20_000):
+        some = words[begin : begin + 20_000]
+        ends = np.cumsum([len(w) for w in some])
+        b, g, at = word_inputs(np.frombuffer(b"".join(some), np.uint8), np.append(0, ends[:-1]), ends)
+        buckets.append(b)
+        grams.append(g.astype(np.int32))
+        n.append(np.diff(at))
+    return np.concatenate(buckets), np.concatenate(grams), np.append(0, np.cumsum(np.concatenate(n)))
+
+
 def fit(texts: list[list[bytes]], y: np.ndarray, epochs: int = 5, batch: int = 192, rate: float = 0.01, seed: int = 5) -> Network:
     """Train on documents given as lists of window texts (words joined by a space)."""
     net = Network(seed)
@@ -211,22 +229,21 @@ def fit(texts: list[list[bytes]], y: np.ndarray, epochs: int = 5, batch: int = 1
     r = np.random.default_rng(seed)
     flat = [t for own in texts for t in own]
     bag = np.repeat(np.arange(len(texts)), [len(own) for own in texts])
-    chunk = T.Chunk(0, np.frombuffer(b" ".join(flat) + b" ", np.uint8), np.append(0, np.cumsum([len(t) + 1 for t in flat])))
-    w = T.words(chunk)
-    hashes = T.word_hashes(chunk, w, lower=True)
-    _, example, word = np.unique(hashes, return_index=True, return_inverse=True)
-    buckets, grams, at = word_inputs(chunk.data, w.starts[example], w.ends[example])
-    count, first = w.counts(), w.first[:-1]
+    vocabulary: dict[bytes, int] = {}
+    count = np.array([len(t.split()) for t in flat], np.int64)
+    word = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for t in flat for w in t.lower().split()), np.int32, int(count.sum()))
+    first = np.cumsum(count) - count
+    buckets, grams, at = _vocabulary_inputs(list(vocabulary))
     # embeddings start from how far toxic documents are over-represented in their bucket, in
-    # standard deviations beyond what chance gives
-    owner = bag[np.repeat(np.arange(len(flat)), count)]
-    for name, size, who, what in (("word", WORD_BUCKETS, owner, buckets[word]), ("char", CHAR_BUCKETS, np.repeat(owner, np.diff(at)[word]), None)):
-        if what is None:
-            n = np.diff(at)[word]
-            what = grams[np.arange(n.sum()) + np.repeat(at[word] - (np.cumsum(n) - n), n)]
-        seen = np.unique(who * size + what)
-        pos = np.bincount(seen % size, y[seen // size], size)
-        neg = np.bincount(seen % size, 1 - y[seen // size], size)
+    # standard deviations beyond what chance gives; a few documents at a time
+    seen = {"word": np.zeros((2, WORD_BUCKETS)), "char": np.zeros((2, CHAR_BUCKETS))}
+    last = np.append(first, len(word))[np.cumsum([len(own) for own in texts])]
+    for i, (begin, end) in enumerate(zip(np.append(0, last[:-1]).tolist(), last.tolist(), strict=True)):
+        own = np.unique(word[begin:end])
+        label = int(y[i])
+        seen["word"][label][np.unique(buckets[own])] += 1
+        seen["char"][label][np.unique(grams[_ranges(at[own], at[own + 1])])] += 1
+    for name, (neg, pos) in seen.items():
         n, prior = pos + neg, y.mean()
         surplus = (pos - n * prior) / np.sqrt(np.maximum(n, 1) * prior * (1 - prior))
         net.p[name][:, 0] = np.clip((surplus - 3) / 4, 0, 3)
@@ -244,9 +261,8 @@ def fit(texts: list[list[bytes]], y: np.ndarray, epochs: int = 5, batch: int = 1
         mask = place < count[rows]
         words = word[np.minimum(first[rows] + place, len(word) - 1)]
         own, steps = np.unique(words, return_inverse=True)
-        n = np.diff(at)[own]
-        local = np.append(0, np.cumsum(n))
-        take = np.arange(local[-1]) + np.repeat(at[own] - local[:-1], n)
+        local = np.append(0, np.cumsum(at[own + 1] - at[own]))
+        take = _ranges(at[own], at[own + 1])
         return rows, mask, steps.reshape(words.shape), (buckets[own], grams[take], local)
 
     for epoch in range(epochs):
