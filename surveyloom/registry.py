@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from surveyloom.catalog import dsl_queries  # noqa: F401
+from surveyloom.catalog._base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "dsl_metric_by_dimension"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
