@@ -61,7 +61,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_perce
     empty table.
     """
     added = {"size", "source_size", "target", "taken"}
-    docs = docs.select(*(f"`{c}`" for c in docs.columns if c not in added))
+    docs = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in added))
     sized = docs.withColumn("size", n_words(F.col("text"))).withColumn("__bucket", bucket(F.col("doc_id"), seed))
     buckets = sized.groupBy(F.col("source").cast("string").alias("source"), "__bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share_percent, epochs)

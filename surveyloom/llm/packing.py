@@ -188,9 +188,10 @@ def _pack(capacity: int, nearly: int, carry: int, level: int, last: bool) -> Cal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows == 0:
+        held = [batch for batch in batches if len(batch)]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         task = TaskContext.get().partitionId()
         fill = table.column("fill").to_pylist()
         members = table.column("members").combine_chunks()

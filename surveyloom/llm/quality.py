@@ -231,7 +231,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS,
     added ones are replaced; an empty table gives an empty table.
     """
     model = train_quality(docs, labels, rows)
-    docs = docs.select(*(f"`{c}`" for c in docs.columns if c not in {"held_out", "score", "predicted"}))
+    docs = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in {"held_out", "score", "predicted"}))
     schema = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
     scored = docs.mapInArrow(_scorer(model), f"{schema}, score double")
     return scored.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -363,7 +363,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS
     gives an empty table.
     """
     net = train_toxicity(docs, labels, rows)
-    docs = docs.select(*(f"`{c}`" for c in docs.columns if c not in {"held_out", "score", "predicted"}))
+    docs = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in {"held_out", "score", "predicted"}))
     schema = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
     scored = docs.mapInArrow(_scorer(net), f"{schema}, score double")
     return scored.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -113,7 +113,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> D
     alike.  Input columns called like the added ones are replaced; an empty table gives an
     empty table.
     """
-    pages = pages.select(*(f"`{c}`" for c in pages.columns if c not in {"host", "path", "rule", "verdict"}))
+    pages = pages.select(*(f"`{c}`" for c in pages.columns if c.lower() not in {"host", "path", "rule", "verdict"}))
     url = F.col("url").cast("string")
     parsed = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
