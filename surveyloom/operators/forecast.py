@@ -165,7 +165,7 @@ def forecast(daily: DataFrame, metric: str, horizon: int) -> DataFrame:
         head = rows.iloc[0]
         base = {"series": key[0], "status": head.status}
         if head.status not in ("ELIGIBLE", "LOW_VARIANCE"):
-            return pd.DataFrame([base | {"model": "none"}], columns=_columns)
+            return pd.DataFrame({c: [{**base, "model": "none"}.get(c)] for c in _columns}, dtype=object)
         rows = rows.sort_values("date")
         y = rows.value[rows.n >= MIN_SAMPLE].to_numpy(float)
         name, mae, rmse = select_model(walk_forward(y))
