@@ -31,14 +31,17 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     to the driver.
     """
     spark = edges.sparkSession
-    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct()
-    before, old = None, None
+    now, old = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct())
+    before = None
     while True:
-        now, path = written(_star(_star(now, True), False))
+        # written after each star: plans stay small, and nothing upstream runs again
+        large, between = written(_star(now, True))
+        now, path = written(_star(large, False))
+        dropped(spark, old)
+        dropped(spark, between)
+        old = path
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if old is not None:
-            dropped(spark, old)
         if seen == before:
             break
-        before, old = seen, path
+        before = seen
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct().toDF("node", "component"))
