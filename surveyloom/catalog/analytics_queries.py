@@ -85,10 +85,10 @@ def driver_logistic(spark, sf):
 
 
 @query("normal_p_values", """
-SELECT survey_id, greatest(0.0001, least(1.0, 1.0 - (1.0 - ((((1.061405429::DOUBLE * t - 1.453152027::DOUBLE) * t + 1.421413741::DOUBLE) * t - 0.284496736::DOUBLE) * t + 0.254829592::DOUBLE) * t * exp(-x * x)))) AS p
+SELECT survey_id, floor(greatest(0.0001, least(1.0, 1.0 - (1.0 - ((((1.061405429::DOUBLE * t - 1.453152027::DOUBLE) * t + 1.421413741::DOUBLE) * t - 0.284496736::DOUBLE) * t + 0.254829592::DOUBLE) * t * exp(-x * x)))) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE AS p
 FROM (SELECT survey_id, x, 1.0 / (1.0 + 0.3275911::DOUBLE * x) AS t FROM (SELECT survey_id, abs(tenure_days / 100.0::DOUBLE) / sqrt(2.0::DOUBLE) AS x FROM surveys))""")
 def normal_p_values(spark, sf):
-    return surveys(spark, sf).select("survey_id", scores.normal_p_value(F.col("tenure_days") / 100.0).alias("p"))
+    return surveys(spark, sf).select("survey_id", scores.round_to(scores.normal_p_value(F.col("tenure_days") / 100.0), 6).alias("p"))
 
 
 _DENSE = """
