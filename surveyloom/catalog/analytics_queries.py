@@ -146,7 +146,7 @@ tt AS (SELECT agent_bms, string_agg(category_name, ',' ORDER BY k) AS top_catego
 
 @query("report_agent_reviews", f"""{_TOP3},
 a AS (SELECT supervisor, agent_bms, {_KPI}, count_if(nps_score > 0) AS promoters, count_if(nps_score < 0) AS detractors FROM surveys GROUP BY 1, 2)
-SELECT a.*, coalesce(top_categories, '') AS top_categories, CASE WHEN survey_volume < 5 THEN 'low_sample' WHEN nps < 0.2 THEN 'critical' WHEN nps < 0.5 THEN 'warning' ELSE 'on_target' END AS status FROM a LEFT JOIN tt USING (agent_bms)""")
+SELECT a.*, coalesce(top_categories, '') AS top_categories, CASE WHEN survey_volume < 5 THEN 'low_sample' WHEN nps < 0.2 OR csat < 0.7 OR professionalism < 0.75 THEN 'critical' WHEN nps < 0.5 OR csat < 0.8 OR professionalism < 0.85 THEN 'warning' ELSE 'on_target' END AS status FROM a LEFT JOIN tt USING (agent_bms)""")
 def report_agent_reviews(spark, sf):
     return reports.agent_reviews(surveys(spark, sf))
 

@@ -62,9 +62,13 @@ def percentage_to_share(x: Column) -> Column:
 
 
 def sentiment(nps: Column) -> Column:
-    """Promoter, passive or detractor, on the scale of -1 to 1 or of 0 to 10."""
-    ten = F.abs(nps) > 1
-    return F.when(F.when(ten, nps >= 9).otherwise(nps > 0), "promoter").when(F.when(ten, nps >= 7).otherwise(nps == 0), "passive").otherwise("detractor")
+    """Promoter, passive or detractor; scores above 1 are on the scale of 0 to 10, others on -1 to 1.
+
+    Null for a null score.
+    """
+    ten = nps > 1
+    promoter, detractor = F.when(ten, nps >= 9).otherwise(nps > 0), F.when(ten, nps <= 6).otherwise(nps < 0)
+    return F.when(nps.isNull(), F.lit(None)).when(promoter, "promoter").when(detractor, "detractor").otherwise("passive")
 
 
 def goal_status(value: Column, target: Column, warning: Column) -> Column:

@@ -15,19 +15,19 @@ SCORES = ("nps_score", "csat_score", "professionalism_score")
 OPTIONAL = ("verbatim", "agent_name", "wave", "tenure_days")
 FIELDS = (*REQUIRED, *OPTIONAL)
 
-#: Header names by field, in plain words.
+# fixed values: header names by field, in the order in which they are tried
 ALIASES = {
-    "survey_id": ["survey id", "id encuesta", "response id", "id"],
-    "nps_score": ["nps", "nps score", "net promoter score"],
-    "csat_score": ["csat", "csat score", "customer satisfaction", "satisfaction"],
-    "professionalism_score": ["professionalism", "professionalism score", "prof"],
-    "verbatim": ["verbatim", "comment", "comments", "feedback"],
-    "agent_bms": ["agent bms", "bms", "agent id"],
-    "agent_name": ["agent name", "agent", "name"],
-    "supervisor": ["supervisor", "team leader", "manager"],
-    "survey_date": ["survey date", "date", "response date"],
-    "wave": ["wave", "cohort"],
-    "tenure_days": ["tenure days", "tenure", "days"],
+    "survey_id": ["survey_id", "survey id", "surveyid", "survey identifier", "survey_identifier", "id", "record_id", "response_id", "response id", "encuesta_id", "id_encuesta"],
+    "nps_score": ["nps_score", "nps score", "nps", "net promoter score", "net_promoter_score", "nps %", "nps_val", "score_nps"],
+    "csat_score": ["csat_score", "csat score", "csat", "csat %", "customer satisfaction", "satisfaction", "satisfaction_score", "satisfaccion"],
+    "professionalism_score": ["professionalism_score", "professionalism score", "professionalism", "prof", "prof score", "prof_score", "professionalism %", "profesionalismo"],
+    "verbatim": ["verbatim", "comment", "customer comment", "customer comments", "comments", "feedback", "text", "open_text", "comentarios", "comentario", "opinion"],
+    "agent_bms": ["agent_bms", "agent bms", "bms", "agent id", "agent_id", "employee id", "employee_id", "rep id", "rep_id", "bms_id", "id_agente", "id agente"],
+    "agent_name": ["agent_name", "agent name", "nombre del agente", "nombre agente", "nombre_agente", "advisor name", "advisor", "rep name", "representative", "agent", "ejecutivo", "nombre"],
+    "supervisor": ["supervisor", "supervisor name", "team leader", "team_leader", "sup", "leader", "tl", "sup_name", "supervisor_name", "lider"],
+    "survey_date": ["survey_date", "survey date", "date", "response_date", "response date", "fecha", "fecha_encuesta", "created_date", "timestamp"],
+    "wave": ["wave", "wave name", "wave_name", "cohort", "batch", "oleada", "grupo"],
+    "tenure_days": ["tenure_days", "tenure days", "tenure", "days in production", "days_in_production", "antiguedad", "dias_produccion", "dias"],
 }
 
 

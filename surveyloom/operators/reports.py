@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,12 +11,17 @@ from surveyloom.functions.scores import round4, sentiment
 from surveyloom.operators import kpi
 
 
-def agent_reviews(surveys: DataFrame, targets: tuple[float, float] = (0.5, 0.2)) -> DataFrame:
-    """KPIs, true sentiment split, top categories and status of each agent under a supervisor."""
+def agent_reviews(surveys: DataFrame, goals: dict[str, tuple[float, float]] = kpi.GOALS) -> DataFrame:
+    """KPIs, true sentiment split, top categories and status of each agent under a supervisor.
+
+    Fewer than five surveys are a low sample; else one score below its warning threshold is
+    critical, and one below its target a warning.
+    """
     by = ["supervisor", "agent_bms"]
     s = surveys.withColumn("__s", sentiment(F.col("nps_score")))
     base = s.groupBy(*by).agg(*kpi.kpi_columns(), F.count_if(F.col("__s") == "promoter").alias("promoters"), F.count_if(F.col("__s") == "detractor").alias("detractors")).drop("has_sample")
-    status = F.when(F.col("survey_volume") < 5, "low_sample").when(F.col("nps") < targets[1], "critical").when(F.col("nps") < targets[0], "warning").otherwise("on_target")
+    below = lambda at: reduce(lambda a, b: a | b, (F.coalesce(F.col(k) < g[at], F.lit(False)) for k, g in goals.items()))
+    status = F.when(F.col("survey_volume") < 5, "low_sample").when(below(1), "critical").when(below(0), "warning").otherwise("on_target")
     return base.join(kpi.top_categories(surveys, "agent_bms"), "agent_bms", "left").withColumn("status", status).select(*by, "survey_volume", "nps", "csat", "professionalism", "promoters", "detractors", F.coalesce("top_categories", F.lit("")).alias("top_categories"), "status")
 
 

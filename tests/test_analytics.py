@@ -156,3 +156,10 @@ def test_streamed_imports(spark, tmp_path):
     q.awaitTermination()
     got = spark.table("daily_imports").collect()
     assert sum(r.survey_volume for r in got) == 8 and all((r.nps, r.csat) == (1.0, 0.5) for r in got)
+
+
+def test_sentiment_scales(spark):
+    from surveyloom.functions.scores import sentiment
+
+    df = spark.createDataFrame([(v,) for v in (1.0, -1.0, 0.0, 10.0, 8.0, 6.5, 6.0, None)], "v double")
+    assert [r[0] for r in df.select(sentiment(F.col("v"))).collect()] == ["promoter", "detractor", "passive", "promoter", "passive", "passive", "detractor", None]
