@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 
 from surveyloom.llm import _text as T
 
-#: A run's place is ``first * 2**16 + count``.
-_COUNT = 1 << 16
+#: A run's place is one number: tag of the text (15 bits), first window (32), number of
+#: windows (15), and whether it is a certain repeat (1).  Places sort in document order.
+_TAG, _FIRST, _COUNT_MASK = 48, 16, (1 << 15) - 1
 #: Symbols that ``resolve`` gets at once, unless one bucket alone has more.
 _RESOLVE_SYMBOLS = 1 << 18
 #: A gram with more runs than this is split by a second anchor.
@@ -56,7 +57,19 @@ class Alphabet:
 
 
 def text_tags(chunk: T.Chunk) -> np.ndarray:
-    return (T.span_hashes(T.byte_symbols(chunk.data), chunk.bounds[:-1], chunk.bounds[1:]) >> np.uint64(33)).astype(np.int32)
+    return (T.span_hashes(T.byte_symbols(chunk.data), chunk.bounds[:-1], chunk.bounds[1:]) >> np.uint64(49)).astype(np.int64)
+
+
+def packed(tag: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return (tag << _TAG) | (first << _FIRST) | (count << 1)
+
+
+def first_of(place: np.ndarray) -> np.ndarray:
+    return (place >> _FIRST) & 0xFFFFFFFF
+
+
+def count_of(place: np.ndarray) -> np.ndarray:
+    return (place >> 1) & _COUNT_MASK
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -73,49 +86,52 @@ def _occurrences(alphabet: Alphabet) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 found = T.anchors(symbols, first, alphabet.length, alphabet.gram)
                 if len(found.doc):
                     tags = text_tags(chunk)
-                    parts.append((found.gram, found.segment, ids[chunk.first_row + found.doc], tags[found.doc], found.first_window * _COUNT + found.n_windows))
+                    parts.append((found.gram, found.segment, ids[chunk.first_row + found.doc], packed(tags[found.doc], found.first_window, found.n_windows)))
             if not parts:
                 continue
-            gram, segment, doc, tag, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((place, tag, doc, segment, gram))
-            gram, segment, doc, tag, place = gram[order], segment[order], doc[order], tag[order], place[order]
+            gram, segment, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((place, doc, segment, gram))
+            gram, segment, doc, place = gram[order], segment[order], doc[order], place[order]
             same = np.zeros(len(gram), bool)
             same[1:] = (gram[1:] == gram[:-1]) & (segment[1:] == segment[:-1])
             # the very same place again is a repeated row, not a repeat
             start = np.maximum.accumulate(np.where(same, 0, np.arange(len(gram))))
-            copy = same & ((doc != doc[start]) | (tag != tag[start]) | (place != place[start]))
+            copy = same & ((doc != doc[start]) | (place != place[start]))
             gram = np.where(copy, T.mix(doc.astype(np.uint64) ^ place.astype(np.uint64)), gram)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(gram)), pa.array(_signed(segment)), pa.array(doc.astype(np.int64)), pa.array(tag), pa.array(place), pa.array(copy)],
-                names=["gram", "segment", "doc_id", "tag", "place", "certain"],
+                [pa.array(_signed(gram)), pa.array(_signed(segment)), pa.array(doc.astype(np.int64)), pa.array(place | copy)],
+                names=["gram", "segment", "doc_id", "place"],
             )
 
     return run
 
 
-_OCCURRENCE = "gram long, segment long, doc_id long, tag int, place long, certain boolean"
+_OCCURRENCE = "gram long, segment long, doc_id long, place long"
 
 
 def _classified(found: DataFrame) -> DataFrame:
     """Certain repeats, and runs whose gram has different runs; unique runs go."""
     by_gram = Window.partitionBy("gram", "certain")
-    same = Window.partitionBy("gram", "certain", "segment").orderBy("doc_id", "tag", "place")
-    whole = by_gram.orderBy("segment", "doc_id", "tag", "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    here = F.struct("doc_id", "tag", "place")
-    return (
+    same = Window.partitionBy("gram", "certain", "segment").orderBy("doc_id", "place")
+    whole = by_gram.orderBy("segment", "doc_id", "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    here = F.struct("doc_id", "place")
+    rows = (
         found.repartition("gram")
+        .withColumn("certain", F.col("place").bitwiseAND(1) == 1)
         .withColumn("head", F.first(here).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .withColumn("least", F.first("segment").over(whole))
         .withColumn("most", F.last("segment").over(whole))
         .withColumn("group_rows", F.count(F.lit(1)).over(whole))
-        .select("doc_id", "tag", "place", "gram", (F.col("certain") | (F.col("head") != here)).alias("copy"), (F.col("least") != F.col("most")).alias("mixed"), (F.col("group_rows") > SPLIT_ABOVE).alias("wide"))
-        .filter("copy or mixed")
+        .withColumn("copy", F.col("certain") | (F.col("head") != here))
+        .filter(F.col("copy") | (F.col("least") != F.col("most")))
     )
+    # a certain repeat needs no look at its symbols, so its gram ends here
+    return rows.select("doc_id", "place", F.when(~F.col("copy"), F.col("gram")).alias("gram"), (F.col("group_rows") > SPLIT_ABOVE).alias("wide"))
 
 
 def _cut(alphabet: Alphabet) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows of documents with their runs -> certain spans, and pieces of symbols to resolve."""
-    names = ["bucket", "doc_id", "tag", "place", "symbols"]
+    names = ["bucket", "doc_id", "place", "symbols"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,19 +144,20 @@ def _cut(alphabet: Alphabet) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             runs = batch.column("runs")
             at = runs.offsets.to_numpy()
             flat = runs.flatten()
-            tag, place, gram, copy, wide = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("tag", "place", "gram", "copy", "wide"))
+            place, wide = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("place", "wide"))
+            copy, gram = flat.field("gram").is_null().to_numpy(zero_copy_only=False), flat.field("gram").fill_null(0).to_numpy()
             for chunk in T.chunks(batch.column("text")):
                 raw, (symbols, first), tags = alphabet.raw(chunk), alphabet.symbols(chunk), text_tags(chunk)
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], []]
                 for i in range(len(chunk)):
                     row = chunk.first_row + i
                     mine = np.arange(at[row] - at[0], at[row + 1] - at[0])
-                    mine = mine[tag[mine] == tags[i]]
+                    mine = mine[place[mine] >> _TAG == tags[i]]
                     if len(mine) == 0:
                         continue
                     base = first[i]
                     for j in mine.tolist():
-                        begin, count = divmod(int(place[j]), _COUNT)
+                        begin, count = int(first_of(place[j])), int(count_of(place[j]))
                         if copy[j]:
                             pieces = [(None, begin, count)]
                         elif wide[j]:
@@ -153,11 +170,10 @@ def _cut(alphabet: Alphabet) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                         for key, f, c in pieces:
                             out[0].append(int(ids[row]) if key is None else key)
                             out[1].append(ids[row])
-                            out[2].append(tags[i])
-                            out[3].append(f * _COUNT + c)
-                            out[4].append(None if key is None else raw[base + f : base + f + c + alphabet.length - 1].tobytes())
+                            out[2].append(packed(int(tags[i]), f, c))
+                            out[3].append(None if key is None else raw[base + f : base + f + c + alphabet.length - 1].tobytes())
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=names)
 
     return run
 
@@ -184,14 +200,14 @@ class Pieces:
 def _resolved(alphabet: Alphabet, resolve: Callable[[Pieces], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Batches sorted by bucket -> spans of repeated windows; ``resolve`` marks windows."""
     size = np.dtype(alphabet.dtype).itemsize
-    names = ["doc_id", "tag", "place"]
+    names = ["doc_id", "place"]
 
     def spans(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
-        bucket, doc, tag, place = (table.column(k).to_numpy() for k in ("bucket", "doc_id", "tag", "place"))
+        bucket, doc, place = (table.column(k).to_numpy() for k in ("bucket", "doc_id", "place"))
         symbols = np.frombuffer(b"".join(table.column("symbols").to_pylist()), alphabet.dtype)
-        count = place % _COUNT
-        p = Pieces(bucket, doc, tag, place // _COUNT, count, symbols, np.append(0, np.cumsum(count + alphabet.length - 1)))
+        count, tag = count_of(place), place >> _TAG
+        p = Pieces(bucket, doc, tag, first_of(place), count, symbols, np.append(0, np.cumsum(count + alphabet.length - 1)))
         marked = resolve(p)
         piece, start = p.windows()
         first = p.first[piece] + start - p.bounds[:-1][piece]
@@ -200,7 +216,7 @@ def _resolved(alphabet: Alphabet, resolve: Callable[[Pieces], np.ndarray]) -> Ca
         new[1:] = (piece[1:] != piece[:-1]) | (first[1:] != first[:-1] + 1)
         run = np.flatnonzero(new)
         n = np.diff(np.append(run, len(piece)))
-        return pa.RecordBatch.from_arrays([pa.array(doc[piece[run]]), pa.array(tag[piece[run]]), pa.array(first[run] * _COUNT + n)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(doc[piece[run]]), pa.array(packed(tag[piece[run]], first[run], n))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -231,17 +247,17 @@ def _resolved(alphabet: Alphabet, resolve: Callable[[Pieces], np.ndarray]) -> Ca
 
 
 def repeated_spans(docs: DataFrame, alphabet: Alphabet, resolve: Callable[[Pieces], np.ndarray], carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per doc_id the spans (tag, first window, number of windows) of repeated windows."""
+    """Per doc_id the places of repeated windows."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.filter("doc_id is not null").mapInArrow(_occurrences(alphabet), _OCCURRENCE)
-    runs = _classified(found).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "place", "gram", "copy", "wide")).alias("runs"))
-    pieces = keyed(docs, carry).join(runs, "doc_id", "left").mapInArrow(_cut(alphabet), "bucket long, doc_id long, tag int, place long, symbols binary")
+    runs = _classified(found).groupBy("doc_id").agg(F.collect_list(F.struct("place", "gram", "wide")).alias("runs"))
+    pieces = keyed(docs, carry).join(runs, "doc_id", "left").mapInArrow(_cut(alphabet), "bucket long, doc_id long, place long, symbols binary")
     return (
         pieces.repartition("bucket")
-        .sortWithinPartitions("bucket", "doc_id", "tag", "place")
-        .mapInArrow(_resolved(alphabet, resolve), "doc_id long, tag int, place long")
+        .sortWithinPartitions("bucket", "doc_id", "place")
+        .mapInArrow(_resolved(alphabet, resolve), "doc_id long, place long")
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("tag", "place")).alias("spans"))
+        .agg(F.collect_list("place").alias("spans"))
     )
 
 
@@ -257,7 +273,7 @@ def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 def covered(n: int, places: np.ndarray, length: int) -> np.ndarray:
     """Which of n symbols some repeated window covers."""
     change = np.zeros(n + 1, np.int64)
-    first, count = places // _COUNT, places % _COUNT
+    first, count = first_of(places), count_of(places)
     np.add.at(change, first, 1)
     np.add.at(change, first + count + length - 1, -1)
     return np.cumsum(change[:-1]) > 0
@@ -268,10 +284,14 @@ def own_places(batch: pa.RecordBatch) -> Callable[[int, int], np.ndarray]:
     spans = batch.column("spans")
     if spans.null_count == len(spans):
         return lambda row, tag: np.zeros(0, np.int64)
-    at, flat = spans.offsets.to_numpy(), spans.flatten()
+    at, places = spans.offsets.to_numpy(), spans.flatten().to_numpy()
     at = at - at[0]
-    tags, places = flat.field("tag").to_numpy(), flat.field("place").to_numpy()
-    return lambda row, tag: places[at[row] : at[row + 1]][tags[at[row] : at[row + 1]] == tag]
+
+    def own(row: int, tag: int) -> np.ndarray:
+        some = places[at[row] : at[row + 1]]
+        return some[some >> _TAG == tag]
+
+    return own
 
 
 def rewritten(docs: DataFrame, spans: DataFrame, rewrite: Callable, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
