@@ -158,9 +158,9 @@ def verified_links(ids: list[int], blocks: list[int], sets: list[np.ndarray], pe
 
 def _verify(percent: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def links(held: list[tuple]) -> Iterator[tuple[int, int]]:
-        seen: dict[int, tuple[int, np.ndarray]] = {doc: (block, np.frombuffer(values, np.int64)) for doc, block, values in held}
-        ids = sorted(seen)
-        yield from verified_links(ids, [seen[x][0] for x in ids], [seen[x][1] for x in ids], percent, k)
+        # a doc_id with several sets stands here once for each set
+        seen = sorted(set(held))
+        yield from verified_links([x[0] for x in seen], [x[1] for x in seen], [np.frombuffer(x[2], np.int64) for x in seen], percent, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, out = None, [], []

@@ -134,6 +134,14 @@ def test_near_dedup_null_and_repeated_ids(spark):
     assert got == [(-1, None, True), (5, 5, True), (5, 5, True), (7, 5, False), (8, 8, True)]
 
 
+def test_near_dedup_links_every_text_of_a_repeated_id(spark):
+    one, two = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    near = lambda words: " ".join([*words[:-1], "z"])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (6, near(one)), (7, near(two)), (7, near(two)), (9, "c d e f g")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
+    assert got == [(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (7, 5, False), (9, 9, True)]
+
+
 def test_digest_queries(spark, sf):
     from surveyloom.llm.queries import QUERIES
 
