@@ -13,7 +13,9 @@ smaller tag, then smaller position).  No pairs are ever emitted:
    several different runs needs a look at the symbols; all other runs are unique.
 3. runs of the second kind fetch their symbols from the document and are dealt by gram to
    ``resolve``, which the two operators bring along.  Grams with very many runs are dealt
-   by a second, independent anchor as well, so no gram has to fit into one task.
+   window by window instead, by two independent hashes of the window's symbols: the first
+   copy of each chunk of texts travels, the least of them stays, and every other window is
+   a certain repeat.  These rows stream, so no gram and no window has to fit into one task.
 4. spans return to their documents.
 
 Rows with a null doc_id take no part and are kept whole.  Rows that repeat a doc_id with
@@ -37,9 +39,9 @@ from surveyloom.llm import _text as T
 #: A run's place is one number: tag of the text (15 bits), first window (32), number of
 #: windows (15), and whether it is a certain repeat (1).  Places sort in document order.
 _TAG, _FIRST, _COUNT_MASK = 48, 16, (1 << 15) - 1
-#: Symbols that ``resolve`` gets at once, unless one bucket alone has more.
+#: Symbols that ``resolve`` gets at once, unless one bucket (of at most ``SPLIT_ABOVE`` runs) has more.
 _RESOLVE_SYMBOLS = 1 << 18
-#: A gram with more runs than this is split by a second anchor.
+#: A gram with more runs than this is dealt window by window.
 SPLIT_ABOVE = 20_000
 
 
@@ -129,9 +131,52 @@ def _classified(found: DataFrame) -> DataFrame:
     return rows.select("doc_id", "place", F.when(~F.col("copy"), F.col("gram")).alias("gram"), (F.col("group_rows") > SPLIT_ABOVE).alias("wide"))
 
 
+def _joined(piece: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index and length of each stretch of neighbouring windows of one piece."""
+    new = np.ones(len(piece), bool)
+    new[1:] = (piece[1:] != piece[:-1]) | (first[1:] != first[:-1] + 1)
+    run = np.flatnonzero(new)
+    return run, np.diff(np.append(run, len(piece)))
+
+
+_CUT = "bucket long, doc_id long, place long, symbols binary, check long"
+_CUT_NAMES = ["bucket", "doc_id", "place", "symbols", "check"]
+
+
+def _by_window(alphabet: Alphabet, symbols: np.ndarray, runs: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
+    """Runs (start in ``symbols``, doc_id, tag, first, count) -> first copies of their windows, other copies as spans."""
+    start, doc, tag, first, count = (np.array(x, np.int64) for x in zip(*runs, strict=True))
+    run = np.repeat(np.arange(len(count)), count)
+    inside = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    start, first, doc, tag = start[run] + inside, first[run] + inside, doc[run], tag[run]
+    key = T.span_hashes(symbols, start, start + alphabet.length)
+    check = T.span_hashes(T.mix(symbols ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start, start + alphabet.length)
+    place = packed(tag, first, np.ones(len(run), np.int64))
+    order = np.lexsort((place, doc, check, key))
+    head = np.ones(len(order), bool)
+    head[1:] = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
+    lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    copy = np.zeros(len(order), bool)
+    # the very same place again is a repeated row, not a repeat
+    copy[order] = (doc[lead] != doc[order]) | (place[lead] != place[order])
+    gone, head = np.flatnonzero(copy), order[head]
+    at, n = _joined(run[gone], first[gone])
+    gone = gone[at]
+    rows = len(gone) + len(head)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate((doc[gone], _signed(key[head])))),
+            pa.array(np.concatenate((doc[gone], doc[head]))),
+            pa.array(np.concatenate((packed(tag[gone], first[gone], n), place[head]))),
+            pa.nulls(rows, pa.binary()),
+            pa.array(np.concatenate((np.zeros(len(gone), np.int64), _signed(check[head]))), mask=np.arange(rows) < len(gone)),
+        ],
+        names=_CUT_NAMES,
+    )
+
+
 def _cut(alphabet: Alphabet) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of documents with their runs -> certain spans, and pieces of symbols to resolve."""
-    names = ["bucket", "doc_id", "place", "symbols"]
+    """Rows of documents with their runs -> certain spans, pieces of symbols to resolve, and windows of wide grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,6 +194,7 @@ def _cut(alphabet: Alphabet) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             for chunk in T.chunks(batch.column("text")):
                 raw, (symbols, first), tags = alphabet.raw(chunk), alphabet.symbols(chunk), text_tags(chunk)
                 out: list[list] = [[], [], [], []]
+                by_window: list[tuple[int, int, int, int, int]] = []
                 for i in range(len(chunk)):
                     row = chunk.first_row + i
                     mine = np.arange(at[row] - at[0], at[row + 1] - at[0])
@@ -158,22 +204,17 @@ def _cut(alphabet: Alphabet) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     base = first[i]
                     for j in mine.tolist():
                         begin, count = int(first_of(place[j])), int(count_of(place[j]))
-                        if copy[j]:
-                            pieces = [(None, begin, count)]
-                        elif wide[j]:
-                            own = symbols[base + begin : base + begin + count + alphabet.length - 1]
-                            again = T.anchors(T.mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)), np.array([0, len(own)]), alphabet.length, alphabet.gram)
-                            keys = _signed(T.mix(again.gram ^ np.uint64(int(gram[j]) % (1 << 64))))
-                            pieces = [(int(k), begin + int(f), int(c)) for k, f, c in zip(keys, again.first_window, again.n_windows, strict=True)]
-                        else:
-                            pieces = [(int(gram[j]), begin, count)]
-                        for key, f, c in pieces:
-                            out[0].append(int(ids[row]) if key is None else key)
-                            out[1].append(ids[row])
-                            out[2].append(packed(int(tags[i]), f, c))
-                            out[3].append(None if key is None else raw[base + f : base + f + c + alphabet.length - 1].tobytes())
+                        if wide[j] and not copy[j]:
+                            by_window.append((int(base) + begin, int(ids[row]), int(tags[i]), begin, count))
+                            continue
+                        out[0].append(int(ids[row] if copy[j] else gram[j]))
+                        out[1].append(ids[row])
+                        out[2].append(packed(int(tags[i]), begin, count))
+                        out[3].append(None if copy[j] else raw[base + begin : base + begin + count + alphabet.length - 1].tobytes())
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.nulls(len(out[0]), pa.int64())], names=_CUT_NAMES)
+                if by_window:
+                    yield _by_window(alphabet, symbols, by_window)
 
     return run
 
@@ -198,7 +239,7 @@ class Pieces:
 
 
 def _resolved(alphabet: Alphabet, resolve: Callable[[Pieces], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches sorted by bucket -> spans of repeated windows; ``resolve`` marks windows."""
+    """Batches sorted by bucket -> spans of repeated windows; ``resolve`` marks windows of pieces, hashed windows repeat their first."""
     size = np.dtype(alphabet.dtype).itemsize
     names = ["doc_id", "place"]
 
@@ -212,16 +253,28 @@ def _resolved(alphabet: Alphabet, resolve: Callable[[Pieces], np.ndarray]) -> Ca
         piece, start = p.windows()
         first = p.first[piece] + start - p.bounds[:-1][piece]
         piece, first = piece[marked], first[marked]
-        new = np.ones(len(piece), bool)
-        new[1:] = (piece[1:] != piece[:-1]) | (first[1:] != first[:-1] + 1)
-        run = np.flatnonzero(new)
-        n = np.diff(np.append(run, len(piece)))
+        run, n = _joined(piece, first)
         return pa.RecordBatch.from_arrays([pa.array(doc[piece[run]]), pa.array(packed(tag[piece[run]], first[run], n))], names=names)
 
+    def later(hashed: pa.RecordBatch, least: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+        """Windows that are not the first of their hashes, and the last first one (``least`` is the one before)."""
+        x = np.concatenate((least, np.stack([hashed.column(k).to_numpy() for k in ("bucket", "check", "doc_id", "place")])), axis=1)
+        head = np.ones(x.shape[1], bool)
+        head[1:] = (x[:2, 1:] != x[:2, :-1]).any(axis=0)
+        lead = np.maximum.accumulate(np.where(head, np.arange(x.shape[1]), 0))
+        copy = (x[2:, lead] != x[2:]).any(axis=0)[least.shape[1] :]
+        return hashed.filter(pa.array(copy)).select(names), x[:, lead[-1:]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         nbytes = 0
+        least = np.zeros((4, 0), np.int64)
         for batch in batches:
+            hashed = batch.column("check").is_valid()
+            if hashed.true_count:
+                repeated, least = later(batch.filter(hashed), least)
+                yield repeated
+                batch = batch.filter(pc.invert(hashed))
             plain = batch.column("symbols").is_null()
             if plain.true_count:
                 yield batch.filter(plain).select(names)
@@ -251,10 +304,10 @@ def repeated_spans(docs: DataFrame, alphabet: Alphabet, resolve: Callable[[Piece
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.filter("doc_id is not null").mapInArrow(_occurrences(alphabet), _OCCURRENCE)
     runs = _classified(found).groupBy("doc_id").agg(F.collect_list(F.struct("place", "gram", "wide")).alias("runs"))
-    pieces = keyed(docs, carry).join(runs, "doc_id", "left").mapInArrow(_cut(alphabet), "bucket long, doc_id long, place long, symbols binary")
+    pieces = keyed(docs, carry).join(runs, "doc_id", "left").mapInArrow(_cut(alphabet), _CUT)
     return (
         pieces.repartition("bucket")
-        .sortWithinPartitions("bucket", "doc_id", "place")
+        .sortWithinPartitions("bucket", "check", "doc_id", "place")
         .mapInArrow(_resolved(alphabet, resolve), "doc_id long, place long")
         .groupBy("doc_id")
         .agg(F.collect_list("place").alias("spans"))

@@ -61,6 +61,52 @@ def test_wide_grams_are_split_without_change(spark, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(frame(spark)).collect()} == want
 
 
+def short_line_documents():
+    """A line shorter than the threshold, and one passage longer than it, between neighbours of their own."""
+    line, passage = ("the line that stands in every document word for word twelve".split(), [f"passage{i}" for i in range(24)])
+    own = lambda d, at, n: [f"w{d}x{at + i}" for i in range(n)]
+    return [(d, " ".join(own(d, 0, 30) + line + own(d, 100, 30) + passage + own(d, 200, 30))) for d in range(60)]
+
+
+def test_wide_grams_are_split_without_change_for_bytes(spark, monkeypatch):
+    monkeypatch.setattr(_repeats, "SPLIT_ABOVE", 2)
+    rows = documents()
+    want = brute_bytes([(r[0], r[1] or "") for r in rows], 100)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup(frame(spark)).collect()} == want
+
+
+@pytest.mark.parametrize("dedup", ["words", "bytes"])
+def test_no_bucket_outgrows_the_split_of_wide_grams(spark, monkeypatch, dedup):
+    from surveyloom.llm import substring_dedup as words
+    from surveyloom.llm import suffix_dedup as suffixes
+
+    module, length, name = (words, 20, "_extend") if dedup == "words" else (suffixes, 100, "_resolve")
+    make = getattr(module, name)
+
+    def bounded(threshold):
+        resolve = make(threshold)
+
+        def run(p):
+            fullest = int(np.unique(p.bucket, return_counts=True)[1].max())
+            if fullest > 10:
+                raise ValueError(f"a bucket of {fullest} pieces")
+            return resolve(p)
+
+        return run
+
+    monkeypatch.setattr(_repeats, "SPLIT_ABOVE", 10)
+    monkeypatch.setattr(module, name, bounded)
+    rows = short_line_documents()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    if dedup == "words":
+        want = brute_words(rows, length)
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(docs).collect()} == want
+    else:
+        want = brute_bytes(rows, length)
+        assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup(docs).collect()} == want
+    assert sum(x[1] for x in want.values()) >= 59 * 24
+
+
 @pytest.mark.parametrize("dedup", [substring_dedup, suffix_dedup])
 def test_rows_without_or_with_a_repeated_id(spark, dedup):
     text = " ".join(f"q{i}" for i in range(60))
