@@ -48,10 +48,38 @@ def primary_or_fallback(primary: DataFrame, fallback: DataFrame, by: str) -> Dat
     return primary.unionByName(fallback.join(primary.select(by).distinct(), by, "left_anti"))
 
 
+#: Sampled rows for each range of case numbers; they only make the ranges even.
+SAMPLES_A_RANGE = 20
+
+
+def _range_of(cases: DataFrame, opened: str, key: str):
+    """Number of the range that a row's (opened, key) lies in, between fixed sampled bounds."""
+    ranges = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = cases.filter(F.col(opened).isNotNull() & F.col(key).isNotNull())
+    sample = known.select(opened, key).orderBy(F.xxhash64(opened, key), opened, key).limit(SAMPLES_A_RANGE * ranges).collect()
+    sample = sorted({(r[0], r[1]) for r in sample})
+    bounds = sample[:: max(1, -(-len(sample) // ranges))][1:]
+    if not bounds:
+        return F.lit(0)
+    kinds = dict(cases.dtypes)
+    fixed = F.array(*(F.struct(F.lit(o).cast(kinds[opened]).alias("o"), F.lit(k).cast(kinds[key]).alias("k")) for o, k in bounds))
+    here = F.struct(F.col(opened).alias("o"), F.col(key).alias("k"))
+    return F.size(F.filter(fixed, lambda b: b <= here))
+
+
 def numbered(cases: DataFrame, opened: str, key: str) -> DataFrame:
-    """Case numbers CAS-year-nnnn, counted by year in the order of opening."""
+    """Case numbers CAS-year-nnnn, counted by year in the order of opening.
+
+    Rows are numbered inside ranges of (opened, key), after the counts of the year's
+    earlier ranges, so that no task gets a whole year.
+    """
     from pyspark.sql import Window
 
-    year = F.year(opened)
-    n = F.row_number().over(Window.partitionBy(year).orderBy(opened, key))
-    return cases.withColumn("case_number", F.format_string("CAS-%d-%04d", year, n))
+    dealt = cases.withColumn("__year", F.year(opened)).withColumn("__range", _range_of(cases, opened, key))
+    counts = dealt.groupBy(F.col("__year").alias("__y"), F.col("__range").alias("__r")).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("__y").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("__y", "__r", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__year", "__range").orderBy(opened, key))
+    rows = dealt.withColumn("__inside", inside).join(counts, F.col("__year").eqNullSafe(F.col("__y")) & (F.col("__range") == F.col("__r")))
+    number = F.format_string("CAS-%d-%04d", "__year", F.col("__before") + F.col("__inside"))
+    return rows.select(*(F.col(f"`{c}`") for c in cases.columns), number.alias("case_number"))

@@ -163,3 +163,30 @@ def test_sentiment_scales(spark):
 
     df = spark.createDataFrame([(v,) for v in (1.0, -1.0, 0.0, 10.0, 8.0, 6.5, 6.0, None)], "v double")
     assert [r[0] for r in df.select(sentiment(F.col("v"))).collect()] == ["promoter", "detractor", "passive", "promoter", "passive", "passive", "detractor", None]
+
+
+def test_case_numbers_of_all_orders_without_a_year_in_one_task(spark, sf):
+    from surveyloom.operators import cases
+
+    names = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderdate").cache()
+        rows, count, want = sorted((r.o_orderdate, r.o_orderkey) for r in orders.collect()), {}, {}
+        for day, key in rows:
+            count[day.year] = count.get(day.year, 0) + 1
+            want[key] = f"CAS-{day.year}-{count[day.year]:04d}"
+        assert {r.o_orderkey: r.case_number for r in cases.numbered(orders, "o_orderdate", "o_orderkey").collect()} == want
+        day = spark.range(2000).selectExpr("id AS k", "date'2024-05-01' AS d").repartition(4)
+        got = cases.numbered(day, "d", "k").withColumn("task", F.spark_partition_id()).collect()
+        assert {r.k: r.case_number for r in got} == {i: f"CAS-2024-{i + 1:04d}" for i in range(2000)}
+        tasks = [r.task for r in got]
+        assert max(map(tasks.count, set(tasks))) < 1000
+        few = cases.numbered(spark.createDataFrame([(None, 1), (None, None)], "d date, k long"), "d", "k")
+        assert sorted(r.case_number for r in few.collect()) == ["CAS-null-0001", "CAS-null-0002"]
+        assert cases.numbered(day.limit(0), "d", "k").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
