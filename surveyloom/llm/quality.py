@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.llm import _text as T
-from surveyloom.llm._labels import labelled_sample, remainder
+from surveyloom.llm._labels import labelled_sample, labelled_texts, remainder
 
 #: Bound on the labelled rows that training uses.
 TRAINING_ROWS = 20_000
@@ -214,8 +214,7 @@ def _scorer(model: Additive) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def train_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Additive:
     """Model from at most ``rows`` labelled rows (the sample's size bounds what is broadcast)."""
     sample = labelled_sample(labels, "quality", 4, 2, rows)
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    got = known.mapInArrow(_feature_rows, "doc_id long, y int, x array<double>").toArrow()
+    got = labelled_texts(docs, sample).mapInArrow(_feature_rows, "doc_id long, y int, x array<double>").toArrow()
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)))
     y = got.column("y").to_numpy().astype(float)
     order = np.lexsort((*x.T[::-1], y, got.column("doc_id").to_numpy()))

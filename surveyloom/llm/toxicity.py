@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.llm import _text as T
-from surveyloom.llm._labels import labelled_sample, remainder
+from surveyloom.llm._labels import labelled_sample, labelled_texts, remainder
 
 #: Bounds on training: labelled rows, and windows of each.
 TRAINING_ROWS = 6_000
@@ -338,8 +338,7 @@ def _training_windows(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, windows: int = TRAINING_WINDOWS) -> Network:
     """Network from at most ``rows`` labelled rows, with at most ``windows`` windows of each."""
     sample = labelled_sample(labels, "toxic", 5, 0, rows)
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    got = known.mapInArrow(_training_windows(windows), "doc_id long, y int, windows array<binary>").toArrow().to_pylist()
+    got = labelled_texts(docs, sample).mapInArrow(_training_windows(windows), "doc_id long, y int, windows array<binary>").toArrow().to_pylist()
     got.sort(key=lambda x: (x["doc_id"], x["windows"]))
     return fit([x["windows"] for x in got], np.array([x["y"] for x in got], float))
 

@@ -103,3 +103,18 @@ def test_url_model_learns_its_table(spark):
 
 def test_fixture_rows_are_scored(spark, tables):
     assert quality.score_quality(frame(spark), tables[1]).count() == frame(spark).count()
+
+
+def test_training_takes_one_text_of_a_repeated_id(spark, monkeypatch):
+    from surveyloom.llm import quality, toxicity
+
+    rows = [(1, f"text number {i} of the same document") for i in range(40)] + [(i, f"another text {i}") for i in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 12)], "doc_id long, quality int, toxic int")
+    learnt = {}
+    monkeypatch.setattr(quality, "train", lambda x, y: learnt.update(quality=len(y)))
+    monkeypatch.setattr(toxicity, "fit", lambda windows, y: learnt.update(toxicity=len(y)))
+    quality.train_quality(docs, labels)
+    toxicity.train_toxicity(docs, labels)
+    assert learnt["quality"] == quality.labelled_sample(labels, "quality", 4, 2, 100).count()
+    assert learnt["toxicity"] == toxicity.labelled_sample(labels, "toxic", 5, 0, 100).count()
