@@ -24,23 +24,28 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Number and checksum of edges."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node with an edge to another; component is its smallest node.
 
     Each round writes its edges to the shared folder; only their number and a checksum come
-    to the driver.
+    to the driver.  It ends when a round changes nothing.
     """
     spark = edges.sparkSession
     now, old = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct())
-    before = None
-    while True:
+    before = _mark(now)
+    while before[0]:
         # written after each star: plans stay small, and nothing upstream runs again
         large, between = written(_star(now, True))
         now, path = written(_star(large, False))
         dropped(spark, old)
         dropped(spark, between)
         old = path
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = _mark(now)
         if seen == before:
             break
         before = seen

@@ -174,6 +174,43 @@ def test_near_dedup_across_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_candidates_are_never_lost():
+    from surveyloom.llm.near_dedup import Sets, retained
+
+    r = np.random.default_rng(4)
+    for percent in (50, 80, 85):
+        for _ in range(300):
+            n = int(r.integers(1, 60))
+            base = r.permutation(400)[: n + 12]
+            a, b = np.unique(base[:n]), np.unique(np.concatenate((base[: n - min(n, int(r.integers(0, 6)))], base[n : n + int(r.integers(0, 8))])))
+            if not len(b):
+                continue
+            both = len(np.intersect1d(a, b))
+            if 100 * both < percent * (len(a) + len(b) - both):
+                continue
+            kept = [x[: retained(len(x), percent)[0]] for x in (a, b)]
+            rarity = {v: r.random() for v in range(400)}
+            looked = [set(sorted(k.tolist(), key=rarity.get)[: retained(len(x), percent)[1]]) for k, x in zip(kept, (a, b))]
+            assert looked[0] & looked[1]
+            assert Sets([a, b], percent).bounded(0, np.array([1])).tolist() == [1]
+
+
+def test_near_dedup_splits_words_at_every_white_space(spark):
+    words = [f"c{i}" for i in range(30)]
+    rows = [(1, " ".join(words)), (2, "\v".join(words)), (3, "\f".join(words[:-1]) + "\rc29"), (4, "\u00a0".join(words))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {1: (28, 1), 2: (28, 1), 3: (28, 1), 4: (1, 4)}
+
+
+def test_near_dedup_of_one_long_chain_and_of_unlinked_members(spark):
+    """Every list has one head, but only neighbours are linked; others share a passage and nothing else."""
+    words = [f"k{i}" for i in range(160)]
+    rows = [(d, " ".join(words[d * 3 : d * 3 + 100])) for d in range(20)] + [(100 + d, " ".join(words[:40] + [f"own{d}x{i}" for i in range(60)])) for d in range(20)]
+    want = brute_near(rows, 3, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == want and len({x[1] for x in want.values()}) == 21
+
+
 def test_near_dedup_null_and_repeated_ids(spark):
     rows = [(None, "a b c d"), (5, "a b c d"), (5, "e f g h"), (7, "e f g h"), (8, None)]
     got = sorted((r.doc_id or -1, r.component_id, r.kept) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
