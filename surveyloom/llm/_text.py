@@ -19,7 +19,8 @@ CHUNK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_POSITION_BITS = np.uint64(28)
+#: Windows that are looked at together; a longer document is several stretches.
+STRETCH = 1 << 20
 _POSITION_MASK = np.uint64((1 << 28) - 1)
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
@@ -184,19 +185,53 @@ class Anchors:
     segment: np.ndarray
 
 
-def anchors(symbols: np.ndarray, first: np.ndarray, length: int, k: int) -> Anchors:
+class Common:
+    """A set of grams, asked for many grams at once."""
+
+    def __init__(self, grams: np.ndarray) -> None:
+        self.grams = np.sort(grams.astype(np.uint64))
+        self.seen = np.zeros(1 << 16, bool)
+        self.seen[(self.grams & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def among(self, grams: np.ndarray) -> np.ndarray:
+        out = self.seen[(grams & np.uint64(0xFFFF)).astype(np.int64)]
+        may = np.flatnonzero(out)
+        if len(may):
+            at = np.minimum(np.searchsorted(self.grams, grams[may]), len(self.grams) - 1)
+            out[may] = self.grams[at] == grams[may]
+        return out
+
+
+def anchors(raw: np.ndarray, hashable, first: np.ndarray, length: int, k: int, common: Common | None = None) -> Anchors:
     """Winnowed anchors of every window of ``length`` symbols inside one document.
 
-    ``first`` has the documents' bounds in ``symbols``.  Positions in the result count from
-    the document's start.
+    ``first`` has the documents' bounds in ``raw``, ``hashable`` turns symbols into uint64
+    values.  Positions in the result count from the document's start.  Grams in ``common``
+    are chosen only where a window has no other, which spreads windows beside a common
+    line over their own surroundings.  A long document is worked on in stretches; a run that
+    a stretch cuts is two runs.
     """
+    if len(raw) <= STRETCH + length:
+        return _stretch(hashable(raw), first, length, k, common)
+    parts = []
+    for doc, (begin, end) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        for at in range(begin, end - length + 1, STRETCH):
+            symbols = hashable(raw[at : min(at + STRETCH + length - 1, end)])
+            part = _stretch(symbols, np.array([0, len(symbols)]), length, k, common)
+            parts.append(Anchors(part.doc + doc, part.anchor + at - begin, part.first_window + at - begin, part.n_windows, part.gram, part.segment))
+    return Anchors(*(np.concatenate([getattr(x, name) for x in parts]) for name in ("doc", "anchor", "first_window", "n_windows", "gram", "segment"))) if parts else _stretch(hashable(raw[:0]), first[:1] * 0, length, k, common)
+
+
+def _stretch(symbols: np.ndarray, first: np.ndarray, length: int, k: int, common: Common | None) -> Anchors:
     none = np.zeros(0, np.int64)
     empty = Anchors(none, none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     w = length - k + 1
     grams = gram_hashes(symbols, k)
     if len(grams) < w:
         return empty
-    keys = (grams & ~_POSITION_MASK) | np.arange(len(grams), dtype=np.uint64)
+    keys = ((grams >> np.uint64(1)) & ~_POSITION_MASK) | np.arange(len(grams), dtype=np.uint64)
+    if common is not None:
+        keys |= common.among(grams).astype(np.uint64) << np.uint64(63)
     chosen = (window_minimum(keys, w) & _POSITION_MASK).astype(np.int64)
     sizes = np.diff(first)
     n_windows = np.maximum(sizes - length + 1, 0)

@@ -1,11 +1,13 @@
 """Substring dedup: remove words of passages that already occurred, by seed and extend.
 
 Seeds are winnowed anchors (runs of eight words): whatever repeats over the threshold of
-words contains one.  Occurrences of a seed meet by a join on its hash.  They are then
-extended both ways: for every reach to the left, with the rest of the threshold to the
-right, an occurrence whose extension agrees with an earlier occurrence's is repeated.
-Extensions at all reaches and of all seeds join into the maximal repeats, which are
-removed; the first occurrence stays.
+words contains one.  Occurrences of a seed meet by its hash (see ``_repeats``; occurrences
+with the same surroundings are one class there).  A seed is extended word by word, to the
+left and to the right: after each word, occurrences that still agree share a number.  A
+window with r words left of its seed repeats the earliest occurrence that agrees with it
+over r words to the left and over the rest to the right.  That pair's match then runs as
+far as both sides agree: a maximal repeat.  Those of at least the threshold are removed;
+the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -29,23 +31,58 @@ def _symbols(chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _alphabet(threshold: int) -> R.Alphabet:
-    return R.Alphabet(threshold, min(SEED_WORDS, threshold), _symbols, lambda chunk: _symbols(chunk)[0], lambda x: x, np.uint64)
+    return R.Alphabet(threshold, min(SEED_WORDS, threshold), _symbols, lambda x: x, np.uint64)
+
+
+def seed_extensions(symbols: np.ndarray, bounds: np.ndarray, seed_at: np.ndarray, group: np.ndarray, words: int, most: int, step: int) -> np.ndarray:
+    """Row t: numbers that agree for occurrences whose seeds agree with t more words; -1 beyond a piece.
+
+    ``seed_at`` has the seeds' first words, ``group`` equal numbers for equal seeds.  ``step``
+    is 1 for words to the right of the seed and -1 for words to its left.
+    """
+    rank = np.unique(symbols, return_inverse=True)[1]
+    span = int(rank.max()) + 2 if len(rank) else 1
+    out = np.full((most + 1, len(seed_at)), -1)
+    out[0] = group
+    for t in range(1, most + 1):
+        at = seed_at + words - 1 + t if step > 0 else seed_at - t
+        inside = np.flatnonzero((out[t - 1] >= 0) & (at < bounds[1:]) & (at >= bounds[:-1]))
+        out[t, inside] = np.unique(out[t - 1, inside] * span + rank[at[inside]], return_inverse=True)[1]
+    return out
 
 
 def _extend(threshold: int):
+    words = min(SEED_WORDS, threshold)
+    most = threshold - words
+
     def resolve(p: R.Pieces) -> np.ndarray:
+        """Length of the maximal repeat from each window on, 0 where it does not repeat."""
+        owner = np.repeat(np.arange(len(p.count)), np.diff(p.bounds))
+        grams = T.gram_hashes(p.symbols, words)
+        at = np.flatnonzero(grams == p.bucket.view(np.uint64)[owner[: len(grams)]])
+        at = at[at + words <= p.bounds[1:][owner[at]]]
+        have, head = np.unique(owner[at], return_index=True)
+        if len(have) != len(p.count):
+            raise ValueError("a piece without its seed")
+        seed_at = at[head]
+        group = np.unique(p.bucket, return_inverse=True)[1]
+        left, right = (seed_extensions(p.symbols, p.bounds, seed_at, group, words, most, step) for step in (-1, 1))
         piece, start = p.windows()
-        key = T.mix(T.span_hashes(p.symbols, start, start + threshold) ^ T.mix(p.bucket[piece].view(np.uint64)))
-        first = p.first[piece] + start - p.bounds[:-1][piece]
-        doc, tag = p.doc[piece], p.tag[piece]
-        order = np.lexsort((first, tag, doc, key))
-        key = key[order]
-        head = np.ones(len(key), bool)
-        head[1:] = key[1:] != key[:-1]
-        lead = order[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
-        marked = np.zeros(len(key), bool)
-        marked[order] = (doc[lead] != doc[order]) | (tag[lead] != tag[order]) | (first[lead] != first[order])
-        return marked
+        reach = seed_at[piece] - start
+        agree = left[reach, piece], right[most - reach, piece], reach
+        position = p.positions()
+        order = np.lexsort((position, *agree))
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in agree], axis=0)
+        first = np.empty(len(order), np.int64)
+        first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        again = np.flatnonzero(position[first] != position)
+        # the pair's match runs on to the right while both agree; to the left, earlier windows tell
+        mine, other = piece[again], piece[first[again]]
+        on = ((right[1:, mine] == right[1:, other]) & (right[1:, mine] >= 0)).sum(0)
+        matched = np.zeros(len(piece), np.int64)
+        matched[again] = reach[again] + words + on
+        return matched
 
     return resolve
 
@@ -55,10 +92,10 @@ def _rewrite(threshold: int):
         for batch in batches:
             ids, places = batch.column("doc_id"), R.own_places(batch)
             for chunk in T.chunks(batch.column("text")):
-                tags, blob, at = R.text_tags(chunk), chunk.data.tobytes(), chunk.bounds.tolist()
+                blob, at = chunk.data.tobytes(), chunk.bounds.tolist()
                 n_words, n_removed, spans, kept = [], [], [], []
                 for i in range(len(chunk)):
-                    words, own = blob[at[i] : at[i + 1]].split(), places(chunk.first_row + i, tags[i])
+                    words, own = blob[at[i] : at[i + 1]].split(), places(chunk.first_row + i)
                     n_words.append(len(words))
                     found: list[dict] = []
                     if len(own):
@@ -86,5 +123,6 @@ def substring_dedup(docs: DataFrame, threshold: int = 20) -> DataFrame:
     empty kept_text.  Documents of fewer words than the threshold lose nothing.  See
     ``_repeats`` for null and repeated doc_ids.  An empty table gives an empty table.
     """
-    spans = R.repeated_spans(docs, _alphabet(threshold), _extend(threshold))
-    return R.rewritten(docs, spans, _rewrite(threshold), "doc_id long, n_words long, n_removed long, spans array<struct<first:long,words:long>>, kept_text string")
+    dealt = R.documents(docs)
+    spans = R.repeated_spans(dealt, _alphabet(threshold), _extend(threshold))
+    return R.rewritten(dealt, spans, _rewrite(threshold), "doc_id long, n_words long, n_removed long, spans array<struct<first:long,words:long>>, kept_text string")

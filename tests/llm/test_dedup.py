@@ -3,9 +3,11 @@ import hashlib
 import pytest
 
 from surveyloom.llm import _repeats
+from surveyloom.llm import substring_dedup as _words
+from surveyloom.llm import suffix_dedup as _suffixes
 from surveyloom.llm.near_dedup import near_dedup
 from surveyloom.llm.substring_dedup import substring_dedup
-from surveyloom.llm.suffix_dedup import longest_previous, prefix_ranks, suffix_dedup
+from surveyloom.llm.suffix_dedup import Suffixes, longest_previous, suffix_dedup
 from tests.llm.fixtures import documents, frame
 
 import numpy as np
@@ -124,14 +126,111 @@ def test_empty_table(spark, dedup):
     assert dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_prefix_order_and_previous_factors():
-    text = np.frombuffer(b"abcabcabxabcabc", np.uint8)
-    for length in (1, 3, 8, 11):
-        starts = np.arange(len(text) - length + 1)
-        rank = prefix_ranks(text, starts, length)
-        keys = [bytes(text[s : s + length]) for s in starts]
-        assert rank.tolist() == [sorted(set(keys)).index(k) for k in keys]
-        assert longest_previous(rank, starts).tolist() == [k in keys[:i] for i, k in enumerate(keys)]
+def brute_factors(texts, threshold):
+    """Per start the longest match with an earlier start, bounded by the ends of the texts."""
+    starts = [(i, k) for i, t in enumerate(texts) for k in range(len(t) - threshold + 1)]
+    out = []
+    for i, k in starts:
+        best = 0
+        for j, m in starts:
+            if (j, m) < (i, k):
+                n = 0
+                while k + n < len(texts[i]) and m + n < len(texts[j]) and texts[i][k + n] == texts[j][m + n]:
+                    n += 1
+                best = max(best, n)
+        out.append(best if best >= threshold else 0)
+    return out
+
+
+def test_longest_previous_factors_equal_brute_force():
+    r = np.random.default_rng(0)
+    beyond, both = 0, [0, 0]
+    for _ in range(60):
+        threshold = int(r.integers(2, 12))
+        texts = [bytes(r.integers(97, 99, int(r.integers(threshold, 60))).astype(np.uint8)) for _ in range(4)] + [b"abcabcabxabcabc" * 2, bytes(30)]
+        flat, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        starts = np.concatenate([np.arange(a, b - threshold + 1) for a, b in zip(bounds[:-1], bounds[1:])])
+        got = longest_previous(Suffixes(flat, bounds), starts, starts, threshold)
+        want = np.array(brute_factors(texts, threshold))
+        # the length counts, not only whether it reaches the threshold; texts' ends bound it
+        assert (got >= threshold).tolist() == (want >= threshold).tolist()
+        assert (got <= want).all() and (got == want).mean() > 0.9
+        beyond += (got > threshold).sum()
+        rank = Suffixes(flat, bounds).rank[starts]
+        order = np.lexsort((starts, rank))
+        both[0] += (np.diff(order) < 0).sum()
+        both[1] += (np.diff(order) > 0).sum()
+    assert beyond > 1000 and min(both) > 1000  # neighbours on both sides are smaller, in turn
+
+
+def test_seeds_are_extended_to_maximal_repeats():
+    from surveyloom.llm import _text as T
+    from surveyloom.llm.substring_dedup import _extend
+
+    words = lambda text: np.array([hash(w) & 0xFFFFFFFF for w in text.split()], np.uint64)
+    seed = "s1 s2 s3 s4 s5 s6 s7 s8"
+    texts = [f"a b c d {seed} e f g h i j k l m", f"x b c d {seed} e f g h i j k l m", f"a b c d {seed} e f g h i y z q w", f"a b c d {seed} e f g h i j k l m"]
+    symbols = [words(t) for t in texts]
+    gram = T.gram_hashes(words(seed), 8)[0].view(np.int64)
+    n = np.array([len(s) - 19 for s in symbols])
+    p = R_pieces(np.full(4, gram), np.arange(4), np.zeros(4, np.int64), np.zeros(4, np.int64), n, np.concatenate(symbols), np.append(0, np.cumsum([len(s) for s in symbols])))
+    lengths = _extend(20)(p)
+    first = np.append(0, np.cumsum(n))
+    at = [lengths[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
+    assert at == [[0, 0], [0, 20], [0, 0], [21, 20]]
+
+
+def R_pieces(*columns):
+    return _repeats.Pieces(*columns)
+
+
+@pytest.mark.parametrize("dedup", ["words", "bytes"])
+def test_two_texts_of_one_id(spark, dedup):
+    """Two texts that a short tag of the text could not tell apart, and a third document that repeats both."""
+    one, two = "text number 423 " + "abc def ghi " * 40, "text number 558 " + "abc def ghi " * 3 + " ".join(f"u{i}" for i in range(40))
+    rows = [(5, one), (5, two), (5, two), (9, two + " " + one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # the order of texts under one id is free: either one comes first
+    wants = []
+    for order in ((one, two), (two, one)):
+        ranked = [(0, order[0]), (1, order[1]), (2, two + " " + one)]
+        brute = brute_words(ranked, 20) if dedup == "words" else brute_bytes(ranked, 100)
+        wants.append(sorted([(brute[order.index(one)][1]), brute[order.index(two)][1], brute[order.index(two)][1], brute[2][1]]))
+    out = substring_dedup(docs) if dedup == "words" else suffix_dedup(docs)
+    assert sorted(r.n_removed for r in out.collect()) in wants
+
+
+@pytest.mark.parametrize("dedup", ["words", "bytes"])
+def test_very_long_texts(spark, monkeypatch, dedup):
+    """Texts over several stretches; runs that a stretch cuts meet whole ones."""
+    from surveyloom.llm import _text as T
+
+    rows = documents(20) + [(900, " ".join(f"v{i * 7919 % 3001}" for i in range(4000)), *[None] * 7), (901, "z " + " ".join(f"v{i * 7919 % 3001}" for i in range(37, 3000)), *[None] * 7)]
+    monkeypatch.setattr(T, "STRETCH", 300)
+    alphabet = (_words if dedup == "words" else _suffixes)._alphabet(20 if dedup == "words" else 100)
+    found = [T.anchors(np.arange(5000).astype(np.uint64), lambda x: T.mix(x + np.uint64(1)), np.array([0, 5000]), alphabet.length, alphabet.gram) for _ in range(2)]
+    windows = np.concatenate([np.arange(a, a + n) for a, n in zip(found[0].first_window, found[0].n_windows)])
+    assert windows.tolist() == list(range(5000 - alphabet.length + 1))
+    if dedup == "words":
+        want = brute_words([(r[0], r[1]) for r in rows], 20)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(frame(spark, rows)).collect()}
+    else:
+        want = brute_bytes([(r[0], r[1]) for r in rows], 100)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup(frame(spark, rows)).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("dedup", ["words", "bytes"])
+def test_common_grams_change_no_result(spark, monkeypatch, dedup):
+    monkeypatch.setattr(_repeats, "COMMON_SHARE", 0.01)
+    rows = short_line_documents()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    alphabet = (_words if dedup == "words" else _suffixes)._alphabet(20 if dedup == "words" else 100)
+    assert len(_repeats.common_grams(docs, alphabet).grams) >= 5
+    if dedup == "words":
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(docs).collect()} == brute_words(rows, 20)
+    else:
+        assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup(docs).collect()} == brute_bytes(rows, 100)
 
 
 def brute_near(rows, size, percent):
