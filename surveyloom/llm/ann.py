@@ -3,10 +3,15 @@
 Largest inner products become nearest neighbours by one more component that brings all
 vectors to the length of the longest.  Gaussian projections to ``dims`` dimensions are
 2-stable: a projected squared distance over the true one has a chi-square distribution.
-A kd-tree over the projections yields candidates in order of projected distance, a leaf at
-a time, and each is verified with its true inner product.  A query stops when a point at
-its current k-th distance would have been projected nearer than everything still to come
-with probability ``confidence``.
+The upper part of a kd-tree over the projections deals vectors into cells, a kd-tree of
+each block does the rest.  Leaves are read in order of projected distance, and the points
+of the leaves read are verified one after another in that order, as far as no unread leaf
+can hold a nearer one.  A query stops when a point at its current k-th distance would have
+been projected nearer than everything still to come with probability ``confidence``; by
+the same test whole cells are left out, with the k-th distance of the first cell.
+
+Vectors are divided by their largest component first, so that tiny and huge ones keep
+their directions.
 """
 
 from __future__ import annotations
@@ -15,10 +20,13 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from surveyloom.llm._vectors import Search, search_blocks, usable
+from surveyloom.llm._vectors import search_cells, usable
 
 LEAF = 64
+#: Points that are verified before the first test.
+FIRST = 64
 
 
 def chi_square(x: np.ndarray, dims: int) -> np.ndarray:
@@ -27,76 +35,203 @@ def chi_square(x: np.ndarray, dims: int) -> np.ndarray:
     return 1 - np.exp(-half) * sum(half**i / math.factorial(i) for i in range(dims // 2))
 
 
-def kd_leaves(points: np.ndarray) -> list[np.ndarray]:
-    """Leaves of a kd-tree: medians of the widest side, down to LEAF points."""
-    out, stack = [], [np.arange(len(points))]
-    while stack:
-        rows = stack.pop()
-        if len(rows) <= LEAF:
-            out.append(rows)
-            continue
+def chi_square_quantile(p: float, dims: int) -> float:
+    if p >= 1:
+        return math.inf
+    low, high = 0.0, 10.0 * dims + 100
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(np.array(middle), dims) < p else (low, middle)
+    return high
+
+
+def directions(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Queries at unit length, and their lengths; neither under- nor overflows before it must."""
+    largest = np.abs(q).max(1)
+    scaled = q / largest[:, None]
+    length = np.sqrt((scaled * scaled).sum(1))
+    return scaled / length[:, None], largest * length
+
+
+class Projection:
+    """Lifts vectors to one length and projects them; a query is brought to that length."""
+
+    def __init__(self, components: int, dims: int, seed: int, largest: float, square: float) -> None:
+        """``largest`` is the largest component of all vectors, ``square`` the largest squared length once divided by it."""
+        self.largest, self.square = largest, square
+        self.planes = np.random.default_rng(seed).standard_normal((components + 1, dims))
+
+    def low(self, x: np.ndarray) -> np.ndarray:
+        y = x / self.largest
+        extra = np.sqrt(np.maximum(self.square - (y * y).sum(1), 0))
+        return np.column_stack((y, extra)) @ self.planes
+
+    def low_queries(self, q: np.ndarray) -> np.ndarray:
+        return directions(q)[0] * math.sqrt(self.square) @ self.planes[:-1]
+
+    def distance(self, q: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        """Squared distance, after lifting, of a vector with the inner product ``kth``."""
+        length = directions(q)[1]
+        with np.errstate(all="ignore"):
+            cosine = kth / length / self.largest
+        return np.where(np.isfinite(cosine), np.maximum(2 * self.square - 2 * math.sqrt(self.square) * cosine, 0), np.inf)
+
+
+def kd_split(points: np.ndarray, leaf: int, leaves: int | None = None) -> tuple[list[np.ndarray], list]:
+    """Leaves of a kd-tree (medians of the widest side), and the tree: (side, cut, left, right) or a leaf's number.
+
+    With ``leaves`` the largest leaf is split until there are so many.
+    """
+    done: list[np.ndarray] = []
+
+    def grow(rows: np.ndarray, want: int):
+        if (want <= 1 if leaves else len(rows) <= leaf) or len(rows) < 2 or not np.ptp(points[rows], axis=0).any():
+            done.append(rows)
+            return len(done) - 1
         side = int(np.argmax(np.ptp(points[rows], axis=0)))
-        half = len(rows) // 2
-        cut = np.argpartition(points[rows, side], half)
-        stack += [rows[cut[:half]], rows[cut[half:]]]
+        cut = float(np.partition(points[rows, side], len(rows) // 2)[len(rows) // 2])
+        below = points[rows, side] < cut
+        if not below.any():
+            below = points[rows, side] <= cut
+        if below.all():
+            done.append(rows)
+            return len(done) - 1
+        where = cut if (points[rows[~below], side] >= cut).all() and (points[rows[below], side] < cut).all() else math.nextafter(cut, math.inf)
+        return (side, where, grow(rows[below], want // 2), grow(rows[~below], want - want // 2))
+
+    tree = grow(np.arange(len(points)), leaves or 0)
+    return done, tree
+
+
+def leaf_of(tree, points: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(points), np.int64)
+    stack = [(tree, np.arange(len(points)))]
+    while stack:
+        node, rows = stack.pop()
+        if not isinstance(node, tuple):
+            out[rows] = node
+        else:
+            side, cut, left, right = node
+            below = points[rows, side] < cut
+            stack += [(left, rows[below]), (right, rows[~below])]
     return out
 
 
-def _search(top: int, dims: int, confidence: float, seed: int) -> Search:
-    keep = 2 * top + 8  # room for ties and for the last bits of products
-
-    def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray):
-        square = (x * x).sum(1)
-        longest = square.max()
-        extra = np.sqrt(np.maximum(longest - square, 0))
-        planes = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, dims))
-        low = np.column_stack((x, extra)) @ planes
-        # only a query's direction matters: it is brought to the common length, which keeps distances well-conditioned
-        length = np.sqrt((q * q).sum(1))
-        scaled = q * (np.sqrt(longest) / length)[:, None]
-        low_q = scaled @ planes[:-1]
-        leaves = kd_leaves(low)
-        lo, hi = np.array([low[r].min(0) for r in leaves]), np.array([low[r].max(0) for r in leaves])
-        size = max(map(len, leaves))
-        rows = np.array([np.append(r, np.full(size - len(r), -1)) for r in leaves])
-        best_s = np.full((len(q), keep), -np.inf)
-        best_i = np.full((len(q), keep), -1)
-        gap = np.zeros((len(q), len(leaves)))
-        for d in range(dims):
-            side = low_q[:, d, None]
-            gap += np.maximum(np.maximum(lo[:, d] - side, side - hi[:, d]), 0) ** 2
-        order = np.argsort(gap, axis=1, kind="stable")
-        active = np.arange(len(q))
-        for step in range(len(leaves)):
-            if step:
-                # distances to the k-th best so far, and of the nearest that is still to come
-                kth = -np.partition(-best_s[active], top - 1, axis=1)[:, top - 1]
-                true = np.maximum(2 * longest - 2 * kth, 0)
-                coming = gap[active, order[active, step]]
-                done = np.isfinite(kth) & (coming > 0)
-                done[done] = chi_square(coming[done] / np.maximum(true[done], 1e-300), dims) >= confidence
-                active = active[~done]
-                if not len(active):
-                    break
-            leaf = order[active, step]
-            by = np.argsort(leaf, kind="stable")
-            edges = np.append(np.flatnonzero(np.append(True, leaf[by][1:] != leaf[by][:-1])), len(by))
-            new_s, new_i = np.full((len(active), size), -np.inf), rows[leaf]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                own = leaves[leaf[by[a]]]
-                new_s[by[a:b], : len(own)] = scaled[active[by[a:b]]] @ x[own].T
-            new_s[(ids[new_i] == query_ids[active][:, None]) | (new_i < 0)] = -np.inf
-            all_s, all_i = np.hstack((best_s[active], new_s)), np.hstack((best_i[active], new_i))
-            pick = np.argpartition(-all_s, keep - 1, axis=1)[:, :keep]
-            best_s[active], best_i[active] = np.take_along_axis(all_s, pick, 1), np.take_along_axis(all_i, pick, 1)
-        at, place = np.nonzero(np.isfinite(best_s))
-        which = best_i[at, place]
-        return at, which, (x[which] * q[at]).sum(1)
-
-    return search
-
-
-def nearest_neighbours(embeddings: DataFrame, every: int = 20, top: int = 20, dims: int = 8, confidence: float = 0.98, seed: int = 11, block_rows: int = 8192, query_rows: int = 8192) -> DataFrame:
+def box_gaps(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distance from each query to each box."""
+    out = np.zeros((len(q), len(low)))
+    for d in range(q.shape[1]):
+        side = q[:, d, None]
+        out += np.maximum(np.maximum(low[:, d] - side, side - high[:, d]), 0) ** 2
+    return out
+
+
+class KdCells:
+    def __init__(self, projection: Projection, sample: np.ndarray, cells: int, confidence: float) -> None:
+        self.projection = projection
+        self.reach = chi_square_quantile(confidence, projection.planes.shape[1])
+        self.tree = kd_split(projection.low(sample), 1, cells)[1] if len(sample) else 0
+
+    def cell_of(self, x: np.ndarray) -> np.ndarray:
+        return leaf_of(self.tree, self.projection.low(x))
+
+    def home_of(self, q: np.ndarray) -> np.ndarray:
+        return leaf_of(self.tree, self.projection.low_queries(q))
+
+    def measured(self, x: np.ndarray, cell: np.ndarray):
+        low = self.projection.low(x)
+        for c in np.unique(cell).tolist():
+            own = low[cell == c]
+            yield from ((c, d, a, b) for d, (a, b) in enumerate(zip(own.min(0).tolist(), own.max(0).tolist(), strict=True)))
+
+    def admitted(self, q: np.ndarray, kth: np.ndarray, bounds: dict) -> np.ndarray:
+        out = np.zeros((len(q), max(bounds) + 1), bool)
+        known = sorted(bounds)
+        box = np.array([[bounds[c][d] for d in range(self.projection.planes.shape[1])] for c in known])
+        gaps = box_gaps(self.projection.low_queries(q), box[:, :, 0], box[:, :, 1])
+        out[:, known] = gaps < self.reach * self.projection.distance(q, kth)[:, None]
+        return out
+
+
+class KdIndex:
+    """A kd-tree over the projections of one block; ``verified`` and ``offered`` count vectors."""
+
+    def __init__(self, projection: Projection, top: int, confidence: float, ids: np.ndarray, x: np.ndarray) -> None:
+        self.projection, self.top, self.ids, self.x = projection, top, ids, x
+        self.reach = chi_square_quantile(confidence, projection.planes.shape[1])
+        points = projection.low(x)
+        leaves = kd_split(points, LEAF)[0]
+        self.order = np.concatenate(leaves)
+        self.bounds = np.append(0, np.cumsum([len(r) for r in leaves]))
+        self.points = points[self.order]
+        self.low = np.minimum.reduceat(self.points, self.bounds[:-1])
+        self.high = np.maximum.reduceat(self.points, self.bounds[:-1])
+        self.unit = np.ascontiguousarray(x[self.order] / projection.largest)
+        self.verified = self.offered = self.leaves_read = 0
+
+    def find(self, query_ids: np.ndarray, q: np.ndarray, kth: np.ndarray):
+        unit, low = directions(q)[0], self.projection.low_queries(q)
+        gaps = box_gaps(low, self.low, self.high)
+        far = self.projection.distance(q, kth)
+        root = math.sqrt(self.projection.square)
+        at, which = [], []
+        for i in range(len(q)):
+            rows, cosine = self._one(unit[i], low[i], gaps[i], far[i], root, int(query_ids[i]))
+            # all that ties the k-th to the last bits stays; the scores on the original vectors decide
+            if len(rows) > self.top:
+                least = np.partition(cosine, len(cosine) - self.top)[len(cosine) - self.top]
+                rows = rows[cosine >= least - 1e-12 * root]
+            at.append(np.full(len(rows), i))
+            which.append(rows)
+        at, which = np.concatenate(at), self.order[np.concatenate(which)]
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = (self.x[which] * q[at]).sum(1)
+        order = np.lexsort((self.ids[which], -score, at))
+        at, which, score = at[order], which[order], score[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        return at[place < self.top], which[place < self.top], score[place < self.top]
+
+    def _one(self, unit: np.ndarray, low: np.ndarray, gap: np.ndarray, far: float, root: float, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows verified for one query that may be among its best, with their products."""
+        square = self.projection.square
+        leaves = np.argsort(gap, kind="stable")
+        rows, near = np.zeros(0, np.int64), np.zeros(0)  # read and not yet verified, by projected distance
+        best, product = np.zeros(0, np.int64), np.zeros(0)
+        read, take, step = 0, 4, FIRST
+        self.offered += len(self.order)
+        while True:
+            frontier = gap[leaves[read]] if read < len(leaves) else np.inf
+            limit = min(self.reach * far, frontier)
+            ready = int(np.searchsorted(near, limit, "right"))
+            if ready == 0:
+                if frontier > self.reach * far or read == len(leaves):
+                    return best, product
+                some = leaves[read : read + take]
+                read, take = read + len(some), 2 * take
+                self.leaves_read += len(some)
+                new = np.concatenate([np.arange(self.bounds[k], self.bounds[k + 1]) for k in some.tolist()])
+                rows = np.concatenate((rows, new))
+                near = np.concatenate((near, ((self.points[new] - low) ** 2).sum(1)))
+                order = np.argsort(near, kind="stable")
+                rows, near = rows[order], near[order]
+                continue
+            some, ready = rows[: min(ready, step)], min(ready, step)
+            rows, near, step = rows[ready:], near[ready:], 2 * step
+            self.verified += len(some)
+            mine = self.ids[self.order[some]] != own
+            best, product = np.concatenate((best, some[mine])), np.concatenate((product, self.unit[some[mine]] @ unit))
+            if len(product) >= self.top:
+                kth = np.partition(product, len(product) - self.top)[len(product) - self.top]
+                far = min(far, max(2 * square - 2 * root * kth, 0.0))
+
+
+def _projection(vectors: DataFrame, components: int, dims: int, seed: int) -> Projection:
+    largest = vectors.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+    square = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + (c / largest) * (c / largest)))).first()[0] or 1.0
+    return Projection(components, dims, seed, largest, square * (1 + 1e-12))
+
+
+def nearest_neighbours(embeddings: DataFrame, every: int = 20, top: int = 20, dims: int = 16, confidence: float = 0.9, seed: int = 11, block_rows: int = 16384, query_rows: int = 65536) -> DataFrame:
     """Each query's ``top`` nearest by inner product: query_id, rank, vec_id, score.
 
     ``embeddings`` needs vec_id and embedding.  Queries are the rows whose vec_id is
@@ -105,6 +240,22 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 20, top: int = 20, di
     and with fewer candidates all are returned.  Vectors that are null, empty, zero, or
     hold null or non-finite components, and rows without vec_id, take no part.  A repeated
     vec_id counts once, with its smallest vector; vectors of different lengths are not
-    compared.  An empty table gives an empty table.
+    compared, and those of other than the commonest length are searched exactly.  An empty
+    table gives an empty table.
     """
-    return search_blocks(usable(embeddings, zero=False), every, top, _search(top, dims, confidence, seed), "double", block_rows, query_rows)
+    vectors = usable(embeddings, zero=False)
+    held: dict[str, Projection] = {}
+
+    def cells(alike: DataFrame, sample: np.ndarray, n: int) -> KdCells:
+        made = KdCells(_projection(alike, sample.shape[1], dims, seed), sample, n, confidence)
+        held["projection"] = made.projection
+        return made
+
+    def index(ids: np.ndarray, x: np.ndarray) -> KdIndex:
+        projection, sure = held["projection"], confidence
+        if x.shape[1] + 1 != len(projection.planes):
+            largest = np.abs(x).max()
+            projection, sure = Projection(x.shape[1], dims, seed, largest, float(((x / largest) ** 2).sum(1).max())), 1.0
+        return KdIndex(projection, top, sure, ids, x)
+
+    return search_cells(vectors, every, top, cells, index, "double", block_rows, query_rows)

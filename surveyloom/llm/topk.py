@@ -1,13 +1,17 @@
 """Exact top-k by best-first search in M-trees.
 
-Components are whole numbers.  One more component brings all vectors to the length of the
-longest, so that the largest inner product is the smallest distance, and a query's squared
-distances stay whole numbers.  Each block of vectors becomes an M-tree: pages of entries
-with a routing object, a covering radius and the distance to the parent's routing object.
-Best-first search opens the page with the smallest possible distance.  Before a distance is
-computed, the stored parent distance and the triangle inequality bound it; entries that
-cannot beat the k-th result are skipped.  Bounds get a margin for rounding, and results are
-whole-number products, so nothing that ties is lost.
+Components are whole numbers.  One more component brings all vectors of a block to the
+length of the longest, so that the largest inner product is the smallest distance.  Each
+block becomes an M-tree: pages of entries with a routing object, a covering radius and the
+distance to the parent's routing object.  Best-first search opens the page with the
+smallest possible distance.  Before a distance is computed, the stored parent distance and
+the triangle inequality bound it; entries that cannot beat the k-th result are skipped.
+Blocks are parts of cells around pivots, which have a covering radius too: a query visits
+only cells that may beat what it found in its home cell.
+
+Distances and products in floating point only decide what is looked at, each with a margin
+for its rounding.  Results are whole-number products: in 64-bit integers where those hold
+them, else in Python's.
 """
 
 from __future__ import annotations
@@ -19,11 +23,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.llm._vectors import Search, search_blocks, usable
+from surveyloom.llm._vectors import search_cells, usable
 
 PAGE = 128
-#: Larger components could overflow the score and take no part.
-LARGEST = 2.0**26
+_EPS = float(np.finfo(float).eps)
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 @dataclass
@@ -36,12 +40,33 @@ class Page:
     children: list[Page] | None
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(1))
+
+
+def whole_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact products of whole-number rows with a vector; beyond 64 bits they stop at the ends of that range."""
+    limit = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, x.shape[1])
+    if limit < 2.0**62:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    other = [int(v) for v in q.tolist()]
+    return np.array([min(max(sum(int(a) * b for a, b in zip(row, other, strict=True)), _LEAST), _MOST) for row in x.tolist()], np.int64)
+
+
 class MTree:
-    def __init__(self, x: np.ndarray) -> None:
-        self.x = x
-        square = (x * x).sum(1)
+    """An M-tree over whole-number vectors; ``computed`` and ``offered`` count distances."""
+
+    def __init__(self, top: int, ids: np.ndarray, x: np.ndarray) -> None:
+        # products of vectors divided by a power of two are as exact, and squares do not overflow
+        self.unit = 2.0 ** max(0, int(np.ceil(np.log2(max(1.0, float(np.abs(x).max(initial=0)))))) - 400)
+        self.top, self.ids, self.whole, self.x = top, ids, x, x / self.unit
+        square = (self.x * self.x).sum(1)
+        self.length = np.sqrt(square)
         self.longest = float(square.max())
         self.extra = np.sqrt(np.maximum(self.longest - square, 0))
+        # a squared distance is a difference of terms up to 4 * longest, each rounded some times
+        self.slack = np.sqrt(16 * _EPS * (x.shape[1] + 4) * self.longest)
+        self.computed = self.offered = 0
         self.root, self.start = self._build(np.arange(len(x)), 0)
 
     def between(self, a: int, rows: np.ndarray) -> np.ndarray:
@@ -66,7 +91,7 @@ class MTree:
         if max(map(len, groups)) == len(rows):  # all alike
             groups = np.array_split(rows, -(-len(rows) // PAGE))
         groups = [g for g in groups if len(g)]
-        built = [self._build(np.concatenate(([p], g[g != p])) if (p := self._middle(g)) is not None else g, route) for g in groups]
+        built = [self._build(np.concatenate(([p], g[g != p])), route) for g in groups for p in [self._middle(g)]]
         routes = np.array([r for _, r in built])
         radius = np.array([self.between(r, g).max() for (_, r), g in zip(built, groups, strict=True)])
         return Page(routes, self.between(route, routes), radius, [p for p, _ in built]), route
@@ -76,14 +101,20 @@ class MTree:
         mean = self.x[rows].mean(0)
         return int(rows[np.argmin(((self.x[rows] - mean) ** 2).sum(1))])
 
-    def search(self, q: np.ndarray, ids: np.ndarray, own: int, top: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and products of the ``top`` largest inner products, ties to smaller ids."""
-        base = float(q @ q) + self.longest
-        slack = 1e-9 * (np.sqrt(base) + 1) + 1e-6
-        reach = lambda dots: np.sqrt(np.maximum(base - 2 * dots, 0))
-        best, scores, limit = np.zeros(0, np.int64), np.zeros(0), np.inf
-        first = float(reach(self.x[self.start] @ q))
-        heap, serial = [(0.0, 0, self.root, first)], 0
+    def _one(self, q: np.ndarray, own: int, kth: float, end: float) -> np.ndarray:
+        """Rows that may be among the ``top`` of a query that already has ``kth``; products from ``end`` on are equal."""
+        size = float(np.sqrt(q @ q))
+        # the query at the common length keeps its order and its distances well-conditioned
+        scale = np.sqrt(self.longest) / size if size > 0 and self.longest > 0 else 0.0
+        q = q * scale
+        slack = 4 * self.slack
+        reach = lambda dots: np.sqrt(np.maximum(2 * self.longest - 2 * dots, 0))
+        margin = 4 * _EPS * (len(q) + 4) * self.length * np.sqrt(self.longest)
+        end = end * scale * (1 - 1e-9)
+        limit = float(reach(kth * scale)) if np.isfinite(kth) and scale > 0 else np.inf
+        best, upper, lower = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        self.offered += len(self.ids)
+        heap, serial = [(0.0, 0, self.root, float(reach(self.x[self.start] @ q)))], 0
         while heap:
             bound, _, page, routed = heapq.heappop(heap)
             if bound > limit + slack:
@@ -93,48 +124,90 @@ class MTree:
             if not len(near):
                 continue
             rows = page.entries[near]
+            self.computed += len(rows)
             dots = self.x[rows] @ q
             if page.children is None:
-                mine = ids[rows] != own
-                best, scores = np.concatenate((best, rows[mine])), np.concatenate((scores, dots[mine]))
-                if len(best) > top:
-                    order = np.lexsort((ids[best], -scores))[:top]
-                    best, scores = best[order], scores[order]
-                if len(best) == top:
-                    limit = float(reach(scores.min()))
+                mine = self.ids[rows] != own
+                best = np.concatenate((best, rows[mine]))
+                upper = np.concatenate((upper, (dots + margin[rows])[mine]))
+                lower = np.concatenate((lower, (dots - margin[rows])[mine]))
+                if len(best) >= self.top:
+                    sure = np.partition(lower, len(lower) - self.top)[len(lower) - self.top]
+                    sure = -np.inf if sure <= -end else min(sure, end)
+                    may = upper >= sure
+                    best, upper, lower = best[may], upper[may], lower[may]
+                    limit = min(limit, float(reach(sure)))
                 continue
             d = reach(dots)
-            lower = np.maximum(d - page.radius[near], 0)
-            for i in np.flatnonzero(lower <= limit + slack).tolist():
+            low = np.maximum(d - page.radius[near], 0)
+            for i in np.flatnonzero(low <= limit + slack).tolist():
                 serial += 1
-                heapq.heappush(heap, (float(lower[i]), serial, page.children[near[i]], float(d[i])))
-        return best, scores
+                heapq.heappush(heap, (float(low[i]), serial, page.children[near[i]], float(d[i])))
+        return best
 
-
-def _search(top: int) -> Search:
-    def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray):
-        tree = MTree(x)
-        at, which = [], []
+    def find(self, query_ids: np.ndarray, q: np.ndarray, kth: np.ndarray):
+        at, which, scores = [], [], []
         for i in range(len(q)):
-            best, _ = tree.search(q[i], ids, int(query_ids[i]), top)
-            at.append(np.full(len(best), i))
-            which.append(best)
-        at, which = np.concatenate(at), np.concatenate(which)
-        return at, which, (x[which].astype(np.int64) * q[at].astype(np.int64)).sum(1)
-
-    return search
-
-
-def top_products(embeddings: DataFrame, every: int = 50, top: int = 5, scale: int = 256, block_rows: int = 8192, query_rows: int = 8192) -> DataFrame:
+            unit = 2.0 ** max(0, int(np.ceil(np.log2(max(1.0, float(np.abs(q[i]).max()))))) - 400)
+            # a bound that was cut at 64 bits says nothing
+            reached = float(kth[i]) / self.unit / unit if abs(kth[i]) < 2.0**62 else -np.inf
+            rows = self._one(q[i] / unit, int(query_ids[i]), reached - abs(reached) * 8 * _EPS, 2.0**63 / self.unit / unit)
+            score = whole_products(self.whole[rows], q[i])
+            order = np.lexsort((self.ids[rows], ~score))[: self.top]
+            at.append(np.full(len(order), i))
+            which.append(rows[order])
+            scores.append(score[order])
+        return np.concatenate(at), np.concatenate(which), np.concatenate(scores)
+
+
+class PivotCells:
+    """Every vector belongs to its nearest pivot; a product with it is at most that with the pivot and the radius times the query's length."""
+
+    def __init__(self, sample: np.ndarray, cells: int) -> None:
+        chosen = np.sort(np.random.default_rng(13).permutation(len(sample))[: max(1, cells)])
+        self.pivots = sample[chosen] if len(sample) else np.zeros((1, sample.shape[1]))
+
+    def _distances(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.stack([lengths(x - p) for p in self.pivots], axis=1)
+
+    def cell_of(self, x: np.ndarray) -> np.ndarray:
+        return np.argmin(np.nan_to_num(self._distances(x), nan=np.inf), axis=1)
+
+    def home_of(self, q: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.argmax(np.nan_to_num(q @ self.pivots.T, nan=-np.inf), axis=1)
+
+    def measured(self, x: np.ndarray, cell: np.ndarray):
+        d = np.nan_to_num(self._distances(x)[np.arange(len(x)), cell], nan=np.inf)
+        for c in np.unique(cell).tolist():
+            yield c, 0, 0.0, float(d[cell == c].max())
+
+    def admitted(self, q: np.ndarray, kth: np.ndarray, bounds: dict) -> np.ndarray:
+        out = np.zeros((len(q), max(bounds) + 1), bool)
+        known = sorted(bounds)
+        radius, size = np.array([bounds[c][0][1] for c in known]), lengths(q)
+        with np.errstate(over="ignore", invalid="ignore"):
+            most = q @ self.pivots[known].T + size[:, None] * radius
+            # what rounding may have taken away
+            most += 8 * _EPS * (q.shape[1] + 4) * size[:, None] * (lengths(self.pivots[known]) + radius)
+            out[:, known] = ~(most < kth[:, None]) | (np.abs(kth) >= 2.0**62)[:, None]
+        return out
+
+
+def top_products(embeddings: DataFrame, every: int = 50, top: int = 5, scale: int = 256, block_rows: int = 16384, query_rows: int = 65536) -> DataFrame:
     """Each query's ``top`` largest whole-number inner products: query_id, rank, vec_id, score.
 
-    ``embeddings`` needs vec_id and embedding; a component x counts as floor(``scale`` * x).
+    ``embeddings`` needs vec_id and embedding; a component x counts as floor(``scale`` * x),
+    exact for every finite x whose product with ``scale`` (a power of two) is finite.
     Queries are the rows whose vec_id is divisible by ``every``; candidates are all rows but
     the query's own.  Exact; ties go to the smaller vec_id, and with fewer candidates all
-    are returned.  Vectors that are null, empty, or hold components that are null, not
-    finite or of more than 2**26 after scaling, and rows without vec_id, take no part.  A
-    repeated vec_id counts once, with its smallest vector; vectors of different lengths are
-    not compared.  An empty table gives an empty table.
+    are returned.  A product beyond 64 bits counts as the end of that range.  Vectors that
+    are null, empty, or hold null or non-finite components, and rows without vec_id, take no
+    part.  A repeated vec_id counts once, with its smallest vector; vectors of different
+    lengths are not compared.  An empty table gives an empty table.
     """
-    whole = usable(embeddings, zero=True).withColumn("v", F.transform("v", lambda c: F.floor(c * scale).cast("double"))).filter(F.forall("v", lambda c: F.abs(c) <= LARGEST))
-    return search_blocks(whole, every, top, _search(top), "long", block_rows, query_rows)
+    # doubles of 2**53 or more are whole already, and the SQL function floor would cut them to 64 bits
+    floored = lambda c: F.when(F.abs(c) < 2.0**52, F.floor(c).cast("double")).otherwise(F.greatest(F.least(c, F.lit(1.7e308)), F.lit(-1.7e308)))
+    whole = usable(embeddings, zero=True).withColumn("v", F.transform("v", lambda c: floored(c * scale)))
+    return search_cells(whole, every, top, lambda alike, sample, n: PivotCells(sample, n), lambda ids, x: MTree(top, ids, x), "long", block_rows, query_rows)
