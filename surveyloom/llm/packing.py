@@ -6,14 +6,17 @@ its surroundings.  Each distinct unit of a task is encoded once; all else is vec
 
 Packing is hierarchical.  Documents are dealt by a hash; each task packs its pieces
 best-fit, longest first, and emits nearly full bins.  Bins with room left travel on as
-items of their fill, a few tasks' together, and are packed best-fit again, until one task
-has the last of them.  A task hands on at most ``carry`` bins, the emptiest; any others
-are emitted as they are, which leaves them valid and only costs space.
+items of their fill, those of several tasks together, and are packed best-fit again.  No
+task gets more than about ``task_pieces`` items, and no bin is given up for that: while
+more remain than one task takes, they are dealt anew and merged again.  The rounds end
+with a round of one task, or when a round of several merges less than one bin in a
+thousand, as its tasks already were large samples of all bins.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.llm import _text as T
-from surveyloom.llm._io import written
+from surveyloom.llm._io import dropped, written
 
 #: Distinct units that a worker remembers between batches.
 REMEMBERED = 1_500_000
@@ -42,22 +45,18 @@ def _byte_of_symbol() -> dict[str, int]:
 class UnitEncoder:
     """Token ids of texts, by distinct units; ids are those of the tokenizer for whole texts.
 
-    The tokenizer file defines the ids.  Units of plain letters (nothing beyond two-byte
-    UTF-8, no added token) are encoded from the same vocabulary by a faster library, where
-    both libraries agree on what a letter is; all others by the tokenizer itself.
+    A unit of Latin letters alone is one piece of the tokenizer's pattern, so its model gets
+    it directly; all other units pass through the whole tokenizer.
     """
 
     def __init__(self, tokenizer_path: str) -> None:
-        import tiktoken
-        import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.added = [t.encode() for t in added]
-        to_byte = _byte_of_symbol()
-        vocabulary = {bytes(to_byte[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in added}
-        self.fast = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens={})
+        self.model = self.tokenizer.model
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.symbols = {b: c for c, b in _byte_of_symbol().items()}
         self.forget()
 
     def forget(self) -> None:
@@ -67,9 +66,16 @@ class UnitEncoder:
         self.flat = np.zeros(0, np.uint32)
 
     def learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
-        slow = [i for i, u in enumerate(units) if max(u) >= 0xE0 or any(t in u for t in self.added)]
-        ids = [[] if max(u) >= 0xE0 else self.fast.encode_ordinary(u.decode()) for u in units]
-        for i, e in zip(slow, self.tokenizer.encode_batch_fast([units[i].decode("utf-8", "replace") for i in slow], add_special_tokens=False), strict=True):
+        ids: list = []
+        rest, texts = [], []
+        for i, text in enumerate(u.decode("utf-8", "replace") for u in units):
+            if _LETTERS.fullmatch(text) and not (self.added and self.added.search(text)):
+                ids.append([t.id for t in self.model.tokenize("\u0120" + text[1:] if text[0] == " " and text.isascii() else text if text.isascii() else text.encode().decode("latin-1").translate(self.symbols))])
+            else:
+                ids.append(None)
+                rest.append(i)
+                texts.append(text)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids[i] = e.ids
         length = np.fromiter(map(len, ids), np.int32, len(ids))
         start = len(self.flat) + np.cumsum(length, dtype=np.int64) - length
@@ -125,6 +131,8 @@ class UnitEncoder:
         return self.flat[take], edge[np.searchsorted(starts, chunk.bounds)]
 
 
+#: A space and Latin letters, or letters alone.
+_LETTERS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: Lead bytes of every white space character outside ASCII.
 _SPACE_LEADS = np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8)
 _encoders: dict[str, UnitEncoder] = {}
@@ -182,7 +190,7 @@ _BIN = "done boolean, fill int, members array<struct<doc_id:long,piece:int,start
 _MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def _pack(capacity: int, nearly: int, carry: int, level: int, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pack(capacity: int, nearly: int, level: int, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Items (rows with members) of a task -> bins; all of them are done at the last level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,9 +210,6 @@ def _pack(capacity: int, nearly: int, carry: int, level: int, last: bool) -> Cal
         bins = best_fit([fill[i] for i in order], capacity)
         total = [sum(fill[order[i]] for i in own) for own in bins]
         done = [last or x >= capacity - nearly for x in total]
-        left = sorted((i for i, x in enumerate(done) if not x), key=lambda i: (total[i], i))
-        for i in left[carry:]:
-            done[i] = True
         for begin in range(0, len(bins), 5000):
             take, size = [], []
             for own in bins[begin : begin + 5000]:
@@ -223,30 +228,40 @@ def _pack(capacity: int, nearly: int, carry: int, level: int, last: bool) -> Cal
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, task_pieces: int = 50_000, fan_in: int = 8, nearly: int = 8, carry: int = 20_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, task_pieces: int = 50_000, nearly: int = 8) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most ``capacity`` tokens.
 
     ``docs`` needs doc_id and text; other columns are ignored.  A document is its ids and
-    then ``end_id``; a null text is empty, so it is ``end_id`` alone.  Only documents over
-    the capacity are cut, into pieces of the capacity; the first may be shorter.  Returns
-    one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
-    Rows that repeat a doc_id are documents of their own, each with pieces from 0; a null
-    doc_id stays null.  An empty table gives an empty table.
+    then ``end_id``; a null or empty text has no ids, so it is ``end_id`` alone, and white
+    space is ids like any other.  Only documents over the capacity are cut, into pieces of
+    the capacity; the first may be shorter.  Returns one row per piece: doc_id, piece, start,
+    length, ids_crc32, sequence_id and offset.  Rows that repeat a doc_id are documents of
+    their own, each with pieces from 0; a null doc_id stays null.  An empty table gives an
+    empty table.
     """
+    spark = docs.sparkSession
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(tokenizer_path, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, spread long")
-    pieces, _ = written(pieces)
-    full = pieces.filter(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (F.monotonically_increasing_id() + F.lit(1 << 60)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    n = pieces.filter(F.col("length") < capacity).count()
-    tasks = max(1, -(-n // task_pieces))
+    pieces, pieces_at = written(pieces)
+    paths = [pieces_at]
+    out = pieces.filter(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (F.monotonically_increasing_id() + F.lit(1 << 60)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = pieces.filter(F.col("length") < capacity).select(F.xxhash64("doc_id", "spread", "piece").alias("key"), F.col("length").cast("int").alias("fill"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32")).alias("members"))
-    out, level = full, 0
-    while True:
+    n, level, last = pieces.filter(F.col("length") < capacity).count(), 0, False
+    while not last:
+        tasks = max(1, -(-n // task_pieces))
         last = tasks == 1
-        bins, _ = written(items.repartition(tasks, "key").mapInArrow(_pack(capacity, nearly, carry, level, last), _BIN))
-        placed = bins.filter("done").select("sequence_id", F.posexplode("members").alias("at", "m"), "members")
+        bins, bins_at = written(items.repartition(tasks, "key").mapInArrow(_pack(capacity, nearly, level, last), _BIN))
+        paths.append(bins_at)
+        counts = {r["done"]: r["count"] for r in bins.groupBy("done").count().collect()}
+        # the first round puts pieces into bins, later ones bins into bins
+        last = last or (level > 0 and n - sum(counts.values()) <= n // 1000)
+        placed = (bins if last else bins.filter("done")).select("sequence_id", F.posexplode("members").alias("at", "m"), "members")
         before = F.aggregate(F.slice("members", F.lit(1), F.col("at")), F.lit(0).cast("long"), lambda a, x: a + x["length"])
         out = out.union(placed.select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", before.alias("offset")))
-        if last:
-            return out
-        level, tasks = level + 1, -(-tasks // fan_in)
-        items = bins.filter("not done").select(F.xxhash64("sequence_id").alias("key"), "fill", "members")
+        n, level = counts.get(False, 0), level + 1
+        # another deal in each round
+        items = bins.filter("not done").select(F.xxhash64("sequence_id", F.lit(level)).alias("key"), "fill", "members")
+        last = last or n == 0
+    out, _ = written(out)
+    for path in paths:
+        dropped(spark, path)
+    return out

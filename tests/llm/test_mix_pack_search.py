@@ -60,6 +60,43 @@ def test_best_fit_takes_the_tightest_bin():
     assert best_fit([6, 5, 4, 5, 3], 10) == [[0, 2], [1, 3], [4]]
 
 
+SCRIPTS = [
+    "plain words, with (brackets) and numbers 123 4567", "na\u00efve caf\u00e9 \u00dcber \u0141\u00f3d\u017a \u01c5 \u0180\u024f \u00d7 \u00f7", "\u0395\u03bb\u03bb\u03b7\u03bd\u03b9\u03ba\u03ac \u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440", "\u05e9\u05dc\u05d5\u05dd \u0645\u0631\u062d\u0628\u0627", "\u0928\u092e\u0938\u094d\u0924\u0947 \u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35",
+    "\u4e16\u754c \u4f60\u597d \u3053\u3093 \uc548\ub155", "\U0001f600 \U0001f469\u200d\U0001f4bb a\U0001f600b", "it's we'll I'M 'tis don't  two  spaces\n\n new\tlines\r\n", "\u00a0nbsp \u2003em \u3000wide\u0085nel \x1c\x1d x", "a <|endoftext|> b<|endoftext|>", "e\u0301 combining \u0130i \u1e9e \ufb01 \u2168 \u00b2\u00bd", "x" * 3000, " lead", "trail ", " ", "A" + " a" * 50,
+]
+
+
+def test_ids_are_those_of_the_tokenizer():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from surveyloom.llm import _text as T
+    from surveyloom.llm.packing import UnitEncoder
+
+    tokenizer, encoder = Tokenizer.from_file(tokenizer_path()), UnitEncoder(tokenizer_path())
+    r = np.random.default_rng(3)
+    letters = [chr(c) for c in r.integers(32, 0x3000, 4000) if not 0xD800 <= c < 0xE000]
+    texts = [*SCRIPTS, " ".join(SCRIPTS), *("".join(r.choice(letters, 30)) + " " + "".join(r.choice(letters, 3)) for _ in range(300))]
+    texts += ["".join(chr(c) + " " + chr(c) * 2 for c in range(a, a + 64)) for a in range(32, 0x250, 64)]
+    for chunk in T.chunks(pa.array(texts)):
+        ids, bounds = encoder.encode(chunk)
+        for i in range(len(chunk)):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(texts[chunk.first_row + i], add_special_tokens=False).ids, texts[chunk.first_row + i]
+
+
+def test_packing_compares_with_plain_best_fit(spark):
+    """As many sequences as best-fit over all documents in one place, or one more, also where bins cannot be filled."""
+    r = np.random.default_rng(8)
+    for low, high in ((1, 700), (500, 640), (300, 420)):
+        rows = [(i, " a" * int(n)) for i, n in enumerate(r.integers(low, high, 300))]
+        sizes = sorted((len(t) // 2 + 1 for _, t in rows), reverse=True)
+        want = len(best_fit(sizes, 1024))
+        for task_pieces in (40, 50_000):
+            out = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path(), task_pieces=task_pieces).collect()
+            got = len({o.sequence_id for o in out})
+            assert len(out) == 300 and want <= got <= want + (0 if task_pieces > 300 else 2 + want // 20), (low, high, got, want)
+
+
 @pytest.mark.parametrize("task_pieces", [20, 50_000])
 def test_packing(spark, task_pieces):
     from tokenizers import Tokenizer
@@ -69,7 +106,7 @@ def test_packing(spark, task_pieces):
     tokenizer = Tokenizer.from_file(tokenizer_path())
     for r in rows:
         texts[r[0]].append([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2])
-    out = pack_documents(frame(spark, rows), tokenizer_path(), task_pieces=task_pieces, fan_in=2).collect()
+    out = pack_documents(frame(spark, rows), tokenizer_path(), task_pieces=task_pieces).collect()
     spans = defaultdict(list)
     for r in out:
         assert any(len(t) >= r.start + r.length and zlib.crc32(np.array(t[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for t in texts[r.doc_id]), r
