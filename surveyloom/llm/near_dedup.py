@@ -284,7 +284,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches, _ = written(texts.mapInArrow(_sketch(shingle, percent), "doc_id long, n_shingles long, h1 long, h2 long, sketch array<long>"))
+    sketches, sketches_at = written(texts.mapInArrow(_sketch(shingle, percent), "doc_id long, n_shingles long, h1 long, h2 long, sketch array<long>"))
     usable = sketches.filter("doc_id is not null and n_shingles > 0")
     classes = usable.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("x"), F.count(F.lit(1)).alias("rows"))
     # numbered once and written: a class is one number from here on
@@ -318,4 +318,6 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
         dropped(spark, path)
     out = sketches.select("doc_id", "n_shingles").join(components, F.col("doc_id") == F.col("node"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out, _ = written(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    dropped(spark, sketches_at)
+    return out

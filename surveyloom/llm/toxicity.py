@@ -7,10 +7,11 @@ recurrent units run over a window in both directions, attention pools their stat
 logistic unit scores the window.  A document is covered by overlapping windows, all of
 them are scored, and the highest one is the document's score.
 
-Training is plain numpy on the driver, on a bounded sample of labelled rows of which each
-contributes a bounded number of windows.  Embeddings start from how far toxic
-documents are over-represented in their bucket.  Scoring works on chunks of whole texts: inputs are projected once for each
-distinct word, and all windows of a chunk advance together.
+Training is plain numpy on the driver, on a bounded sample of labelled rows with all their
+windows.  Embeddings start from how far toxic documents are over-represented in their
+bucket, among the documents learnt from; a tenth of the sample is kept out of that too and
+calibrates the score.  Scoring works on chunks of whole texts: inputs are projected once
+for each distinct word, and all windows of a chunk advance together.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 from surveyloom.llm import _text as T
 from surveyloom.llm._labels import labelled_sample, labelled_texts, remainder
 
-#: Bounds on training: labelled rows, and windows of each.
-TRAINING_ROWS = 6_000
-TRAINING_WINDOWS = 6
+#: Bound on training: labelled rows.
+TRAINING_ROWS = 5_000
+#: Windows that go through the network together.
+WINDOWS_AT_ONCE = 4096
 
 WINDOW, STRIDE = 48, 36
 WORD_BUCKETS, CHAR_BUCKETS, EMBED, HIDDEN = 1 << 16, 1 << 18, 6, 8
@@ -234,64 +236,79 @@ def fit(texts: list[list[bytes]], y: np.ndarray, epochs: int = 5, batch: int = 1
     word = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for t in flat for w in t.lower().split()), np.int32, int(count.sum()))
     first = np.cumsum(count) - count
     buckets, grams, at = _vocabulary_inputs(list(vocabulary))
+    hold = r.permutation(len(y)) < len(y) // 10
+    learn = np.flatnonzero(~hold)
     # embeddings start from how far toxic documents are over-represented in their bucket, in
-    # standard deviations beyond what chance gives; a few documents at a time
+    # standard deviations beyond what chance gives, among the documents learnt from
     seen = {"word": np.zeros((2, WORD_BUCKETS)), "char": np.zeros((2, CHAR_BUCKETS))}
     last = np.append(first, len(word))[np.cumsum([len(own) for own in texts])]
-    for i, (begin, end) in enumerate(zip(np.append(0, last[:-1]).tolist(), last.tolist(), strict=True)):
-        own = np.unique(word[begin:end])
+    begins = np.append(0, last[:-1])
+    for i in learn.tolist():
+        own = np.unique(word[begins[i] : last[i]])
         label = int(y[i])
         seen["word"][label][np.unique(buckets[own])] += 1
         seen["char"][label][np.unique(grams[_ranges(at[own], at[own + 1])])] += 1
     for name, (neg, pos) in seen.items():
-        n, prior = pos + neg, y.mean()
+        n, prior = pos + neg, np.clip(y[learn].mean(), 1e-6, 1 - 1e-6)
         surplus = (pos - n * prior) / np.sqrt(np.maximum(n, 1) * prior * (1 - prior))
         net.p[name][:, 0] = np.clip((surplus - 3) / 4, 0, 3)
-    hold = r.permutation(len(y)) < len(y) // 5
-    learn = np.flatnonzero(~hold)
     of_doc = np.append(0, np.cumsum([len(own) for own in texts]))
     moments: dict[str, list] = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
 
-    def prepared(docs: np.ndarray):
-        rows = np.concatenate([np.arange(of_doc[d], of_doc[d + 1]) for d in docs]) if len(docs) else np.zeros(0, np.int64)
-        rows = rows[count[rows] > 0]
-        length = int(count[rows].max()) if len(rows) else 0
-        place = np.arange(length)[:, None]
+    def prepared(rows: np.ndarray):
+        place = np.arange(int(count[rows].max()))[:, None]
         mask = place < count[rows]
         words = word[np.minimum(first[rows] + place, len(word) - 1)]
         own, steps = np.unique(words, return_inverse=True)
         local = np.append(0, np.cumsum(at[own + 1] - at[own]))
         take = _ranges(at[own], at[own + 1])
-        return rows, mask, steps.reshape(words.shape), (buckets[own], grams[take], local)
+        return mask, steps.reshape(words.shape), (buckets[own], grams[take], local)
+
+    def windows(docs: np.ndarray) -> list[np.ndarray]:
+        """Windows of some documents, as many together as go through the network at once."""
+        rows = np.concatenate([np.arange(of_doc[d], of_doc[d + 1]) for d in docs]) if len(docs) else np.zeros(0, np.int64)
+        rows = rows[count[rows] > 0]
+        return np.array_split(rows, -(-len(rows) // WINDOWS_AT_ONCE)) if len(rows) else []
 
     for epoch in range(epochs):
         order = r.permutation(learn)
         for begin in range(0, len(order), batch):
-            rows, mask, steps, words = prepared(order[begin : begin + batch])
-            if not len(rows):
+            parts = windows(order[begin : begin + batch])
+            if not parts:
                 continue
-            keep: dict = {}
-            x = net.inputs(*words)
-            kept = (r.random(x.shape) >= DROPOUT).astype(np.float32)
-            logit = net.forward(x * kept, steps, mask, keep)
-            # the highest window stands for its document; all windows of clean documents are clean
+            rows = np.concatenate(parts)
+            scored = np.concatenate([net.forward(net.inputs(*words), steps, mask) for mask, steps, words in map(prepared, parts)])
+            # the highest window stands for its document; all windows of clean documents are clean,
+            # and those that the network takes for clean already give no gradient to speak of
             top = np.zeros(len(rows), bool)
-            by = np.lexsort((logit, bag[rows]))
+            by = np.lexsort((scored, bag[rows]))
             top[by[np.append(bag[rows][by][1:] != bag[rows][by][:-1], True)]] = True
-            label = y[bag[rows]]
-            share = np.where(label == 1, top, np.where(top, 1.0, 0.3)).astype(np.float32)
-            dlogit = ((_sigmoid(logit) - label) * share / batch).astype(np.float32)
-            g, dx = net.backward(x * kept, steps, mask, keep, dlogit)
-            dx *= kept
-            gw = np.zeros_like(net.p["word"])
-            np.add.at(gw, words[0], dx[:, :EMBED])
-            gc = np.zeros_like(net.p["char"])
-            # the gram that gave the maximum gets its gradient
-            size = np.diff(words[2])
-            won = net.p["char"][words[1]] == np.repeat(x[:, EMBED:], size, axis=0)
-            np.add.at(gc, words[1], np.repeat(dx[:, EMBED:], size, axis=0) * won)
-            g |= {"word": gw, "char": gc}
+            use = top | ((y[bag[rows]] == 0) & (_sigmoid(scored) > 0.02))
+            rows, top = rows[use], top[use]
+            total: dict[str, np.ndarray] = {}
+            for some in np.array_split(np.arange(len(rows)), -(-len(rows) // WINDOWS_AT_ONCE)):
+                part, mine = rows[some], top[some]
+                mask, steps, words = prepared(part)
+                keep: dict = {}
+                x = net.inputs(*words)
+                kept = (r.random(x.shape) >= DROPOUT).astype(np.float32)
+                logit = net.forward(x * kept, steps, mask, keep)
+                label = y[bag[part]]
+                share = np.where(label == 1, mine, np.where(mine, 1.0, 0.3)).astype(np.float32)
+                dlogit = ((_sigmoid(logit) - label) * share / batch).astype(np.float32)
+                g, dx = net.backward(x * kept, steps, mask, keep, dlogit)
+                dx *= kept
+                gw = np.zeros_like(net.p["word"])
+                np.add.at(gw, words[0], dx[:, :EMBED])
+                gc = np.zeros_like(net.p["char"])
+                # the gram that gave the maximum gets its gradient
+                size = np.diff(words[2])
+                won = net.p["char"][words[1]] == np.repeat(x[:, EMBED:], size, axis=0)
+                np.add.at(gc, words[1], np.repeat(dx[:, EMBED:], size, axis=0) * won)
+                for k, grad in (g | {"word": gw, "char": gc}).items():
+                    total[k] = total[k] + grad if k in total else grad
+            g = total
             step += 1
             now = rate * (0.5 if epoch >= epochs - 2 else 1.0)
             for k, grad in g.items():
@@ -303,8 +320,8 @@ def fit(texts: list[list[bytes]], y: np.ndarray, epochs: int = 5, batch: int = 1
     test = np.flatnonzero(hold) if 0 < y[hold].sum() < hold.sum() else learn
     top = np.full(len(y), -np.inf)
     for begin in range(0, len(test), 512):
-        rows, mask, steps, words = prepared(test[begin : begin + 512])
-        if len(rows):
+        for rows in windows(test[begin : begin + 512]):
+            mask, steps, words = prepared(rows)
             np.maximum.at(top, bag[rows], net.forward(net.inputs(*words), steps, mask))
     s, t = top[test], y[test]
     s, t = s[np.isfinite(s)], t[np.isfinite(s)]
@@ -316,30 +333,21 @@ def fit(texts: list[list[bytes]], y: np.ndarray, epochs: int = 5, batch: int = 1
     return net
 
 
-def _training_windows(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, y = batch.column("doc_id"), batch.column("y")
-            for chunk in T.chunks(batch.column("text")):
-                w, blob = T.words(chunk), chunk.data.tobytes()
-                doc, start, n = windows_of(w.counts(), w.first[:-1])
-                edge = np.searchsorted(doc, np.arange(len(chunk) + 1))
-                rows = []
-                for i in range(len(chunk)):
-                    own = np.arange(edge[i], edge[i + 1])
-                    if len(own) > limit:  # evenly spread
-                        own = own[np.linspace(0, len(own) - 1, limit).round().astype(int)]
-                    rows.append([b" ".join(blob[w.starts[j] : w.ends[j]] for j in range(start[k], start[k] + n[k])) for k in own])
-                yield pa.RecordBatch.from_arrays([ids.slice(chunk.first_row, len(chunk)), y.slice(chunk.first_row, len(chunk)), pa.array(rows, pa.list_(pa.binary()))], names=["doc_id", "y", "windows"])
-
-    return run
+def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, y = batch.column("doc_id"), batch.column("y")
+        for chunk in T.chunks(batch.column("text")):
+            w, blob = T.words(chunk), chunk.data.tobytes()
+            doc, start, n = windows_of(w.counts(), w.first[:-1])
+            edge = np.searchsorted(doc, np.arange(len(chunk) + 1))
+            rows = [[b" ".join(blob[w.starts[j] : w.ends[j]] for j in range(start[k], start[k] + n[k])) for k in range(edge[i], edge[i + 1])] for i in range(len(chunk))]
+            yield pa.RecordBatch.from_arrays([ids.slice(chunk.first_row, len(chunk)), y.slice(chunk.first_row, len(chunk)), pa.array(rows, pa.list_(pa.binary()))], names=["doc_id", "y", "windows"])
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, windows: int = TRAINING_WINDOWS) -> Network:
-    """Network from at most ``rows`` labelled rows, with at most ``windows`` windows of each."""
+def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Network:
+    """Network from all windows of at most ``rows`` labelled rows."""
     sample = labelled_sample(labels, "toxic", 5, 0, rows)
-    got = labelled_texts(docs, sample).mapInArrow(_training_windows(windows), "doc_id long, y int, windows array<binary>").toArrow().to_pylist()
-    got.sort(key=lambda x: (x["doc_id"], x["windows"]))
+    got = labelled_texts(docs, sample).mapInArrow(_training_windows, "doc_id long, y int, windows array<binary>").toArrow().sort_by("doc_id").to_pylist()
     return fit([x["windows"] for x in got], np.array([x["y"] for x in got], float))
 
 

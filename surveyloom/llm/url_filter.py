@@ -2,7 +2,8 @@
 
 The model is trained by numpy from the small labelled table below.  Character trigrams of
 the host and of the path are hashed into separate halves of one weight table; weights are
-kept as whole numbers, so sums do not depend on their order.  Parsing, rules and scoring
+kept as whole numbers, so sums do not depend on their order.  Each gram counts with one over
+the root of the number of grams, in training and in scoring.  Parsing, rules and scoring
 are DataFrame expressions.
 """
 
@@ -59,8 +60,8 @@ def weights(steps: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> tuple[i
     """Trained weights as whole numbers, one per bucket, and the bias last."""
     x = np.zeros((len(LABELLED), 2 * BUCKETS + 1))
     for i, (url, _) in enumerate(LABELLED):
-        np.add.at(x[i], gram_buckets(*_split(url)), 1.0)
-        x[i] /= max(np.linalg.norm(x[i]), 1)
+        grams = gram_buckets(*_split(url))
+        np.add.at(x[i], grams, 1 / np.sqrt(max(len(grams), 1)))
         x[i, -1] = 1
     y = np.array([label for _, label in LABELLED], float)
     w = np.zeros(x.shape[1])
@@ -100,8 +101,8 @@ def model_score(host: Column, path: Column) -> Column:
         grams = F.when(F.length(marked) >= 3, F.sequence(F.lit(1), F.length(marked) - 2)).otherwise(F.array().cast("array<int>"))
         return F.aggregate(grams, F.lit(0).cast("long"), lambda a, i: a + F.element_at(table, (F.pmod(code(i) * 961 + code(i + 1) * 31 + code(i + 2), F.lit(BUCKETS)) + base + 1).cast("int")))
 
-    # texts were scaled to unit length in training; the sign only needs the bias scaled instead
-    grams = F.length(host) + F.length(path)
+    # training divides by the root of the number of grams; the sign only needs the bias multiplied instead
+    grams = F.greatest(F.length(host) + F.length(path), F.lit(1))
     return part(host, 0) + part(path, BUCKETS) + (F.sqrt(grams.cast("double")) * w[-1]).cast("long")
 
 
@@ -142,6 +143,6 @@ s AS (
 )
 SELECT page_id, host, path, {case([h + p for h, p, _ in rules])} AS rule,
   coalesce({case([v for _, _, v in rules])},
-    CASE WHEN coalesce({part("h", 0)}, 0) + coalesce({part("q", BUCKETS)}, 0) + CAST(trunc(sqrt(CAST(len(host) + len(path) AS DOUBLE)) * {w[-1]}) AS BIGINT) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+    CASE WHEN coalesce({part("h", 0)}, 0) + coalesce({part("q", BUCKETS)}, 0) + CAST(trunc(sqrt(CAST(greatest(len(host) + len(path), 1) AS DOUBLE)) * {w[-1]}) AS BIGINT) > 0 THEN 'block' ELSE 'allow' END) AS verdict
 FROM s
 """

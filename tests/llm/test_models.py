@@ -118,3 +118,46 @@ def test_training_takes_one_text_of_a_repeated_id(spark, monkeypatch):
     toxicity.train_toxicity(docs, labels)
     assert learnt["quality"] == quality.labelled_sample(labels, "quality", 4, 2, 100).count()
     assert learnt["toxicity"] == toxicity.labelled_sample(labels, "toxic", 5, 0, 100).count()
+
+
+def test_url_verdicts_are_those_of_the_trained_model(spark):
+    """The score in DataFrame functions against the regression that was trained, on urls whose grams repeat."""
+    r = np.random.default_rng(6)
+    parts = ["win", "casino", "news", "aaa", "-", "/", "example", ".com", "xxx", "guide", "2021", "buy", "/de/", "wiki", "É", "//"]
+    urls = ["http://" + "".join(r.choice(parts, int(r.integers(0, 14)))) for _ in range(3000)] + ["http://", "nothing"]
+    w = np.array(url_filter.weights(), float)
+    got = {x.url: x for x in url_filter.judge_urls(spark.createDataFrame([(u,) for u in set(urls)], "url string"), rules=[]).collect()}
+    verdicts = set()
+    for u in set(urls):
+        x = np.zeros(len(w))
+        grams = url_filter.gram_buckets(got[u].host, got[u].path)
+        np.add.at(x, grams, 1 / np.sqrt(max(len(grams), 1)))
+        x[-1] = 1
+        score = float(x @ w)
+        verdicts.add(got[u].verdict)
+        assert abs(score) < 8 or got[u].verdict == ("block" if score > 0 else "allow"), u
+    assert verdicts == {"allow", "block"}
+
+
+def test_a_long_text_is_learnt_from_whole(monkeypatch):
+    """All windows of a text go into training, also where they pass in several parts; the held part counts nowhere."""
+    filler = [f"plain{i}" for i in range(90)]
+    r = np.random.default_rng(1)
+    texts, y = [], []
+    for i in range(120):
+        words = r.choice(filler, 400).tolist()
+        if i % 2:
+            words[int(r.integers(100, 300))] = "vile"
+        texts.append([" ".join(words[a : a + 48]).encode() for a in range(0, 360, 36)])
+        y.append(i % 2)
+    y = np.array(y, float)
+    scores = []
+    for at_once in (4096, 100):
+        monkeypatch.setattr(toxicity, "WINDOWS_AT_ONCE", at_once)
+        net = toxicity.fit(texts, y, epochs=40, batch=24)
+        import pyarrow as pa
+
+        (chunk,) = toxicity.T.chunks(pa.array([" ".join(r.choice(filler, 300).tolist() + extra) for extra in ([], ["vile"]) for _ in range(20)]))
+        score = net.document_scores(chunk)
+        assert (score[20:] > 0.5).mean() > 0.9 and (score[:20] < 0.5).mean() > 0.9
+        scores.append(score)
