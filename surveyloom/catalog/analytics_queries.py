@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from surveyloom.catalog._base import CLAMPED_MEAN, MEAN, TOP_MEAN, query, r4
 from surveyloom.functions import scores, text
 from surveyloom.functions.formula import compile_formula
-from surveyloom.operators import audit, cases, drivers, forecast, privacy, reports, usage
-from surveyloom.sources.surveys import surveys, table, with_verbatim
+from surveyloom.operators import audit, cases, categorise, drivers, forecast, privacy, reports, usage
+from surveyloom.sources.surveys import analyses, categories, surveys, table, with_verbatim
 
 _KPI = f"count(*) AS survey_volume, {r4(MEAN.format('nps_score'))} AS nps, {r4(CLAMPED_MEAN.format('csat_score'))} AS csat, {r4(CLAMPED_MEAN.format('professionalism_score'))} AS professionalism"
 
@@ -56,11 +56,19 @@ def forecast_moving_average(spark, sf):
 
 
 @query("forecast_linear_trend", f"""{_daily('nps', 'wave')},
-i AS (SELECT *, CAST(row_number() OVER (PARTITION BY series ORDER BY date) - 1 AS DOUBLE) AS i FROM daily)
-SELECT series, sign(regr_slope(value, i)) * floor(abs(regr_slope(value, i)) * 1000000 + 0.5) / 1000000 AS slope, sign(regr_intercept(value, i)) * floor(abs(regr_intercept(value, i)) * 1000000 + 0.5) / 1000000 AS intercept, count(*) AS n FROM i GROUP BY 1""")
+i AS (SELECT *, CAST(row_number() OVER (PARTITION BY series ORDER BY date) - 1 AS DOUBLE) AS i FROM daily),
+g AS (SELECT series, regr_slope(value, i) AS slope, regr_intercept(value, i) AS intercept, count(*) AS n FROM i GROUP BY 1),
+e AS (SELECT i.series, sum((value - g.intercept - g.slope * i) ** 2) AS sse, sum((value - m.mean) ** 2) AS sst FROM i JOIN g USING (series) JOIN (SELECT series, avg(value) AS mean FROM i GROUP BY 1) m USING (series) GROUP BY 1)
+SELECT series, sign(slope) * floor(abs(slope) * 1000000 + 0.5) / 1000000 AS slope, sign(intercept) * floor(abs(intercept) * 1000000 + 0.5) / 1000000 AS intercept, n,
+  floor(CASE WHEN sst <= 0.00001 THEN 1.0 ELSE least(greatest(1 - sse / sst, 0), 1) END * 1000000 + 0.5) / 1000000 AS r2, floor(sse / greatest(1, n - 2) * 1000000 + 0.5) / 1000000 AS variance FROM g JOIN e USING (series)""")
 def forecast_linear_trend(spark, sf):
     out = forecast.linear_trend(_series(spark, sf, "nps", "wave"))
-    return out.select("series", scores.round_to(F.col("slope"), 6).alias("slope"), scores.round_to(F.col("intercept"), 6).alias("intercept"), "n")
+    return out.select("series", "n", *(scores.round_to(F.col(c), 6).alias(c) for c in ("slope", "intercept", "r2", "variance")))
+
+
+@query("forecast_historical_points", f"SELECT survey_date AS date, {r4(TOP_MEAN.format('csat_score'))} AS value, count(*) AS sample_count FROM surveys WHERE wave = 'BUILDING' AND survey_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' GROUP BY 1")
+def forecast_historical_points(spark, sf):
+    return forecast.historical_points(surveys(spark, sf), "csat", "2024-01-05", "2024-01-25", "wave", "BUILDING")
 
 
 @query("forecast_selected_model")
@@ -119,9 +127,9 @@ def case_version_comparison(spark, sf):
     return cases.compare_versions(a, b, ["agent_bms", "survey_date"], ["nps", "csat"])
 
 
-@query("case_numbers", "SELECT o_orderkey, printf('CAS-%d-%04d', year(o_orderdate), row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate, o_orderkey)) AS case_number FROM orders WHERE o_orderkey % 50 = 0", surveys=False)
+@query("case_numbers", "SELECT o_orderkey, printf('CAS-%d-%04d', year(o_orderdate), row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate, o_orderkey)) AS case_number FROM orders", surveys=False)
 def case_numbers(spark, sf):
-    return cases.numbered(table(spark, sf, "orders").filter("o_orderkey % 50 = 0"), "o_orderdate", "o_orderkey").select("o_orderkey", "case_number")
+    return cases.numbered(table(spark, sf, "orders"), "o_orderdate", "o_orderkey").select("o_orderkey", "case_number")
 
 
 @query("case_next_version", "SELECT o_custkey, max(o_orderkey % 9) + 1 AS version FROM orders GROUP BY 1", surveys=False)
@@ -181,16 +189,16 @@ def privacy_scrub(spark, sf):
     return privacy.scrub(table(spark, sf, "documents"), "text").select("doc_id", F.md5("scrubbed").alias("digest"), "emails")
 
 
-@query("privacy_references", "SELECT survey_id LIKE 'SRV-%' AS had_id, count(*) AS n, count(DISTINCT agent_bms) AS agents FROM surveys GROUP BY 1")
+@query("privacy_references", """SELECT survey_id LIKE 'SRV-%' AS had_id, count(*) AS n, count(DISTINCT agent_bms) AS agents, count(*) AS records, TRUE AS well_formed FROM surveys GROUP BY 1""")
 def privacy_references(spark, sf):
-    """Minimised rows: as many references as there were identities."""
+    """Minimised rows under two scopes' vaults: as many references of one scope as there were identities."""
     s = surveys(spark, sf).select("survey_id", "agent_bms", "nps_score")
     ids = s.select(F.lit("agent").alias("type"), F.col("agent_bms").alias("internal_id")).union(s.select(F.lit("record"), "survey_id"))
-    vault = spark.createDataFrame([], "scope string, type string, internal_id string, pseudonym string")
-    # digests instead of random tokens: this query has to give the same counts on every run
-    made = privacy.new_pseudonyms(ids, vault, "report").withColumn("pseudonym", F.sha2(F.concat_ws("|", "type", "internal_id"), 256))
-    out = privacy.minimised(s, made)
-    return out.groupBy(F.col("record_ref").isNotNull().alias("had_id")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("agent_ref").alias("agents"))
+    vault = spark.createDataFrame([("other", "agent", "BMS-00001", "AGT_ZZZZZZ")], "scope string, type string, internal_id string, pseudonym string")
+    made = vault.union(privacy.new_pseudonyms(ids, vault, "report"))
+    out = privacy.minimised(s, made, "report", ["survey_id", "agent_bms"])
+    fits = F.col("record_ref").rlike("^REC_[A-Z0-9]{6}$") & F.col("agent_ref").rlike("^AGT_[A-Z0-9]{6}$")
+    return out.groupBy(F.col("record_ref").isNotNull().alias("had_id")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("agent_ref").alias("agents"), F.countDistinct("record_ref").alias("records"), F.min(fits).alias("well_formed"))
 
 
 @query("raw_keyword_search", "SELECT survey_id, supervisor FROM surveys WHERE verbatim LIKE '%idiot%'")
@@ -203,24 +211,67 @@ def raw_page(spark, sf):
     return usage.page(surveys(spark, sf).select("survey_id", "nps_score", "survey_date"), [F.col("survey_date").desc(), "survey_id"], 25, 50).drop("survey_date")
 
 
-_CHAIN = """c AS (SELECT event_id, user_id, sha256(concat_ws('|', CAST(event_id AS VARCHAR), event_type)) AS content_hash FROM events),
-l AS (SELECT *, lag(content_hash) OVER (PARTITION BY user_id ORDER BY event_id) AS previous_hash FROM c)"""
+_EVENT = """'"event_id":' || CAST({0}event_id AS VARCHAR) || ',"user_id":' || CAST({0}user_id AS VARCHAR) || ',"event_type":"' || {0}event_type || '"}}'"""
+_CHAIN = f"""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+c AS (
+  SELECT event_id, user_id, k, CAST(NULL AS VARCHAR) AS previous_hash, sha256('{{"previous_hash":"",' || {_EVENT.format('')}) AS event_hash FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.event_id, e.user_id, e.k, c.event_hash, sha256('{{"previous_hash":"' || c.event_hash || '",' || {_EVENT.format('e.')}) FROM c JOIN e ON e.user_id = c.user_id AND e.k = c.k + 1
+)"""
+_PARTS = ("event_id", "user_id", "event_type")
 
 
-@query("audit_chain", f"WITH {_CHAIN} SELECT event_id, user_id, content_hash, previous_hash, sha256(coalesce(previous_hash, 'GENESIS') || '|' || content_hash) AS event_hash FROM l", surveys=False)
+@query("audit_chain", f"{_CHAIN} SELECT event_id, user_id, previous_hash, event_hash FROM c", surveys=False)
 def audit_chain(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    return audit.linked(e, "user_id", "event_id", "event_id", "event_type").drop("event_type")
+    return audit.linked(e, "user_id", "event_id", *_PARTS).drop("event_type")
 
 
-@query("audit_verification", """SELECT event_id, 'content_changed' AS reason FROM events WHERE event_id % 500 = 7
-UNION ALL SELECT event_id, 'link_broken' FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p % 500 = 8 AND event_id % 500 NOT IN (7, 8)""", surveys=False)
+@query("audit_verification", """SELECT event_id, 'event_hash payload mismatch' AS reason FROM events WHERE event_id % 500 = 7
+UNION ALL SELECT event_id, 'previous_hash mismatch' FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p % 500 IN (8, 9) AND event_id % 500 <> 8""", surveys=False)
 def audit_verification(spark, sf):
-    """One event was altered and another removed: the first and the successor of the second show."""
+    """Some events are altered, some removed, and some forged with a hash that fits: their successors show."""
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    chain = audit.linked(e, "user_id", "event_id", "event_id", "event_type").filter("event_id % 500 <> 8")
-    altered = chain.withColumn("event_type", F.when(F.col("event_id") % 500 == 7, "forged").otherwise(F.col("event_type")))
-    return audit.broken_links(altered, "user_id", "event_id", "event_id", "event_type")
+    chain = audit.linked(e, "user_id", "event_id", *_PARTS).filter("event_id % 500 <> 8")
+    chain = chain.withColumn("event_type", F.when(F.col("event_id") % 500 == 7, "altered").when(F.col("event_id") % 500 == 9, "forged").otherwise(F.col("event_type")))
+    chain = chain.withColumn("event_hash", F.when(F.col("event_id") % 500 == 9, audit.event_hash(F.col("previous_hash"), audit.canonical(*_PARTS))).otherwise(F.col("event_hash")))
+    return audit.broken_links(chain, "user_id", "event_id", *_PARTS)
+
+
+@query("run_kpis", """WITH r AS (SELECT user_id, sum((event_id * 7919) % 90000) AS tokens, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS latency, count_if(event_type = 'purchase') AS tools FROM events GROUP BY 1)
+SELECT count(*) AS total_runs, CAST(sum(tokens) AS BIGINT) AS total_tokens, CAST(floor(avg(tokens) + 0.5) AS BIGINT) AS avg_tokens, CAST(max(tokens) AS BIGINT) AS max_tokens, CAST(floor(avg(latency) + 0.5) AS BIGINT) AS avg_latency_ms, floor(count_if(tools > 0) / count(*) * 1000.0::DOUBLE + 0.5) / 10.0::DOUBLE AS tool_call_rate FROM r""", surveys=False)
+def run_kpis(spark, sf):
+    runs = table(spark, sf, "events").groupBy("user_id").agg(F.sum((F.col("event_id") * 7919) % 90_000).alias("tokens"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("latency_ms"), F.count_if(F.col("event_type") == "purchase").alias("tools"))
+    return usage.run_kpis(runs)
+
+
+_ANSWER = "CASE event_id % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'Probably VIEW, I think' WHEN 2 THEN 'nothing of this' END"
+
+
+@query("categorisation_merge", f"""
+k AS (SELECT list(name ORDER BY category_id) AS names FROM categories),
+w AS (SELECT survey_id, event_id, {_ANSWER} AS answer FROM surveys WHERE survey_id NOT IN (SELECT survey_id FROM analyses WHERE status = 'completed')),
+m AS (SELECT w.*, coalesce((SELECT min(category_id) FROM categories WHERE name = answer), (SELECT min(category_id) FROM categories WHERE contains(lower(answer), lower(name))), 1) AS category_id FROM w)
+SELECT survey_id, CASE WHEN event_id % 4 <> 3 THEN category_id END AS category_id, CASE WHEN event_id % 4 = 3 THEN 0.0::DOUBLE WHEN event_id % 3 = 0 THEN 0.85::DOUBLE ELSE 0.5::DOUBLE END AS confidence, CASE WHEN event_id % 4 = 3 THEN 'failed' ELSE 'completed' END AS status FROM m""")
+def categorisation_merge(spark, sf):
+    s = surveys(spark, sf).select("survey_id", "event_id")
+    names = [(r["category_id"], r["name"]) for r in categories(spark, sf).orderBy("category_id").collect()]
+    answers = s.filter("event_id % 4 <> 3").select("survey_id", F.expr(_ANSWER).alias("category"), F.when(F.col("event_id") % 3 != 0, 0.5).alias("confidence"))
+    return categorise.merged_answers(s, answers, names, analyses(spark, sf))
+
+
+@query("json_extraction", "SELECT event_id, CAST(json_extract_string(regexp_extract('Sure: ' || props || ' done', '(?s)\\{.*\\}'), '$.k') AS BIGINT) AS k, regexp_extract('Sure: ' || props || ' ok', '(?s)\\{.*\\}') AS body FROM events", surveys=False)
+def json_extraction(spark, sf):
+    e = table(spark, sf, "events")
+    inside = text.json_object(F.concat(F.lit("Sure: "), "props", F.lit(" ok")))
+    return e.select("event_id", F.get_json_object(text.json_object(F.concat(F.lit("Sure: "), "props", F.lit(" done"))), "$.k").cast("long").alias("k"), inside.alias("body"))
+
+
+@query("percent_display", f"SELECT supervisor, printf('%.1f', floor(abs({r4(CLAMPED_MEAN.format('csat_score'))} * 100.0::DOUBLE) * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE) || '%' AS csat FROM surveys GROUP BY 1")
+def percent_display(spark, sf):
+    from surveyloom.operators import kpi
+
+    return kpi.kpis(surveys(spark, sf), "supervisor").select("supervisor", scores.percent_text(F.col("csat")).alias("csat"))
 
 
 def _calls(spark, sf):
@@ -239,10 +290,10 @@ def usage_token_tiers(spark, sf):
 
 
 @query("usage_run_diagnostics", """WITH t AS (SELECT user_id, event_type, count(*) AS n, sum((event_id * 7919) % 90000) AS tokens FROM events GROUP BY 1, 2),
-r AS (SELECT user_id, CAST(sum(n) AS BIGINT) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, max(CASE WHEN event_type = 'click' THEN n END) AS queries FROM t GROUP BY 1)
-SELECT user_id, calls, tokens, queries, concat_ws(',', CASE WHEN tokens > 50000 THEN 'many_tokens' END, CASE WHEN calls >= 5 THEN 'many_tools' END, CASE WHEN queries >= 4 THEN 'repeated_queries' END) AS diagnostics FROM r""", surveys=False)
+r AS (SELECT user_id, CAST(sum(n) AS BIGINT) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, max(CASE WHEN event_type = 'click' THEN n END) AS queries, max(CASE WHEN event_type = 'view' THEN n END) AS metrics FROM t GROUP BY 1)
+SELECT user_id, calls, tokens, queries, metrics, concat_ws(',', CASE WHEN tokens > 50000 THEN 'many_tokens' END, CASE WHEN calls >= 5 THEN 'many_tools' END, CASE WHEN queries >= 4 THEN 'repeated_queries' END, CASE WHEN metrics >= 3 THEN 'repeated_metrics' END) AS diagnostics FROM r""", surveys=False)
 def usage_run_diagnostics(spark, sf):
-    return usage.run_diagnostics(_calls(spark, sf), "user_id", "tokens").drop("tools")
+    return usage.run_diagnostics(_calls(spark, sf), "user_id", "tokens", "click", "view").drop("tools")
 
 
 @query("formula_column", "SELECT survey_id, (nps_score + csat_score * 2.0::DOUBLE) / 3.0::DOUBLE - -professionalism_score AS value, round((csat_score + csat_score + nps_score) / 3.0::DOUBLE * 10.0::DOUBLE) AS rounded FROM surveys")

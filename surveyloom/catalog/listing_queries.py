@@ -9,10 +9,10 @@ from surveyloom.operators import kpi, listings, org, reports, usage
 from surveyloom.sources.surveys import surveys, table
 
 
-@query("pivot_customer_parts", "SELECT DISTINCT o_custkey, l_suppkey, s_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_custkey < 50", surveys=False)
+@query("pivot_customer_parts", "SELECT DISTINCT o_custkey, l_suppkey, s_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey", surveys=False)
 def pivot_customer_parts(spark, sf):
     """Customers and their suppliers through the order lines."""
-    pivot = table(spark, sf, "orders").filter("o_custkey < 50").select("o_orderkey", "o_custkey").join(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey"), "o_orderkey")
+    pivot = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey"), "o_orderkey")
     left = pivot.select("o_custkey").distinct()
     right = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
     return listings.through_pivot(left, pivot, right, "o_custkey", "l_suppkey").select("o_custkey", "l_suppkey", "s_name")
@@ -127,3 +127,18 @@ def encryption_round_trip(spark, sf):
 def name_codes(spark, sf):
     """Phonetic codes of part names; SQL has no such function."""
     return table(spark, sf, "part").select("p_partkey", F.soundex(F.element_at(F.split("p_name", " "), 1)).alias("code"))
+
+
+@query("tool_catalogue", "SELECT p_partkey, p_size % 2 = 0 AS builtin, p_size AS sort_order, p_name AS name, row_number() OVER (ORDER BY p_size % 2 = 0 DESC, p_size, p_name, p_partkey) AS rank FROM part", surveys=False)
+def tool_catalogue(spark, sf):
+    """Parts stand for tools; names are made unique by the key."""
+    tools = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 2 == 0).alias("builtin"), F.col("p_size").alias("sort_order"), F.concat_ws("\u0001", "p_name", F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("name"))
+    return usage.catalogue(tools).withColumn("name", F.element_at(F.split("name", "\u0001"), 1))
+
+
+@query("raw_records", "SELECT survey_id, survey_date, nps_score, total FROM surveys, (SELECT count(*) AS total FROM surveys WHERE contains(lower(supervisor), 'an') AND nps_score >= 0 AND survey_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-20') WHERE contains(lower(supervisor), 'an') AND nps_score >= 0 AND survey_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' ORDER BY survey_date DESC, survey_id LIMIT 200 OFFSET 10")
+def raw_records(spark, sf):
+    """A page of filtered records beside the total before paging."""
+    filters = [{"field": "supervisor", "operator": "like", "value": "AN"}, {"field": "nps_score", "operator": ">=", "value": 0}, {"field": "survey_date", "operator": "between", "value": ["2024-01-03", "2024-01-20"]}]
+    part, total = usage.raw_records(surveys(spark, sf), filters, offset=10)
+    return part.select("survey_id", "survey_date", "nps_score").crossJoin(F.broadcast(total))

@@ -82,3 +82,8 @@ def tier(value: Column, green: float = 0.65, red: float = 0.55) -> Column:
 def excel_date(serial: Column) -> Column:
     """Date of a spreadsheet serial number."""
     return F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int"))
+
+
+def percent_text(x: Column) -> Column:
+    """A share as a percentage with one decimal."""
+    return F.concat(F.format_string("%.1f", round_to(x * 100.0, 1)), F.lit("%"))

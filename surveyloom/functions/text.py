@@ -49,3 +49,13 @@ def scrubbed(x: Column) -> tuple[Column, dict[str, Column]]:
 
 def token_estimate(x: Column) -> Column:
     return F.ceil(F.octet_length(x) / 4).cast("long")
+
+
+def json_object(text: Column) -> Column:
+    """From the first to the last brace of a text; null without both."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def json_array(text: Column) -> Column:
+    """From the first to the last square bracket of a text; null without both."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\[.*\]", 0), F.lit(""))

@@ -19,13 +19,14 @@ MIN_OLS, MIN_LOGISTIC, TOP_SUPERVISORS = 10, 15, 8
 
 
 def driver_input(surveys: DataFrame, target: str) -> DataFrame:
-    """Predictors with their defaults, and the target; null targets go."""
+    """Predictors with their defaults, and the target; null targets go.  Days count from the first one."""
     general = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("General"))
-    day0 = F.lit("2024-01-01").cast("date")
-    return surveys.select(
+    known = surveys.filter(F.col(target).isNotNull())
+    day0 = F.lit(known.agg(F.min("survey_date")).first()[0]).cast("date")
+    return known.select(
         F.coalesce("category_name", F.lit("Uncategorized")).alias("category"), general("wave").alias("wave"), general("supervisor").alias("supervisor"),
         F.coalesce("tenure_days", F.lit(30)).alias("tenure"), F.datediff("survey_date", day0).alias("day"), F.col(target).alias("y"),
-    ).filter("y is not null")
+    )
 
 
 def frequencies(rows: DataFrame, field: str) -> DataFrame:
@@ -48,20 +49,24 @@ class Design:
         return [make[f] if level is None else F.when(F.col(f) == level, 1.0).otherwise(0.0) for f, level in self.terms]
 
 
-def design(rows: DataFrame, references: dict[str, str] | None = None) -> Design:
-    """Most frequent levels (ties by name) are references unless others are asked for.
+def design(patterns: DataFrame, references: dict[str, str] | None = None) -> Design:
+    """All levels but the references; of supervisors only the TOP_SUPERVISORS most frequent.
 
-    Fields are dictionaries of bounded size: categories and waves, and at most
-    TOP_SUPERVISORS supervisors, which the query limits before they reach the driver.
+    The reference is the most frequent level (ties by name) unless another one that is
+    present is asked for.  The frequent supervisors are taken first, then the reference is
+    left out, so by default there is one column less than TOP_SUPERVISORS.  Categories and
+    waves are dictionaries of people's making; as many levels as they have reach the driver,
+    and the normal equations grow with their square.
     """
     chosen, terms = {}, [("intercept", None)]
     for f in ("category", "wave", "supervisor"):
-        top = frequencies(rows, f).orderBy(F.col("n").desc(), "level").limit(TOP_SUPERVISORS + 1 if f == "supervisor" else 200)
-        levels = [r["level"] for r in top.collect()]
+        counts = patterns.groupBy(F.col(f).alias("level")).agg(F.sum("n").alias("n"))
         asked = (references or {}).get(f)
-        chosen[f] = asked if asked in levels else levels[0]
-        rest = [x for x in levels if x != chosen[f]]
-        terms += [(f, x) for x in (rest[:TOP_SUPERVISORS] if f == "supervisor" else rest)]
+        known = asked is not None and not counts.filter(F.col("level") == asked).isEmpty()
+        top = counts.orderBy(F.col("n").desc(), "level")
+        levels = [r["level"] for r in (top.limit(TOP_SUPERVISORS) if f == "supervisor" else top).collect()]
+        chosen[f] = asked if known else levels[0]
+        terms += [(f, x) for x in levels if x != chosen[f]]
     return Design((*terms, ("tenure", None), ("day", None)), chosen)
 
 
@@ -69,17 +74,32 @@ def _patterns(rows: DataFrame) -> DataFrame:
     return rows.groupBy("category", "wave", "supervisor", "tenure", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
 
 
-def gram(rows: DataFrame, d: Design) -> tuple[np.ndarray, np.ndarray, float, float, int]:
-    """X'X, X'y, the sum of y and of y squared, and n, in one aggregation."""
-    k = len(d.terms)
-    p = _patterns(rows).select(F.array(*d.columns()).alias("x"), "n", "sy", "syy")
-    cells = [F.sum(F.col("x")[i] * F.col("x")[j] * F.col("n")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    row = p.agg(*cells, *(F.sum(F.col("x")[i] * F.col("sy")).alias(f"b{i}") for i in range(k)), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"), F.sum("n").alias("n")).first()
+def _sums(x: DataFrame, weight: str, k: int) -> np.ndarray:
+    """X'WX of rows with an array ``x``: products of the few terms that are not 0, summed by cell."""
+    held = x.select(weight, F.filter(F.transform("x", lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda t: t["v"] != 0).alias("t"))
+    pairs = held.select(weight, F.explode("t").alias("a"), "t").select(weight, "a", F.explode("t").alias("b")).filter("a.i <= b.i")
+    cells = pairs.groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v") * F.col(weight)).alias("s")).collect()
     g = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            g[i, j] = g[j, i] = row[f"g{i}_{j}"] or 0.0
-    return g, np.array([row[f"b{i}"] or 0.0 for i in range(k)]), row["sy"] or 0.0, row["syy"] or 0.0, row["n"] or 0
+    for r in cells:
+        g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["s"]
+    return g
+
+
+def _moments(x: DataFrame, value: str, k: int) -> np.ndarray:
+    """X'v of rows with an array ``x``."""
+    rows = x.select(value, F.posexplode("x").alias("i", "v")).filter("v <> 0").groupBy("i").agg(F.sum(F.col("v") * F.col(value)).alias("s")).collect()
+    out = np.zeros(k)
+    for r in rows:
+        out[r["i"]] = r["s"]
+    return out
+
+
+def gram(patterns: DataFrame, d: Design) -> tuple[np.ndarray, np.ndarray, float, float, int]:
+    """X'X, X'y, the sum of y and of y squared, and n, as sums over the patterns."""
+    k = len(d.terms)
+    p = patterns.select(F.array(*d.columns()).alias("x"), "n", "sy", "syy")
+    sy, syy, n = patterns.agg(F.sum("sy"), F.sum("syy"), F.sum("n")).first()
+    return _sums(p, "n", k), _moments(p, "sy", k), sy or 0.0, syy or 0.0, n or 0
 
 
 def p_value(stat: float) -> float:
@@ -95,6 +115,11 @@ def confidence_label(n: int, p: float) -> str:
     return "INSUFFICIENT" if n < 10 else "LOW" if n < 30 else "MODERATE" if p > 0.08 else "SUPPORTED"
 
 
+def by_effect(rows: list[tuple]) -> list[tuple]:
+    """Drivers with the largest effect first, whatever its sign; the intercept is first of all."""
+    return sorted(rows, key=lambda r: (r[0] != "intercept", -round(abs(r[1]), 3)))
+
+
 def _rows(d: Design, beta: np.ndarray, se: np.ndarray, counts: np.ndarray, extra) -> list[tuple]:
     out = []
     for i, name in enumerate(d.names):
@@ -110,11 +135,15 @@ _BASE = "term string, coefficient double, se double, t double, p double, low dou
 def ols(rows: DataFrame, references: dict[str, str] | None = None) -> tuple[DataFrame, dict]:
     """Least squares with a ridge of 1e-6: coefficients with inference, and diagnostics."""
     spark, schema = rows.sparkSession, f"{_BASE}, direction string"
-    n = rows.count()
-    if n < MIN_OLS:
-        return spark.createDataFrame([], schema), {"status": "INSUFFICIENT_SAMPLE", "n": n}
-    d = design(rows, references)
-    g, b, sy, syy, n = gram(rows, d)
+    patterns = _patterns(rows).persist()
+    try:
+        n = patterns.agg(F.sum("n")).first()[0] or 0
+        if n < MIN_OLS:
+            return spark.createDataFrame([], schema), {"status": "INSUFFICIENT_SAMPLE", "n": n}
+        d = design(patterns, references)
+        g, b, sy, syy, n = gram(patterns, d)
+    finally:
+        patterns.unpersist()
     try:
         inverse = np.linalg.inv(g + 1e-6 * np.eye(len(g)))
     except np.linalg.LinAlgError:
@@ -124,7 +153,7 @@ def ols(rows: DataFrame, references: dict[str, str] | None = None) -> tuple[Data
     sst = syy - sy * sy / n
     se = np.sqrt(sse / max(1, n - len(beta)) * np.maximum(1e-8, np.diag(inverse)))
     direction = lambda v: ("positive" if v > 0.01 else "negative" if v < -0.01 else "neutral",)
-    out = spark.createDataFrame(_rows(d, beta, se, np.diag(g), direction), schema)
+    out = spark.createDataFrame(by_effect(_rows(d, beta, se, np.diag(g), direction)), schema)
     return out, {"status": "OK", "n": n, "r2": float(min(1.0, max(0.0, 1 - sse / sst))) if sst > 1e-12 else 1.0, "references": d.references}
 
 
@@ -140,31 +169,29 @@ def logistic(rows: DataFrame, references: dict[str, str] | None = None, steps: i
         return spark.createDataFrame([], schema), {"status": "INSUFFICIENT_SAMPLE", "n": n}
     if share <= 0.01 or share >= 0.99:
         return spark.createDataFrame([], schema), {"status": "LOW_VARIANCE", "n": n}
-    d = design(rows, references)
+    patterns = _patterns(binary).persist()
+    d = design(patterns, references)
     k = len(d.terms)
-    p = _patterns(binary).select(F.array(*d.columns()).alias("x"), "n", "sy").persist()
+    p = patterns.select(F.array(*d.columns()).alias("x"), "n", "sy").persist()
     beta = np.zeros(k)
     try:
         for _ in range(steps):
             z = sum((F.col("x")[i] * float(beta[i]) for i in range(k)), F.lit(0.0))
             q = p.withColumn("p", sigmoid(z)).withColumn("w", F.col("n") * F.col("p") * (1 - F.col("p")))
-            row = q.agg(*(F.sum(F.col("x")[i] * (F.col("sy") - F.col("n") * F.col("p"))).alias(f"s{i}") for i in range(k)), *(F.sum(F.col("x")[i] * F.col("x")[j] * F.col("w")).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k))).first()
-            h = np.zeros((k, k))
-            for i in range(k):
-                for j in range(i, k):
-                    h[i, j] = h[j, i] = row[f"h{i}_{j}"]
-            inverse = np.linalg.inv(h + 1e-5 * np.eye(k))
-            move = inverse @ np.array([row[f"s{i}"] for i in range(k)])
+            q = q.withColumn("residual", F.col("sy") - F.col("n") * F.col("p"))
+            inverse = np.linalg.inv(_sums(q, "w", k) + 1e-5 * np.eye(k))
+            move = inverse @ _moments(q, "residual", k)
             beta = beta + move
             if np.abs(move).max() < tolerance:
                 break
-        counts = np.array(p.agg(*(F.sum(F.when(F.col("x")[i] != 0, F.col("n")).otherwise(0)) for i in range(k))).first())
+        counts = _moments(p.withColumn("x", F.transform("x", lambda v: F.when(v != 0, 1.0).otherwise(0.0))), "n", k)
     finally:
         p.unpersist()
+        patterns.unpersist()
     se = np.sqrt(np.maximum(1e-8, np.diag(inverse)))
 
     def extra(v: float) -> tuple:
         pp = round(v * share * (1 - share) * 100, 1)
         return round(float(np.exp(v)), 2), pp, "positive" if pp > 0.5 else "negative" if pp < -0.5 else "neutral"
 
-    return spark.createDataFrame(_rows(d, beta, se, counts, extra), schema), {"status": "OK", "n": n, "mean": share, "references": d.references}
+    return spark.createDataFrame(by_effect(_rows(d, beta, se, counts, extra)), schema), {"status": "OK", "n": n, "mean": share, "references": d.references}

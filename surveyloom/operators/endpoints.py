@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.plans.dsl import run, with_share
+from surveyloom.plans.metrics import METRICS, metric
 
 
 def calculate_metric(name: str, surveys: DataFrame, filters: list[dict] | None = None) -> DataFrame:
@@ -56,3 +57,30 @@ def custom_tool(template: dict, arguments: dict) -> dict:
     merged = template | {k: v for k, v in arguments.items() if k != "filters" and v is not None}
     merged["filters"] = [*(template.get("filters") or []), *(arguments.get("filters") or [])]
     return merged
+
+
+def metric_definition(name: str) -> dict:
+    """What the registry says about a metric, or that there is none."""
+    try:
+        m = metric(name)
+    except ValueError:
+        return {"error": "Metric not found", "known": sorted(METRICS)}
+    return {"key": m.key, "aggregation": m.aggregation, "range": [m.low, m.high], "format": m.format, "source": m.column}
+
+
+def sandbox(query: dict, default: int = 20, cap: int = 50) -> dict:
+    """A query for trying things out: limited to ``default`` groups, and to ``cap`` at most."""
+    return query | {"limit": max(1, min(cap, int(query.get("limit") or default)))}
+
+
+def authorised(permissions: set[str] | None) -> bool:
+    """Whether a user may query: with one of two permissions; calls without a user may."""
+    return permissions is None or bool(permissions & {"data.view", "dashboard.view"})
+
+
+def envelope(query: dict, surveys: DataFrame, permissions: set[str] | None = None, **tables: DataFrame) -> dict:
+    """A limited query's result as one answer: success, the query, number of rows and the rows."""
+    if not authorised(permissions):
+        raise PermissionError("data.view or dashboard.view is needed")
+    rows = [r.asDict() for r in run(sandbox(query, 1000, 1000), surveys, **tables).collect()]
+    return {"success": True, "dsl": query, "count": len(rows), "data": rows}

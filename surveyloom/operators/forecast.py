@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveyloom.functions.scores import round_to
+
 from surveyloom.functions.scores import exact, top_box
 
 MIN_SAMPLE, MIN_PERIODS = 20, 28
@@ -53,9 +55,27 @@ def moving_average_backtest(daily: DataFrame, windows: tuple[int, ...] = (3, 5,
 
 
 def linear_trend(daily: DataFrame) -> DataFrame:
-    """Least-squares slope and intercept of the value on the day's index."""
+    """Least-squares line of the value on the day's index: slope, intercept, r2 (0 to 1; 1 without spread) and residual variance."""
     rows = daily.withColumn("i", (F.row_number().over(Window.partitionBy("series").orderBy("date")) - 1).cast("double"))
-    return rows.groupBy("series").agg(F.regr_slope("value", "i").alias("slope"), F.regr_intercept("value", "i").alias("intercept"), F.count(F.lit(1)).alias("n"))
+    out = rows.groupBy("series").agg(F.regr_slope("value", "i").alias("slope"), F.regr_intercept("value", "i").alias("intercept"), F.count(F.lit(1)).alias("n"), F.regr_syy("value", "i").alias("sst"), F.regr_sxy("value", "i").alias("sxy"))
+    sse = F.greatest(F.col("sst") - F.coalesce(F.col("slope") * F.col("sxy"), F.lit(0.0)), F.lit(0.0))
+    r2 = F.when(F.col("sst") <= 1e-5, 1.0).otherwise(F.least(F.greatest(1 - sse / F.col("sst"), F.lit(0.0)), F.lit(1.0)))
+    return out.select("series", "slope", "intercept", "n", r2.alias("r2"), (sse / F.greatest(F.lit(1), F.col("n") - 2)).alias("variance"))
+
+
+def historical_points(surveys: DataFrame, metric: str, start: str, end: str, dimension: str | None = None, value: str | None = None) -> DataFrame:
+    """(date, value, sample_count): the daily series of a stored training period, computed anew."""
+    column = {"csat": "csat_score", "professionalism": "professionalism_score"}.get(metric, "nps_score")
+    rows = surveys.filter(F.col("survey_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    if dimension and value is not None:
+        rows = rows.filter(F.col({"agent": "agent_bms"}.get(dimension, dimension)) == value)
+    v = F.col(column).cast("decimal(6,4)")
+    if metric in ("csat", "professionalism"):
+        v = F.when(v > 0, v).otherwise(F.lit(0).cast("decimal(6,4)"))
+        mean = F.sum(v).cast("double") / F.count(F.lit(1))
+    else:
+        mean = F.sum(v).cast("double") / F.count(column)
+    return rows.groupBy(F.col("survey_date").alias("date")).agg(round_to(mean, 4).alias("value"), F.count(F.lit(1)).alias("sample_count"))
 
 
 # models of one series: each returns predictions for h steps, and the half-widths of intervals

@@ -128,6 +128,22 @@ def import_summary(validated_rows: DataFrame, classified: DataFrame) -> DataFram
     return out.withColumn("status", F.when((F.col("rejected") > 0) & (accepted == 0), "failed").otherwise("completed"))
 
 
+def preflight(raw: DataFrame, order: str, percentages: tuple[str, ...] = (), rows: int = 100) -> DataFrame:
+    """One row about the first ``rows`` rows: ready, errors, whether to import, and up to ten rejected rows.
+
+    Judging a file's first rows is the feature here; ``validated`` judges all of them.
+    """
+    seen = validated(raw.orderBy(order).limit(rows), percentages)
+    bad = F.array_sort(F.collect_list(F.when(~F.col("valid"), F.struct(F.col(order).alias("row"), F.col("errors")))))
+    out = seen.agg(F.count_if("valid").alias("ready_count"), F.count_if(~F.col("valid")).alias("error_count"), F.slice(bad, 1, 10).alias("sample_errors"))
+    return out.withColumn("can_import", (F.col("error_count") == 0) & (F.col("ready_count") > 0))
+
+
+def first_errors(validated_rows: DataFrame, order: str, n: int = 100) -> DataFrame:
+    """The first ``n`` rejected rows with their errors, as an import keeps them."""
+    return validated_rows.filter(~F.col("valid")).orderBy(order).limit(n).select(order, "errors")
+
+
 def changed_fields(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, changed): names of the fields that differ between two states, null-safe."""
     o = old.select(key, *(F.col(f).alias(f"__old_{f}") for f in fields))

@@ -11,12 +11,12 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.functions.text import scrubbed
 
-PREFIX = {"agent": "AGT", "supervisor": "SUP", "record": "REC"}
+PREFIX = {"agent": "AGT", "agent_bms": "AGT", "agent_name": "AGT", "supervisor": "SUP", "survey": "REC", "record": "REC"}
 _STOP = {"the", "and", "del", "los", "las", "san"}
 
 
@@ -54,6 +54,11 @@ def edit_similarity(a: str, b: str) -> float:
     return 1 - row[-1] / max(len(a), len(b))
 
 
+def similar_text(a: str, b: str) -> float:
+    """Twice the matching characters over all: the longest common run, and so on left and right of it."""
+    return SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
 def soundex(word: str) -> str:
     codes = {c: d for d, group in (("1", "bfpv"), ("2", "cgjkqsxz"), ("3", "dt"), ("4", "l"), ("5", "mn"), ("6", "r")) for c in group}
     letters = [c for c in word.lower() if c.isalpha()]
@@ -89,7 +94,7 @@ def best_match(query: str, names: list[str], phonetic: bool = True, least: float
     for n in names:
         best = 0.0
         for a in aliases(n):
-            s = max(edit_similarity(q, a), SequenceMatcher(None, q, a).ratio())
+            s = max(edit_similarity(q, a), similar_text(q, a))
             if phonetic and soundex(q) == soundex(a):
                 s = max(s, 0.85)
             best = max(best, s - 0.02 * max(0, abs(len(q) - len(a)) - 2))
@@ -112,29 +117,91 @@ def match_names(queries: DataFrame, column: str, names: list[str], **options: ob
     return queries.withColumn("matched", F.pandas_udf(run, "string")(F.col(column)))
 
 
-def new_pseudonyms(entities: DataFrame, vault: DataFrame, scope: str) -> DataFrame:
+def new_pseudonyms(entities: DataFrame, vault: DataFrame, scope: str, length: int = 6) -> DataFrame:
     """(scope, type, internal_id, pseudonym) of entities that the vault does not have.
 
-    The random part is a digest of a secret drawn once on the driver and of the identity,
-    so recomputed tasks give the same pseudonyms.
+    The random part is a digest of a secret drawn once on the driver, of the identity and of
+    the number of the draw, so recomputed tasks give the same pseudonyms.  Where two draws
+    agree, or the scope's vault has one already, the later entity draws again until all
+    are unique in the scope.
     """
     salt = secrets.token_hex(16)
     alphabet = string.ascii_uppercase + string.digits
-    digest = F.sha2(F.concat_ws("|", F.lit(salt), F.lit(scope), "type", "internal_id"), 256)
-    pick = lambda i: F.conv(F.substring(digest, 1 + 4 * i, 4), 16, 10).cast("int") % len(alphabet) + 1
-    letters = F.concat(*(F.substr(F.lit(alphabet), pick(i), F.lit(1)) for i in range(6)))
-    prefix = F.coalesce(F.create_map(*(F.lit(x) for kv in PREFIX.items() for x in kv))[F.col("type")], F.lit("ENT"))
-    fresh = entities.select("type", "internal_id").distinct().join(vault.filter(F.col("scope") == scope).select("type", "internal_id"), ["type", "internal_id"], "left_anti")
-    return fresh.select(F.lit(scope).alias("scope"), "type", "internal_id", F.concat_ws("_", prefix, letters).alias("pseudonym"))
-
-
-def minimised(result: DataFrame, vault: DataFrame, allow_text: bool = False) -> DataFrame:
-    """Identity columns become references from the vault; free text goes unless allowed."""
+    prefix = F.coalesce(F.create_map(*(F.lit(x) for kv in PREFIX.items() for x in kv))[F.lower("type")], F.lit("ENT"))
+    known = vault.filter(F.col("scope") == scope)
+    taken, draw, done = known.select("pseudonym"), 0, None
+    left = entities.select("type", "internal_id").distinct().join(known.select("type", "internal_id"), ["type", "internal_id"], "left_anti")
+    while done is None or not left.isEmpty():
+        digest = F.sha2(F.concat_ws("|", F.lit(salt), F.lit(scope), "type", "internal_id", F.lit(str(draw))), 256)
+        pick = lambda i: F.pmod(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long"), F.lit(len(alphabet))).cast("int") + 1  # noqa: B023, E731
+        letters = F.concat(*(F.substr(F.lit(alphabet), pick(i), F.lit(1)) for i in range(length)))
+        drawn = left.select(F.lit(scope).alias("scope"), "type", "internal_id", F.concat_ws("_", prefix, letters).alias("pseudonym"))
+        first = F.row_number().over(Window.partitionBy("pseudonym").orderBy("type", "internal_id"))
+        good = drawn.withColumn("__k", first).filter("__k = 1").drop("__k").join(taken, "pseudonym", "left_anti").select("scope", "type", "internal_id", "pseudonym")
+        done = good if done is None else done.union(good)
+        left, taken, draw = left.join(good.select("type", "internal_id"), ["type", "internal_id"], "left_anti"), taken.union(good.select("pseudonym")), draw + 1
+    return done
+
+
+def minimised(result: DataFrame, vault: DataFrame, scope: str, allowed: list[str] | None = None, allow_text: bool = False) -> DataFrame:
+    """Identity columns become references from the scope's vault; free text goes unless allowed.
+
+    With ``allowed``, only those of its columns that the result has are looked at.
+    """
+    if allowed:
+        result = result.select(*(c for c in result.columns if c in allowed))
+    known = vault.filter(F.col("scope") == scope)
     for column, kind, ref in (("agent_bms", "agent", "agent_ref"), ("supervisor", "supervisor", "supervisor_ref"), ("survey_id", "record", "record_ref")):
         if column in result.columns:
-            m = vault.filter(F.col("type") == kind).select(F.col("internal_id").alias(column), F.col("pseudonym").alias(ref))
+            m = known.filter(F.col("type") == kind).select(F.col("internal_id").alias(column), F.col("pseudonym").alias(ref))
             result = result.join(m, column, "left").drop(column)
-    return result.drop("agent_name", *([] if allow_text else ["verbatim"]))
+    return result.drop(*(c for c in ("agent_name", *([] if allow_text else ["verbatim"])) if c in result.columns))
+
+
+def resolved(value: object, mapping: dict[str, str]) -> object:
+    """Arguments of a call, however nested, with every pseudonym as the identity it stands for."""
+    if isinstance(value, dict):
+        return {k: resolved(v, mapping) for k, v in value.items()}
+    if isinstance(value, list):
+        return [resolved(v, mapping) for v in value]
+    return mapping.get(value, value) if isinstance(value, str) else value
+
+
+def entity_pattern(alias: str) -> str:
+    """An alias with any accents, at word bounds."""
+    marks = {"a": "a\u00e1\u00e0\u00e4\u00e2", "e": "e\u00e9\u00e8\u00eb\u00ea", "i": "i\u00ed\u00ec\u00ef\u00ee", "o": "o\u00f3\u00f2\u00f6\u00f4", "u": "u\u00fa\u00f9\u00fc\u00fb", "n": "n\u00f1"}
+    return r"\b" + "".join(f"[{marks[c]}]" if c in marks else r"\s+" if c == " " else re.escape(c) for c in alias) + r"\b"
+
+
+def without_entities(texts: DataFrame, column: str, people: list[tuple[str, str, str]]) -> DataFrame:
+    """Adds ``replaced``: known people in a text become their pseudonyms.
+
+    ``people`` has (kind, name or id, pseudonym), of bounded size; kinds are bms, supervisor
+    and agent.  Ids go first, then aliases of supervisors, longest first, then words of four
+    and more letters that are clearly a misspelt supervisor, then aliases of agents.
+    """
+    of = lambda kind: [(n, p) for k, n, p in people if k == kind]
+    by_alias = lambda kind: sorted(((a, p) for n, p in of(kind) for a in aliases(n)), key=lambda x: (-len(x[0]), x))
+    ids, leads, agents = of("bms"), by_alias("supervisor"), by_alias("agent")
+    supervisors = dict(of("supervisor"))
+
+    def one(text: str) -> str:
+        for name, token in ids:
+            text = re.sub(r"\b" + re.escape(name) + r"\b", token, text, flags=re.IGNORECASE)
+        for alias, token in leads:
+            text = re.sub(entity_pattern(alias), token, text, flags=re.IGNORECASE)
+        for word in dict.fromkeys(re.findall(r"\b[^\W_]{4,}\b", text)):
+            if plain(word) not in _STOP and (name := best_match(word, list(supervisors))):
+                text = re.sub(r"\b" + re.escape(word) + r"\b", supervisors[name], text)
+        for alias, token in agents:
+            text = re.sub(entity_pattern(alias), token, text, flags=re.IGNORECASE)
+        return text
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(lambda t: None if t is None else one(t))
+
+    return texts.withColumn("replaced", F.pandas_udf(run, "string")(F.col(column)))
 
 
 def reidentified(text: str, mapping: dict[str, str], allowed: bool) -> str:

@@ -42,9 +42,10 @@ def surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_verbatim(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adds the free text; only queries that read texts pay for this join."""
+    """Adds the free text; only queries that read texts pay for this join.  Events go round all documents."""
+    texts = table(spark, sf_dir, "documents").count()
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("__text"))
-    joined = rows.join(docs, F.col("doc_id") == F.col("event_id") % 200, "left")
+    joined = rows.join(docs, F.col("doc_id") == F.col("event_id") % max(1, texts), "left")
     return joined.withColumn("verbatim", F.when(F.col("event_id") % 4 != 0, F.col("__text"))).drop("doc_id", "__text")
 
 
@@ -76,7 +77,7 @@ surveys AS (
     CASE WHEN e.event_id % 4 = 0 THEN NULL ELSE e.event_type END AS category_name
   FROM events e JOIN customer c ON c.c_custkey = e.user_id
   JOIN nation n ON n.n_nationkey = (c.c_nationkey + CASE WHEN e.user_id % 3 = 0 AND CAST(e.ts AS DATE) >= DATE '{CHANGE_DATE}' THEN 1 ELSE 0 END) % 25
-  LEFT JOIN documents d ON d.doc_id = e.event_id % 200
+  CROSS JOIN (SELECT greatest(count(*), 1) AS texts FROM documents) dn LEFT JOIN documents d ON d.doc_id = e.event_id % dn.texts
 ),
 categories AS (SELECT event_type AS name, row_number() OVER (ORDER BY event_type) AS category_id FROM (SELECT DISTINCT event_type FROM events)),
 analyses AS (

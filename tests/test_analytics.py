@@ -50,7 +50,7 @@ def driver_rows(spark, n=120):
 def test_least_squares_equals_numpy(spark):
     rows = driver_rows(spark)
     out, info = drivers.ols(rows)
-    d = drivers.design(rows)
+    d = drivers.design(drivers._patterns(rows))
     x = np.array(rows.select(F.array(*d.columns())).toPandas().iloc[:, 0].tolist())
     y = rows.toPandas().y.to_numpy()
     want = np.linalg.solve(x.T @ x + 1e-6 * np.eye(x.shape[1]), x.T @ y)
@@ -90,12 +90,21 @@ def test_mapping():
 
 
 def test_tampering_is_found(spark):
-    e = spark.createDataFrame([(1, 0, "a"), (2, 0, "b"), (3, 0, "c")], "id long, ledger int, body string")
+    e = spark.createDataFrame([(1, 0, "a"), (2, 0, "b"), (3, 0, "c"), (4, 0, None)], "id long, ledger int, body string")
     chain = audit.linked(e, "ledger", "id", "id", "body")
-    assert audit.broken_links(chain, "ledger", "id", "id", "body").count() == 0
-    forged = chain.withColumn("body", F.when(F.col("id") == 2, "x").otherwise(F.col("body")))
-    assert [(r.id, r.reason) for r in audit.broken_links(forged, "ledger", "id", "id", "body").collect()] == [(2, "content_changed")]
-    assert [(r.id, r.reason) for r in audit.broken_links(chain.filter("id <> 2"), "ledger", "id", "id", "body").collect()] == [(3, "link_broken")]
+    found = lambda c: [tuple(r) for r in audit.broken_links(c, "ledger", "id", "id", "body").orderBy("id", "reason").collect()]
+    assert found(chain) == []
+    altered = chain.withColumn("body", F.when(F.col("id") == 2, "x").otherwise(F.col("body")))
+    assert found(altered) == [(2, "event_hash payload mismatch")]
+    assert found(chain.filter("id <> 2")) == [(3, "previous_hash mismatch")]
+    # a forged event with a hash that fits, and a next link that fits that, show at the next event's own hash
+    forged = altered.withColumn("event_hash", F.when(F.col("id") == 2, audit.event_hash(F.col("previous_hash"), audit.canonical("id", "body"))).otherwise(F.col("event_hash")))
+    assert found(forged) == [(3, "previous_hash mismatch")]
+    new = {r.id: r.event_hash for r in forged.collect()}[2]
+    relinked = forged.withColumn("previous_hash", F.when(F.col("id") == 3, F.lit(new)).otherwise(F.col("previous_hash")))
+    assert found(relinked) == [(3, "event_hash payload mismatch")]
+    everything = chain.withColumn("event_hash", F.lit("f" * 64))
+    assert len(found(everything)) == 7
 
 
 def test_scrubbing(spark):
@@ -112,6 +121,65 @@ def test_name_matching(spark):
     assert got == {"micheal mayano": names[0], "Ana Silva": names[2], "janet lopez": names[1], "somebody else": None, None: None}
 
 
+def test_pseudonyms_are_unique_in_their_scope(spark):
+    entities = spark.createDataFrame([("agent", f"B{i}") for i in range(30)], "type string, internal_id string")
+    vault = spark.createDataFrame([("c1", "agent", "old", "AGT_A"), ("c2", "agent", "B1", "AGT_B")], "scope string, type string, internal_id string, pseudonym string")
+    # one letter for 30 of 35 free ones: draws must collide, with one another and with the vault
+    made = privacy.new_pseudonyms(entities, vault, "c1", length=1).collect()
+    assert len(made) == len({r.pseudonym for r in made}) == 30 and "AGT_A" not in {r.pseudonym for r in made}
+    both = vault.union(spark.createDataFrame([("c1", "agent", "B1", "AGT_C")], vault.schema))
+    rows = spark.createDataFrame([("B1", "x", 1)], "agent_bms string, verbatim string, n int")
+    assert [r.asDict() for r in privacy.minimised(rows, both, "c1").collect()] == [{"n": 1, "agent_ref": "AGT_C"}]
+    assert privacy.minimised(rows, both, "c2", ["agent_bms", "other"]).collect()[0].asDict() == {"agent_ref": "AGT_B"}
+    assert privacy.resolved({"filters": [{"field": "agent", "value": ["AGT_C", "y"]}], "n": 1}, {"AGT_C": "B1"}) == {"filters": [{"field": "agent", "value": ["B1", "y"]}], "n": 1}
+
+
+def test_people_in_texts_become_pseudonyms(spark):
+    people = [("bms", "4711", "AGT_AAA"), ("supervisor", "L\u00f3pez Rivera, Janeth", "SUP_BBB"), ("agent", "Silva Ramos, Ana", "AGT_CCC")]
+    texts = spark.createDataFrame([("Agent 4711 and JANETH LOPEZ spoke; Lopes too. Ana Silva left 47110.",), ("nobody here",), (None,)], "t string")
+    got = [r.replaced for r in privacy.without_entities(texts, "t", people).collect()]
+    assert got[1:] == ["nobody here", None]
+    assert got[0].startswith("Agent AGT_AAA and SUP_BBB spoke;") and "AGT_CCC left 47110." in got[0]
+
+
+def test_similar_text():
+    assert privacy.similar_text("World", "Word") == 8 / 9 and privacy.similar_text("", "a") == 0
+
+
+def test_driver_design(spark):
+    """Eight supervisors, then the reference is left out; all categories; days from the first."""
+    rows = []
+    for i in range(400):
+        rows.append((f"c{i % 250}", "w", f"s{min(i % 20, 12):02d}", 30, None, float(i % 3)))
+    s = spark.createDataFrame([(c, w, p, t, f"2023-05-{1 + i % 28:02d}", y) for i, (c, w, p, t, _, y) in enumerate(rows)], "category_name string, wave string, supervisor string, tenure_days int, survey_date string, nps_score double").withColumn("survey_date", F.to_date("survey_date"))
+    data = drivers.driver_input(s, "nps_score")
+    assert data.agg(F.min("day"), F.max("day")).first() == (0, 27)
+    d = drivers.design(drivers._patterns(data))
+    assert d.references["supervisor"] == "s12" and [x for f, x in d.terms if f == "supervisor"] == [f"s{i:02d}" for i in range(7)]
+    assert sum(f == "category" for f, _ in d.terms) == 249
+    d = drivers.design(drivers._patterns(data), {"supervisor": "s11", "category": "none such"})
+    assert d.references["supervisor"] == "s11" and sum(f == "supervisor" for f, _ in d.terms) == 8 and d.references["category"] == "c0"
+    effects = [abs(round(r.coefficient, 3)) for r in drivers.ols(data)[0].collect() if r.term != "intercept"]
+    assert effects == sorted(effects, reverse=True)
+
+
+def test_endpoints_of_the_registry(spark):
+    from surveyloom.operators import endpoints
+
+    assert endpoints.metric_definition("NPS")["key"] == "nps" and "error" in endpoints.metric_definition("none")
+    assert endpoints.sandbox({"metrics": ["nps"]})["limit"] == 20 and endpoints.sandbox({"limit": 500})["limit"] == 50
+    assert endpoints.authorised(None) and endpoints.authorised({"data.view"}) and not endpoints.authorised({"x"})
+
+
+def test_preflight(spark):
+    rows = [(i, f"S{i}", "9" if i == 3 else "1", "1", "1", "B", "Sup", "2024-01-02") for i in range(1, 150)]
+    raw = spark.createDataFrame(rows, "row int, survey_id string, nps_score string, csat_score string, professionalism_score string, agent_bms string, supervisor string, survey_date string")
+    got = ingest.preflight(raw, "row").first()
+    assert (got.ready_count, got.error_count, got.can_import) == (99, 1, False) and [e.row for e in got.sample_errors] == [3]
+    assert ingest.preflight(raw.filter("row <> 3"), "row").first().can_import
+    assert [r["row"] for r in ingest.first_errors(ingest.validated(raw), "row").collect()] == [3]
+
+
 def test_pseudonyms(spark):
     entities = spark.createDataFrame([("agent", "B1"), ("agent", "B1"), ("supervisor", "S1")], "type string, internal_id string")
     vault = spark.createDataFrame([], "scope string, type string, internal_id string, pseudonym string")
