@@ -231,7 +231,7 @@ def _projection(vectors: DataFrame, components: int, dims: int, seed: int) -> Pr
     return Projection(components, dims, seed, largest, square * (1 + 1e-12))
 
 
-def nearest_neighbours(embeddings: DataFrame, every: int = 20, top: int = 20, dims: int = 16, confidence: float = 0.9, seed: int = 11, block_rows: int = 16384, query_rows: int = 65536) -> DataFrame:
+def nearest_neighbours(embeddings: DataFrame, every: int = 20, top: int = 20, dims: int = 20, confidence: float = 0.92, seed: int = 11, block_rows: int = 16384, query_rows: int = 65536) -> DataFrame:
     """Each query's ``top`` nearest by inner product: query_id, rank, vec_id, score.
 
     ``embeddings`` needs vec_id and embedding.  Queries are the rows whose vec_id is
