@@ -30,9 +30,9 @@ from surveyloom.llm import _text as T
 from surveyloom.llm._io import dropped, written
 
 #: Distinct units that a worker remembers between batches.
-REMEMBERED = 1_500_000
-#: Bytes of text that are encoded together.
-ENCODE_BYTES = 1 << 21
+REMEMBERED = 1_000_000
+#: Bytes of text that are looked at together, and units that pass through the tokenizer together.
+ENCODE_BYTES, ENCODE_UNITS = 1 << 21, 4096
 
 
 def _byte_of_symbol() -> dict[str, int]:
@@ -75,8 +75,10 @@ class UnitEncoder:
                 ids.append(None)
                 rest.append(i)
                 texts.append(text)
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids[i] = e.ids
+        for begin in range(0, len(rest), ENCODE_UNITS):
+            some = self.tokenizer.encode_batch_fast(texts[begin : begin + ENCODE_UNITS], add_special_tokens=False)
+            for i, e in zip(rest[begin : begin + ENCODE_UNITS], some, strict=True):
+                ids[i] = e.ids
         length = np.fromiter(map(len, ids), np.int32, len(ids))
         start = len(self.flat) + np.cumsum(length, dtype=np.int64) - length
         self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum())))
