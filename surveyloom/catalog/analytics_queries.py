@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surveyloom.catalog._base import CLAMPED_MEAN, MEAN, TOP_MEAN, query, r4
+from surveyloom.catalog.kpi_queries import _DENSE as DENSE
+from surveyloom.catalog.kpi_queries import _weighted as weighted
+from surveyloom.catalog.org_queries import _INTERVALS as INTERVALS
 from surveyloom.functions import scores, text
 from surveyloom.functions.formula import compile_formula
-from surveyloom.operators import audit, cases, categorise, drivers, forecast, privacy, reports, usage
+from surveyloom.operators import audit, cases, categorise, drivers, forecast, org, privacy, reports, usage
 from surveyloom.sources.surveys import analyses, categories, surveys, table, with_verbatim
 
 _KPI = f"count(*) AS survey_volume, {r4(MEAN.format('nps_score'))} AS nps, {r4(CLAMPED_MEAN.format('csat_score'))} AS csat, {r4(CLAMPED_MEAN.format('professionalism_score'))} AS professionalism"
@@ -99,10 +102,6 @@ def normal_p_values(spark, sf):
     return surveys(spark, sf).select("survey_id", scores.round_to(scores.normal_p_value(F.col("tenure_days") / 100.0), 6).alias("p"))
 
 
-_DENSE = """
-d AS (SELECT agent_bms, survey_date, {kpi} FROM surveys WHERE survey_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' {more} GROUP BY 1, 2)"""
-
-
 @query("case_baseline_deltas", f"""
 b AS (SELECT supervisor, {_KPI} FROM surveys WHERE survey_date BETWEEN DATE '2024-01-10' - 30 AND DATE '2024-01-10' GROUP BY 1),
 c AS (SELECT supervisor, {_KPI} FROM surveys WHERE survey_date > DATE '2024-01-10' GROUP BY 1)
@@ -132,6 +131,25 @@ def case_numbers(spark, sf):
     return cases.numbered(table(spark, sf, "orders"), "o_orderdate", "o_orderkey").select("o_orderkey", "case_number")
 
 
+_EFFECTIVE = "(SELECT max_by(m.supervisor, m.effective_from) FROM memberships m WHERE m.agent_bms = d.agent_bms AND m.effective_from <= d.survey_date AND (m.effective_to IS NULL OR m.effective_to >= d.survey_date)) AS effective_supervisor"
+
+
+@query("case_member_days", f"{DENSE},{INTERVALS} SELECT d.*, {_EFFECTIVE} FROM dense d")
+def case_member_days(spark, sf):
+    s = surveys(spark, sf)
+    return cases.member_days(s, s, org.membership_intervals(s), "2024-01-05", "2024-01-20")
+
+
+@query("case_recalculation", f"""{DENSE}
+SELECT agent_bms, CAST(sum(survey_volume) AS BIGINT) AS survey_volume, {weighted('nps')}, {weighted('csat')}, {weighted('professionalism')}, count_if(has_sample) AS sampled_days,
+  coalesce(CASE WHEN CAST(substr(agent_bms, 5) AS INTEGER) % 2 = 0 THEN CAST(substr(agent_bms, 5) AS INTEGER) % 5 + 1 END, 1) AS version FROM dense GROUP BY 1""")
+def case_recalculation(spark, sf):
+    s = surveys(spark, sf)
+    n = F.substring("agent_bms", 5, 5).cast("int")
+    versions = s.select("agent_bms").distinct().filter(n % 2 == 0).withColumn("version", n % 5)
+    return cases.recalculated(cases.member_days(s, s, org.membership_intervals(s), "2024-01-05", "2024-01-20").drop("effective_supervisor"), versions)
+
+
 @query("case_next_version", "SELECT o_custkey, max(o_orderkey % 9) + 1 AS version FROM orders GROUP BY 1", surveys=False)
 def case_next_version(spark, sf):
     return cases.new_version(table(spark, sf, "orders").select("o_custkey", (F.col("o_orderkey") % 9).alias("version")), "o_custkey")
@@ -154,7 +172,7 @@ tt AS (SELECT agent_bms, string_agg(category_name, ',' ORDER BY k) AS top_catego
 
 @query("report_agent_reviews", f"""{_TOP3},
 a AS (SELECT supervisor, agent_bms, {_KPI}, count_if(nps_score > 0) AS promoters, count_if(nps_score < 0) AS detractors FROM surveys GROUP BY 1, 2)
-SELECT a.*, coalesce(top_categories, '') AS top_categories, CASE WHEN survey_volume < 5 THEN 'low_sample' WHEN nps < 0.2 OR csat < 0.7 OR professionalism < 0.75 THEN 'critical' WHEN nps < 0.5 OR csat < 0.8 OR professionalism < 0.85 THEN 'warning' ELSE 'on_target' END AS status FROM a LEFT JOIN tt USING (agent_bms)""")
+SELECT a.*, coalesce(top_categories, '') AS top_categories, CASE WHEN survey_volume < 5 THEN 'low_sample' WHEN nps < 0.2 OR csat < 0.7 OR professionalism < 0.75 THEN 'critical' WHEN nps < 0.5 OR csat < 0.8 OR professionalism < 0.85 THEN 'warning' ELSE 'on_target' END AS status, CAST(row_number() OVER (PARTITION BY supervisor ORDER BY survey_volume DESC, agent_bms) AS INTEGER) AS place FROM a LEFT JOIN tt USING (agent_bms)""")
 def report_agent_reviews(spark, sf):
     return reports.agent_reviews(surveys(spark, sf))
 

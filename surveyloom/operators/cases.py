@@ -83,3 +83,23 @@ def numbered(cases: DataFrame, opened: str, key: str) -> DataFrame:
     rows = dealt.withColumn("__inside", inside).join(counts, F.col("__year").eqNullSafe(F.col("__y")) & (F.col("__range") == F.col("__r")))
     number = F.format_string("CAS-%d-%04d", "__year", F.col("__before") + F.col("__inside"))
     return rows.select(*(F.col(f"`{c}`") for c in cases.columns), number.alias("case_number"))
+
+
+def member_days(surveys: DataFrame, members: DataFrame, memberships: DataFrame, start: str, end: str) -> DataFrame:
+    """Every member on every day of a range: KPIs (null without a sample), and the supervisor in charge on that day.
+
+    ``members`` has agent_bms.  An end before the start counts as the start.
+    """
+    from surveyloom.operators.org import as_of
+
+    days = kpi.dense_daily(surveys, members, "agent_bms", start, max(start, end))
+    return as_of(days, memberships, "agent_bms", "survey_date").withColumnRenamed("as_of_supervisor", "effective_supervisor")
+
+
+def recalculated(days: DataFrame, versions: DataFrame) -> DataFrame:
+    """(agent_bms, version, ...): a case's next version with means over its sampled days.
+
+    ``versions`` has agent_bms and version; a case without versions gets the first.
+    """
+    means = kpi.weighted_means(days, "agent_bms")
+    return means.join(new_version(versions, "agent_bms"), "agent_bms", "left").withColumn("version", F.coalesce("version", F.lit(1)))

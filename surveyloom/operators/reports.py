@@ -15,14 +15,15 @@ def agent_reviews(surveys: DataFrame, goals: dict[str, tuple[float, float]] = kp
     """KPIs, true sentiment split, top categories and status of each agent under a supervisor.
 
     Fewer than five surveys are a low sample; else one score below its warning threshold is
-    critical, and one below its target a warning.
+    critical, and one below its target a warning.  ``place`` orders a supervisor's agents by
+    volume, the largest first.
     """
     by = ["supervisor", "agent_bms"]
     s = surveys.withColumn("__s", sentiment(F.col("nps_score")))
     base = s.groupBy(*by).agg(*kpi.kpi_columns(), F.count_if(F.col("__s") == "promoter").alias("promoters"), F.count_if(F.col("__s") == "detractor").alias("detractors")).drop("has_sample")
     below = lambda at: reduce(lambda a, b: a | b, (F.coalesce(F.col(k) < g[at], F.lit(False)) for k, g in goals.items()))
     status = F.when(F.col("survey_volume") < 5, "low_sample").when(below(1), "critical").when(below(0), "warning").otherwise("on_target")
-    return base.join(kpi.top_categories(surveys, "agent_bms"), "agent_bms", "left").withColumn("status", status).select(*by, "survey_volume", "nps", "csat", "professionalism", "promoters", "detractors", F.coalesce("top_categories", F.lit("")).alias("top_categories"), "status")
+    return base.join(kpi.top_categories(surveys, "agent_bms"), "agent_bms", "left").withColumn("status", status).select(*by, "survey_volume", "nps", "csat", "professionalism", "promoters", "detractors", F.coalesce("top_categories", F.lit("")).alias("top_categories"), "status", F.row_number().over(Window.partitionBy("supervisor").orderBy(F.col("survey_volume").desc(), "agent_bms")).alias("place"))
 
 
 def team_summary(surveys: DataFrame) -> DataFrame:
