@@ -37,6 +37,8 @@ from surveyloom.llm._io import dropped, written
 BLOCK_SHINGLES = 1_000_000
 #: Members that are verified together with one copy of their head.
 STAR_MEMBERS = 256
+#: Tasks that the members of one group are spread over before they are dealt into blocks.
+SPREAD = 16
 
 
 def retained(n: np.ndarray | int, percent: int) -> tuple[np.ndarray | int, np.ndarray | int]:
@@ -258,7 +260,9 @@ def _rest(groups: DataFrame, sets: DataFrame, components: DataFrame, percent: in
     blocks = lambda n: F.ceil(n / F.lit(BLOCK_SHINGLES)).cast("int")
     per = per.groupBy("head").agg(F.max_by("component", F.struct("rows", -F.col("component"))).alias("largest"), F.max_by("n", F.struct("rows", -F.col("component"))).alias("inner"), F.sum("n").alias("whole"), F.count(F.lit(1)).alias("components"))
     per = per.filter("components > 1").select("head", "largest", blocks(F.col("inner")).alias("inner"), blocks(F.col("whole") - F.col("inner")).alias("outer"))
-    rows = members.join(per, "head").withColumn("out", F.col("component") != F.col("largest"))
+    # a group may be large: its one row meets its members in several tasks
+    spread = per.withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    rows = members.withColumn("spread", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")).join(spread, ["head", "spread"]).withColumn("out", F.col("component") != F.col("largest"))
     rows = rows.withColumn("block", F.when(F.col("out"), F.pmod(F.xxhash64("node"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("node"), F.col("inner"))).cast("int"))
     # an outer block meets every block, an inner one only the outer ones; with one block of each, all stand together
     single = (F.col("outer") == 1) & (F.col("inner") == 1)
