@@ -187,6 +187,28 @@ def report_team_summary(spark, sf):
     return reports.team_summary(surveys(spark, sf))
 
 
+_PERIOD = "survey_date BETWEEN DATE '2024-01-11' AND DATE '2024-01-20'"
+
+
+@query("report_team_dataset", f"""
+k AS (SELECT supervisor, {_KPI} FROM surveys WHERE {_PERIOD} GROUP BY 1),
+b AS (SELECT supervisor, {_KPI} FROM surveys WHERE survey_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-10' GROUP BY 1),
+ag AS (SELECT supervisor, agent_bms, {_KPI} FROM surveys WHERE {_PERIOD} GROUP BY 1, 2),
+cr AS (SELECT supervisor, count_if(survey_volume >= 5 AND (nps < 0.2 OR csat < 0.7 OR professionalism < 0.75)) AS critical_agents FROM ag GROUP BY 1),
+ct AS (SELECT supervisor, category_name, row_number() OVER (PARTITION BY supervisor ORDER BY count(*) DESC, category_name) AS place FROM surveys WHERE {_PERIOD} AND category_name IS NOT NULL GROUP BY 1, 2),
+j AS (SELECT k.*, k.survey_volume - b.survey_volume AS volume_delta, {r4('(k.nps - b.nps)')} AS nps_delta, {r4('(k.csat - b.csat)')} AS csat_delta, {r4('(k.professionalism - b.professionalism)')} AS professionalism_delta,
+  k.survey_volume < 10 AS low_sample, coalesce(k.nps >= 0.5, FALSE) AS n, coalesce(k.csat >= 0.8, FALSE) AS c, coalesce(k.professionalism >= 0.85, FALSE) AS p, critical_agents, category_name
+  FROM k LEFT JOIN b USING (supervisor) LEFT JOIN cr USING (supervisor) LEFT JOIN (SELECT * FROM ct WHERE place = 1) USING (supervisor))
+SELECT supervisor, survey_volume, nps, csat, professionalism, volume_delta, nps_delta, csat_delta, professionalism_delta, low_sample, CAST(n AS INTEGER) + CAST(c AS INTEGER) + CAST(p AS INTEGER) AS goals_met,
+  CASE WHEN n AND c AND p THEN 'all' WHEN n OR c OR p THEN 'some' ELSE 'none' END AS summary,
+  coalesce(nullif(concat_ws(',', CASE WHEN p THEN 'professionalism' END, CASE WHEN c THEN 'csat' END, CASE WHEN n THEN 'nps' END, CASE WHEN volume_delta > 0 THEN 'volume' END), ''), 'daily_service') AS strengths,
+  coalesce(nullif(concat_ws(',', CASE WHEN low_sample THEN 'sample' END, CASE WHEN NOT n AND nps IS NOT NULL THEN 'nps' END, CASE WHEN NOT c AND csat IS NOT NULL THEN 'csat' END), ''), 'consistency') AS risks,
+  concat_ws(',', CASE WHEN critical_agents > 0 THEN 'coaching' END, CASE WHEN NOT c OR NOT n THEN 'calls' END, 'category:' || category_name, 'monitor') AS actions FROM j""")
+def report_team_dataset(spark, sf):
+    """A team report's data: the period, the one before it, goals, and the rules' findings."""
+    return reports.team_report(surveys(spark, sf), "2024-01-11", "2024-01-20")
+
+
 @query("report_narrative", f"""
 n AS (SELECT supervisor, count(DISTINCT agent_bms) AS agents, {_KPI} FROM surveys GROUP BY 1)
 SELECT supervisor, printf('%s: %d surveys from %d agents, nps %.4f, csat %.4f.', supervisor, survey_volume, agents, nps, csat) AS narrative FROM n""")

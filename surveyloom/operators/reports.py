@@ -34,6 +34,33 @@ def team_summary(surveys: DataFrame) -> DataFrame:
     return kpi.kpis(surveys, "supervisor").drop("has_sample").join(count, "supervisor").join(edge, "supervisor", "left")
 
 
+def team_report(surveys: DataFrame, start: str, end: str, goals: dict[str, tuple[float, float]] = kpi.GOALS, least: int = 10) -> DataFrame:
+    """One row per supervisor with a survey in the period: its KPIs, the change against the period before, goals met, and what the rules say.
+
+    Strengths are the goals met and a growing volume, risks a small sample and the goals of
+    recommendation and satisfaction missed; actions follow from critical agents, from
+    those goals, and from the most frequent category.  Lists hold names in the rules' order.
+    """
+    periods = kpi.previous_period(surveys, start, end, "supervisor")
+    now, before = (periods.filter(F.col("period") == p).drop("period") for p in ("current", "previous"))
+    b = before.select("supervisor", F.col("survey_volume").alias("__volume"), *(F.col(k).alias(f"__{k}") for k in kpi.KPIS))
+    inside = surveys.filter(F.col("survey_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    critical = agent_reviews(inside, goals).groupBy("supervisor").agg(F.count_if(F.col("status") == "critical").alias("critical_agents"))
+    top = kpi.top_categories(inside, "supervisor", 1).withColumnRenamed("top_categories", "top_category")
+    met = {k: F.coalesce(F.col(k) >= g[0], F.lit(False)) for k, g in goals.items()}
+    missed = lambda k: ~met[k] & F.col(k).isNotNull()
+    names = lambda default, *found: F.coalesce(F.nullif(F.concat_ws(",", *(F.when(c, F.lit(n)) for n, c in found)), F.lit("")), F.lit(default))
+    rows = now.join(b, "supervisor", "left").join(critical, "supervisor", "left").join(top, "supervisor", "left")
+    rows = rows.withColumns({"volume_delta": F.col("survey_volume") - F.col("__volume"), **{f"{k}_delta": round4(F.col(k) - F.col(f"__{k}")) for k in kpi.KPIS}, "low_sample": F.col("survey_volume") < least, "goals_met": sum(m.cast("int") for m in met.values())})
+    return rows.select(
+        "supervisor", "survey_volume", *kpi.KPIS, "volume_delta", *(f"{k}_delta" for k in kpi.KPIS), "low_sample", "goals_met",
+        F.when(F.col("goals_met") == len(goals), "all").when(F.col("goals_met") > 0, "some").otherwise("none").alias("summary"),
+        names("daily_service", ("professionalism", met["professionalism"]), ("csat", met["csat"]), ("nps", met["nps"]), ("volume", F.coalesce(F.col("volume_delta") > 0, F.lit(False)))).alias("strengths"),
+        names("consistency", ("sample", F.col("low_sample")), ("nps", missed("nps")), ("csat", missed("csat"))).alias("risks"),
+        F.concat_ws(",", F.when(F.col("critical_agents") > 0, F.lit("coaching")), F.when(~met["csat"] | ~met["nps"], F.lit("calls")), F.concat(F.lit("category:"), "top_category"), F.lit("monitor")).alias("actions"),
+    )
+
+
 def narrative(summary: DataFrame) -> DataFrame:
     """Plain sentences over the summary; they state values and no causes."""
     line = F.format_string("%s: %d surveys from %d agents, nps %.4f, csat %.4f.", "supervisor", "survey_volume", "agents", "nps", "csat")

@@ -161,8 +161,7 @@ def run(dsl: dict, surveys: DataFrame, analyses: DataFrame | None = None, catego
 
 
 def with_share(result: DataFrame, measure: str = "survey_volume") -> DataFrame:
-    """Percentage of each returned row in the returned total (after any limit)."""
-    from pyspark.sql import Window
-
-    total = F.sum(measure).over(Window.partitionBy(F.lit(1)))
-    return result.withColumn("percentage", F.floor(F.col(measure) * 10000.0 / F.greatest(F.lit(1), total) + 0.5) / 100.0)
+    """Percentage of each returned row in the returned total (after any limit); the total is one row."""
+    total = result.agg(F.sum(measure).alias("__total"))
+    joined = result.crossJoin(F.broadcast(total))
+    return joined.withColumn("percentage", F.floor(F.col(measure) * 10000.0 / F.greatest(F.lit(1), "__total") + 0.5) / 100.0).drop("__total")
