@@ -197,7 +197,7 @@ ag AS (SELECT supervisor, agent_bms, {_KPI} FROM surveys WHERE {_PERIOD} GROUP B
 cr AS (SELECT supervisor, count_if(survey_volume >= 5 AND (nps < 0.2 OR csat < 0.7 OR professionalism < 0.75)) AS critical_agents FROM ag GROUP BY 1),
 ct AS (SELECT supervisor, category_name, row_number() OVER (PARTITION BY supervisor ORDER BY count(*) DESC, category_name) AS place FROM surveys WHERE {_PERIOD} AND category_name IS NOT NULL GROUP BY 1, 2),
 j AS (SELECT k.*, k.survey_volume - b.survey_volume AS volume_delta, {r4('(k.nps - b.nps)')} AS nps_delta, {r4('(k.csat - b.csat)')} AS csat_delta, {r4('(k.professionalism - b.professionalism)')} AS professionalism_delta,
-  k.survey_volume < 10 AS low_sample, coalesce(k.nps >= 0.5, FALSE) AS n, coalesce(k.csat >= 0.8, FALSE) AS c, coalesce(k.professionalism >= 0.85, FALSE) AS p, critical_agents, category_name
+  k.survey_volume < 15 AS low_sample, coalesce(k.nps >= 0.5, FALSE) AS n, coalesce(k.csat >= 0.8, FALSE) AS c, coalesce(k.professionalism >= 0.85, FALSE) AS p, critical_agents, category_name
   FROM k LEFT JOIN b USING (supervisor) LEFT JOIN cr USING (supervisor) LEFT JOIN (SELECT * FROM ct WHERE place = 1) USING (supervisor))
 SELECT supervisor, survey_volume, nps, csat, professionalism, volume_delta, nps_delta, csat_delta, professionalism_delta, low_sample, CAST(n AS INTEGER) + CAST(c AS INTEGER) + CAST(p AS INTEGER) AS goals_met,
   CASE WHEN n AND c AND p THEN 'all' WHEN n OR c OR p THEN 'some' ELSE 'none' END AS summary,

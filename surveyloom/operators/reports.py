@@ -34,7 +34,7 @@ def team_summary(surveys: DataFrame) -> DataFrame:
     return kpi.kpis(surveys, "supervisor").drop("has_sample").join(count, "supervisor").join(edge, "supervisor", "left")
 
 
-def team_report(surveys: DataFrame, start: str, end: str, goals: dict[str, tuple[float, float]] = kpi.GOALS, least: int = 10) -> DataFrame:
+def team_report(surveys: DataFrame, start: str, end: str, goals: dict[str, tuple[float, float]] = kpi.GOALS, least: int = 15) -> DataFrame:
     """One row per supervisor with a survey in the period: its KPIs, the change against the period before, goals met, and what the rules say.
 
     Strengths are the goals met and a growing volume, risks a small sample and the goals of
