@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from surveyloom.llm import _text as T
 from surveyloom.llm._io import dropped, written
 
-#: Distinct units that a worker remembers between batches.
-REMEMBERED = 1_000_000
+#: Distinct units that a task remembers between batches.
+REMEMBERED = 300_000
 #: Bytes of text that are looked at together, and units that pass through the tokenizer together.
 ENCODE_BYTES, ENCODE_UNITS = 1 << 21, 4096
 
@@ -145,6 +145,8 @@ def _pieces(tokenizer_path: str, end_id: int, capacity: int) -> Callable[[Iterat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, UnitEncoder(tokenizer_path))
+        # a worker outlives its task; what it keeps between tasks is the tokenizer alone
+        encoder.forget()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for chunk in T.chunks(batch.column("text"), ENCODE_BYTES):
@@ -160,6 +162,7 @@ def _pieces(tokenizer_path: str, end_id: int, capacity: int) -> Callable[[Iterat
                             to.append(x)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=names)
+        encoder.forget()
 
     return run
 
