@@ -4,10 +4,11 @@
    linked sets share at least ``o = ceil(percent * size)`` values, the larger size counting,
    so the ``l`` smallest shared values are among the ``size - o + l`` smallest of either set.
    That is a certain bound, not a likely one.  Documents with equal sets form a class.
-2. Inverted lists of retained values.  As linked documents share l of them, the l - 1 most
-   common ones of each need no look-up: the rarest ``size - o + 1`` do, and two linked
-   documents meet in one of those lists.  With l as large as ``size - o + 1``, common
-   passages are looked up only where more than half of a sketch consists of them.
+2. Inverted lists of retained values.  As documents that may be linked share at least so
+   many of them, whatever the partner's size, all but one of that number need no look-up:
+   each leaves out its most common ones, and two linked documents meet in the list of the
+   rarest value that both retain.  With l as large as ``size - o + 1``, common passages are
+   looked up only where more than half of a sketch consists of them.
 3. A list is not expanded into pairs: its members go to its smallest one, the head.  All
    lists of a head make one group, so linked documents meet in some group, and groups never
    grow by chains.
@@ -48,6 +49,19 @@ def retained(n: np.ndarray | int, percent: int) -> tuple[np.ndarray | int, np.nd
     return n - certain + np.minimum(certain, looked_up), looked_up
 
 
+def spared(n: int, percent: int) -> int:
+    """Shared retained values that a set of n need not look up, whatever the size of its partner.
+
+    Sets of n and m values that are linked share at least ``both`` values; the smallest of
+    those are retained by either, so all but one of the fewest that any partner leaves in
+    common may be spared.
+    """
+    m = np.arange(-(-percent * n // 100), 100 * n // percent + 1)
+    both = -(-percent * (n + m) // (100 + percent))
+    common = np.minimum(both, both - (m - retained(m, percent)[0]))
+    return int(np.minimum(common, both - (n - retained(np.array([n]), percent)[0])).min()) - 1
+
+
 def shingle_sets(chunk: T.Chunk, size: int) -> Iterator[np.ndarray]:
     """Sorted hashes of each document's distinct word shingles, letters A-Z lower-cased."""
     w = T.words(chunk)
@@ -69,20 +83,25 @@ def _set_hash(values: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(size: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    spare_of: dict[int, int] = {0: 0}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
             for chunk in T.chunks(batch.column("text")):
-                n, h1, h2, kept = [], [], [], []
+                n, h1, h2, kept, spare = [], [], [], [], []
                 for values in shingle_sets(chunk, size):
                     n.append(len(values))
+                    if len(values) not in spare_of:
+                        spare_of[len(values)] = spared(len(values), percent)
+                    spare.append(spare_of[len(values)])
                     one, two = _set_hash(values)
                     h1.append(one)
                     h2.append(two)
                     kept.append(values[: int(retained(len(values), percent)[0])] if len(values) else values)
                 at = np.append(0, np.cumsum([len(x) for x in kept])).astype(np.int32)
                 sketch = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(kept)))
-                yield pa.RecordBatch.from_arrays([ids.slice(chunk.first_row, len(chunk)), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), sketch], names=["doc_id", "n_shingles", "h1", "h2", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids.slice(chunk.first_row, len(chunk)), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), sketch, pa.array(spare, pa.int64())], names=["doc_id", "n_shingles", "h1", "h2", "sketch", "spare"])
 
     return run
 
@@ -288,13 +307,13 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches, sketches_at = written(texts.mapInArrow(_sketch(shingle, percent), "doc_id long, n_shingles long, h1 long, h2 long, sketch array<long>"))
+    sketches, sketches_at = written(texts.mapInArrow(_sketch(shingle, percent), "doc_id long, n_shingles long, h1 long, h2 long, sketch array<long>, spare long"))
     usable = sketches.filter("doc_id is not null and n_shingles > 0")
-    classes = usable.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("x"), F.count(F.lit(1)).alias("rows"))
+    classes = usable.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "spare")).alias("x"), F.count(F.lit(1)).alias("rows"))
     # numbered once and written: a class is one number from here on
-    classes, classes_at = written(classes.select(F.monotonically_increasing_id().alias("node"), F.col("x.doc_id").alias("rep"), "x.n_shingles", "x.sketch", "h1", "h2", "rows"))
+    classes, classes_at = written(classes.select(F.monotonically_increasing_id().alias("node"), F.col("x.doc_id").alias("rep"), "x.n_shingles", "x.sketch", "x.spare", "h1", "h2", "rows"))
 
-    values = classes.select("node", (F.size("sketch") - (F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1)).alias("spare"), F.explode("sketch").alias("value"))
+    values = classes.select("node", "spare", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("owners")).filter("owners > 1")
     own = Window.partitionBy("node")
     looked_up = (

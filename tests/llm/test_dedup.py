@@ -5,7 +5,7 @@ import pytest
 from surveyloom.llm import _repeats
 from surveyloom.llm import substring_dedup as _words
 from surveyloom.llm import suffix_dedup as _suffixes
-from surveyloom.llm.near_dedup import near_dedup
+from surveyloom.llm.near_dedup import near_dedup, retained, spared
 from surveyloom.llm.substring_dedup import substring_dedup
 from surveyloom.llm.suffix_dedup import Suffixes, longest_previous, suffix_dedup
 from tests.llm.fixtures import documents, frame
@@ -332,3 +332,25 @@ def test_digest_queries(spark, sf):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in QUERIES["op1_substring_dedup"](spark, sf).collect()} == want
     want = {d: (a, b, n, hashlib.sha256(c).hexdigest()) for d, (a, b, n, c) in brute_bytes([tuple(r) for r in docs], 100).items()}
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op3_suffix_dedup"](spark, sf).collect()} == want
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95, 100])
+def test_every_pair_of_sizes_leaves_a_common_lookup(percent):
+    kept = {n: int(retained(np.array([n]), percent)[0][0]) for n in range(1, 401)}
+    spare = {n: spared(n, percent) for n in kept}
+    for n in kept:
+        for m in range(n, 401):
+            both = -(-percent * (n + m) // (100 + percent))
+            if both <= n:
+                # of the values that both sets hold, so many are retained by either at least
+                assert max(spare[n], spare[m]) < min(both, both - n + kept[n], both - m + kept[m]), (n, m)
+
+
+@pytest.mark.parametrize(("shingle", "percent", "words"), [(3, 85, 9), (5, 80, 9)])
+def test_short_texts_with_one_word_more_are_linked(spark, shingle, percent, words):
+    rows = []
+    for i in range(40):
+        text = [f"a{i}x{k}" for k in range(words)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:-1]))]
+    found = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shingle, percent).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in found)
