@@ -40,6 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveyloom.llm._io import tidy
 from surveyloom.llm import _text as T
 
 #: A run's place is one number: first window (46 bits), number of windows (16), and whether
@@ -101,7 +102,7 @@ def common_grams(texts: DataFrame, alphabet: Alphabet) -> T.Common | None:
     """The most common grams of a bounded sample of documents, for a better spread only."""
     rows = texts.select("doc_id").count()
     some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // SAMPLE))) == 0).select("text").repartition(8)
-    counts = some.mapInArrow(_gram_counts(alphabet), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = some.mapInArrow(tidy(_gram_counts(alphabet)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     found = counts.filter(F.col("n") > max(8, int(min(rows, SAMPLE) * COMMON_SHARE))).orderBy(F.col("n").desc(), "gram").limit(COMMON).toArrow()
     return T.Common(found.column("gram").to_numpy().view(np.uint64)) if len(found) else None
 
@@ -367,13 +368,13 @@ def documents(docs: DataFrame, carry: tuple[str, ...] = ()) -> Documents:
 def repeated_spans(docs: Documents, alphabet: Alphabet, resolve: Callable[[Pieces], np.ndarray]) -> DataFrame:
     """Per document the places of repeated windows."""
     texts = docs.rows.filter("doc_id is not null")
-    found = texts.select("doc_id", "text", "tag").mapInArrow(_occurrences(alphabet, common_grams(texts, alphabet)), _OCCURRENCE)
+    found = texts.select("doc_id", "text", "tag").mapInArrow(tidy(_occurrences(alphabet, common_grams(texts, alphabet))), _OCCURRENCE)
     runs = _classified(found).groupBy(*docs.keys).agg(F.collect_list(F.struct("place", "gram", "wide")).alias("runs"))
-    pieces = docs.keyed().join(runs, docs.keys, "left").mapInArrow(_cut(alphabet), _CUT)
+    pieces = docs.keyed().join(runs, docs.keys, "left").mapInArrow(tidy(_cut(alphabet)), _CUT)
     return (
         pieces.repartition("bucket")
         .sortWithinPartitions("bucket", "check", "doc_id", "tag", "place")
-        .mapInArrow(_resolved(alphabet, resolve), "doc_id long, tag long, place long")
+        .mapInArrow(tidy(_resolved(alphabet, resolve)), "doc_id long, tag long, place long")
         .groupBy(*docs.keys)
         .agg(F.collect_list("place").alias("spans"))
     )
@@ -405,7 +406,7 @@ def rewritten(docs: Documents, spans: DataFrame, rewrite: Callable, schema: str)
     joined = docs.keyed().join(spans, docs.keys, "left")
     empty = F.lit(None).cast(joined.schema["spans"].dataType).alias("spans")
     rest = docs.rows.filter("doc_id is null").withColumn("spans", empty)
-    return joined.mapInArrow(rewrite, schema).union(rest.mapInArrow(rewrite, schema))
+    return joined.mapInArrow(tidy(rewrite), schema).union(rest.mapInArrow(tidy(rewrite), schema))
 
 
 def carried(batch: pa.RecordBatch, chunk: T.Chunk, carry: tuple[str, ...]) -> list[pa.Array]:

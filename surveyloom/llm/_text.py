@@ -54,7 +54,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 1 << max(10, (n - 1).bit_length())
+            size = 1024 if n <= 1024 else -(-n // (1 << 18)) << 18
             for name, base in (("up", _BASE), ("down", _INVERSE)):
                 step = np.full(size, base, np.uint64)
                 step[0] = 1

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyloom.llm._io import dropped, written
+from surveyloom.llm._io import dropped, tidy, written
 
 #: Vectors in the sample that defines cells, about; and most cells.
 SAMPLE, MOST_CELLS = 20_000, 4096
@@ -194,18 +194,18 @@ def search_cells(vectors: DataFrame, every: int, top: int, make_cells: Callable[
     kind = pa.int64() if score == "long" else pa.float64()
     found = f"query_id long, vec_id long, score {score}"
     cells = make_cells(alike, _matrix(sample.column("v").combine_chunks()) if n else np.zeros((0, 1)), min(MOST_CELLS, max(1, -(-n // block_rows))))
-    dealt, dealt_at = written(index.mapInArrow(_assigned(cells, main), "vec_id long, v array<double>, size int, cell int"))
+    dealt, dealt_at = written(index.mapInArrow(tidy(_assigned(cells, main)), "vec_id long, v array<double>, size int, cell int"))
     blocks = {(r["size"], r["cell"]): -(-r["count"] // (2 * block_rows)) for r in dealt.groupBy("size", "cell").count().collect()}
     bounds: dict[int, dict[int, tuple[float, float]]] = {}
-    for r in dealt.filter(F.col("size") == main).mapInArrow(_measured(cells), "cell int, axis int, low double, high double").groupBy("cell", "axis").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
+    for r in dealt.filter(F.col("size") == main).mapInArrow(tidy(_measured(cells)), "cell int, axis int, low double, high double").groupBy("cell", "axis").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
         bounds.setdefault(r["cell"], {})[r["axis"]] = (r["low"], r["high"])
     parts = max(1, -(-queries.count() // query_rows))
     tasks = max(1, sum(blocks.values()) * parts)
 
     def searched(asking: DataFrame, with_bounds: dict | None) -> DataFrame:
-        rows = dealt.mapInArrow(_blocks(blocks, parts), _ROW).union(asking.mapInArrow(_routed(cells, main, blocks, with_bounds, parts), _ROW))
+        rows = dealt.mapInArrow(tidy(_blocks(blocks, parts)), _ROW).union(asking.mapInArrow(tidy(_routed(cells, main, blocks, with_bounds, parts)), _ROW))
         rows = rows.repartition(tasks, "size", "cell", "block", "part").sortWithinPartitions("size", "cell", "block", "part", "query")
-        return rows.mapInArrow(_tasks(make_index, kind), found)
+        return rows.mapInArrow(tidy(_tasks(make_index, kind)), found)
 
     def ranked(best: DataFrame) -> DataFrame:
         return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("rank") <= top)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.llm import _text as T
 from surveyloom.llm._graph import connected_components
-from surveyloom.llm._io import dropped, written
+from surveyloom.llm._io import dropped, tidy, written
 
 #: Shingles in a block of a group.
 BLOCK_SHINGLES = 1_000_000
@@ -263,7 +263,7 @@ def _stars(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members = sized.select("head", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("leads"))
     leads = sized.select("head", "parts").distinct().select("head", F.col("head").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("leads"))
     rows = members.union(leads).join(sets, "node").repartition("head", "part").sortWithinPartitions("head", "part")
-    return rows.mapInArrow(_grouped(["head", "part"], ["leads", "rep", "values"], _star_links(percent)), "a long, b long")
+    return rows.mapInArrow(tidy(_grouped(["head", "part"], ["leads", "rep", "values"], _star_links(percent))), "a long, b long")
 
 
 def _rest(groups: DataFrame, sets: DataFrame, components: DataFrame, percent: int) -> DataFrame:
@@ -290,7 +290,7 @@ def _rest(groups: DataFrame, sets: DataFrame, components: DataFrame, percent: in
     rows = rows.withColumn("block", F.when(single, F.lit(0)).otherwise(F.col("block")))
     rows = rows.select("head", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "component", "node")
     dealt = rows.join(sets, "node").repartition("head", "low", "high").sortWithinPartitions("head", "low", "high")
-    return dealt.mapInArrow(_grouped(["head", "low", "high"], ["rep", "block", "component", "values"], _block_links(percent)), "a long, b long")
+    return dealt.mapInArrow(tidy(_grouped(["head", "low", "high"], ["rep", "block", "component", "values"], _block_links(percent))), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -307,7 +307,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches, sketches_at = written(texts.mapInArrow(_sketch(shingle, percent), "doc_id long, n_shingles long, h1 long, h2 long, sketch array<long>, spare long"))
+    sketches, sketches_at = written(texts.mapInArrow(tidy(_sketch(shingle, percent)), "doc_id long, n_shingles long, h1 long, h2 long, sketch array<long>, spare long"))
     usable = sketches.filter("doc_id is not null and n_shingles > 0")
     classes = usable.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "spare")).alias("x"), F.count(F.lit(1)).alias("rows"))
     # numbered once and written: a class is one number from here on
@@ -328,7 +328,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     dropped(spark, looked_up_at)
 
     members = groups.select("node").distinct().join(classes.select("node", F.col("rep").alias("doc_id"), "h1", "h2"), "node")
-    sets, sets_at = written(texts.join(members, "doc_id").mapInArrow(_full_sets(shingle), "node long, rep long, values binary"))
+    sets, sets_at = written(texts.join(members, "doc_id").mapInArrow(tidy(_full_sets(shingle)), "node long, rep long, values binary"))
     stars, stars_at = written(_stars(groups, sets, percent))
     starred = connected_components(stars, "a", "b").withColumnRenamed("node", "id")
     rest, rest_at = written(_rest(groups, sets, starred, percent))

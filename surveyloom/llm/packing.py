@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.llm import _text as T
-from surveyloom.llm._io import dropped, written
+from surveyloom.llm._io import dropped, tidy, written
 
 #: Distinct units that a task remembers between batches.
 REMEMBERED = 300_000
 #: Bytes of text that are looked at together, and units that pass through the tokenizer together.
-ENCODE_BYTES, ENCODE_UNITS = 1 << 21, 4096
+ENCODE_BYTES, ENCODE_UNITS = 1 << 20, 4096
 
 
 def _byte_of_symbol() -> dict[str, int]:
@@ -55,6 +55,7 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model = self.tokenizer.model
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added_texts = added
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.symbols = {b: c for c, b in _byte_of_symbol().items()}
         self.forget()
@@ -68,7 +69,14 @@ class UnitEncoder:
     def learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
         ids: list = []
         rest, texts = [], []
-        for i, text in enumerate(u.decode("utf-8", "replace") for u in units):
+        plain = self.added is None or not any(map(_LETTERS.fullmatch, self.added_texts))
+        for i, unit in enumerate(units):
+            # a space and ASCII letters, or those alone, are most units
+            if plain and unit.isascii() and unit[unit[0] == 32 :].isalpha():
+                text = unit.decode()
+                ids.append([t.id for t in self.model.tokenize("\u0120" + text[1:] if unit[0] == 32 else text)])
+                continue
+            text = unit.decode("utf-8", "replace")
             if _LETTERS.fullmatch(text) and not (self.added and self.added.search(text)):
                 ids.append([t.id for t in self.model.tokenize("\u0120" + text[1:] if text[0] == " " and text.isascii() else text if text.isascii() else text.encode().decode("latin-1").translate(self.symbols))])
             else:
@@ -87,7 +95,7 @@ class UnitEncoder:
 
     @staticmethod
     def cuts(chunk: T.Chunk) -> np.ndarray:
-        """Starts of units: document starts, and single spaces with no white space beside them."""
+        """Starts of units: document starts, single spaces with no white space beside them, and marks after letters."""
         d = chunk.data
         inner = np.zeros(len(d), bool)
         if len(d) > 2:
@@ -99,6 +107,8 @@ class UnitEncoder:
             second[1:], third[2:] = d[:-3], d[:-4] if len(d) > 4 else d[:0]
             ok &= ~((before >= 128) & (np.isin(second, _SPACE_LEADS) | np.isin(third, _SPACE_LEADS)))
             inner[1:-1] = ok
+            # a mark that ends a word of ASCII letters is a piece of its own
+            inner[1:] |= _MARKS[d[1:]] & _ASCII_LETTERS[d[:-1]]
         bounds = chunk.bounds[:-1][np.diff(chunk.bounds) > 0]
         inner[bounds] = True
         return np.flatnonzero(inner)
@@ -135,18 +145,26 @@ class UnitEncoder:
 
 #: A space and Latin letters, or letters alone.
 _LETTERS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_ASCII_LETTERS, _MARKS = np.zeros(256, bool), np.zeros(256, bool)
+_ASCII_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+_MARKS[list(b".,;:!?")] = True
 #: Lead bytes of every white space character outside ASCII.
 _SPACE_LEADS = np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8)
 _encoders: dict[str, UnitEncoder] = {}
 
 
+def unit_encoder(tokenizer_path: str) -> UnitEncoder:
+    """This worker's encoder.  A worker outlives its task; what it keeps between tasks is the tokenizer alone."""
+    encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, UnitEncoder(tokenizer_path))
+    encoder.forget()
+    return encoder
+
+
 def _pieces(tokenizer_path: str, end_id: int, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "spread"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, UnitEncoder(tokenizer_path))
-        # a worker outlives its task; what it keeps between tasks is the tokenizer alone
-        encoder.forget()
+        encoder = unit_encoder(tokenizer_path)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for chunk in T.chunks(batch.column("text"), ENCODE_BYTES):
@@ -245,7 +263,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
     empty table.
     """
     spark = docs.sparkSession
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(tokenizer_path, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, spread long")
+    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_pieces(tokenizer_path, end_id, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, spread long")
     pieces, pieces_at = written(pieces)
     paths = [pieces_at]
     out = pieces.filter(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (F.monotonically_increasing_id() + F.lit(1 << 60)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -254,7 +272,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
     while not last:
         tasks = max(1, -(-n // task_pieces))
         last = tasks == 1
-        bins, bins_at = written(items.repartition(tasks, "key").mapInArrow(_pack(capacity, nearly, level, last), _BIN))
+        bins, bins_at = written(items.repartition(tasks, "key").mapInArrow(tidy(_pack(capacity, nearly, level, last)), _BIN))
         paths.append(bins_at)
         counts = {r["done"]: r["count"] for r in bins.groupBy("done").count().collect()}
         # the first round puts pieces into bins, later ones bins into bins

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surveyloom.llm._io import tidy
 from surveyloom.llm import _text as T
 from surveyloom.llm._labels import labelled_sample, labelled_texts, remainder
 
@@ -214,7 +215,7 @@ def _scorer(model: Additive) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def train_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Additive:
     """Model from at most ``rows`` labelled rows (the sample's size bounds what is broadcast)."""
     sample = labelled_sample(labels, "quality", 4, 2, rows)
-    got = labelled_texts(docs, sample).mapInArrow(_feature_rows, "doc_id long, y int, x array<double>").toArrow()
+    got = labelled_texts(docs, sample).mapInArrow(tidy(_feature_rows), "doc_id long, y int, x array<double>").toArrow()
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)))
     y = got.column("y").to_numpy().astype(float)
     order = np.lexsort((*x.T[::-1], y, got.column("doc_id").to_numpy()))
@@ -232,5 +233,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS,
     model = train_quality(docs, labels, rows)
     docs = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in {"held_out", "score", "predicted"}))
     schema = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
-    scored = docs.mapInArrow(_scorer(model), f"{schema}, score double")
+    scored = docs.mapInArrow(tidy(_scorer(model)), f"{schema}, score double")
     return scored.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surveyloom.llm._io import tidy
 from surveyloom.llm import _text as T
 from surveyloom.llm._labels import labelled_sample, labelled_texts, remainder
 
@@ -347,7 +348,7 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Network:
     """Network from all windows of at most ``rows`` labelled rows."""
     sample = labelled_sample(labels, "toxic", 5, 0, rows)
-    got = labelled_texts(docs, sample).mapInArrow(_training_windows, "doc_id long, y int, windows array<binary>").toArrow().sort_by("doc_id").to_pylist()
+    got = labelled_texts(docs, sample).mapInArrow(tidy(_training_windows), "doc_id long, y int, windows array<binary>").toArrow().sort_by("doc_id").to_pylist()
     return fit([x["windows"] for x in got], np.array([x["y"] for x in got], float))
 
 
@@ -372,5 +373,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS
     net = train_toxicity(docs, labels, rows)
     docs = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in {"held_out", "score", "predicted"}))
     schema = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
-    scored = docs.mapInArrow(_scorer(net), f"{schema}, score double")
+    scored = docs.mapInArrow(tidy(_scorer(net)), f"{schema}, score double")
     return scored.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
