@@ -1,23 +1,18 @@
-"""Privacy: scrubbing, entity aliases and matching, pseudonyms, minimised results."""
+"""Privacy: scrubbing, pseudonyms, minimised results and redacted arguments."""
 
 from __future__ import annotations
 
-import re
 import secrets
 import string
-import unicodedata
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-from functools import lru_cache
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.functions.text import scrubbed
+from surveyloom.sources.stored import written
 
 PREFIX = {"agent": "AGT", "agent_bms": "AGT", "agent_name": "AGT", "supervisor": "SUP", "survey": "REC", "record": "REC"}
-_STOP = {"the", "and", "del", "los", "las", "san"}
 
 
 def scrub(texts: DataFrame, column: str) -> DataFrame:
@@ -26,121 +21,38 @@ def scrub(texts: DataFrame, column: str) -> DataFrame:
     return texts.withColumns({"scrubbed": clean, **counts})
 
 
-def plain(text: str) -> str:
-    folded = "".join(c for c in unicodedata.normalize("NFKD", str(text or "").lower()) if not unicodedata.combining(c))
-    return " ".join(re.sub(r"[^\w\s]", " ", folded).split())
-
-
-@lru_cache(maxsize=4096)
-def aliases(name: str) -> tuple[str, ...]:
-    """Ways to write "Surnames, Given": whole, turned round, and its parts; longest first."""
-    last, _, first = (part.strip() for part in name.partition(","))
-    parts = [plain(x) for x in (f"{first} {last}".strip(), f"{last} {first}".strip())]
-    words = [w for w in parts[0].split() if len(w) >= 3 and w not in _STOP]
-    given, surnames = plain(first).split(), plain(last).split()
-    if given and surnames:
-        parts.append(f"{given[0]} {surnames[0]}")
-    return tuple(sorted({p for p in (*parts, *words) if len(p) >= 3}, key=lambda x: (-len(x), x)))
-
-
-def edit_similarity(a: str, b: str) -> float:
-    if not a or not b:
-        return 0.0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return 1 - row[-1] / max(len(a), len(b))
-
-
-def similar_text(a: str, b: str) -> float:
-    """Twice the matching characters over all: the longest common run, and so on left and right of it."""
-    return SequenceMatcher(None, a, b, autojunk=False).ratio()
-
-
-def soundex(word: str) -> str:
-    codes = {c: d for d, group in (("1", "bfpv"), ("2", "cgjkqsxz"), ("3", "dt"), ("4", "l"), ("5", "mn"), ("6", "r")) for c in group}
-    letters = [c for c in word.lower() if c.isalpha()]
-    if not letters:
-        return ""
-    out, last = letters[0].upper(), codes.get(letters[0], "")
-    for c in letters[1:]:
-        code = codes.get(c, "")
-        if code and code != last:
-            out += code
-        if c not in "hw":
-            last = code
-    return (out + "000")[:4]
-
-
-def best_match(query: str, names: list[str], phonetic: bool = True, least: float = 0.78, margin: float = 0.12, sure: float = 0.90) -> str | None:
-    """The known name a text means: exact, alias, all words of one name, or clearly the most similar."""
-    q = plain(query)
-    if len(q) < 3:
-        return None
-    exact = [n for n in names if plain(n) == q]
-    if exact:
-        return exact[0]
-    by_alias = [n for n in names if q in aliases(n)]
-    if len(by_alias) == 1:
-        return by_alias[0]
-    if phonetic:
-        words = set(q.split())
-        holding = [n for n in names if words <= set(plain(n).split())]
-        if len(holding) == 1:
-            return holding[0]
-    scored = []
-    for n in names:
-        best = 0.0
-        for a in aliases(n):
-            s = max(edit_similarity(q, a), similar_text(q, a))
-            if phonetic and soundex(q) == soundex(a):
-                s = max(s, 0.85)
-            best = max(best, s - 0.02 * max(0, abs(len(q) - len(a)) - 2))
-        scored.append((best, n))
-    scored.sort(key=lambda x: (-x[0], x[1]))
-    if not scored or scored[0][0] < least:
-        return None
-    second = scored[1][0] if len(scored) > 1 else 0.0
-    return scored[0][1] if scored[0][0] >= sure or scored[0][0] - second >= margin else None
-
-
-def match_names(queries: DataFrame, column: str, names: list[str], **options: object) -> DataFrame:
-    """Adds ``matched``; ``names`` is a dictionary of known people, of bounded size."""
-
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            known = {q: best_match(q, names, **options) if q else None for q in part.unique()}
-            yield part.map(known)
-
-    return queries.withColumn("matched", F.pandas_udf(run, "string")(F.col(column)))
-
-
-def new_pseudonyms(entities: DataFrame, vault: DataFrame, scope: str, length: int = 6) -> DataFrame:
-    """(scope, type, internal_id, pseudonym) of entities that the vault does not have.
+def new_pseudonyms(entities: DataFrame, vault: DataFrame, scope: str, length: int = 6, draws: int = 4) -> DataFrame:
+    """(scope, type, internal_id, pseudonym) of entities that the vault does not have, unique in the scope.
 
     The random part is a digest of a secret drawn once on the driver, of the identity and of
-    the number of the draw, so recomputed tasks give the same pseudonyms.  Where two draws
-    agree, or the scope's vault has one already, the later entity draws again until all
-    are unique in the scope.
+    the number of the draw.  In each round every entity without a pseudonym draws ``draws``
+    times; a pseudonym that the vault and earlier rounds don't have goes to the first entity
+    that drew it, and an entity keeps the first it got.  Rounds are written, so each plan
+    reads a few tables and recomputed tasks see what was drawn; the result is read from
+    them.  Raises ValueError where the scope has fewer free pseudonyms than entities.
     """
     salt = secrets.token_hex(16)
     alphabet = string.ascii_uppercase + string.digits
     prefix = F.coalesce(F.create_map(*(F.lit(x) for kv in PREFIX.items() for x in kv))[F.lower("type")], F.lit("ENT"))
     known = vault.filter(F.col("scope") == scope)
-    taken, draw, done = known.select("pseudonym"), 0, None
-    left = entities.select("type", "internal_id").distinct().join(known.select("type", "internal_id"), ["type", "internal_id"], "left_anti")
-    while done is None or not left.isEmpty():
-        digest = F.sha2(F.concat_ws("|", F.lit(salt), F.lit(scope), "type", "internal_id", F.lit(str(draw))), 256)
-        pick = lambda i: F.pmod(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long"), F.lit(len(alphabet))).cast("int") + 1  # noqa: B023, E731
+    left = written(entities.select("type", "internal_id").distinct().join(known.select("type", "internal_id"), ["type", "internal_id"], "left_anti"))
+    most = left.groupBy(prefix.alias("prefix")).count().join(known.groupBy(F.split("pseudonym", "_")[0].alias("prefix")).agg(F.count(F.lit(1)).alias("held")), "prefix", "left").agg(F.max(F.col("count") + F.coalesce("held", F.lit(0)))).first()[0] or 0
+    if most > len(alphabet) ** length:
+        raise ValueError(f"{most} pseudonyms of {length} letters under one prefix")
+    rounds: list[DataFrame] = []
+    while rounds == [] or left.count():
+        digest = F.sha2(F.concat_ws("|", F.lit(salt), F.lit(scope), "type", "internal_id", F.lit(str(len(rounds))), F.col("draw").cast("string")), 256)
+        pick = lambda i: F.pmod(F.conv(F.substring("digest", 1 + 8 * i, 8), 16, 10).cast("long"), F.lit(len(alphabet))).cast("int") + 1
         letters = F.concat(*(F.substr(F.lit(alphabet), pick(i), F.lit(1)) for i in range(length)))
-        drawn = left.select(F.lit(scope).alias("scope"), "type", "internal_id", F.concat_ws("_", prefix, letters).alias("pseudonym"))
-        first = F.row_number().over(Window.partitionBy("pseudonym").orderBy("type", "internal_id"))
-        good = drawn.withColumn("__k", first).filter("__k = 1").drop("__k").join(taken, "pseudonym", "left_anti").select("scope", "type", "internal_id", "pseudonym")
-        done = good if done is None else done.union(good)
-        left, taken, draw = left.join(good.select("type", "internal_id"), ["type", "internal_id"], "left_anti"), taken.union(good.select("pseudonym")), draw + 1
-    return done
+        drawn = left.withColumn("draw", F.explode(F.array(*map(F.lit, range(draws))))).withColumn("digest", digest)
+        drawn = drawn.select("type", "internal_id", "draw", F.concat_ws("_", prefix, letters).alias("pseudonym"))
+        for taken in (known, *rounds):
+            drawn = drawn.join(taken.select("pseudonym"), "pseudonym", "left_anti")
+        owner = F.struct("type", "internal_id", "draw")
+        got = drawn.groupBy("pseudonym").agg(F.min(owner).alias("x")).groupBy("x.type", "x.internal_id").agg(F.min_by("pseudonym", "x.draw").alias("pseudonym"))
+        rounds.append(written(got.select(F.lit(scope).alias("scope"), "type", "internal_id", "pseudonym")))
+        left = written(left.join(rounds[-1].select("type", "internal_id"), ["type", "internal_id"], "left_anti"))
+    return reduce(DataFrame.union, rounds)
 
 
 def minimised(result: DataFrame, vault: DataFrame, scope: str, allowed: list[str] | None = None, allow_text: bool = False) -> DataFrame:
@@ -167,50 +79,6 @@ def resolved(value: object, mapping: dict[str, str]) -> object:
     return mapping.get(value, value) if isinstance(value, str) else value
 
 
-def entity_pattern(alias: str) -> str:
-    """An alias with any accents, at word bounds."""
-    marks = {"a": "a\u00e1\u00e0\u00e4\u00e2", "e": "e\u00e9\u00e8\u00eb\u00ea", "i": "i\u00ed\u00ec\u00ef\u00ee", "o": "o\u00f3\u00f2\u00f6\u00f4", "u": "u\u00fa\u00f9\u00fc\u00fb", "n": "n\u00f1"}
-    return r"\b" + "".join(f"[{marks[c]}]" if c in marks else r"\s+" if c == " " else re.escape(c) for c in alias) + r"\b"
-
-
-def without_entities(texts: DataFrame, column: str, people: list[tuple[str, str, str]]) -> DataFrame:
-    """Adds ``replaced``: known people in a text become their pseudonyms.
-
-    ``people`` has (kind, name or id, pseudonym), of bounded size; kinds are bms, supervisor
-    and agent.  Ids go first, then aliases of supervisors, longest first, then words of four
-    and more letters that are clearly a misspelt supervisor, then aliases of agents.
-    """
-    of = lambda kind: [(n, p) for k, n, p in people if k == kind]
-    by_alias = lambda kind: sorted(((a, p) for n, p in of(kind) for a in aliases(n)), key=lambda x: (-len(x[0]), x))
-    ids, leads, agents = of("bms"), by_alias("supervisor"), by_alias("agent")
-    supervisors = dict(of("supervisor"))
-
-    def one(text: str) -> str:
-        for name, token in ids:
-            text = re.sub(r"\b" + re.escape(name) + r"\b", token, text, flags=re.IGNORECASE)
-        for alias, token in leads:
-            text = re.sub(entity_pattern(alias), token, text, flags=re.IGNORECASE)
-        for word in dict.fromkeys(re.findall(r"\b[^\W_]{4,}\b", text)):
-            if plain(word) not in _STOP and (name := best_match(word, list(supervisors))):
-                text = re.sub(r"\b" + re.escape(word) + r"\b", supervisors[name], text)
-        for alias, token in agents:
-            text = re.sub(entity_pattern(alias), token, text, flags=re.IGNORECASE)
-        return text
-
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(lambda t: None if t is None else one(t))
-
-    return texts.withColumn("replaced", F.pandas_udf(run, "string")(F.col(column)))
-
-
-def reidentified(text: str, mapping: dict[str, str], allowed: bool) -> str:
-    """Pseudonyms back to names at word bounds, for readers who may see them."""
-    if not allowed or not mapping:
-        return text
-    return re.sub(r"\b(" + "|".join(map(re.escape, sorted(mapping, key=len, reverse=True))) + r")\b", lambda m: mapping[m[1]], text)
-
-
 SENSITIVE = ("password", "secret", "token", "email", "phone", "api_key")
 
 
