@@ -209,11 +209,88 @@ def report_team_dataset(spark, sf):
     return reports.team_report(surveys(spark, sf), "2024-01-11", "2024-01-20")
 
 
-@query("report_narrative", f"""
-n AS (SELECT supervisor, count(DISTINCT agent_bms) AS agents, {_KPI} FROM surveys GROUP BY 1)
-SELECT supervisor, printf('%s: %d surveys from %d agents, nps %.4f, csat %.4f.', supervisor, survey_volume, agents, nps, csat) AS narrative FROM n""")
+_F4 = "printf('%.4f', {0})"
+_CASES_SQL = """cases AS (
+  SELECT 'BMS-' || lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS agent_bms, 'CAS-' || c_custkey AS case_number, CASE WHEN c_custkey % 2 = 0 THEN 'coaching' ELSE 'quality' END AS type,
+    CASE WHEN c_custkey % 5 = 0 THEN 'high' ELSE 'normal' END AS priority, CASE WHEN c_custkey % 4 = 0 THEN 'closed' ELSE 'open' END AS status, DATE '2024-01-01' + CAST(c_custkey % 30 AS INTEGER) AS opened_at
+  FROM customer WHERE c_custkey % 3 = 0)"""
+
+
+def _cases(spark, sf):
+    """Performance cases of a third of the agents, of which a quarter is closed."""
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").filter(k % 3 == 0).select(
+        F.concat(F.lit("BMS-"), F.lpad(k.cast("string"), 5, "0")).alias("agent_bms"), F.concat(F.lit("CAS-"), k).alias("case_number"), F.when(k % 2 == 0, "coaching").otherwise("quality").alias("type"),
+        F.when(k % 5 == 0, "high").otherwise("normal").alias("priority"), F.when(k % 4 == 0, "closed").otherwise("open").alias("status"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 30).cast("int")).alias("opened_at"),
+    )
+
+
+_AGENTS_SQL = f"""
+i AS (SELECT *, coalesce(trim(verbatim) <> '', FALSE) AS spoken FROM surveys WHERE {_PERIOD}),
+ak AS (SELECT supervisor, agent_bms, {_KPI}, count_if(nps_score > 0) AS promoters, count_if(nps_score < 0) AS detractors, count_if(spoken) AS comments,
+  count_if(spoken AND nps_score > 0) AS praised, count_if(spoken AND nps_score < 0) AS blamed FROM i GROUP BY 1, 2),
+st AS (SELECT *, CASE WHEN survey_volume < 5 THEN 'low_sample' WHEN nps < 0.2 OR csat < 0.7 OR professionalism < 0.75 THEN 'critical' WHEN nps < 0.5 OR csat < 0.8 OR professionalism < 0.85 THEN 'warning' ELSE 'on_target' END AS status FROM ak),
+au AS (
+  SELECT *, CASE status WHEN 'critical' THEN 'critical' WHEN 'warning' THEN 'below_target' WHEN 'low_sample' THEN 'small_sample' ELSE 'aligned' END AS assessment,
+    CASE status WHEN 'critical' THEN 'urgent_session' WHEN 'warning' THEN 'reinforce' WHEN 'low_sample' THEN 'monitor_more' ELSE 'recognise' END AS action,
+    CASE WHEN comments = 0 THEN 'none' WHEN praised > 0 AND blamed = 0 THEN 'only_praise' WHEN praised > 0 THEN 'mixed' WHEN blamed > 0 THEN 'only_blame' ELSE 'neutral' END AS comment_tone,
+    coalesce(nullif(concat_ws(',', CASE WHEN praised > 0 THEN 'praise' END, CASE WHEN praised > 0 AND professionalism >= 0.85 THEN 'professional' END, CASE WHEN comments = 0 AND status = 'on_target' THEN 'solid_figures' END), ''), 'presence') AS strengths,
+    coalesce(nullif(concat_ws(',', CASE WHEN blamed > 0 THEN 'response_times' END, CASE WHEN blamed > 0 AND csat < 0.8 THEN 'hard_cases' END, CASE WHEN comments = 0 AND status <> 'on_target' THEN 'no_comments' END), ''), 'keep_consistent') AS friction
+  FROM st)"""
+
+
+def _period_surveys(spark, sf):
+    return with_verbatim(surveys(spark, sf), spark, sf).withColumn("record_hash", F.md5("survey_id"))
+
+
+@query("report_agent_assessments", f"{_AGENTS_SQL} SELECT supervisor, agent_bms, status, comments, assessment, action, comment_tone, strengths, friction FROM au")
+def report_agent_assessments(spark, sf):
+    """What the rules say about each agent of each team in the period."""
+    made = reports.team_dataset(_period_surveys(spark, sf), _cases(spark, sf), "2024-01-11", "2024-01-20").select("supervisor", F.explode("agents").alias("a"))
+    return made.select("supervisor", "a.agent_bms", "a.status", "a.comments", "a.assessment", "a.action", "a.comment_tone", "a.strengths", "a.friction")
+
+
+@query("report_narrative", f"""{_CASES_SQL},
+k AS (SELECT supervisor, {_KPI} FROM surveys WHERE {_PERIOD} GROUP BY 1),
+o AS (SELECT supervisor, count(*) AS n_open_cases FROM cases JOIN (SELECT DISTINCT supervisor, agent_bms FROM surveys WHERE {_PERIOD}) USING (agent_bms) WHERE status <> 'closed' GROUP BY 1),
+j AS (SELECT k.*, coalesce(n_open_cases, 0) AS n_open_cases, coalesce(nps >= 0.5, FALSE) AS n, coalesce(csat >= 0.8, FALSE) AS c, coalesce(professionalism >= 0.85, FALSE) AS p FROM k LEFT JOIN o USING (supervisor))
+SELECT supervisor, CASE WHEN n AND c AND p THEN 'all' WHEN n OR c OR p THEN 'some' ELSE 'none' END AS summary,
+  coalesce(nullif(concat_ws(',', CASE WHEN survey_volume < 15 THEN 'sample' END, CASE WHEN NOT n AND nps IS NOT NULL THEN 'nps' END, CASE WHEN NOT c AND csat IS NOT NULL THEN 'csat' END, CASE WHEN n_open_cases > 0 THEN 'open_cases' END), ''), 'consistency') AS risks,
+  CASE WHEN survey_volume < 15 THEN 'limited' ELSE 'representative' END AS data_quality FROM j""")
 def report_narrative(spark, sf):
-    return reports.narrative(reports.team_summary(surveys(spark, sf)))
+    """The rules over a team's dataset: summary of goals, risks with open cases, and how far the sample carries."""
+    made = reports.team_dataset(_period_surveys(spark, sf), _cases(spark, sf), "2024-01-11", "2024-01-20")
+    return made.select("supervisor", "summary", "risks", F.when(F.col("low_sample"), "limited").otherwise("representative").alias("data_quality"))
+
+
+@query("report_nested_dataset", f"""{_CASES_SQL}, {_AGENTS_SQL},
+pl AS (SELECT *, row_number() OVER (PARTITION BY supervisor ORDER BY survey_volume DESC, agent_bms) AS place FROM au),
+ad AS (SELECT supervisor, agent_bms, survey_date, {_KPI} FROM i GROUP BY 1, 2, 3),
+al AS (SELECT supervisor, agent_bms, string_agg(survey_date || '=' || survey_volume || '/' || {_F4.format('nps')}, ' ' ORDER BY survey_date) AS days FROM ad GROUP BY 1, 2),
+ga AS (SELECT supervisor, string_agg(agent_bms || ':' || survey_volume || ':' || {_F4.format('csat')} || ':' || (survey_volume - promoters - detractors) || ':' || al.days, ';' ORDER BY place) AS agents,
+  coalesce(string_agg(agent_bms, ',' ORDER BY agent_bms) FILTER (status = 'critical'), '') AS attention FROM pl JOIN al USING (supervisor, agent_bms) GROUP BY 1),
+td AS (SELECT supervisor, survey_date, {_KPI} FROM i GROUP BY 1, 2),
+gd AS (SELECT supervisor, string_agg(survey_date || ':' || survey_volume || ':' || {_F4.format('nps')} || ':' || {_F4.format('csat')} || ':' || {_F4.format('professionalism')}, ';' ORDER BY survey_date) AS days FROM td GROUP BY 1),
+vol AS (SELECT supervisor, count(*) AS volume FROM i GROUP BY 1),
+cc AS (SELECT supervisor, category_name, count(*) AS n FROM i WHERE category_name IS NOT NULL GROUP BY 1, 2),
+gc AS (SELECT supervisor, string_agg(category_name || ':' || n || ':' || printf('%.1f', floor(n * 100.0::DOUBLE / volume * 10 + 0.5) / 10), ';' ORDER BY n DESC, category_name) AS categories FROM cc JOIN vol USING (supervisor) GROUP BY 1),
+go AS (SELECT supervisor, string_agg(case_number || ':' || agent_bms || ':' || type || ':' || priority || ':' || opened_at, ';' ORDER BY case_number) AS open_cases, count(*) AS n_open_cases
+  FROM cases JOIN (SELECT DISTINCT supervisor, agent_bms FROM i) USING (agent_bms) WHERE status <> 'closed' GROUP BY 1),
+gv AS (SELECT supervisor, sha256(supervisor || ':2024-01-11:2024-01-20:' || string_agg(md5(survey_id), ':' ORDER BY md5(survey_id))) AS data_version FROM i GROUP BY 1)
+SELECT supervisor, md5(days) AS days, md5(coalesce(categories, '')) AS categories, md5(agents) AS agents, md5(attention) AS attention, md5(coalesce(open_cases, '')) AS open_cases, CAST(coalesce(n_open_cases, 0) AS INTEGER) AS n_open_cases, data_version
+FROM gd LEFT JOIN gc USING (supervisor) JOIN ga USING (supervisor) LEFT JOIN go USING (supervisor) JOIN gv USING (supervisor)""")
+def report_nested_dataset(spark, sf):
+    """One nested row per team; its arrays are compared as digests of their written form."""
+    made = reports.team_dataset(_period_surveys(spark, sf), _cases(spark, sf), "2024-01-11", "2024-01-20")
+    line = lambda x, *parts: F.concat_ws(":", *(x[p].cast("string") if isinstance(p, str) else p for p in parts))
+    four = lambda v: F.format_string("%.4f", v)
+    listed = lambda xs, f: F.md5(F.coalesce(F.array_join(F.transform(xs, f), ";"), F.lit("")))
+    own_days = lambda a: F.array_join(F.transform(a["days"], lambda d: F.concat(d["date"].cast("string"), F.lit("="), d["survey_volume"], F.lit("/"), four(d["nps"]))), " ")
+    return made.select(
+        "supervisor", listed("days", lambda d: line(d, "date", "survey_volume", four(d["nps"]), four(d["csat"]), four(d["professionalism"]))).alias("days"), listed("categories", lambda c: line(c, "category", "count", F.format_string("%.1f", c["percentage"]))).alias("categories"),
+        listed("agents", lambda a: line(a, "agent_bms", "survey_volume", four(a["csat"]), "passives", own_days(a))).alias("agents"), F.md5(F.array_join("attention", ",")).alias("attention"),
+        listed("open_cases", lambda c: line(c, "case_number", "agent_bms", "type", "priority", "opened_at")).alias("open_cases"), "n_open_cases", "data_version",
+    )
 
 
 @query("report_top_share", f"SELECT supervisor, CAST(row_number() OVER (ORDER BY count(*) DESC, supervisor) AS INTEGER) AS rank, count(*) AS volume, {r4('(count(*) / (SELECT count(*) FROM surveys))')} AS share FROM surveys GROUP BY 1 ORDER BY volume DESC, supervisor LIMIT 10")

@@ -80,14 +80,20 @@ def run_tool_frequencies(spark, sf):
     return usage.run_diagnostics(calls, "user_id", "tokens").select("user_id", F.explode("tools").alias("tool_name", "n"))
 
 
-@query("review_merge", """
-a AS (SELECT agent_bms, min(agent_name) AS agent_name FROM surveys GROUP BY 1)
-SELECT *, CASE WHEN CAST(substr(agent_bms, 5) AS INTEGER) % 3 = 0 THEN 'by name' WHEN CAST(substr(agent_bms, 5) AS INTEGER) % 3 = 1 THEN 'by id' END AS comment FROM a""")
+@query("review_merge", """WITH a AS (SELECT p_partkey, 'P-' || p_partkey AS agent_bms, split_part(p_name, ' ', 2) || ' ' || p_brand || ', ' || split_part(p_name, ' ', 1) || ' ' || p_partkey AS agent_name FROM part)
+SELECT agent_bms, agent_name, CASE p_partkey % 6 WHEN 0 THEN 'same name' WHEN 1 THEN 'id' WHEN 2 THEN 'turned round' WHEN 3 THEN 'shortened' WHEN 4 THEN 'longer' END AS comment,
+  CAST(CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 4 END AS INTEGER) AS way FROM a""", surveys=False)
 def review_merge(spark, sf):
-    """Comments meet reviews by exact name, or by id; the others stay without one."""
-    base = surveys(spark, sf).groupBy("agent_bms").agg(F.min("agent_name").alias("agent_name"))
-    n = F.substring("agent_bms", 5, 5).cast("int") % 3
-    extra = base.filter(n == 0).select(F.col("agent_name").alias("name"), F.lit("by name").alias("comment")).union(base.filter(n == 1).select("agent_bms", F.lit("by id")))
+    """Comments meet reviews by name in other letters, by id, by words turned round, by a name inside another; a sixth stays without one."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    given, surname = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    last, first = F.concat_ws(" ", surname, "p_brand"), F.concat_ws(" ", given, k.cast("string"))
+    base = p.select(F.concat(F.lit("P-"), k).alias("agent_bms"), F.concat_ws(", ", last, first).alias("agent_name"))
+    # the key is part of each name and, shortened, its last letters are kept with a mark in front
+    name = F.when(k % 6 == 0, F.upper(F.concat_ws(", ", last, first))).when(k % 6 == 1, F.concat(F.lit(" P-"), k)).when(k % 6 == 2, F.concat_ws(" ", first, last))
+    name = name.when(k % 6 == 3, F.expr("substring(concat_ws(', ', concat_ws(' ', split(p_name, ' ')[1], p_brand), concat_ws(' ', split(p_name, ' ')[0], cast(p_partkey as string))), 2)")).when(k % 6 == 4, F.concat(F.lit("Dr "), last, F.lit(", "), first, F.lit(" jr")))
+    comment = F.when(k % 6 == 0, "same name").when(k % 6 == 1, "id").when(k % 6 == 2, "turned round").when(k % 6 == 3, "shortened").when(k % 6 == 4, "longer")
+    extra = p.select(name.alias("name"), comment.alias("comment")).filter("comment is not null")
     return reports.merged_reviews(base, extra)
 
 

@@ -61,10 +61,73 @@ def team_report(surveys: DataFrame, start: str, end: str, goals: dict[str, tuple
     )
 
 
-def narrative(summary: DataFrame) -> DataFrame:
-    """Plain sentences over the summary; they state values and no causes."""
-    line = F.format_string("%s: %d surveys from %d agents, nps %.4f, csat %.4f.", "supervisor", "survey_volume", "agents", "nps", "csat")
-    return summary.select("supervisor", line.alias("narrative"))
+def _series(inside: DataFrame, *by: str) -> DataFrame:
+    """``days``: KPIs of each day with surveys, in order, as one array for each group."""
+    days = kpi.daily(inside, *by).select(*by, F.struct(F.col("survey_date").alias("date"), "survey_volume", *kpi.KPIS).alias("__d"))
+    return days.groupBy(*by).agg(F.array_sort(F.collect_list("__d")).alias("days"))
+
+
+def agent_assessments(reviews: DataFrame, goals: dict[str, tuple[float, float]] = kpi.GOALS) -> DataFrame:
+    """Adds what the rules say about each agent, as codes: assessment, action, strengths and friction.
+
+    ``reviews`` has status, csat, professionalism, and the numbers of comments, of those by
+    promoters and by detractors.  Assessment and action follow the status.  Strengths are
+    praise (a comment by a promoter), and with it a professionalism at its goal; friction is
+    a comment by a detractor, and with it satisfaction below its goal.  Agents without
+    comments are judged by status alone.  Lists are never empty.
+    """
+    status, some = F.col("status"), F.col("comments") > 0
+    by_status = lambda critical, warning, low, else_: F.when(status == "critical", critical).when(status == "warning", warning).when(status == "low_sample", low).otherwise(else_)
+    listed = lambda default, *found: F.coalesce(F.nullif(F.concat_ws(",", *(F.when(c, F.lit(n)) for n, c in found)), F.lit("")), F.lit(default))
+    praise, blame = some & (F.col("promoter_comments") > 0), some & (F.col("detractor_comments") > 0)
+    return reviews.withColumns(
+        {
+            "assessment": by_status("critical", "below_target", "small_sample", "aligned"),
+            "action": by_status("urgent_session", "reinforce", "monitor_more", "recognise"),
+            "comment_tone": F.when(~some, "none").when(praise & ~blame, "only_praise").when(praise, "mixed").when(blame, "only_blame").otherwise("neutral"),
+            "strengths": listed("presence", ("praise", praise), ("professional", praise & (F.col("professionalism") >= goals["professionalism"][0])), ("solid_figures", ~some & (status == "on_target"))),
+            "friction": listed("keep_consistent", ("response_times", blame), ("hard_cases", blame & (F.col("csat") < goals["csat"][0])), ("no_comments", ~some & (status != "on_target"))),
+        }
+    )
+
+
+def team_dataset(surveys: DataFrame, cases: DataFrame, start: str, end: str, goals: dict[str, tuple[float, float]] = kpi.GOALS, verbatims: bool = False) -> DataFrame:
+    """One row per team with a survey in the period: everything its report shows.
+
+    The figures and rules of ``team_report``, open cases among the risks, and arrays of
+    structs: days (KPIs by date), categories (count and percentage), agents (KPIs, status,
+    sentiment, their own days and categories, and what the rules say), attention (critical
+    agents) and open_cases.  ``data_version`` is a digest of the period and of all record
+    hashes in order.  ``surveys`` needs record_hash and verbatim beside the usual columns;
+    ``cases`` has agent_bms, case_number, type, priority, status and opened_at, and no notes
+    of a case are taken over.  With ``verbatims`` each agent has its comments too.  Each
+    grain is aggregated once and joined once; no array is longer than a team's period.
+    """
+    inside = surveys.filter(F.col("survey_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    feeling = sentiment(F.col("nps_score"))
+    spoken = F.coalesce(F.trim("verbatim") != "", F.lit(False))
+    comments = inside.groupBy("supervisor", "agent_bms").agg(
+        F.count_if(spoken).alias("comments"), F.count_if(spoken & (feeling == "promoter")).alias("promoter_comments"), F.count_if(spoken & (feeling == "detractor")).alias("detractor_comments"), F.min("agent_name").alias("agent_name"),
+        *([F.array_sort(F.collect_list(F.when(spoken, F.struct("survey_id", F.col("survey_date").alias("date"), F.trim("verbatim").alias("verbatim"), feeling.alias("sentiment"), "category_name")))).alias("verbatims")] if verbatims else []),
+    )
+    agents = agent_assessments(agent_reviews(inside, goals).join(comments, ["supervisor", "agent_bms"]), goals).join(_series(inside, "supervisor", "agent_bms"), ["supervisor", "agent_bms"])
+    shown = ["agent_bms", "agent_name", "survey_volume", *kpi.KPIS, "promoters", (F.col("survey_volume") - F.col("promoters") - F.col("detractors")).alias("passives"), "detractors", "status", "top_categories", "comments", "assessment", "action", "comment_tone", "strengths", "friction", "days", *(["verbatims"] if verbatims else [])]
+    agents = agents.select("supervisor", "status", "agent_bms", F.struct("place", *shown).alias("agent"))
+    attention = F.array_sort(F.array_compact(F.collect_list(F.when(F.col("status") == "critical", F.col("agent_bms")))))
+    agents = agents.groupBy("supervisor").agg(F.array_sort(F.collect_list("agent")).alias("agents"), attention.alias("attention"))
+
+    shares = kpi.category_share(inside, "supervisor").select("supervisor", F.struct((-F.col("n")).alias("order"), F.col("category_name").alias("category"), F.col("n").alias("count"), "percentage").alias("c"))
+    shares = shares.groupBy("supervisor").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c.dropFields("order")).alias("categories"))
+    members = inside.select("supervisor", "agent_bms").distinct()
+    opened = cases.filter("status <> 'closed'").join(members, "agent_bms").groupBy("supervisor").agg(F.array_sort(F.collect_list(F.struct("case_number", "agent_bms", "type", "priority", "status", "opened_at"))).alias("open_cases"))
+    version = inside.groupBy("supervisor").agg(F.concat_ws(":", F.array_sort(F.collect_list("record_hash"))).alias("__hashes"))
+    version = version.select("supervisor", F.sha2(F.concat_ws(":", "supervisor", F.lit(start), F.lit(end), "__hashes"), 256).alias("data_version"))
+
+    rows = team_report(surveys, start, end, goals)
+    for part in (_series(inside, "supervisor"), shares, agents, opened, version):
+        rows = rows.join(part, "supervisor", "left")
+    risks = F.when(F.size("open_cases") > 0, F.concat_ws(",", F.nullif("risks", F.lit("consistency")), F.lit("open_cases"))).otherwise(F.col("risks"))
+    return rows.withColumns({"risks": risks, "n_open_cases": F.greatest(F.size("open_cases"), F.lit(0))})
 
 
 def share_of_top(surveys: DataFrame, by: str, k: int = 10) -> DataFrame:
@@ -76,15 +139,41 @@ def share_of_top(surveys: DataFrame, by: str, k: int = 10) -> DataFrame:
 
 
 def merged_reviews(base: DataFrame, extra: DataFrame) -> DataFrame:
-    """Comments joined to reviews by exact name, else by id, else by the set of name tokens."""
-    from surveyloom.functions.text import token_set
-
-    b = base.withColumn("__tokens", token_set(F.col("agent_name")))
-    e = extra.withColumn("__tokens", token_set(F.col("name")))
-    parts = [
-        b.join(e, F.col("agent_name") == F.col("name")).select("agent_bms", F.lit(1).alias("way"), "comment"),
-        b.join(e, F.col("agent_bms") == F.col("name")).select("agent_bms", F.lit(2).alias("way"), "comment"),
-        b.join(e.withColumnRenamed("__tokens", "__t"), F.col("__tokens") == F.col("__t")).select("agent_bms", F.lit(3).alias("way"), "comment"),
+    """Each review with the comment that means its agent, if any, and the way it was found.
+
+    In this order: the same name in any letters (1), the same id (2), the same words of the
+    name in any order (3), one plain name inside the other (4).  ``extra`` has name (a name or
+    an id) and comment; of several the smallest comment counts.
+
+    Containment goes through an index of three-letter parts: a name is in another only if
+    the other has all its parts, so each name looks up its rarest part alone.
+    """
+    from surveyloom.functions.text import normalised, token_set
+
+    b = base.select("agent_bms", "agent_name", F.lower(F.trim("agent_name")).alias("low"), normalised(F.col("agent_name")).alias("clean"), token_set(F.col("agent_name")).alias("tokens"))
+    e = extra.select("name", "comment", F.lower(F.trim("name")).alias("low"), normalised(F.col("name")).alias("clean"), token_set(F.col("name")).alias("tokens"))
+    found = [
+        b.join(e, "low").select("agent_bms", F.lit(1).alias("way"), "comment"),
+        b.join(e, F.trim("agent_bms") == F.trim("name")).select("agent_bms", F.lit(2).alias("way"), "comment"),
+        b.filter("tokens <> ''").join(e, "tokens").select("agent_bms", F.lit(3).alias("way"), "comment"),
     ]
-    found = parts[0].union(parts[1]).union(parts[2]).groupBy("agent_bms").agg(F.min_by("comment", F.struct("way", "comment")).alias("comment"))
-    return base.join(found, "agent_bms", "left")
+    held = contained(b.select("clean").union(e.select("clean")))
+    by_name = lambda names, other: names.join(held, F.col("clean") == F.col(other))
+    mine, theirs = b.select("agent_bms", "clean"), e.select("comment", F.col("clean").alias("theirs"))
+    found.append(by_name(mine, "part").join(theirs, F.col("whole") == F.col("theirs")).select("agent_bms", F.lit(4).alias("way"), "comment"))
+    found.append(by_name(mine, "whole").join(theirs, F.col("part") == F.col("theirs")).select("agent_bms", F.lit(4).alias("way"), "comment"))
+    best = reduce(DataFrame.union, found).groupBy("agent_bms").agg(F.min(F.struct("way", "comment")).alias("x"))
+    return base.join(best.select("agent_bms", "x.comment", "x.way"), "agent_bms", "left")
+
+
+def contained(names: DataFrame) -> DataFrame:
+    """(part, whole) of different texts of a one-column table of which one is inside the other."""
+    texts = names.toDF("t").filter("t <> ''").distinct()
+    parts = lambda n: F.transform(F.sequence(F.lit(1), F.length("t") - (n - 1)), lambda i: F.substring(F.col("t"), i, F.lit(n)))
+    grams = F.array_distinct(F.concat(*(F.when(F.length("t") >= n, parts(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3))))
+    index = texts.select("t", F.explode(grams).alias("gram"))
+    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # parts of three letters, or the whole of a shorter text
+    own = index.filter(F.length("gram") == F.least(F.lit(3), F.length("t"))).join(counts, "gram")
+    rarest = own.groupBy("t").agg(F.min(F.struct("n", "gram")).alias("x")).select(F.col("t").alias("part"), "x.gram")
+    return rarest.join(index.withColumnRenamed("t", "whole"), "gram").filter(F.col("whole").contains(F.col("part")) & (F.col("whole") != F.col("part"))).select("part", "whole")
