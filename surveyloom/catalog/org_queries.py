@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from surveyloom.catalog._base import query
 from surveyloom.operators import ingest, org
+from surveyloom.sources.stored import Store, shared_folder
 from surveyloom.sources.surveys import surveys, table
 
 _INTERVALS = """
@@ -161,3 +164,46 @@ def ingest_validate(spark, sf):
     )
     out = ingest.validated(raw, percentages=("nps_score",))
     return out.select("event_id", "survey_id", "nps_score", "survey_date", F.size("errors").alias("n_errors"), "valid")
+
+
+@query("ingest_template", _RAW + """,
+n AS (SELECT *, nullif(trim(survey_id), '') AS sid, coalesce(TRY_CAST(nps AS DOUBLE), TRY_CAST(replace(nps, '%', '') AS DOUBLE)) AS x FROM raw),
+m AS (SELECT *, CASE WHEN abs(x) > 1 THEN floor(x / 100.0::DOUBLE * 10000 + 0.5) / 10000.0::DOUBLE ELSE x END AS y FROM n)
+SELECT event_id, sid AS survey_id, sign(y) * floor(abs(y) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS nps_score, event_id % 2 = 0 AS odd_column,
+  CASE WHEN abs(x) > 1 THEN 'nps_score converted from percentage' ELSE '' END AS warnings, coalesce(sid IS NOT NULL AND y BETWEEN -1 AND 1 AND event_id % 4 <> 3, FALSE) AS valid FROM m""", surveys=False)
+def ingest_template(spark, sf):
+    """A file with headers of its own through the second version of a stored mapping."""
+    i = F.col("event_id")
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    raw = table(spark, sf, "events").select(
+        "event_id",
+        F.when(i % 11 == 0, " ").otherwise(F.concat(F.lit("S"), i.cast("string"))).alias("Survey  ID"),
+        F.when(i % 5 == 0, F.concat((i % 3 * 40).cast("string"), F.lit("%"))).when(i % 5 == 1, "x").when(i % 5 == 2, "7").otherwise(F.concat(F.lit("0."), (i % 10).cast("string"))).alias("Net Promoter"),
+        F.when(i % 4 == 0, F.concat(F.lit("45"), pad(i % 1000, 3))).when(i % 4 == 1, F.concat(F.lit("2024-01-"), pad(i % 28 + 1, 2))).when(i % 4 == 2, F.concat((i % 12 + 1).cast("string"), F.lit("/"), (i % 28 + 1).cast("string"), F.lit("/2024"))).otherwise("soon").alias("When"),
+        *(F.lit("0.5").alias(c) for c in ("Sat.", "Manners")), *(F.lit("x").alias(c) for c in ("Who", "Lead")), (i % 2 == 0).alias("odd_column"),
+    )
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    mapping = {"survey_id": "survey id", "nps_score": "NET PROMOTER", "csat_score": "sat.", "professionalism_score": "manners", "agent_bms": "who", "supervisor": "lead", "survey_date": "when"}
+    ingest.save_template(store, "export", mapping | {"nps_score": "manners"})
+    ingest.save_template(store, "export", mapping, ("nps_score",))
+    out = ingest.with_template(raw, store, "export")
+    return out.select("event_id", "survey_id", "nps_score", "odd_column", F.array_join("warnings", ",").alias("warnings"), "valid")
+
+
+@query("ingest_cascade", """WITH e AS (SELECT *, event_id % 4 AS import_id FROM events), s AS (SELECT * FROM e WHERE import_id <> 2)
+SELECT 'imports' AS name, (SELECT count(DISTINCT import_id) FROM s) AS n, CAST(3 AS BIGINT) AS version UNION ALL SELECT 'surveys', (SELECT count(*) FROM s), 3
+UNION ALL SELECT 'versions', (SELECT count(*) FROM s WHERE event_id % 10 = 0), 3 UNION ALL SELECT 'analyses', (SELECT count(*) FROM s WHERE event_id % 3 = 0), 3
+UNION ALL SELECT 'before', (SELECT count(*) FROM e), 1""", surveys=False)
+def ingest_cascade(spark, sf):
+    """An import deleted from a store with all that hangs on it, after a change to another table; the first version can still be read."""
+    e = table(spark, sf, "events").withColumn("import_id", F.col("event_id") % 4)
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store.replace({"surveys": e.select(F.col("event_id").alias("survey_id"), "import_id"), "imports": e.select(F.col("import_id").alias("id")).distinct(), "versions": e.filter("event_id % 10 = 0").select(F.col("event_id").alias("survey_id"), "import_id"), "analyses": e.filter("event_id % 6 = 0").select(F.col("event_id").alias("survey_id"))})
+    store.replace({"analyses": e.filter("event_id % 3 = 0").select(F.col("event_id").alias("survey_id"))})
+    ingest.delete_import(store, 2)
+    version = store.manifest()["version"]
+    count = lambda name, shown, v: store.read(name, v).agg(F.lit(shown).alias("name"), F.count(F.lit(1)).alias("n"), F.lit(v).cast("long").alias("version"))
+    out = count("surveys", "before", 1)
+    for name in ingest.IMPORTED:
+        out = out.union(count(name, name, version))
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.functions.scores import excel_date, percentage_to_share, round4
+from surveyloom.sources.stored import Store
 
 REQUIRED = ("survey_id", "nps_score", "csat_score", "professionalism_score", "agent_bms", "supervisor", "survey_date")
 SCORES = ("nps_score", "csat_score", "professionalism_score")
@@ -65,24 +67,26 @@ def day(text: Column) -> Column:
 
 
 def validated(raw: DataFrame, percentages: tuple[str, ...] = ()) -> DataFrame:
-    """Normalised fields, ``errors`` and ``valid``; completely blank rows are left out.
+    """Normalised fields, ``errors``, ``warnings`` and ``valid``; completely blank rows are left out.
 
     ``raw`` has the fields as text (missing ones count as blank) and is not cut short: every
     row is judged.  Scores must lie in [-1, 1] and keep four decimals; a score in
-    ``percentages`` beyond 1 is divided by 100 first.
+    ``percentages`` beyond 1 is divided by 100 first, with a warning.
     """
     for f in FIELDS:
         if f not in raw.columns:
             raw = raw.withColumn(f, F.lit(None).cast("string"))
     text = {f: F.nullif(F.trim(F.col(f).cast("string")), F.lit("")) for f in FIELDS}
     rows = raw.filter(reduce(lambda a, b: a | b, (text[f].isNotNull() for f in FIELDS)))
-    out, errors = {}, []
+    out, errors, warnings = {}, [], []
     for f in ("survey_id", "agent_bms", "supervisor"):
         out[f] = text[f]
         errors.append(F.when(text[f].isNull(), F.lit(f"{f} is required")))
     for f in SCORES:
         v = number(text[f])
-        v = percentage_to_share(v) if f in percentages else v
+        if f in percentages:
+            warnings.append(F.when(F.abs(v) > 1, F.lit(f"{f} converted from percentage")))
+            v = percentage_to_share(v)
         out[f] = round4(v)
         errors.append(F.when(text[f].isNull(), F.lit(f"{f} is required")).when(v.isNull(), F.lit(f"{f} is not a number")).when((v < -1) | (v > 1), F.lit(f"{f} is out of range")))
     out["survey_date"] = day(text["survey_date"])
@@ -92,7 +96,7 @@ def validated(raw: DataFrame, percentages: tuple[str, ...] = ()) -> DataFrame:
     tenure = number(text["tenure_days"])
     out["tenure_days"] = F.when(tenure >= 0, F.floor(tenure).cast("int"))
     keep = [c for c in raw.columns if c not in FIELDS]
-    return rows.select(*keep, *(c.alias(f) for f, c in out.items()), F.array_compact(F.array(*errors)).alias("errors")).withColumn("valid", F.size("errors") == 0)
+    return rows.select(*keep, *(c.alias(f) for f, c in out.items()), F.array_compact(F.array(*errors)).alias("errors"), F.array_compact(F.array(*warnings, F.lit(None).cast("string"))).alias("warnings")).withColumn("valid", F.size("errors") == 0)
 
 
 def record_hash(*columns: str) -> Column:
@@ -129,13 +133,13 @@ def import_summary(validated_rows: DataFrame, classified: DataFrame) -> DataFram
 
 
 def preflight(raw: DataFrame, order: str, percentages: tuple[str, ...] = (), rows: int = 100) -> DataFrame:
-    """One row about the first ``rows`` rows: ready, errors, whether to import, and up to ten rejected rows.
+    """One row about the first ``rows`` rows: ready, with warnings, errors, whether to import, and up to ten rejected rows.
 
     Judging a file's first rows is the feature here; ``validated`` judges all of them.
     """
     seen = validated(raw.orderBy(order).limit(rows), percentages)
     bad = F.array_sort(F.collect_list(F.when(~F.col("valid"), F.struct(F.col(order).alias("row"), F.col("errors")))))
-    out = seen.agg(F.count_if("valid").alias("ready_count"), F.count_if(~F.col("valid")).alias("error_count"), F.slice(bad, 1, 10).alias("sample_errors"))
+    out = seen.agg(F.count_if("valid").alias("ready_count"), F.count_if(F.size("warnings") > 0).alias("warning_count"), F.count_if(~F.col("valid")).alias("error_count"), F.slice(bad, 1, 10).alias("sample_errors"))
     return out.withColumn("can_import", (F.col("error_count") == 0) & (F.col("ready_count") > 0))
 
 
@@ -154,3 +158,74 @@ def changed_fields(old: DataFrame, new: DataFrame, key: str, fields: list[str])
 def without_import(table: DataFrame, removed: DataFrame, key: str) -> DataFrame:
     """A table after the rows of some imports are gone."""
     return table.join(removed.select(key).distinct(), key, "left_anti")
+
+
+#: Tables that hold what imports brought, children first.
+IMPORTED = ("analyses", "versions", "surveys", "imports")
+
+
+def delete_import(store: Store, import_id: int) -> int:
+    """An import goes with its surveys, their versions and analyses, as one version of the store; returns the number of surveys gone.
+
+    Analyses go by the surveys' ids.  Where the change breaks off, or another one comes
+    first, the old version stays whole.
+    """
+    tables = {name: store.read(name) for name in IMPORTED}
+    mine = F.col("import_id") == F.lit(import_id)
+    gone = tables["surveys"].filter(mine).select("survey_id")
+    n = gone.count()
+    stays = ~F.coalesce(mine, F.lit(False))
+    after = {"analyses": without_import(tables["analyses"], gone, "survey_id"), **{k: tables[k].filter(stays) for k in ("versions", "surveys")}, "imports": tables["imports"].filter(~F.coalesce(F.col("id") == F.lit(import_id), F.lit(False)))}
+    store.replace(after, {"event": "IMPORT_DELETED", "import_id": import_id, "deleted_surveys": n})
+    return n
+
+
+def clear_all(store: Store) -> tuple[int, int]:
+    """All imported tables become empty together; returns the numbers of surveys and imports gone."""
+    n = store.read("surveys").count(), store.read("imports").count()
+    store.replace({name: store.read(name).limit(0) for name in IMPORTED}, {"event": "DATASET_CLEARED", "deleted_surveys": n[0], "deleted_imports": n[1]})
+    return n
+
+
+def save_template(store: Store, name: str, mapping: dict[str, str], percentages: tuple[str, ...] = (), description: str | None = None) -> int:
+    """Keep a mapping (field to header) under a name; each save is a new version of it, which is returned."""
+    if not name or len(name) > 100:
+        raise ValueError("a template needs a name of at most 100 letters")
+    unknown = sorted((set(mapping) | set(percentages)) - set(FIELDS))
+    if unknown or not mapping:
+        raise ValueError(f"no such fields: {unknown}" if unknown else "a template needs fields")
+    known = templates(store)
+    version = (known.filter(F.col("name") == name).agg(F.max("version")).first()[0] or 0) + 1
+    row = known.sparkSession.createDataFrame([(name, version, description, json.dumps(mapping), list(percentages))], _TEMPLATE)
+    store.replace({"templates": known.union(row)}, {"event": "TEMPLATE_SAVED", "name": name, "version": version})
+    return version
+
+
+_TEMPLATE = "name string, version int, description string, mapping string, percentages array<string>"
+
+
+def templates(store: Store) -> DataFrame:
+    """All versions of all templates."""
+    if "templates" not in store.manifest()["tables"]:
+        return store.spark.createDataFrame([], _TEMPLATE)
+    return store.read("templates")
+
+
+def with_template(raw: DataFrame, store: Store, name: str, version: int | None = None) -> DataFrame:
+    """``validated`` over a file's columns as a template maps them; the newest version unless said otherwise.
+
+    The template becomes a projection when the plan is made.  Headers meet in any letters and
+    with single spaces; other columns are kept beside the fields.
+    """
+    known = templates(store).filter(F.col("name") == name)
+    row = (known.filter(F.col("version") == version) if version else known.orderBy(F.col("version").desc())).first()
+    if row is None:
+        raise KeyError(name)
+    by_header = {plain_header(c): c for c in reversed(raw.columns)}
+    found = {f: by_header.get(plain_header(h)) for f, h in json.loads(row["mapping"]).items()}
+    missing = sorted(f for f, c in found.items() if c is None and f in REQUIRED)
+    if missing:
+        raise ValueError(f"no column for {missing}")
+    used = {c for c in found.values() if c}
+    kept = [F.col(f"`{c}`") for c in raw.columns if c not in used and c not in FIELDS]
+    return validated(raw.select(*kept, *(F.col(f"`{c}`").cast("string").alias(f) for f, c in found.items() if c)), tuple(row["percentages"]))
