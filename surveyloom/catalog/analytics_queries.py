@@ -10,7 +10,7 @@ from surveyloom.catalog.kpi_queries import _weighted as weighted
 from surveyloom.catalog.org_queries import _INTERVALS as INTERVALS
 from surveyloom.functions import scores, text
 from surveyloom.functions.formula import compile_formula
-from surveyloom.operators import audit, cases, categorise, drivers, forecast, org, privacy, reports, usage
+from surveyloom.operators import audit, cases, categorise, drivers, endpoints, forecast, org, privacy, reports, usage
 from surveyloom.sources.surveys import analyses, categories, surveys, table, with_verbatim
 
 _KPI = f"count(*) AS survey_volume, {r4(MEAN.format('nps_score'))} AS nps, {r4(CLAMPED_MEAN.format('csat_score'))} AS csat, {r4(CLAMPED_MEAN.format('professionalism_score'))} AS professionalism"
@@ -85,6 +85,54 @@ def driver_frequencies(spark, sf):
     return drivers.frequencies(drivers.driver_input(surveys(spark, sf), "nps_score"), "category")
 
 
+_PREDICTORS = """
+dr AS (SELECT coalesce(c.name, 'Uncategorized') AS category, coalesce(nullif(trim(wave), ''), 'General') AS wave, coalesce(nullif(trim(supervisor), ''), 'General') AS supervisor, coalesce(tenure_days, 30) AS tenure,
+  survey_date - min(survey_date) OVER () AS day, nps_score AS y
+  FROM surveys s LEFT JOIN analyses a USING (survey_id) LEFT JOIN categories c USING (category_id) WHERE survey_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-28'),
+lv AS (
+  SELECT f, level, count(*) AS n FROM (SELECT unnest(['category', 'wave', 'supervisor']) AS f, unnest([category, wave, supervisor]) AS level FROM dr) GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY n DESC, level) AS k FROM lv),
+terms AS (SELECT f || ':' || level AS term, f, level FROM rk WHERE k > 1 AND (f <> 'supervisor' OR k <= 8) UNION ALL SELECT unnest(['intercept', 'tenure', 'day']), unnest(['intercept', 'tenure', 'day']), NULL)"""
+
+
+def _drivers(spark, sf):
+    return drivers.driver_input(surveys(spark, sf), "nps_score", {"date_from": "2024-01-03", "date_to": "2024-01-28", "wave": None}, analyses(spark, sf), categories(spark, sf))
+
+
+@query("driver_design", f"{_PREDICTORS} SELECT term FROM terms")
+def driver_design(spark, sf):
+    """Columns of the design over joined categories and a period: eight supervisors at most, without each field's reference."""
+    d = drivers.design(drivers._patterns(_drivers(spark, sf)))
+    return spark.createDataFrame([(n,) for n in d.names], "term string")
+
+
+@query("driver_normal_equations", f"""{_PREDICTORS},
+num AS (SELECT row_number() OVER () AS i, * FROM dr),
+x AS (
+  SELECT i, y, term, CASE f WHEN 'intercept' THEN 1.0::DOUBLE WHEN 'tenure' THEN tenure / 100.0::DOUBLE WHEN 'day' THEN day / 30.0::DOUBLE ELSE 1.0::DOUBLE END AS v
+  FROM num JOIN terms ON f IN ('intercept', 'tenure', 'day') OR (f = 'category' AND level = category) OR (f = 'wave' AND level = wave) OR (f = 'supervisor' AND level = supervisor)
+),
+g AS (SELECT a.term AS a, b.term AS b, sum(a.v * b.v) AS s FROM x a JOIN x b ON a.i = b.i GROUP BY 1, 2 UNION ALL SELECT term, 'y', sum(v * y) FROM x GROUP BY 1)
+SELECT a, b, floor(s * 1000 + 0.5) / 1000 AS s FROM g WHERE s <> 0""")
+def driver_normal_equations(spark, sf):
+    """What least squares are solved from: products of all columns of the design with one another and with the score."""
+    patterns = drivers._patterns(_drivers(spark, sf))
+    d = drivers.design(patterns)
+    g, b, *_ = drivers.gram(patterns, d)
+    cells = [(x, y, float(g[i, j])) for i, x in enumerate(d.names) for j, y in enumerate(d.names)] + [(x, "y", float(b[i])) for i, x in enumerate(d.names)]
+    return spark.createDataFrame(cells, "a string, b string, v double").filter("v <> 0").select("a", "b", (F.floor(F.col("v") * 1000 + 0.5) / 1000).alias("s"))
+
+
+@query("query_data_minimised", """
+g AS (SELECT supervisor, count(*) AS survey_volume FROM surveys WHERE tenure_days >= 50 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 9)
+SELECT survey_volume, floor(survey_volume * 10000.0::DOUBLE / (SELECT sum(survey_volume) FROM g) + 0.5) / 100 AS percentage, TRUE AS well_formed, (SELECT count(*) FROM g) AS made FROM g""")
+def query_data_minimised(spark, sf):
+    """A query's result with shares and with references instead of names."""
+    vault = spark.createDataFrame([], "scope string, type string, internal_id string, pseudonym string")
+    out, made = endpoints.query_data({"metrics": ["survey_volume"], "group_by": ["supervisor"], "filters": [{"field": "tenure", "operator": ">=", "value": 50}], "limit": 9}, surveys(spark, sf), vault, "run")
+    return out.select("survey_volume", "percentage", F.col("supervisor_ref").rlike("^SUP_[A-Z0-9]{6}$").alias("well_formed")).crossJoin(made.agg(F.count(F.lit(1)).alias("made")))
+
+
 @query("driver_least_squares")
 def driver_least_squares(spark, sf):
     return drivers.ols(drivers.driver_input(surveys(spark, sf), "nps_score"))[0]

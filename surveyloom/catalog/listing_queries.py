@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surveyloom.catalog._base import CLAMPED_MEAN, MEAN, query, r4
-from surveyloom.operators import kpi, listings, org, reports, usage
+from surveyloom.operators import ingest, kpi, listings, org, reports, usage
 from surveyloom.sources.surveys import surveys, table
 
 
@@ -80,18 +80,19 @@ def run_tool_frequencies(spark, sf):
     return usage.run_diagnostics(calls, "user_id", "tokens").select("user_id", F.explode("tools").alias("tool_name", "n"))
 
 
-@query("review_merge", """WITH a AS (SELECT p_partkey, 'P-' || p_partkey AS agent_bms, split_part(p_name, ' ', 2) || ' ' || p_brand || ', ' || split_part(p_name, ' ', 1) || ' ' || p_partkey AS agent_name FROM part)
+@query("review_merge", """WITH a AS (SELECT p_partkey, 'P-' || p_partkey AS agent_bms, split_part(p_name, ' ', 2) || ' ' || p_brand || ', ' || split_part(p_name, ' ', 1) || ' ' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS agent_name FROM part)
 SELECT agent_bms, agent_name, CASE p_partkey % 6 WHEN 0 THEN 'same name' WHEN 1 THEN 'id' WHEN 2 THEN 'turned round' WHEN 3 THEN 'shortened' WHEN 4 THEN 'longer' END AS comment,
   CAST(CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 4 END AS INTEGER) AS way FROM a""", surveys=False)
 def review_merge(spark, sf):
     """Comments meet reviews by name in other letters, by id, by words turned round, by a name inside another; a sixth stays without one."""
     p, k = table(spark, sf, "part"), F.col("p_partkey")
     given, surname = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
-    last, first = F.concat_ws(" ", surname, "p_brand"), F.concat_ws(" ", given, k.cast("string"))
+    last, first = F.concat_ws(" ", surname, "p_brand"), F.concat_ws(" ", given, F.lpad(k.cast("string"), 9, "0"))
     base = p.select(F.concat(F.lit("P-"), k).alias("agent_bms"), F.concat_ws(", ", last, first).alias("agent_name"))
-    # the key is part of each name and, shortened, its last letters are kept with a mark in front
+    # the key ends each name, so a shortened name is inside one other name only
     name = F.when(k % 6 == 0, F.upper(F.concat_ws(", ", last, first))).when(k % 6 == 1, F.concat(F.lit(" P-"), k)).when(k % 6 == 2, F.concat_ws(" ", first, last))
-    name = name.when(k % 6 == 3, F.expr("substring(concat_ws(', ', concat_ws(' ', split(p_name, ' ')[1], p_brand), concat_ws(' ', split(p_name, ' ')[0], cast(p_partkey as string))), 2)")).when(k % 6 == 4, F.concat(F.lit("Dr "), last, F.lit(", "), first, F.lit(" jr")))
+    name = name.when(k % 6 == 3, F.expr("substring(whole, 2)")).when(k % 6 == 4, F.concat(F.lit("Dr "), last, F.lit(", "), first, F.lit(" jr")))
+    p = p.withColumn("whole", F.concat_ws(", ", last, first))
     comment = F.when(k % 6 == 0, "same name").when(k % 6 == 1, "id").when(k % 6 == 2, "turned round").when(k % 6 == 3, "shortened").when(k % 6 == 4, "longer")
     extra = p.select(name.alias("name"), comment.alias("comment")).filter("comment is not null")
     return reports.merged_reviews(base, extra)
@@ -118,7 +119,7 @@ d AS (SELECT supervisor, survey_date, count(*) AS survey_volume, {r4(MEAN.format
 g AS (SELECT *, row_number() OVER (PARTITION BY supervisor ORDER BY survey_date) - 1 AS place, count(*) OVER (PARTITION BY supervisor) AS n, CASE WHEN min(nps) OVER (PARTITION BY supervisor) < -0.01 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS low, max(survey_volume) OVER (PARTITION BY supervisor) AS top FROM d)
 SELECT supervisor, survey_date, CASE WHEN n > 1 THEN place * 520.0::DOUBLE / (n - 1) ELSE 260.0::DOUBLE END AS x, 115.0::DOUBLE * (1.0::DOUBLE - (nps - low) / (1.0::DOUBLE - low)) AS y, survey_volume * 115.0::DOUBLE * 0.32::DOUBLE / top AS bar FROM g""")
 def run_chart_geometry(spark, sf):
-    return listings.run_chart(kpi.daily(surveys(spark, sf), "supervisor"), "supervisor")
+    return listings.run_chart(kpi.daily(surveys(spark, sf), "supervisor"), "supervisor").drop("labelled")
 
 
 @query("encryption_round_trip", "SELECT supervisor, count(*) AS n, TRUE AS same, TRUE AS hidden FROM surveys GROUP BY 1")
@@ -148,3 +149,57 @@ def raw_records(spark, sf):
     filters = [{"field": "supervisor", "operator": "like", "value": "AN"}, {"field": "nps_score", "operator": ">=", "value": 0}, {"field": "survey_date", "operator": "between", "value": ["2024-01-03", "2024-01-20"]}]
     part, total = usage.raw_records(surveys(spark, sf), filters, offset=10)
     return part.select("survey_id", "survey_date", "nps_score").crossJoin(F.broadcast(total))
+
+
+@query("run_chart_labels", """
+d AS (SELECT DISTINCT supervisor, survey_date FROM surveys),
+p AS (SELECT *, row_number() OVER (PARTITION BY supervisor ORDER BY survey_date) - 1 AS place, count(*) OVER (PARTITION BY supervisor) AS n FROM d)
+SELECT supervisor, survey_date, place % CASE WHEN n > 16 THEN 3 WHEN n > 9 THEN 2 ELSE 1 END = 0 OR place = n - 1 AS labelled FROM p""")
+def run_chart_labels(spark, sf):
+    """Which days of a run chart get a label: every one, every second or every third, and the last."""
+    return listings.run_chart(kpi.daily(surveys(spark, sf), "supervisor"), "supervisor").select("supervisor", "survey_date", "labelled")
+
+
+@query("listing_filtered", """SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 15 OFFSET 15""", surveys=False)
+def listing_filtered(spark, sf):
+    """The second page of a listing, newest first, by equality and by a period."""
+    rows = table(spark, sf, "orders")
+    return listings.filtered(rows, "o_orderdate", "o_orderkey", {"o_orderstatus": "O", "o_orderpriority": "1-URGENT", "o_custkey": None}, "1995-01-01", "1996-12-31", page=2).select("o_orderkey", "o_orderdate")
+
+
+@query("computed_columns", """
+k AS (SELECT supervisor, sum(CAST(nps_score AS DECIMAL(6,4)))::DOUBLE / count(nps_score) * 100 AS base FROM surveys GROUP BY 1)
+SELECT supervisor, floor(base / 50 * 100 * 10 + 0.5) / 10 AS percent_of_target, floor((base - 50) * 10 + 0.5) / 10 AS difference, floor(base * 2.5 * 10 + 0.5) / 10 AS custom, CAST(NULL AS DOUBLE) AS without_target FROM k""")
+def computed_columns(spark, sf):
+    from surveyloom.functions.scores import exact
+
+    k = surveys(spark, sf).groupBy("supervisor").agg((F.sum(exact(F.col("nps_score"))).cast("double") / F.count("nps_score") * 100).alias("base"))
+    tenth = lambda x: F.floor(x * 10 + 0.5) / 10
+    made = {"percent_of_target": ("percent_of_target", 50.0), "difference": ("diff_from_target", 50.0), "custom": ("custom", 2.5), "without_target": ("percent_of_target", 0.0)}
+    return k.select("supervisor", *(tenth(kpi.computed_column(F.col("base"), kind, value)).alias(name) for name, (kind, value) in made.items()))
+
+
+@query("weighted_totals", """
+d AS (SELECT survey_date, count(*) AS v, floor(sum(CAST(nps_score AS DECIMAL(6,4)))::DOUBLE / count(*) * 10000 + 0.5) / 10000 AS nps FROM surveys WHERE wave = 'BUILDING' GROUP BY 1),
+t AS (SELECT 'all days' AS part, sum(v) AS survey_volume, sum(CAST(nps AS DECIMAL(8,4)) * v)::DOUBLE / sum(v) AS nps FROM d)
+SELECT part, CAST(survey_volume AS BIGINT) AS survey_volume, sign(nps) * floor(abs(nps) * 10000 + 0.5) / 10000 AS nps FROM t UNION ALL SELECT 'no day', 0, 0.0""")
+def weighted_totals(spark, sf):
+    """Totals of a table weighted by volume; an empty table has 0."""
+    days = kpi.daily(surveys(spark, sf).filter("wave = 'BUILDING'"))
+    total = lambda rows, part: kpi.weighted_totals(rows).select(F.lit(part).alias("part"), "survey_volume", "nps")
+    return total(days, "all days").union(total(days.filter("survey_volume < 0"), "no day"))
+
+
+@query("ingest_preflight", """WITH f AS (SELECT * FROM events ORDER BY event_id LIMIT 100)
+SELECT count(*) FILTER (event_id % 13 <> 0 AND event_id % 7 <> 0) AS ready_count, count(*) FILTER (event_id % 3 = 0) AS warning_count, count(*) FILTER (event_id % 13 = 0 OR event_id % 7 = 0) AS error_count,
+  string_agg(event_id, ',' ORDER BY event_id) FILTER (k <= 10) AS sample, FALSE AS can_import
+FROM (SELECT *, CASE WHEN event_id % 13 = 0 OR event_id % 7 = 0 THEN row_number() OVER (PARTITION BY event_id % 13 = 0 OR event_id % 7 = 0 ORDER BY event_id) END AS k FROM f)""", surveys=False)
+def ingest_preflight(spark, sf):
+    """The first hundred rows of a file, judged before its import."""
+    i = F.col("event_id")
+    raw = table(spark, sf, "events").select(
+        "event_id", F.concat(F.lit("S"), i).alias("survey_id"), F.when(i % 3 == 0, "80%").otherwise("0.8").alias("nps_score"), F.when(i % 13 == 0, "bad").otherwise("1").alias("csat_score"), F.lit("1").alias("professionalism_score"),
+        F.lit("B").alias("agent_bms"), F.when(i % 7 == 0, " ").otherwise("Lead").alias("supervisor"), F.lit("2024-01-02").alias("survey_date"),
+    )
+    out = ingest.preflight(raw, "event_id", ("nps_score",))
+    return out.select("ready_count", "warning_count", "error_count", F.array_join(F.transform("sample_errors", lambda e: e["row"].cast("string")), ",").alias("sample"), "can_import")

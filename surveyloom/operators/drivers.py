@@ -18,8 +18,23 @@ from surveyloom.functions.scores import sigmoid
 MIN_OLS, MIN_LOGISTIC, TOP_SUPERVISORS = 10, 15, 8
 
 
-def driver_input(surveys: DataFrame, target: str) -> DataFrame:
-    """Predictors with their defaults, and the target; null targets go.  Days count from the first one."""
+def driver_input(surveys: DataFrame, target: str, filters: dict[str, str | None] | None = None, analyses: DataFrame | None = None, categories: DataFrame | None = None) -> DataFrame:
+    """Predictors with their defaults, and the target; null targets go.  Days count from the first one.
+
+    ``filters`` may have supervisor, wave, date_from and date_to, None asking for nothing.
+    With ``analyses`` and ``categories`` the category comes from a left join, so a survey with
+    two analyses counts twice; else ``surveys`` has category_name.
+    """
+    unknown = set(filters or {}) - {"supervisor", "wave", "date_from", "date_to"}
+    if unknown:
+        raise ValueError(f"drivers cannot be filtered by {sorted(unknown)}")
+    for field, value in (filters or {}).items():
+        if value is not None:
+            day = F.lit(value).cast("date")
+            surveys = surveys.filter(F.col("survey_date") >= day if field == "date_from" else F.col("survey_date") <= day if field == "date_to" else F.col(field) == F.lit(value))
+    if analyses is not None and categories is not None:
+        named = categories.select("category_id", F.col("name").alias("category_name"))
+        surveys = surveys.drop("category_name").join(analyses.select("survey_id", "category_id"), "survey_id", "left").join(named, "category_id", "left")
     general = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("General"))
     known = surveys.filter(F.col(target).isNotNull())
     day0 = F.lit(known.agg(F.min("survey_date")).first()[0]).cast("date")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surveyloom.operators import drivers, forecast, privacy
 from surveyloom.plans.dsl import run, with_share
 from surveyloom.plans.metrics import METRICS, metric
 
@@ -84,3 +85,42 @@ def envelope(query: dict, surveys: DataFrame, permissions: set[str] | None = Non
         raise PermissionError("data.view or dashboard.view is needed")
     rows = [r.asDict() for r in run(sandbox(query, 1000, 1000), surveys, **tables).collect()]
     return {"success": True, "dsl": query, "count": len(rows), "data": rows}
+
+
+def query_data(dsl: dict, surveys: DataFrame, vault: DataFrame, scope: str, analyses: DataFrame | None = None, categories: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(minimised result with shares, new rows of the vault): a query of the DSL as a caller without names may see it.
+
+    Pseudonyms in its filters mean the scope's identities; identities in the result become
+    references, made where the vault has none; volumes get their share.
+    """
+    held = vault.filter(F.col("scope") == scope)
+    named = {str(v) for f in dsl.get("filters") or [] for v in (f.get("value") if isinstance(f.get("value"), list) else [f.get("value")])}
+    meant = {r["pseudonym"]: r["internal_id"] for r in held.filter(F.col("pseudonym").isin(sorted(named))).collect()} if named else {}
+    out = run(privacy.resolved(dsl, meant), surveys, analyses, categories)
+    out = with_share(out) if "survey_volume" in out.columns else out
+    kinds = [(kind, c) for kind, c in (("supervisor", "supervisor"), ("agent", "agent_bms")) if c in out.columns]
+    if not kinds:
+        return privacy.minimised(out.drop("agent"), held, scope), held.limit(0)
+    identities = out.select(F.explode(F.array(*(F.struct(F.lit(kind).alias("type"), F.col(c).cast("string").alias("internal_id")) for kind, c in kinds))).alias("x")).select("x.*").filter("internal_id is not null")
+    made = privacy.new_pseudonyms(identities, vault, scope)
+    return privacy.minimised(out.drop("agent"), held.unionByName(made), scope), made
+
+
+def run_forecast(surveys: DataFrame, metric_name: str = "nps", horizon: int = 7, filters: list[dict] | None = None, by: str | None = None) -> DataFrame:
+    """Selected model and projections of a metric over all surveys, or for each value of a dimension.
+
+    ``filters`` are those of the DSL without categories.
+    """
+    from surveyloom.plans.dsl import _predicate, validate
+
+    for f in validate({"metrics": ["survey_volume"], "filters": filters or []}).filters:
+        surveys = surveys.filter(_predicate(f))
+    key = by or "__all"
+    rows = surveys if by else surveys.withColumn(key, F.lit("all"))
+    return forecast.forecast(forecast.series(rows, metric_name, key), metric_name, horizon)
+
+
+def run_driver_analysis(surveys: DataFrame, metric_name: str = "nps", supervisor: str | None = None, wave: str | None = None, date_from: str | None = None, date_to: str | None = None, **tables: DataFrame) -> tuple[DataFrame, dict]:
+    """Drivers of a score: least squares for nps, the odds of a high score for the others."""
+    rows = drivers.driver_input(surveys, f"{metric_name}_score", {"supervisor": supervisor, "wave": wave, "date_from": date_from, "date_to": date_to}, **tables)
+    return drivers.ols(rows) if metric_name == "nps" else drivers.logistic(rows)

@@ -14,9 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyloom.functions.scores import round_to
-
-from surveyloom.functions.scores import exact, top_box
+from surveyloom.functions.scores import exact, round_to, top_box
 
 MIN_SAMPLE, MIN_PERIODS = 20, 28
 BOUNDS = {"nps": (-1.0, 1.0), "csat": (0.0, 1.0), "professionalism": (0.0, 1.0)}

@@ -63,6 +63,11 @@ def weighted_means(days: DataFrame, *by: str) -> DataFrame:
     return days.groupBy(*by).agg(F.sum("survey_volume").alias("survey_volume"), *(mean(k) for k in KPIS), F.count_if("has_sample").alias("sampled_days"))
 
 
+def weighted_totals(rows: DataFrame) -> DataFrame:
+    """One row: volume and means weighted by volume; 0 where there is nothing to weigh."""
+    return weighted_means(rows).fillna(0).fillna(0.0, subset=list(KPIS))
+
+
 def sentiment_counts(surveys: DataFrame, *by: str) -> DataFrame:
     s = surveys.withColumn("__s", sentiment(F.col("nps_score")))
     count = lambda k: F.count_if(F.col("__s") == k)
@@ -103,11 +108,16 @@ def progress(analyses: DataFrame, total: int) -> DataFrame:
 
 
 def computed_column(value: Column, kind: str, target: float = 1.0) -> Column:
-    """Columns that dashboards derive from a metric."""
+    """Columns that dashboards derive from a metric; ``target`` is the factor of a custom one.
+
+    Without a positive target there is no percentage of it.
+    """
     if kind == "percent_of_target":
-        return F.try_divide(value, F.lit(target)) * 100.0
+        return value / target * 100.0 if target > 0 else F.lit(None).cast("double")
     if kind == "diff_from_target":
         return value - target
     if kind == "multiply_100":
         return value * 100.0
+    if kind == "custom":
+        return value * target
     raise ValueError(f"unknown computed column {kind!r}")

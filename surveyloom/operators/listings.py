@@ -60,14 +60,31 @@ def run_chart(days: DataFrame, by: str, width: float = 520.0, height: float = 11
     """Geometry of a run chart: x by day, y of the score on [-1, 1] or [0, 1], bar height by volume.
 
     The axis reaches below zero only where a score is below -0.01; bars fill 32 % of the plot.
+    Of more than 9 days every second is labelled, of more than 16 every third, and always
+    the last.
     """
     group = Window.partitionBy(by)
     place = F.row_number().over(group.orderBy("survey_date")) - 1
     n, low = F.count(F.lit(1)).over(group), F.when(F.min("nps").over(group) < -0.01, -1.0).otherwise(0.0)
     x = F.when(n > 1, place * width / (n - 1)).otherwise(F.lit(width / 2))
-    return days.select(by, "survey_date", x.alias("x"), (height * (1.0 - (F.col("nps") - low) / (1.0 - low))).alias("y"), (F.col("survey_volume") * height * 0.32 / F.max("survey_volume").over(group)).alias("bar"))
+    return days.select(by, "survey_date", x.alias("x"), (height * (1.0 - (F.col("nps") - low) / (1.0 - low))).alias("y"), (F.col("survey_volume") * height * 0.32 / F.max("survey_volume").over(group)).alias("bar"), ((place % F.when(n > 16, 3).when(n > 9, 2).otherwise(1) == 0) | (place == n - 1)).alias("labelled"))
 
 
 def encrypted(text: Column, key: str) -> Column:
     """Text as base64 of AES-GCM; each call draws a new nonce."""
     return F.base64(F.aes_encrypt(text, F.lit(key)))
+
+
+def filtered(rows: DataFrame, day: str, key: str, equal: dict[str, object], start: str | None = None, end: str | None = None, page: int = 1, size: int = 15) -> DataFrame:
+    """A page of a listing, newest first: rows with the given values (None asks for nothing) in a period, its last day included.
+
+    Pages are counted by offset, so a late page sorts all before it.
+    """
+    for column, value in equal.items():
+        if value is not None:
+            rows = rows.filter(F.col(column) == F.lit(value))
+    if start:
+        rows = rows.filter(F.col(day) >= F.lit(start).cast("date"))
+    if end:
+        rows = rows.filter(F.col(day) < F.date_add(F.lit(end).cast("date"), 1))
+    return rows.orderBy(F.col(day).desc_nulls_last(), F.col(key).desc()).offset((max(1, page) - 1) * size).limit(size)
