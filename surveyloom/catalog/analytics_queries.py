@@ -74,10 +74,65 @@ def forecast_historical_points(spark, sf):
     return forecast.historical_points(surveys(spark, sf), "csat", "2024-01-05", "2024-01-25", "wave", "BUILDING")
 
 
-@query("forecast_selected_model")
+def _holt_step() -> str:
+    """One value of Holt's recursion on {level, trend, sse}; e.l is the value, al and be the weights."""
+    guess = "(acc.l + acc.t)"
+    level = f"(al * e.l + (1 - al) * {guess})"
+    return f"{{'l': {level}, 't': be * ({level} - acc.l) + (1 - be) * acc.t, 's': acc.s + (e.l - {guess}) * (e.l - {guess})}}"
+
+
+def _better(one: str, two: str) -> str:
+    """The second model if its error is smaller, or as good with a smaller squared one; else the first."""
+    return f"CASE WHEN {two}.mae < {one}.mae - 0.001 OR (abs({two}.mae - {one}.mae) <= 0.001 AND {two}.rmse < {one}.rmse - 0.001) THEN {two} ELSE {one} END"
+
+
+def _points(x: str, sign: str, limits: list[tuple[float, int]], otherwise: int) -> str:
+    return "CASE " + " ".join(f"WHEN {x} {sign} {limit} THEN {p}" for limit, p in limits) + f" ELSE {otherwise} END"
+
+
+_SIX = "sign({0}) * floor(abs({0}) * 1000000 + 0.5) / 1000000"
+_MOVING = "CASE WHEN {k} < t THEN list_avg(list_transform(range({k} + 1, t + 1), lambda i: abs(ys[i] - list_avg(ys[i - {k}:i - 1])))) END"
+
+
+@query("forecast_selected_model", f"""{_daily('nps', 'wave')},
+gate AS ({_GATE.replace("14 > greatest", "7 > greatest")}),
+s AS (SELECT series, list(value ORDER BY date) FILTER (n >= 20) AS y FROM daily JOIN gate USING (series) WHERE status IN ('ELIGIBLE', 'LOW_VARIANCE') GROUP BY 1),
+st AS (SELECT *, len(y) AS n, CASE WHEN len(y) - k < 5 THEN greatest(2, len(y) - 5) ELSE k END AS steps FROM (SELECT *, CAST(greatest(3, least(14, floor(len(y) * 0.25 + 0.5))) AS BIGINT) AS k FROM s)),
+pf AS (SELECT series, n, t, y[1:t] AS ys, y[t + 1] AS actual FROM (SELECT *, unnest(range(greatest(1, n - steps), n + 1)) AS t FROM st)),
+mv AS (SELECT *, {_MOVING.format(k=3)} AS m3, {_MOVING.format(k=5)} AS m5, {_MOVING.format(k=7)} AS m7 FROM pf),
+wd AS (SELECT *, CASE WHEN m7 < m3 AND m7 < m5 THEN 7 WHEN m5 < m3 THEN 5 ELSE least(3, t) END AS width, list_avg(ys) AS my, (t - 1) / 2.0::DOUBLE AS mx, t * (t * t - 1) / 12.0::DOUBLE AS spread FROM mv),
+sl AS (SELECT *, CASE WHEN spread > 0 THEN list_sum(list_transform(range(0, t), lambda i: (i - mx) * (ys[i + 1] - my))) / spread ELSE 0 END AS slope FROM wd),
+ln AS (SELECT *, my - slope * mx AS lev, list_sum(list_transform(range(0, t), lambda i: (ys[i + 1] - (my - slope * mx) - slope * i) ** 2)) AS lsse FROM sl),
+grid AS (SELECT x / 10.0::DOUBLE AS al, b AS be FROM range(1, 10) r(x), (SELECT unnest([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6]::DOUBLE[]) AS b)),
+hs AS (
+  SELECT series, t, al, be, list_reduce(list_prepend({{'l': ys[1], 't': CASE WHEN t > 1 THEN ys[2] - ys[1] ELSE 0 END, 's': 0.0::DOUBLE}}, list_transform(ys[2:], lambda v: {{'l': v, 't': 0.0::DOUBLE, 's': 0.0::DOUBLE}})), lambda acc, e: {_holt_step()}) AS h
+  FROM pf, grid
+),
+hb AS (SELECT series, t, arg_min(struct_pack(al, be, h), (h.s, al, be)) AS b FROM hs GROUP BY 1, 2),
+al4 AS (SELECT ln.*, round(ys[t], 4) AS f1, round(list_avg(ys[t - width + 1:t]), 4) AS f2, round(lev + slope * t, 4) AS f3, round(b.h.l + b.h.t, 4) AS f4, b FROM ln JOIN hb USING (series, t)),
+er AS (
+  SELECT series, {", ".join(f"struct_pack(model := '{m}', mae := round(avg(abs(actual - f{i})), 4), rmse := round(sqrt(avg((actual - f{i}) ** 2)), 4)) AS e{i}" for i, m in enumerate(forecast.MODELS, 1))}
+  FROM al4 WHERE t < n GROUP BY 1
+),
+b2 AS (SELECT *, {_better("e1", "e2")} AS x2 FROM er), b3 AS (SELECT *, {_better("x2", "e3")} AS x3 FROM b2), best AS (SELECT series, {_better("x3", "e4")} AS x FROM b3),
+sc AS (
+  SELECT g.*, x, {_points("eligible", ">=", [(60, 30), (45, 24), (35, 18)], 12)} + {_points("avg_volume", ">=", [(50, 25), (30, 20), (20, 15)], 5)} + {_points("x.mae", "<=", [(0.035, 25), (0.06, 18), (0.09, 12)], 5)}
+    + {_points("7.0::DOUBLE / greatest(1, eligible)", "<=", [(0.20, 20), (0.28, 15), (0.34, 10)], 0)} AS raw_score FROM gate g LEFT JOIN best USING (series)
+),
+rel AS (SELECT *, CASE WHEN excluded::DOUBLE / greatest(1, eligible + excluded) > 0.2 THEN greatest(0, raw_score - 15) ELSE raw_score END AS score FROM sc),
+fc AS (
+  SELECT series, h, CASE x.model WHEN 'naive' THEN f1 WHEN 'moving_average' THEN f2 WHEN 'linear_trend' THEN round(lev + slope * (t - 1 + h), 4) ELSE round(b.h.l + b.h.t * h, 4) END AS raw,
+    CASE x.model WHEN 'linear_trend' THEN 1.96 * sqrt(greatest(0.0001, lsse / greatest(1, t - 2))) * sqrt(1 + 1 / t::DOUBLE + (t - 1 + h - mx) ** 2 / spread)
+      WHEN 'holt_linear' THEN 1.96 * sqrt(greatest(0.0001, b.h.s / greatest(1, t - 1)) * (1 + coalesce(list_sum(list_transform(range(1, h), lambda j: (b.al + j * b.al * b.be) ** 2)), 0))) END AS half
+  FROM al4 JOIN best USING (series), (SELECT unnest(range(1, 8)) AS h) WHERE t = n
+)
+SELECT series, status, coalesce(x.model, 'none') AS model, x.mae AS mae, x.rmse AS rmse, CASE WHEN x IS NULL THEN NULL WHEN score >= 78 THEN 'HIGH' WHEN score >= 55 THEN 'MODERATE' ELSE 'LOW' END AS level, CAST(CASE WHEN x IS NOT NULL THEN score END AS INTEGER) AS score,
+  CAST(last_date + CAST(h AS INTEGER) AS DATE) AS date, raw, CASE WHEN raw IS NOT NULL THEN least(greatest(raw, -1.0), 1.0) END AS value, CASE WHEN half IS NOT NULL THEN {_SIX.format("least(greatest(raw - half, -1.0), 1.0)")} END AS low, CASE WHEN half IS NOT NULL THEN {_SIX.format("least(greatest(raw + half, -1.0), 1.0)")} END AS high, CASE WHEN raw IS NOT NULL THEN abs(raw - least(greatest(raw, -1.0), 1.0)) > 0.00001 END AS was_bounded
+FROM rel LEFT JOIN fc USING (series)""")
 def forecast_selected_model(spark, sf):
     """Walk-forward selection and bounded projections for every wave."""
-    return forecast.forecast(_series(spark, sf, "nps", "wave"), "nps", 7)
+    out = forecast.forecast(_series(spark, sf, "nps", "wave"), "nps", 7)
+    return out.withColumns({c: scores.round_to(F.col(c), 6) for c in ("low", "high")})
 
 
 @query("driver_frequencies", "SELECT coalesce(category_name, 'Uncategorized') AS level, count(*) AS n FROM surveys GROUP BY 1")
