@@ -5,10 +5,13 @@ character embedding (maximum over
 the hashed character grams of the marked word).  Gated
 recurrent units run over a window in both directions, attention pools their states, and a
 logistic unit scores the window.  A document is covered by overlapping windows, all of
-them are scored, and the highest one is the document's score.
+them are scored, and the three highest make the document's score: one doubtful window says
+less than several.
 
-Training is plain numpy on the driver, on a bounded sample of labelled rows with all their
-windows.  Embeddings start from how far toxic documents are over-represented in their
+Training is plain numpy on the driver, on a bounded sample of labelled rows.  All windows of
+their whole texts pass through the network in each epoch.  A toxic document teaches through
+its highest window, as the others may be clean; of a clean document every window counts.
+Embeddings start from how far toxic documents are over-represented in their
 bucket, among the documents learnt from; a tenth of the sample is kept out of that too and
 calibrates the score.  Scoring works on chunks of whole texts: inputs are projected once
 for each distinct word, and all windows of a chunk advance together.
@@ -20,19 +23,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyloom.llm._io import tidy
 from surveyloom.llm import _text as T
+from surveyloom.llm._io import tidy
 from surveyloom.llm._labels import labelled_sample, labelled_texts, remainder
 
-#: Bound on training: labelled rows.
-TRAINING_ROWS = 5_000
+#: Bounds on training: labelled rows, and bytes of their texts.
+TRAINING_ROWS, TRAINING_BYTES = 5_000, 64 << 20
 #: Windows that go through the network together.
-WINDOWS_AT_ONCE = 4096
+WINDOWS_AT_ONCE = 2048
 
-WINDOW, STRIDE = 48, 36
+WINDOW, STRIDE = 96, 72
+#: Highest windows that a document's score is made from.
+HIGHEST = 3
 WORD_BUCKETS, CHAR_BUCKETS, EMBED, HIDDEN = 1 << 16, 1 << 18, 6, 8
 #: Lengths of the character grams of a marked word.
 CHAR_GRAMS = (3, 5, 6)
@@ -94,7 +99,7 @@ class Network:
         self.p = {"word": 0.05 * f(WORD_BUCKETS, EMBED), "char": 0.05 * f(CHAR_BUCKETS, EMBED), "att_w": f(2 * h, 2 * h), "att_v": f(1, 2 * h)[0], "out": f(1, 2 * h)[0], "bias": np.array([-1.0], np.float32)}
         for way in "fb":
             self.p |= {f"x{way}": f(3 * h, d), f"h{way}": f(3 * h, h), f"c{way}": np.zeros((3 * h, 1), np.float32)}
-        self.scale, self.shift = 1.0, 0.0
+        self.scale, self.shift = np.array([1.0, *[0.0] * (HIGHEST - 1)]), 0.0
 
     def inputs(self, buckets: np.ndarray, grams: np.ndarray, at: np.ndarray) -> np.ndarray:
         chars = np.maximum.reduceat(self.p["char"][grams], at[:-1], axis=0) if len(buckets) else np.zeros((0, EMBED), np.float32)
@@ -180,10 +185,19 @@ class Network:
             dx += sums @ p[f"x{way}"]
         return g, dx
 
+    def highest(self, doc: np.ndarray, logits: np.ndarray, n: int) -> np.ndarray:
+        """The HIGHEST window logits of each of n documents, in order; where there are fewer, that of no evidence."""
+        out = np.full((n, HIGHEST), self.p["bias"][0], float)
+        order = np.lexsort((-logits, doc))
+        place = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+        some = place < HIGHEST
+        out[doc[order][some], place[some]] = logits[order][some]
+        return out
+
     def document_scores(self, chunk: T.Chunk) -> np.ndarray:
-        """Highest window score of each document; texts without words score as the bias alone."""
+        """A score for each document from its highest windows; texts without words score as the bias alone."""
         w = T.words(chunk)
-        out = np.full(len(chunk), -np.inf, np.float32)
+        doc, logits = np.zeros(0, np.int64), np.zeros(0, np.float32)
         if len(w.starts):
             hashes = T.word_hashes(chunk, w, lower=True)
             order = np.argsort(hashes)
@@ -193,16 +207,16 @@ class Network:
             example = order[head]
             x = self.inputs(*word_inputs(chunk.data, w.starts[example], w.ends[example]))
             doc, start, n = windows_of(w.counts(), w.first[:-1])
+            logits = np.zeros(len(doc), np.float32)
             for short in (False, True):
-                for some in np.array_split(np.flatnonzero((n < WINDOW) == short), max(1, -(-int(((n < WINDOW) == short).sum()) // 4096))):
+                for some in np.array_split(np.flatnonzero((n < WINDOW) == short), max(1, -(-int(((n < WINDOW) == short).sum()) // WINDOWS_AT_ONCE))):
                     if len(some):
                         length = int(n[some].max())
                         place = np.arange(length)[:, None]
                         mask = place < n[some] if short else None
                         steps = word[np.minimum(start[some] + place, len(word) - 1)]
-                        np.maximum.at(out, doc[some], self.forward(x, steps, mask))
-        out[np.isneginf(out)] = self.p["bias"][0]
-        return 1 / (1 + np.exp(-(self.scale * out.astype(float) + self.shift)))
+                        logits[some] = self.forward(x, steps, mask)
+        return 1 / (1 + np.exp(-np.clip(self.highest(doc, logits, len(chunk)) @ self.scale + self.shift, -30, 30)))
 
 
 def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -223,11 +237,11 @@ def _vocabulary_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     return np.concatenate(buckets), np.concatenate(grams), np.append(0, np.cumsum(np.concatenate(n)))
 
 
-def fit(texts: list[list[bytes]], y: np.ndarray, epochs: int = 5, batch: int = 192, rate: float = 0.01, seed: int = 5) -> Network:
+def fit(texts: list[list[bytes]], y: np.ndarray, epochs: int = 8, batch: int = 192, rate: float = 0.01, seed: int = 5) -> Network:
     """Train on documents given as lists of window texts (words joined by a space)."""
     net = Network(seed)
     if len(y) == 0 or y.min() == y.max():
-        net.scale, net.shift = 0.0, -5.0 if len(y) == 0 or y[0] == 0 else 5.0
+        net.scale, net.shift = np.zeros(HIGHEST), -5.0 if len(y) == 0 or y[0] == 0 else 5.0
         return net
     r = np.random.default_rng(seed)
     flat = [t for own in texts for t in own]
@@ -267,36 +281,29 @@ def fit(texts: list[list[bytes]], y: np.ndarray, epochs: int = 5, batch: int = 1
         return mask, steps.reshape(words.shape), (buckets[own], grams[take], local)
 
     def windows(docs: np.ndarray) -> list[np.ndarray]:
-        """Windows of some documents, as many together as go through the network at once."""
-        rows = np.concatenate([np.arange(of_doc[d], of_doc[d + 1]) for d in docs]) if len(docs) else np.zeros(0, np.int64)
-        rows = rows[count[rows] > 0]
-        return np.array_split(rows, -(-len(rows) // WINDOWS_AT_ONCE)) if len(rows) else []
+        """All windows of some documents, those of one document together, about as many as go through the network at once."""
+        rows = [np.arange(of_doc[d], of_doc[d + 1]) for d in docs]
+        rows = [own[count[own] > 0] for own in rows]
+        part = np.cumsum([len(own) for own in rows]) // WINDOWS_AT_ONCE
+        found = [np.concatenate([own for own, k in zip(rows, part, strict=True) if k == i]) for i in np.unique(part)] if len(rows) else []
+        return [some for some in found if len(some)]
 
     for epoch in range(epochs):
         order = r.permutation(learn)
         for begin in range(0, len(order), batch):
-            parts = windows(order[begin : begin + batch])
-            if not parts:
-                continue
-            rows = np.concatenate(parts)
-            scored = np.concatenate([net.forward(net.inputs(*words), steps, mask) for mask, steps, words in map(prepared, parts)])
-            # the highest window stands for its document; all windows of clean documents are clean,
-            # and those that the network takes for clean already give no gradient to speak of
-            top = np.zeros(len(rows), bool)
-            by = np.lexsort((scored, bag[rows]))
-            top[by[np.append(bag[rows][by][1:] != bag[rows][by][:-1], True)]] = True
-            use = top | ((y[bag[rows]] == 0) & (_sigmoid(scored) > 0.02))
-            rows, top = rows[use], top[use]
             total: dict[str, np.ndarray] = {}
-            for some in np.array_split(np.arange(len(rows)), -(-len(rows) // WINDOWS_AT_ONCE)):
-                part, mine = rows[some], top[some]
-                mask, steps, words = prepared(part)
+            for rows in windows(order[begin : begin + batch]):
+                mask, steps, words = prepared(rows)
                 keep: dict = {}
                 x = net.inputs(*words)
                 kept = (r.random(x.shape) >= DROPOUT).astype(np.float32)
                 logit = net.forward(x * kept, steps, mask, keep)
-                label = y[bag[part]]
-                share = np.where(label == 1, mine, np.where(mine, 1.0, 0.3)).astype(np.float32)
+                # the highest window stands for its document; of a clean document all windows are clean
+                top = np.zeros(len(rows), bool)
+                by = np.lexsort((logit, bag[rows]))
+                top[by[np.append(bag[rows][by][1:] != bag[rows][by][:-1], True)]] = True
+                label = y[bag[rows]]
+                share = np.where(label == 1, top, np.where(top, 1.0, 0.3)).astype(np.float32)
                 dlogit = ((_sigmoid(logit) - label) * share / batch).astype(np.float32)
                 g, dx = net.backward(x * kept, steps, mask, keep, dlogit)
                 dx *= kept
@@ -309,6 +316,8 @@ def fit(texts: list[list[bytes]], y: np.ndarray, epochs: int = 5, batch: int = 1
                 np.add.at(gc, words[1], np.repeat(dx[:, EMBED:], size, axis=0) * won)
                 for k, grad in (g | {"word": gw, "char": gc}).items():
                     total[k] = total[k] + grad if k in total else grad
+            if not total:
+                continue
             g = total
             step += 1
             now = rate * (0.5 if epoch >= epochs - 2 else 1.0)
@@ -317,20 +326,25 @@ def fit(texts: list[list[bytes]], y: np.ndarray, epochs: int = 5, batch: int = 1
                 m += 0.1 * (grad - m)
                 v += 0.002 * (grad**2 - v)
                 net.p[k] = (net.p[k] - now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.998**step)) + 1e-6) * (EMBED_RATE if k in ("word", "char") else 1)).astype(np.float32)
-    # scale and shift on documents that were not learnt from
+    # scales and shift on documents that were not learnt from
     test = np.flatnonzero(hold) if 0 < y[hold].sum() < hold.sum() else learn
-    top = np.full(len(y), -np.inf)
+    owner, logits = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
     for begin in range(0, len(test), 512):
         for rows in windows(test[begin : begin + 512]):
             mask, steps, words = prepared(rows)
-            np.maximum.at(top, bag[rows], net.forward(net.inputs(*words), steps, mask))
-    s, t = top[test], y[test]
-    s, t = s[np.isfinite(s)], t[np.isfinite(s)]
-    a, b = 1.0, 0.0
-    for _ in range(200):
-        q = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
-        a, b = a - 0.5 * (((q - t) * s).mean() + 0.01 * (a - 1)), b - 0.5 * ((q - t).mean() + 0.01 * b)
-    net.scale, net.shift = float(max(a, 0.05)), float(b)
+            owner.append(bag[rows])
+            logits.append(net.forward(net.inputs(*words), steps, mask))
+    s, t = net.highest(np.concatenate(owner), np.concatenate(logits), len(y))[test], y[test]
+    # a logistic fit by Newton's steps; a slight pull to the highest window alone keeps it finite where scores part the labels
+    start = np.array([1.0, *[0.0] * HIGHEST])
+    fitted, pull = start.copy(), np.full(len(start), 0.05)
+    columns = np.vstack((s.T, np.ones(len(s))))
+    for _ in range(50):
+        q = _sigmoid(fitted @ columns)
+        slope = columns @ (q - t) + pull * (fitted - start)
+        bend = (columns * np.maximum(q * (1 - q), 1e-6)) @ columns.T + np.diag(pull)
+        fitted = fitted - np.clip(np.linalg.solve(bend, slope), -2, 2)
+    net.scale, net.shift = fitted[:-1], float(fitted[-1])
     return net
 
 
@@ -345,9 +359,16 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([ids.slice(chunk.first_row, len(chunk)), y.slice(chunk.first_row, len(chunk)), pa.array(rows, pa.list_(pa.binary()))], names=["doc_id", "y", "windows"])
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Network:
-    """Network from all windows of at most ``rows`` labelled rows."""
+def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, size: int = TRAINING_BYTES) -> Network:
+    """Network from all windows of at most ``rows`` labelled rows, whose texts have at most ``size`` bytes together.
+
+    Rows are taken in hash order until one of the bounds is met; texts are never cut.
+    """
     sample = labelled_sample(labels, "toxic", 5, 0, rows)
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("size")).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("size").alias("size"))
+    # at most ``rows`` numbers
+    before = F.sum(F.coalesce("size", F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    sample = sample.join(sizes.select("doc_id", before.alias("__bytes")).filter(F.col("__bytes") <= size).select("doc_id"), "doc_id")
     got = labelled_texts(docs, sample).mapInArrow(tidy(_training_windows), "doc_id long, y int, windows array<binary>").toArrow().sort_by("doc_id").to_pylist()
     return fit([x["windows"] for x in got], np.array([x["y"] for x in got], float))
 

@@ -161,3 +161,46 @@ def test_a_long_text_is_learnt_from_whole(monkeypatch):
         score = net.document_scores(chunk)
         assert (score[20:] > 0.5).mean() > 0.9 and (score[:20] < 0.5).mean() > 0.9
         scores.append(score)
+
+
+def ranking(scored, labels, label):
+    """Area under the curve on held-out rows, precision and recall of the predictions."""
+    rows = scored.filter("held_out").join(labels.select("doc_id", label), "doc_id").select("score", "predicted", label).collect()
+    order = np.argsort(np.argsort([r.score for r in rows], kind="stable"), kind="stable")
+    y, said = np.array([r[label] for r in rows]) == 1, np.array([r.predicted for r in rows]) == 1
+    area = (order[y].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (~y).sum())
+    return area, (y & said).sum() / max(1, said.sum()), (y & said).sum() / y.sum()
+
+
+def test_quality_on_the_labels_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    area, precision, recall = ranking(quality.score_quality(docs, labels), labels, "quality")
+    assert area > 0.97 and precision > 0.95 and recall > 0.95
+
+
+def test_toxicity_on_the_labels_held_out(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    area, precision, recall = ranking(toxicity.score_toxicity(docs, labels), labels, "toxic")
+    assert area > 0.95 and precision > 0.9 and recall > 0.84
+
+
+def test_a_very_long_text_alone(spark):
+    words = " ".join(f"word{i % 997}" for i in range(150_000))
+    docs = spark.createDataFrame([(1, words), (2, None), (3, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in (1, 2, 3)], "doc_id long, quality int, toxic int")
+    for scored in (quality.score_quality(docs, labels), toxicity.score_toxicity(docs, labels)):
+        assert all(0 <= r.score <= 1 for r in scored.collect())
+
+
+def test_training_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "w " * 50 * i) for i in range(1, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    learnt = []
+    whole, toxicity.fit = toxicity.fit, lambda texts, y: learnt.append(sum(len(w) for own in texts for w in own[:1]))
+    try:
+        toxicity.train_toxicity(docs, labels)
+        toxicity.train_toxicity(docs, labels, size=5_000)
+    finally:
+        toxicity.fit = whole
+    assert 0 < learnt[1] < learnt[0]
