@@ -11,7 +11,7 @@ from surveyloom.catalog.org_queries import _INTERVALS as INTERVALS
 from surveyloom.functions import scores, text
 from surveyloom.functions.formula import compile_formula
 from surveyloom.operators import audit, cases, categorise, drivers, endpoints, forecast, org, privacy, reports, usage
-from surveyloom.sources.surveys import analyses, categories, surveys, table, with_verbatim
+from surveyloom.sources.surveys import SURVEYS_SQL, analyses, categories, surveys, table, with_verbatim
 
 _KPI = f"count(*) AS survey_volume, {r4(MEAN.format('nps_score'))} AS nps, {r4(CLAMPED_MEAN.format('csat_score'))} AS csat, {r4(CLAMPED_MEAN.format('professionalism_score'))} AS professionalism"
 
@@ -188,9 +188,50 @@ def query_data_minimised(spark, sf):
     return out.select("survey_volume", "percentage", F.col("supervisor_ref").rlike("^SUP_[A-Z0-9]{6}$").alias("well_formed")).crossJoin(made.agg(F.count(F.lit(1)).alias("made")))
 
 
-@query("driver_least_squares")
+_PLAIN_PREDICTORS = _PREDICTORS.replace("coalesce(c.name, 'Uncategorized')", "coalesce(category_name, 'Uncategorized')").replace("FROM surveys s LEFT JOIN analyses a USING (survey_id) LEFT JOIN categories c USING (category_id) WHERE survey_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-28'", "FROM surveys")
+
+
+def _inverse(ridge: float) -> str:
+    """Gauss-Jordan elimination: ``aug`` holds X'X with a ridge beside the unit matrix, ``step`` one column after the other; ``inv`` is the last one."""
+    return f"""
+ix AS (SELECT term, row_number() OVER (ORDER BY term) AS i FROM terms),
+cell AS (SELECT x.i, y.i AS j, coalesce(s, 0) + CASE WHEN x.i = y.i THEN {ridge} ELSE 0 END AS v FROM ix x CROSS JOIN ix y LEFT JOIN g ON g.a = x.term AND g.b = y.term),
+line AS (SELECT i, list(v ORDER BY j) AS v FROM cell GROUP BY i),
+aug AS (SELECT list(list_concat(v, list_transform(range(1, k + 1), lambda j: CASE WHEN j = i THEN 1.0::DOUBLE ELSE 0 END)) ORDER BY i) AS m, max(k) AS k FROM line, (SELECT count(*) AS k FROM ix)),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS c, m, k FROM aug
+  UNION ALL
+  SELECT c + 1, list_transform(m, lambda r, i: CASE WHEN i = c + 1 THEN list_transform(r, lambda v: v / r[c + 1]) ELSE list_transform(r, lambda v, j: v - r[c + 1] * m[c + 1][j] / m[c + 1][c + 1]) END), k FROM step WHERE c < k
+),
+inv AS (SELECT list_transform(m, lambda r: r[k + 1:]) AS m, k FROM step WHERE c = k)"""
+
+
+_P_VALUE = "greatest(0.0001, least(1.0, (((((1.061405429 * u - 1.453152027) * u + 1.421413741) * u - 0.284496736) * u + 0.254829592) * u * exp(-z * z))))"
+
+
+@query("driver_least_squares", f"""WITH RECURSIVE {SURVEYS_SQL}, {_PLAIN_PREDICTORS},
+num AS (SELECT row_number() OVER () AS i, * FROM dr),
+x AS (
+  SELECT i, y, term, CASE f WHEN 'tenure' THEN tenure / 100.0::DOUBLE WHEN 'day' THEN day / 30.0::DOUBLE ELSE 1.0::DOUBLE END AS v
+  FROM num JOIN terms ON f IN ('intercept', 'tenure', 'day') OR (f = 'category' AND level = category) OR (f = 'wave' AND level = wave) OR (f = 'supervisor' AND level = supervisor)
+),
+g AS (SELECT a.term AS a, b.term AS b, sum(a.v * b.v) AS s FROM x a JOIN x b ON a.i = b.i GROUP BY 1, 2),
+xy AS (SELECT term, sum(v * y) AS b FROM x GROUP BY 1),
+tot AS (SELECT count(*) AS n, sum(y * y) AS syy FROM dr), {_inverse(1e-6)},
+bs AS (SELECT list(coalesce(b, 0) ORDER BY i) AS b FROM ix LEFT JOIN xy USING (term)),
+be AS (SELECT list_transform(m, lambda r: list_sum(list_transform(r, lambda v, j: v * b[j]))) AS beta, m, k, b FROM inv, bs),
+fit AS (
+  SELECT beta, m, k, greatest(0, syy - 2 * list_sum(list_transform(beta, lambda v, j: v * b[j])) + (SELECT sum(v * beta[i] * beta[j]) FROM (SELECT i, j, coalesce(s, 0) AS v FROM ix x CROSS JOIN (SELECT term AS t2, i AS j FROM ix) LEFT JOIN g ON g.a = x.term AND g.b = t2))) / greatest(1, n - k) AS variance
+  FROM be, tot
+),
+co AS (SELECT ix.term, beta[ix.i] AS coefficient, sqrt(variance * greatest(0.00000001, m[ix.i][ix.i])) AS se, floor(g.s) AS cnt FROM fit, ix JOIN g ON g.a = ix.term AND g.b = ix.term),
+pv AS (SELECT *, {_P_VALUE} AS p FROM (SELECT *, 1.0::DOUBLE / (1.0 + 0.3275911 * z) AS u FROM (SELECT *, abs(coefficient / se) / sqrt(2.0) AS z FROM co)))
+SELECT term, {_SIX.format("coefficient")} AS coefficient, {_SIX.format("se")} AS se, {_SIX.format("(coefficient / se)")} AS t, {_SIX.format("p")} AS p, {_SIX.format("(coefficient - 1.96 * se)")} AS low, {_SIX.format("(coefficient + 1.96 * se)")} AS high,
+  CASE WHEN cnt < 10 THEN 'INSUFFICIENT' WHEN cnt < 30 THEN 'LOW' WHEN p > 0.08 THEN 'MODERATE' ELSE 'SUPPORTED' END AS confidence, CASE WHEN coefficient > 0.01 THEN 'positive' WHEN coefficient < -0.01 THEN 'negative' ELSE 'neutral' END AS direction FROM pv""", surveys=False)
 def driver_least_squares(spark, sf):
-    return drivers.ols(drivers.driver_input(surveys(spark, sf), "nps_score"))[0]
+    """Coefficients with inference; the SQL solves the same normal equations by elimination."""
+    out = drivers.ols(drivers.driver_input(surveys(spark, sf), "nps_score"))[0]
+    return out.withColumns({c: scores.round_to(F.col(c), 6) for c in ("coefficient", "se", "t", "p", "low", "high")})
 
 
 @query("driver_logistic")
