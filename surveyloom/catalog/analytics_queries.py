@@ -206,6 +206,7 @@ step AS (
 inv AS (SELECT list_transform(m, lambda r: r[k + 1:]) AS m, k FROM step WHERE c = k)"""
 
 
+_FOUR = "sign({0}) * floor(abs({0}) * 10000 + 0.5) / 10000"
 _P_VALUE = "greatest(0.0001, least(1.0, (((((1.061405429 * u - 1.453152027) * u + 1.421413741) * u - 0.284496736) * u + 0.254829592) * u * exp(-z * z))))"
 
 
@@ -234,9 +235,44 @@ def driver_least_squares(spark, sf):
     return out.withColumns({c: scores.round_to(F.col(c), 6) for c in ("coefficient", "se", "t", "p", "low", "high")})
 
 
-@query("driver_logistic")
+def _newton(i: int) -> str:
+    """Step i of the logistic fit, by tables: probabilities, X'WX beside the unit matrix, its elimination, and the moved coefficients."""
+    eliminated = "list_transform(acc.m, lambda r, i: CASE WHEN i = e.c THEN list_transform(r, lambda v: v / r[e.c]) ELSE list_transform(r, lambda v, j: v - r[e.c] * acc.m[e.c][j] / acc.m[e.c][e.c]) END)"
+    return f"""
+z{i} AS MATERIALIZED (SELECT pid, greatest(0.00001, least(1.0 - 0.00001, 1.0 / (1.0 + exp(-greatest(-20.0, least(20.0, sum(v * beta[i]))))))) AS p FROM xl, s{i - 1} GROUP BY pid),
+w{i} AS MATERIALIZED (SELECT pid, n * p * (1 - p) AS w, sy - n * p AS res FROM z{i} JOIN pt USING (pid)),
+h{i} AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v * w) AS s FROM xl a JOIN xl b USING (pid) JOIN w{i} USING (pid) GROUP BY 1, 2),
+l{i} AS (SELECT x.i, list(coalesce(s, 0) + CASE WHEN x.i = y.i THEN 0.00001 ELSE 0 END ORDER BY y.i) AS v FROM ix x CROSS JOIN ix y LEFT JOIN h{i} h ON h.i = x.i AND h.j = y.i GROUP BY x.i),
+a{i} AS (SELECT list(list_concat(v, list_transform(range(1, k + 1), lambda j: CASE WHEN j = i THEN 1.0::DOUBLE ELSE 0 END)) ORDER BY i) AS m, max(k) AS k FROM l{i}, (SELECT count(*) AS k FROM ix)),
+e{i} AS MATERIALIZED (SELECT list_transform(list_reduce(list_prepend({{'m': m, 'c': CAST(0 AS BIGINT)}}, list_transform(range(1, k + 1), lambda c: {{'m': m, 'c': c}})), lambda acc, e: {{'m': {eliminated}, 'c': e.c}}).m, lambda r: r[k + 1:]) AS inv FROM a{i}),
+r{i} AS (SELECT list(coalesce(s, 0) ORDER BY ix.i) AS r FROM ix LEFT JOIN (SELECT i, sum(v * res) AS s FROM xl JOIN w{i} USING (pid) GROUP BY 1) q ON q.i = ix.i),
+v{i} AS MATERIALIZED (SELECT inv, list_transform(inv, lambda row: list_sum(list_transform(row, lambda v, j: v * r[j]))) AS move FROM e{i}, r{i}),
+s{i} AS MATERIALIZED (
+  SELECT CASE WHEN o.done THEN o.beta ELSE list_transform(o.beta, lambda b, j: b + move[j]) END AS beta, CASE WHEN o.done THEN o.inv ELSE v.inv END AS inv, o.done OR list_max(list_transform(move, lambda x: abs(x))) < 0.0001 AS done FROM s{i - 1} o, v{i} v
+)"""
+
+
+_LOGISTIC_ROWS = _PLAIN_PREDICTORS.replace("nps_score AS y", "CAST(csat_score >= 0.5 AS DOUBLE) AS y")
+
+
+@query("driver_logistic", f"""{_LOGISTIC_ROWS},
+pt AS MATERIALIZED (SELECT row_number() OVER () AS pid, * FROM (SELECT category, wave, supervisor, tenure, day, count(*) AS n, sum(y) AS sy FROM dr GROUP BY ALL)),
+ix AS MATERIALIZED (SELECT term, f, level, row_number() OVER (ORDER BY term) AS i FROM terms),
+xl AS MATERIALIZED (
+  SELECT pid, i, CASE f WHEN 'tenure' THEN tenure / 100.0::DOUBLE WHEN 'day' THEN day / 30.0::DOUBLE ELSE 1.0::DOUBLE END AS v
+  FROM pt JOIN ix ON f IN ('intercept', 'tenure', 'day') OR (f = 'category' AND level = category) OR (f = 'wave' AND level = wave) OR (f = 'supervisor' AND level = supervisor)
+),
+s0 AS (SELECT list(0.0::DOUBLE ORDER BY i) AS beta, CAST(NULL AS DOUBLE[][]) AS inv, FALSE AS done FROM ix), {", ".join(_newton(i) for i in range(1, 16))},
+cn AS (SELECT i, sum(n) FILTER (v <> 0) AS cnt FROM xl JOIN pt USING (pid) GROUP BY 1),
+co AS (SELECT term, beta[ix.i] AS coefficient, sqrt(greatest(0.00000001, inv[ix.i][ix.i])) AS se, cnt, (SELECT avg(y) FROM dr) AS share FROM s15, ix JOIN cn USING (i)),
+pv AS (SELECT *, {_P_VALUE} AS p, coefficient * share * (1 - share) * 100 AS pp FROM (SELECT *, 1.0::DOUBLE / (1.0 + 0.3275911 * z) AS u FROM (SELECT *, abs(coefficient / se) / sqrt(2.0) AS z FROM co)))
+SELECT term, {_FOUR.format("coefficient")} AS coefficient, {_FOUR.format("se")} AS se, {_FOUR.format("(coefficient / se)")} AS t, {_FOUR.format("p")} AS p, {_FOUR.format("(coefficient - 1.96 * se)")} AS low, {_FOUR.format("(coefficient + 1.96 * se)")} AS high,
+  CASE WHEN cnt < 10 THEN 'INSUFFICIENT' WHEN cnt < 30 THEN 'LOW' WHEN p > 0.08 THEN 'MODERATE' ELSE 'SUPPORTED' END AS confidence,
+  round(exp(coefficient), 2) AS odds_ratio, round(pp, 1) AS marginal_pp, CASE WHEN round(pp, 1) > 0.5 THEN 'positive' WHEN round(pp, 1) < -0.5 THEN 'negative' ELSE 'neutral' END AS direction FROM pv""")
 def driver_logistic(spark, sf):
-    return drivers.logistic(drivers.driver_input(surveys(spark, sf), "csat_score"))[0]
+    """Odds of a high score by reweighted least squares; the SQL takes the same fifteen steps at most."""
+    out = drivers.logistic(drivers.driver_input(surveys(spark, sf), "csat_score"))[0]
+    return out.withColumns({c: scores.round_to(F.col(c), 4) for c in ("coefficient", "se", "t", "p", "low", "high")})
 
 
 @query("normal_p_values", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from surveyloom.catalog._base import CLAMPED_MEAN, MEAN, query, r4
+from surveyloom.catalog._base import CLAMPED_MEAN, MEAN, query, r4, soundex
 from surveyloom.operators import ingest, kpi, listings, org, reports, usage
 from surveyloom.sources.surveys import surveys, table
 
@@ -130,9 +130,9 @@ def encryption_round_trip(spark, sf):
     return s.groupBy("supervisor").agg(F.count(F.lit(1)).alias("n"), F.min(back == F.col("supervisor")).alias("same"), F.min(F.col("c") != F.col("supervisor")).alias("hidden"))
 
 
-@query("name_codes", surveys=False)
+@query("name_codes", f"SELECT p_partkey, {soundex('split_part(p_name, chr(32), 1)')} AS code FROM part", surveys=False)
 def name_codes(spark, sf):
-    """Phonetic codes of part names; SQL has no such function."""
+    """Phonetic codes of part names."""
     return table(spark, sf, "part").select("p_partkey", F.soundex(F.element_at(F.split("p_name", " "), 1)).alias("code"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from surveyloom.catalog._base import query
+from surveyloom.catalog._base import query, soundex
 from surveyloom.operators import endpoints, grounding, people, privacy
 from surveyloom.plans.dsl import run
 from surveyloom.sources.surveys import analyses, categories, surveys, table, with_verbatim
@@ -26,12 +26,6 @@ def _asked(spark, sf):
     return table(spark, sf, "part").select(text.alias("q")).distinct()
 
 
-def _soundex(x: str) -> str:
-    """SQL for the sound of a word as Spark gives it: the first letter, then codes that differ from the one before."""
-    codes = f"list_filter(str_split(translate(upper({x}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ ', '012301270224550126230172020'), ''), lambda c, i: i = 1 OR c <> '7')"
-    return f"rpad(left(upper({x}), 1) || left(array_to_string(list_filter(list_filter({codes}, lambda c, i: i > 1 AND c <> ({codes})[i - 1]), lambda c: c <> '0'), ''), 3), 4, '0')"
-
-
 _LONGEST = "list_max(flatten(list_transform(range(1, len({a}) + 1), lambda i: list_transform(list_filter(range(1, len({a}) - i + 2), lambda l: contains({b}, substr({a}, i, l))), lambda l: {{'l': l, 'i': -i}}))))"
 
 
@@ -59,7 +53,7 @@ segs AS (
 ),
 alike AS (SELECT x AS q, y, 2.0::DOUBLE * coalesce(sum(m.l), 0) / (len(x) + len(y)) AS v FROM segs GROUP BY 1, 2),
 byword AS (
-  SELECT c.q, t, levenshtein(c.q, t) AS d, greatest(len(c.q), len(t)) AS n, coalesce(v, 0) AS v, {_soundex('c.q')} = {_soundex('t')} AS sound
+  SELECT c.q, t, levenshtein(c.q, t) AS d, greatest(len(c.q), len(t)) AS n, coalesce(v, 0) AS v, {soundex('c.q')} = {soundex('t')} AS sound
   FROM (SELECT q, t FROM texts, (SELECT DISTINCT t FROM tok)) c LEFT JOIN alike ON alike.q = c.q AND y = t
 ),
 scored AS (
