@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,6 +41,18 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def released(result: DataFrame) -> None:
+    """Remove all tables of ``written`` that a result reads, once it is not needed any more.
+
+    Operators drop what they wrote on the way themselves; what their result reads stays for
+    their callers to drop.  Other files that the result reads are left alone.
+    """
+    folder = shared_folder(result.sparkSession).rstrip("/")
+    name = re.compile(re.escape(folder.rpartition(":")[2].lstrip("/")) + r"/(table-[0-9a-f]{32})/")
+    for table in sorted({m[1] for f in result.inputFiles() if (m := name.search(f))}):
+        dropped(result.sparkSession, f"{folder}/{table}")
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task's function that gives unused memory back to the system at its end, as its worker may wait long for another task."""
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.llm import _text as T
 from surveyloom.llm._graph import connected_components
-from surveyloom.llm._io import dropped, tidy, written
+from surveyloom.llm._io import dropped, released, tidy, written
 
 #: Shingles in a block of a group.
 BLOCK_SHINGLES = 1_000_000
@@ -332,6 +332,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     stars, stars_at = written(_stars(groups, sets, percent))
     starred = connected_components(stars, "a", "b").withColumnRenamed("node", "id")
     rest, rest_at = written(_rest(groups, sets, starred, percent))
+    released(starred)
     for path in (groups_at, sets_at):
         dropped(spark, path)
 
@@ -342,5 +343,6 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     out = sketches.select("doc_id", "n_shingles").join(components, F.col("doc_id") == F.col("node"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     out, _ = written(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    released(components)
     dropped(spark, sketches_at)
     return out

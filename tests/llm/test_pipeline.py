@@ -63,3 +63,27 @@ def test_stages_on_no_rows(spark, sf):
     for _, stage in C.STAGES:
         docs, _ = C.written(stage(spark, docs, sf))
     assert docs.count() == 0
+
+
+def test_no_tables_are_left(spark, sf):
+    """Operators and the pipeline drop what they wrote; callers drop what a result reads."""
+    from pathlib import Path
+
+    from surveyloom.llm._io import released, shared_folder
+    from surveyloom.llm.conversation_repair import repair_conversations
+    from surveyloom.llm.queries import op8_nearest_neighbours, op9_top_products
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    tables = lambda: {p.name for p in folder.iterdir() if p.name.startswith("table-")}
+    before = tables()
+    docs = frame(spark)
+    results = [near_dedup(docs), C.pack_documents(docs, C.tokenizer_path()), op8_nearest_neighbours(spark, sf), op9_top_products(spark, sf), C.run(spark, sf)]
+    results.append(repair_conversations(spark.read.parquet(f"{sf}/conversations.parquet")))
+    for result in results:
+        assert result.count() > 0
+        released(result)
+    assert tables() == before
+    # the tables that were given are not ours
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    released(given)
+    assert given.count() > 0
