@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from surveyloom.llm._io import dropped, written
+from surveyloom.llm._io import dropped, released, written
 from surveyloom.llm.mixing import mix_sources, mixed_copies
 from surveyloom.llm.near_dedup import near_dedup
 from surveyloom.llm.packing import pack_documents
@@ -88,13 +88,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read back."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs, path = written(stage(spark, docs, sf_dir))
-        if before:
-            dropped(spark, before)
-        before = path
+        made = stage(spark, docs, sf_dir)
+        docs, path = written(made)
+        # the stage before, and what this one's operator left for its result
+        released(made)
     # the last stage has read its input when it returns
     out = STAGES[-1][1](spark, docs, sf_dir)
-    dropped(spark, before)
+    dropped(spark, path)
     return out
