@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surveyloom.catalog._base import MEAN, TOP_MEAN, query
-from surveyloom.operators.endpoints import calculate_metric, category_distribution, compare_metrics, dimension_values
+from surveyloom.operators.endpoints import calculate_metric, category_distribution, compare_metrics, custom_tool, dimension_values, run_forecast, sandbox, widget
 from surveyloom.plans.dsl import run, with_share
 from surveyloom.sources.surveys import analyses, categories, surveys
 
@@ -79,3 +79,36 @@ UNION ALL SELECT 'category', name FROM categories""")
 def dimension_values_query(spark, sf):
     s = surveys(spark, sf)
     return dimension_values(s, ["wave", "supervisor"]).union(categories(spark, sf).select(F.lit("category"), "name"))
+
+
+@query("widget_comparison", f"SELECT supervisor, {NPS} AS nps, count(*) AS sample_count FROM surveys WHERE wave = 'BUILDING' GROUP BY 1 ORDER BY nps DESC NULLS LAST, supervisor LIMIT 12")
+def widget_comparison(spark, sf):
+    """A dashboard's comparison of twelve supervisors at most, over one wave."""
+    return widget("comparison", surveys(spark, sf), filters=[{"field": "wave", "value": "BUILDING"}])
+
+
+@query("widget_category_breakdown", "SELECT coalesce(name, 'Uncategorized') AS category, count(*) AS survey_volume FROM surveys LEFT JOIN analyses USING (survey_id) LEFT JOIN categories USING (category_id) GROUP BY 1")
+def widget_category_breakdown(spark, sf):
+    return widget("category_breakdown", surveys(spark, sf), analyses(spark, sf), categories(spark, sf))
+
+
+@query("custom_tool_query", f"SELECT wave, {CSAT} AS csat, count(*) AS sample_count FROM surveys WHERE tenure_days >= 30 AND supervisor <> 'NATION_2' GROUP BY 1 ORDER BY csat DESC NULLS LAST, wave LIMIT 3")
+def custom_tool_query(spark, sf):
+    """A stored template with a call's arguments: its filter, one more, and another limit."""
+    template = {"metrics": ["csat"], "group_by": ["wave"], "filters": [{"field": "tenure", "operator": ">=", "value": 30}], "limit": 9}
+    return run(custom_tool(template, {"filters": [{"field": "supervisor", "operator": "!=", "value": _nation(2)}], "limit": 3, "metrics": None}), surveys(spark, sf))
+
+
+@query("sandbox_query", f"SELECT agent_name AS agent, {NPS} AS nps, count(*) AS sample_count, max(agent_name) AS agent_name FROM surveys GROUP BY 1 ORDER BY nps DESC NULLS LAST, agent LIMIT 50")
+def sandbox_query(spark, sf):
+    """A query for trying things out, cut to fifty groups whatever it asks for."""
+    return run(sandbox({"metrics": ["nps"], "group_by": ["agent"], "limit": 500}), surveys(spark, sf))
+
+
+@query("forecast_of_a_part", """
+d AS (SELECT survey_date, count(*) AS n FROM surveys WHERE supervisor <> 'NATION_0' GROUP BY 1)
+SELECT 'all' AS series, CASE WHEN count_if(n >= 20) < 28 THEN 1 ELSE 7 END AS rows, CASE WHEN count_if(n >= 20) >= 28 THEN max(survey_date) + 7 END AS last_day FROM d""")
+def forecast_of_a_part(spark, sf):
+    """Days that are projected from the surveys of a part."""
+    out = run_forecast(surveys(spark, sf), "csat", 7, [{"field": "supervisor", "operator": "!=", "value": _nation(0)}])
+    return out.groupBy("series").agg(F.count(F.lit(1)).cast("int").alias("rows"), F.max("date").alias("last_day"))
