@@ -199,11 +199,15 @@ def _is_word(c: str) -> bool:
 _WORD = re.compile(r"\b[^\W_]{4,}\b")
 
 
-def without_people(texts: DataFrame, key: str, column: str, people: DataFrame) -> DataFrame:
+#: People that every task may hold as automata.
+DICTIONARY = 200_000
+
+
+def without_people(texts: DataFrame, key: str, column: str, people: DataFrame, most: int = DICTIONARY) -> DataFrame:
     """Adds ``replaced``, ``agents`` and ``supervisors``: known people become their pseudonyms.
 
-    ``people`` has kind (bms, supervisor or agent), name (or id) and pseudonym; it is a
-    dictionary of bounded size that every task holds as automata.  ``key`` names a column that
+    ``people`` has kind (bms, supervisor or agent), name (or id) and pseudonym; every task holds
+    it as automata, so it raises ValueError if there are more than ``most``.  ``key`` names a column that
     tells texts apart.  Ids go first, then aliases of supervisors, longest first, then words
     of four letters and more that mean one supervisor though misspelt (looked up once for
     each distinct word of all texts), then aliases of agents.  The counts are of different ids
@@ -215,7 +219,9 @@ def without_people(texts: DataFrame, key: str, column: str, people: DataFrame) -
     means = best_matches(words, "word", leads, "name").join(leads.select(F.col("name").alias("matched"), "pseudonym"), "matched").select(F.col("query").alias("word"), "pseudonym")
     own = words.join(means, "word").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("word", "pseudonym"))).alias("__means"))
 
-    listed = names.toPandas()
+    listed = names.limit(most + 1).toPandas()
+    if len(listed) > most:
+        raise ValueError(f"more than {most} people to look for")
     held = {kind: part[["name", "pseudonym"]].sort_values(["name", "pseudonym"]).values.tolist() for kind, part in listed.groupby("kind")}
     phrases = {"bms": {str(n).lower().translate(_FOLD): p for n, p in held.get("bms", []) if str(n).strip()}}
     for kind in ("supervisor", "agent"):

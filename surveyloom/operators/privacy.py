@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.functions.text import scrubbed
-from surveyloom.sources.stored import written
+from surveyloom.sources.stored import discarded, written
 
 PREFIX = {"agent": "AGT", "agent_bms": "AGT", "agent_name": "AGT", "supervisor": "SUP", "survey": "REC", "record": "REC"}
 
@@ -29,7 +29,7 @@ def new_pseudonyms(entities: DataFrame, vault: DataFrame, scope: str, length: in
     times; a pseudonym that the vault and earlier rounds don't have goes to the first entity
     that drew it, and an entity keeps the first it got.  Rounds are written, so each plan
     reads a few tables and recomputed tasks see what was drawn; the result is read from
-    them.  Raises ValueError where the scope has fewer free pseudonyms than entities.
+    them (``stored.discarded`` removes them).  Raises ValueError where the scope has fewer free pseudonyms than entities.
     """
     salt = secrets.token_hex(16)
     alphabet = string.ascii_uppercase + string.digits
@@ -51,7 +51,9 @@ def new_pseudonyms(entities: DataFrame, vault: DataFrame, scope: str, length: in
         owner = F.struct("type", "internal_id", "draw")
         got = drawn.groupBy("pseudonym").agg(F.min(owner).alias("x")).groupBy("x.type", "x.internal_id").agg(F.min_by("pseudonym", "x.draw").alias("pseudonym"))
         rounds.append(written(got.select(F.lit(scope).alias("scope"), "type", "internal_id", "pseudonym")))
-        left = written(left.join(rounds[-1].select("type", "internal_id"), ["type", "internal_id"], "left_anti"))
+        before, left = left, written(left.join(rounds[-1].select("type", "internal_id"), ["type", "internal_id"], "left_anti"))
+        discarded(before)
+    discarded(left)
     return reduce(DataFrame.union, rounds)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -27,6 +28,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Remove the tables of ``written`` that a table reads, once nothing needs it any more."""
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession).rstrip("/")
+    inside = re.compile(re.escape(folder.rpartition(":")[2].lstrip("/")) + r"/(table-[0-9a-f]{32})/")
+    for name in sorted({m[1] for f in df.inputFiles() if (m := inside.search(f))}):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Store:
     """Named tables in a folder, replaced together as one version.
 

@@ -122,6 +122,8 @@ def test_people_in_texts_become_pseudonyms(spark):
     t = spark.createDataFrame([x[:2] for x in texts], "id int, t string")
     got = {r.id: (r.replaced, r.agents, r.supervisors) for r in people.without_people(t, "id", "t", people_table).collect()}
     assert got == {x[0]: x[2:] for x in texts}
+    with pytest.raises(ValueError, match="more than 2 people"):
+        people.without_people(t, "id", "t", people_table, most=2)
     nobody = people.without_people(t, "id", "t", people_table.limit(0)).collect()
     assert {r.id: r.replaced for r in nobody} == {x[0]: x[1] for x in texts}
 
@@ -142,3 +144,12 @@ def test_many_pseudonyms_against_a_large_vault(spark):
     assert tuple(row) == (100_000,) * 3 and made.join(vault, "pseudonym").count() == 0
     with pytest.raises(ValueError, match="pseudonyms of 1"):
         privacy.new_pseudonyms(entities.limit(50), vault, "s", length=1)
+    # only the rounds of the result are left, until they are discarded
+    from pathlib import Path
+
+    from surveyloom.sources.stored import discarded, shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    left = {p.name for p in folder.iterdir()}
+    discarded(made)
+    assert {p.name for p in folder.iterdir()} < left and vault.count() == 200_000
