@@ -207,7 +207,7 @@ inv AS (SELECT list_transform(m, lambda r: r[k + 1:]) AS m, k FROM step WHERE c
 
 
 _FOUR = "sign({0}) * floor(abs({0}) * 10000 + 0.5) / 10000"
-_P_VALUE = "greatest(0.0001, least(1.0, (((((1.061405429 * u - 1.453152027) * u + 1.421413741) * u - 0.284496736) * u + 0.254829592) * u * exp(-z * z))))"
+_P_VALUE = f"greatest(0.0001, least(1.0, {scores.erf_complement_sql('u')} * exp(-z * z)))"
 
 
 @query("driver_least_squares", f"""WITH RECURSIVE {SURVEYS_SQL}, {_PLAIN_PREDICTORS},

@@ -35,14 +35,30 @@ def top_box_clamped(x: Column) -> Column:
     return F.when(x >= 1, 1.0).when(x > 0, x).otherwise(0.0)
 
 
+# fixed values: Abramowitz and Stegun, formula 7.1.26
+ERF_RATE, ERF_TERMS = 0.3275911, (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592)
+
+
+def erf_complement(x, exp):
+    """1 - erf(x) for x >= 0, of a column or a number; ``exp`` is its exponential function."""
+    t = 1.0 / (1.0 + ERF_RATE * x)
+    poly = 0.0
+    for term in ERF_TERMS:
+        poly = (poly + term) * t
+    return poly * exp(-x * x)
+
+
+def erf_complement_sql(t: str) -> str:
+    """The same polynomial in SQL; ``t`` is 1 / (1 + ERF_RATE * x)."""
+    poly = "0.0"
+    for term in ERF_TERMS:
+        poly = f"({poly} + {term}) * {t}"
+    return f"({poly})"
+
+
 def normal_p_value(stat: Column) -> Column:
     """Two-sided p-value by a polynomial error function, at least 0.0001."""
-    # fixed values: Abramowitz and Stegun, formula 7.1.26
-    x = F.abs(stat) / F.sqrt(F.lit(2.0))
-    t = 1.0 / (1.0 + 0.3275911 * x)
-    poly = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t
-    erf = 1.0 - poly * F.exp(-x * x)
-    return F.greatest(F.lit(0.0001), F.least(F.lit(1.0), 1.0 - erf))
+    return F.greatest(F.lit(0.0001), F.least(F.lit(1.0), erf_complement(F.abs(stat) / F.sqrt(F.lit(2.0)), F.exp)))
 
 
 def sigmoid(z: Column) -> Column:

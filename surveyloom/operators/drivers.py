@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.functions.scores import sigmoid
+from surveyloom.functions.scores import erf_complement, sigmoid
 
 MIN_OLS, MIN_LOGISTIC, TOP_SUPERVISORS = 10, 15, 8
 
@@ -119,11 +119,7 @@ def gram(patterns: DataFrame, d: Design) -> tuple[np.ndarray, np.ndarray, float,
 
 def p_value(stat: float) -> float:
     """Two-sided normal p-value, as in ``functions.scores.normal_p_value``."""
-    x = abs(stat) / np.sqrt(2.0)
-    # fixed values: Abramowitz and Stegun, formula 7.1.26
-    t = 1.0 / (1.0 + 0.3275911 * x)
-    erf = 1.0 - ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * np.exp(-x * x)
-    return float(max(0.0001, min(1.0, 1.0 - erf)))
+    return float(max(0.0001, min(1.0, erf_complement(abs(stat) / np.sqrt(2.0), np.exp))))
 
 
 def confidence_label(n: int, p: float) -> str:
