@@ -145,35 +145,48 @@ def merged_reviews(base: DataFrame, extra: DataFrame) -> DataFrame:
     name in any order (3), one plain name inside the other (4).  ``extra`` has name (a name or
     an id) and comment; of several the smallest comment counts.
 
-    Containment goes through an index of three-letter parts: a name is in another only if
-    the other has all its parts, so each name looks up its rarest part alone.
+    Containment goes through ``contained``.  Names are made from short columns and parts of
+    them, so their size is not what the planner takes it for: joins are sort-merge joins, and
+    no table of names is sent to the driver.
     """
     from surveyloom.functions.text import normalised, token_set
 
     b = base.select("agent_bms", "agent_name", F.lower(F.trim("agent_name")).alias("low"), normalised(F.col("agent_name")).alias("clean"), token_set(F.col("agent_name")).alias("tokens"))
-    e = extra.select("name", "comment", F.lower(F.trim("name")).alias("low"), normalised(F.col("name")).alias("clean"), token_set(F.col("name")).alias("tokens"))
+    e = extra.select("name", "comment", F.lower(F.trim("name")).alias("low"), normalised(F.col("name")).alias("clean"), token_set(F.col("name")).alias("tokens")).hint("merge")
     found = [
         b.join(e, "low").select("agent_bms", F.lit(1).alias("way"), "comment"),
         b.join(e, F.trim("agent_bms") == F.trim("name")).select("agent_bms", F.lit(2).alias("way"), "comment"),
         b.filter("tokens <> ''").join(e, "tokens").select("agent_bms", F.lit(3).alias("way"), "comment"),
     ]
-    held = contained(b.select("clean").union(e.select("clean")))
-    by_name = lambda names, other: names.join(held, F.col("clean") == F.col(other))
-    mine, theirs = b.select("agent_bms", "clean"), e.select("comment", F.col("clean").alias("theirs"))
-    found.append(by_name(mine, "part").join(theirs, F.col("whole") == F.col("theirs")).select("agent_bms", F.lit(4).alias("way"), "comment"))
-    found.append(by_name(mine, "whole").join(theirs, F.col("part") == F.col("theirs")).select("agent_bms", F.lit(4).alias("way"), "comment"))
+    mine, theirs = b.select("agent_bms", F.col("clean").alias("mine")).hint("merge"), e.select("comment", F.col("clean").alias("theirs")).hint("merge")
+    for part, whole in (("mine", "theirs"), ("theirs", "mine")):
+        pairs = contained(b.select("clean") if part == "mine" else e.select("clean"), e.select("clean") if part == "mine" else b.select("clean")).toDF(part, whole)
+        found.append(pairs.join(mine, "mine").join(theirs, "theirs").select("agent_bms", F.lit(4).alias("way"), "comment"))
     best = reduce(DataFrame.union, found).groupBy("agent_bms").agg(F.min(F.struct("way", "comment")).alias("x"))
-    return base.join(best.select("agent_bms", "x.comment", "x.way"), "agent_bms", "left")
-
-
-def contained(names: DataFrame) -> DataFrame:
-    """(part, whole) of different texts of a one-column table of which one is inside the other."""
-    texts = names.toDF("t").filter("t <> ''").distinct()
-    parts = lambda n: F.transform(F.sequence(F.lit(1), F.length("t") - (n - 1)), lambda i: F.substring(F.col("t"), i, F.lit(n)))
-    grams = F.array_distinct(F.concat(*(F.when(F.length("t") >= n, parts(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3))))
-    index = texts.select("t", F.explode(grams).alias("gram"))
-    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # parts of three letters, or the whole of a shorter text
-    own = index.filter(F.length("gram") == F.least(F.lit(3), F.length("t"))).join(counts, "gram")
-    rarest = own.groupBy("t").agg(F.min(F.struct("n", "gram")).alias("x")).select(F.col("t").alias("part"), "x.gram")
-    return rarest.join(index.withColumnRenamed("t", "whole"), "gram").filter(F.col("whole").contains(F.col("part")) & (F.col("whole") != F.col("part"))).select("part", "whole")
+    return base.join(best.select("agent_bms", "x.comment", "x.way").hint("merge"), "agent_bms", "left")
+
+
+#: Lengths of the pieces by which ``contained`` looks texts up.
+WIDTHS = (1, 2, 3, 6, 12, 24)
+
+
+def contained(parts: DataFrame, wholes: DataFrame | None = None) -> DataFrame:
+    """(part, whole) of different texts, one inside the other; both from the first one-column table if there is no second.
+
+    A part is looked up by one of its pieces, all of the greatest of ``WIDTHS`` letters that it
+    has: the one that the fewest wholes hold.  Long pieces tell names apart however many there
+    are.  Pieces are hashes, wholes are fetched for what is found, and every pair is looked at.
+    """
+    p = parts.toDF("part").filter("part <> ''").distinct()
+    w = (parts if wholes is None else wholes).toDF("whole").filter("whole <> ''").distinct()
+    pieces = lambda t, n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.xxhash64(F.substring(t, i, n)))).otherwise(F.array().cast("array<long>"))
+    width = F.element_at(F.filter(F.array(*map(F.lit, WIDTHS)), lambda n: n <= F.length("part")), -1)
+    p = p.withColumn("width", width)
+    used = p.agg(F.collect_set("width").alias("widths"))
+    index = w.crossJoin(F.broadcast(used)).select(F.xxhash64("whole").alias("id"), F.explode(F.array_distinct(F.flatten(F.transform("widths", lambda n: pieces(F.col("whole"), n))))).alias("piece"))
+    counts = index.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    own = p.select("part", F.explode(F.array_distinct(pieces(F.col("part"), F.col("width")))).alias("piece"))
+    # a piece that no whole holds comes first, and then no whole holds the part
+    rarest = own.join(counts.hint("merge"), "piece", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("x")).filter("x.n > 0").select("part", "x.piece")
+    may = rarest.join(index.hint("merge"), "piece").select("part", "id")
+    return may.join(w.select(F.xxhash64("whole").alias("id"), "whole").hint("merge"), "id").filter(F.col("whole").contains(F.col("part")) & (F.col("whole") != F.col("part"))).select("part", "whole")
