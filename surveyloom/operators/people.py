@@ -10,13 +10,16 @@ share two letters that stand next to each other or have one letter between them.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveyloom.sources.stored import written
+
 # fixed values: words that are never a person
 STOPWORDS = """
 de del la las el los un una unos unas y o e en para por con sin sobre a al
@@ -150,10 +153,21 @@ def best_matches(asked: DataFrame, column: str, people: DataFrame, name: str, ki
 
 
 _FOLD = str.maketrans(_ACCENTED + _ACCENTED.upper(), _PLAIN * 2)
+# separators between words: commas, points and all white space are one space
+_FLAT = _FOLD | {i: " " for i in range(0x3001) if chr(i).isspace() or chr(i) in ",."}
+
+
+def flat(text: str) -> tuple[str, Sequence[int]]:
+    """A text in lower case with plain letters and single spaces, and the place of each of its letters in the text."""
+    low = (text.lower() if len(text.lower()) == len(text) else "".join(c.lower()[:1] for c in text)).translate(_FLAT)
+    if "  " not in low:
+        return low, range(len(low))
+    where = [i for i, c in enumerate(low) if c != " " or not i or low[i - 1] != " "]
+    return "".join(low[i] for i in where), where
 
 
 class Automaton:
-    """All known phrases looked for at once; longer phrases go first, wherever they stand."""
+    """Some phrases looked for at once; longer phrases go first, wherever they stand."""
 
     def __init__(self, tokens: dict[str, str]) -> None:
         import ahocorasick
@@ -168,21 +182,14 @@ class Automaton:
         """The text with every phrase at word bounds replaced, and how many different ones there were."""
         if not self.tokens:
             return text, 0
-        # separators between words are one space; where[i] is the place of letter i in the text
-        folded, where = [], []
-        for i, c in enumerate(text.lower().translate(_FOLD) if len(text.lower()) == len(text) else "".join(c.lower()[:1] for c in text).translate(_FOLD)):
-            c = " " if c in ",." or c.isspace() else c
-            if c != " " or not folded or folded[-1] != " ":
-                folded.append(c)
-                where.append(i)
-        flat = "".join(folded)
+        low, where = flat(text)
         found = []
-        for end, phrase in self.machine.iter(flat):
+        for end, phrase in self.machine.iter(low):
             begin = end - len(phrase) + 1
-            inside = (begin and _is_word(flat[begin - 1]) and _is_word(phrase[0])) or (end + 1 < len(flat) and _is_word(flat[end + 1]) and _is_word(phrase[-1]))
+            inside = (begin and _is_word(low[begin - 1]) and _is_word(phrase[0])) or (end + 1 < len(low) and _is_word(low[end + 1]) and _is_word(phrase[-1]))
             if not inside:
                 found.append((-len(phrase), begin, phrase))
-        taken, spans = [False] * len(flat), []
+        taken, spans = [False] * len(low), []
         for n, begin, phrase in sorted(found):
             if not any(taken[begin : begin - n]):
                 taken[begin : begin - n] = [True] * -n
@@ -199,57 +206,110 @@ def _is_word(c: str) -> bool:
 _WORD = re.compile(r"\b[^\W_]{4,}\b")
 
 
-#: People that every task may hold as automata.
-DICTIONARY = 200_000
+_RUN = re.compile(r"\w+")
+#: So many phrases are sent to every task; more of them meet the texts in a shuffle.
+FEW = 10_000
+
+
+def phrase_key(phrase: str) -> tuple[int, str]:
+    """How many words a phrase has, and its part from the first to the last of them; without words, its first sign.
+
+    Wherever a phrase stands at word bounds, its words are whole words of the text, so the
+    text has the same part.
+    """
+    runs = list(_RUN.finditer(phrase))
+    return (len(runs), phrase[runs[0].start() : runs[-1].end()]) if runs else (0, phrase.strip()[:1])
+
+
+def text_keys(text: str | None, sizes: list[int]) -> list[str]:
+    """Keys of all phrases that may stand in a text, where phrases have so many words."""
+    low = flat(text or "")[0]
+    runs = [m.span() for m in _RUN.finditer(low)]
+    keys = {low[runs[i][0] : runs[i + n - 1][1]] for n in sizes if n for i in range(len(runs) - n + 1)}
+    return sorted(keys | ({c for c in low if c != " " and not _is_word(c)} if 0 in sizes else set()))
 
 
-def without_people(texts: DataFrame, key: str, column: str, people: DataFrame, most: int = DICTIONARY) -> DataFrame:
+def _ids(ids: DataFrame) -> DataFrame:
+    """(phrase, pseudonym) of ids; of those that read alike the last name counts."""
+    fold = F.pandas_udf(lambda x: x.map(lambda n: str(n).lower().translate(_FOLD) if n is not None and str(n).strip() else None), "string")
+    named = ids.select(F.col("name").cast("string").alias("name"), "pseudonym").filter("name is not null")
+    return named.select(fold("name").alias("phrase"), "name", "pseudonym").filter("phrase is not null").groupBy("phrase").agg(F.max_by("pseudonym", F.struct("name", "pseudonym")).alias("pseudonym"))
+
+
+def _aliases(people: DataFrame) -> DataFrame:
+    """(phrase, pseudonym) of all aliases; of equal aliases the first name counts, of its pseudonyms the first."""
+    first = profiles(people, "name").select("name", F.explode("aliases").alias("phrase")).groupBy("phrase").agg(F.min("name").alias("name"))
+    return first.join(people.groupBy(F.col("name").cast("string").alias("name")).agg(F.min("pseudonym").alias("pseudonym")).hint("merge"), "name").select("phrase", "pseudonym")
+
+
+def _met(texts: DataFrame, key: str, column: str, phrases: DataFrame) -> DataFrame | None:
+    """(k, phrase, pseudonym): the phrases that each text may hold; None if there are no phrases."""
+    keyed = F.pandas_udf(lambda x: pd.DataFrame([phrase_key(p) for p in x], columns=["words", "part"]), "words int, part string")
+    phrases = phrases.withColumn("__key", keyed("phrase")).select("phrase", "pseudonym", "__key.words", F.col("__key.part").alias("part"))
+    kinds = phrases.groupBy("words").count().collect()
+    if not kinds:
+        return None
+    sizes = sorted(r["words"] for r in kinds)
+    parts = F.pandas_udf(lambda x: x.map(lambda t: text_keys(t, sizes)), "array<string>")
+    few = sum(r["count"] for r in kinds) <= FEW
+    found = texts.select(F.col(key).alias("k"), F.explode(parts(column)).alias("part")).join(F.broadcast(phrases) if few else phrases.hint("merge"), "part")
+    return found.select("k", "phrase", "pseudonym")
+
+
+def without_people(texts: DataFrame, key: str, column: str, people: DataFrame, most: int | None = None) -> DataFrame:
     """Adds ``replaced``, ``agents`` and ``supervisors``: known people become their pseudonyms.
 
-    ``people`` has kind (bms, supervisor or agent), name (or id) and pseudonym; every task holds
-    it as automata, so it raises ValueError if there are more than ``most``.  ``key`` names a column that
-    tells texts apart.  Ids go first, then aliases of supervisors, longest first, then words
-    of four letters and more that mean one supervisor though misspelt (looked up once for
-    each distinct word of all texts), then aliases of agents.  The counts are of different ids
-    and aliases replaced.  A null text stays null.
+    ``people`` has kind (bms, supervisor or agent), name (or id) and pseudonym, and may be of
+    any size, unless ``most`` says how many there may be (ValueError): texts and phrases are
+    joined by whole words, so a text meets only phrases whose words it has.  ``key`` names a
+    column that tells texts apart.  Ids go first, then aliases of supervisors, longest first, then
+    words of four letters and more that mean one supervisor though misspelt (looked up once for
+    each distinct word of all texts), then aliases of agents.  Each step reads the text that
+    the one before left.  The counts are of different ids and aliases replaced.  A null text
+    stays null.
     """
     names = people.select(F.lower("kind").alias("kind"), "name", "pseudonym")
-    leads = names.filter("kind = 'supervisor'")
-    words = texts.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(r"(?<![\p{L}\p{N}_])([\p{L}\p{N}]{4,})(?![\p{L}\p{N}_])"), F.lit(1)))).alias("word"))
-    means = best_matches(words, "word", leads, "name").join(leads.select(F.col("name").alias("matched"), "pseudonym"), "matched").select(F.col("query").alias("word"), "pseudonym")
-    own = words.join(means, "word").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("word", "pseudonym"))).alias("__means"))
-
-    listed = names.limit(most + 1).toPandas()
-    if len(listed) > most:
+    if most is not None and names.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} people to look for")
-    held = {kind: part[["name", "pseudonym"]].sort_values(["name", "pseudonym"]).values.tolist() for kind, part in listed.groupby("kind")}
-    phrases = {"bms": {str(n).lower().translate(_FOLD): p for n, p in held.get("bms", []) if str(n).strip()}}
-    for kind in ("supervisor", "agent"):
-        tokens = {name: token for name, token in reversed(held.get(kind, []))}
-        aliases = profiles(leads if kind == "supervisor" else names.filter("kind = 'agent'"), "name").select("name", F.explode("aliases").alias("alias")).groupBy("alias").agg(F.min("name").alias("name")).collect()
-        phrases[kind] = {r["alias"]: tokens[r["name"]] for r in aliases}
-
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        machine = {kind: Automaton(own) for kind, own in phrases.items()}
-        for part, means in parts:
-            rows = []
-            for text, known in zip(part, means, strict=True):
-                if text is None:
-                    rows.append((None, 0, 0))
-                    continue
-                text, ids = machine["bms"].replaced(text)
-                text, leads = machine["supervisor"].replaced(text)
-                known = dict(known) if known is not None else {}
-                hits = [w for w in dict.fromkeys(_WORD.findall(text)) if w in known]
-                for word in hits:
-                    text = re.sub(rf"\b{re.escape(word)}\b", known[word], text)
-                text, agents = machine["agent"].replaced(text)
-                rows.append((text, ids + agents, leads + len(hits)))
-            yield pd.DataFrame(rows, columns=["replaced", "agents", "supervisors"])
-
-    joined = texts.join(own, F.col(key).eqNullSafe(F.col("k")), "left").drop("k")
-    made = F.pandas_udf(run, "replaced string, agents long, supervisors long")(F.col(column), F.col("__means"))
-    return joined.withColumn("__made", made).select(*texts.columns, "__made.replaced", "__made.agents", "__made.supervisors")
+    # supervisors are looked up in many ways; written, so that only one reads all people
+    leads, agents = written(names.filter("kind = 'supervisor'").distinct()), names.filter("kind = 'agent'")
+    words = texts.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(r"(?<![\p{L}\p{N}_])([\p{L}\p{N}]{4,})(?![\p{L}\p{N}_])"), F.lit(1)))).alias("word"))
+    # written, as the ways of looking them up would each read all texts again
+    means = best_matches(written(words.select("word").distinct()), "word", leads, "name").join(leads.select(F.col("name").alias("matched"), "pseudonym"), "matched").groupBy("query").agg(F.min("pseudonym").alias("pseudonym"))
+    meant = words.join(means, F.col("word") == F.col("query")).select("k", F.col("word").alias("phrase"), "pseudonym")
+
+    def replaced(rows: DataFrame, hits: dict[str, DataFrame | None], count: str) -> DataFrame:
+        """One step: phrases, then words looked up, each text with its own."""
+        listed = [hit.withColumn("what", F.lit(what)) for what, hit in hits.items() if hit is not None]
+        if not listed:
+            return rows
+        pairs = lambda what: F.map_from_entries(F.collect_set(F.when(F.col("what") == what, F.struct("phrase", "pseudonym")))).alias(f"__{what}")
+        own = reduce(DataFrame.union, listed).groupBy("k").agg(*map(pairs, hits)).hint("merge")
+        return rows.join(own, F.col(key).eqNullSafe(F.col("k")), "left").drop("k").withColumn("__x", F.pandas_udf(_step, "t string, n long")("__text", "__phrases")).withColumns({"__text": F.col("__x.t"), count: F.col(count) + F.col("__x.n")}).drop("__x", "__phrases")
+
+    rows = texts.withColumns({"__text": F.col(column), "agents": F.lit(0).cast("long"), "supervisors": F.lit(0).cast("long")})
+    rows = replaced(rows, {"phrases": _met(rows, key, "__text", _ids(names.filter("kind = 'bms'"))), "words": meant}, "agents")
+    rows = replaced(rows, {"phrases": _met(rows, key, "__text", _aliases(leads))}, "supervisors")
+    rows = rows.withColumn("__x", F.pandas_udf(_looked_up, "t string, n long")("__text", "__words")).withColumns({"__text": F.col("__x.t"), "supervisors": F.col("supervisors") + F.col("__x.n")})
+    rows = replaced(rows, {"phrases": _met(rows, key, "__text", _aliases(agents))}, "agents")
+    return rows.select(*texts.columns, F.col("__text").alias("replaced"), "agents", "supervisors")
+
+
+def _step(texts: pd.Series, phrases: pd.Series) -> pd.DataFrame:
+    """Each text with its own phrases replaced, and how many different ones there were."""
+    return pd.DataFrame([(t, 0) if t is None or not own else Automaton(dict(own)).replaced(t) for t, own in zip(texts, phrases, strict=True)], columns=["t", "n"])
+
+
+def _looked_up(texts: pd.Series, words: pd.Series) -> pd.DataFrame:
+    """Each text with its words of four letters and more replaced by what they mean, and how many different ones there were."""
+    out = []
+    for text, own in zip(texts, words, strict=True):
+        own = dict(own) if own is not None else {}
+        hits = [w for w in dict.fromkeys(_WORD.findall(text)) if w in own] if own and text is not None else []
+        for word in hits:
+            text = re.sub(rf"\b{re.escape(word)}\b", lambda _, by=own[word]: by, text)
+        out.append((text, len(hits)))
+    return pd.DataFrame(out, columns=["t", "n"])
 
 
 def reidentified(texts: DataFrame, key: str, column: str, vault: DataFrame, allowed: bool = True) -> DataFrame:

@@ -128,6 +128,20 @@ def test_people_in_texts_become_pseudonyms(spark):
     assert {r.id: r.replaced for r in nobody} == {x[0]: x[1] for x in texts}
 
 
+def test_people_of_any_number_in_texts(spark):
+    n = 250_000
+    ids = spark.range(n).select(F.lit("bms").alias("kind"), F.concat(F.lit("B"), F.col("id")).alias("name"), F.concat(F.lit("AGT_"), F.col("id")).alias("pseudonym"))
+    agents = spark.range(20_000).select(F.lit("agent"), F.concat(F.lit("Lopez"), F.col("id"), F.lit(", Ana")), F.concat(F.lit("AG_"), F.col("id")))
+    # signs only, signs at the ends, two words; a pseudonym that makes a name of a supervisor out of a text
+    more = spark.createDataFrame([("bms", "#!", "AGT_SIGN"), ("bms", "c++", "AGT_CPP"), ("bms", "-x y-", "AGT_XY"), ("bms", "77", "Maria"), ("supervisor", "Zubieta, Maria", "SUP_Z")], "kind string, name string, pseudonym string")
+    texts = [
+        (1, "ask b7, B249999 and xB8", "ask AGT_7, AGT_249999 and xB8", 2, 0), (2, "a#!b c++ -x y- cx", "aAGT_SIGNb AGT_CPP AGT_XY cx", 3, 0), (3, "77 Zubieta, and Ana  Lopez19999", "SUP_Z, and AG_19999", 2, 1), (4, None, None, 0, 0), (None, "B1", "AGT_1", 1, 0),
+    ]
+    t = spark.createDataFrame([x[:2] for x in texts], "id int, t string")
+    got = {r.id: (r.replaced, r.agents, r.supervisors) for r in people.without_people(t, "id", "t", ids.union(agents).union(more)).collect()}
+    assert got == {x[0]: x[2:] for x in texts}
+
+
 def test_reidentified_texts(spark):
     vault = spark.range(100_000).select(F.concat(F.lit("AGT_"), F.lpad("id", 6, "0")).alias("pseudonym"), F.concat(F.lit("Person "), F.col("id")).alias("internal_id"))
     t = spark.createDataFrame([(1, "AGT_000007 and AGT_099999, AGT_000007."), (2, "XAGT_000007 AGT_0000070 SUP_UNKNOWN"), (3, None), (4, "none")], "id int, t string")
