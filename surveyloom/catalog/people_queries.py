@@ -113,12 +113,12 @@ SELECT survey_date, nps_score, csat_score, professionalism_score, least AS categ
   (SELECT count(DISTINCT agent_bms) FROM page) AS agents, (SELECT count(DISTINCT supervisor) FROM page) AS supervisors, count(*) AS n FROM page GROUP BY ALL""")
 def grounded_records(spark, sf):
     """A page of records without people: filtered by category through analyses, scrubbed, with references instead of identities."""
-    s = with_verbatim(surveys(spark, sf), spark, sf)
+    s = surveys(spark, sf)
     named = categories(spark, sf)
     first = named.agg(F.min("name")).first()[0]
     known = s.select(F.lit("supervisor").alias("kind"), F.col("supervisor").alias("name"), F.concat(F.lit("SUP_"), F.upper(F.substring(F.md5("supervisor"), 1, 6))).alias("pseudonym")).distinct()
     vault = spark.createDataFrame([], "scope string, type string, internal_id string, pseudonym string")
-    records, total, _ = grounding.grounded_records(s, analyses(spark, sf), named, known, vault, "run", {"category": first, "filters": [{"field": "tenure_days", "operator": ">=", "value": 20}], "limit": 300})
+    records, total, _ = grounding.grounded_records(s, analyses(spark, sf), named, known, vault, "run", {"category": first, "filters": [{"field": "tenure_days", "operator": ">=", "value": 20}], "limit": 300}, lambda rows: with_verbatim(rows, spark, sf))
     fits = F.col("record_ref").rlike("^REC_[A-Z0-9]{6}$") & F.col("agent_ref").rlike("^AGT_[A-Z0-9]{6}$") & F.col("supervisor_ref").rlike("^SUP_[A-Z0-9]{6}$") & ~F.coalesce(F.col("verbatim"), F.lit("")).rlike("[a-z0-9]@[a-z0-9-]+[.][a-z]{2}")
     counts = records.agg(F.countDistinct("agent_ref").alias("agents"), F.countDistinct("supervisor_ref").alias("supervisors"))
     by = ["survey_date", "nps_score", "csat_score", "professionalism_score", "category", "wave", "tenure_days", F.col("verbatim").isNotNull().alias("has_text"), fits.alias("well_formed")]

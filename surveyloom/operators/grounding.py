@@ -15,7 +15,7 @@ from surveyloom.sources.stored import written
 LOG = "call long, tool string, arguments string, status string, rows long, digest string, duration_ms long, message string"
 
 
-def grounded_records(surveys: DataFrame, analyses: DataFrame, categories: DataFrame, known: DataFrame, vault: DataFrame, scope: str, arguments: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+def grounded_records(surveys: DataFrame, analyses: DataFrame, categories: DataFrame, known: DataFrame, vault: DataFrame, scope: str, arguments: dict, texts: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records, one row with ``total``, new rows of the vault): raw records without personal data.
 
     ``arguments`` may name a category, a supervisor (a pseudonym of the scope, or a text that
@@ -24,7 +24,8 @@ def grounded_records(surveys: DataFrame, analyses: DataFrame, categories: DataFr
     category keep surveys with any such analysis.  Of the page's records emails, phones and
     accounts go from the text, then known people (``known``: kind, name, pseudonym);
     identities become pseudonyms, made where the vault has none.  Only the page, 5,000
-    records at most, is read for its texts.
+    records at most, is read for its texts: where they are in another table, ``texts`` adds
+    them (``verbatim``) to some surveys, and gets no more than the page unless there is a keyword.
     """
     spark = surveys.sparkSession
     held = vault.filter(F.col("scope") == scope)
@@ -41,10 +42,12 @@ def grounded_records(surveys: DataFrame, analyses: DataFrame, categories: DataFr
     if arguments.get("supervisor"):
         rows = rows.filter(F.col("supervisor") == F.lit(supervisor_named(arguments["supervisor"], surveys, held)))
     if arguments.get("keyword"):
-        rows = usage.search(rows, ["verbatim"], arguments["keyword"])
+        rows, texts = usage.search(texts(rows) if texts else rows, ["verbatim"], arguments["keyword"]), None
     others = [f for f in filters if f.get("field") != "category"]
     page, total = usage.raw_records(rows, others, arguments.get("sort_by", "survey_date"), str(arguments.get("sort_direction", "desc")).lower() != "asc", int(arguments.get("limit", 200)), int(arguments.get("offset", 0)), bool(arguments.get("include_all")))
     page = written(page)
+    if texts:
+        page = written(texts(page))
 
     identities = page.select(F.explode(F.array(*(F.struct(F.lit(kind).alias("type"), F.col(column).cast("string").alias("internal_id")) for kind, column in (("record", "survey_id"), ("supervisor", "supervisor"), ("agent", "agent_bms"))))).alias("x")).select("x.*").filter("internal_id is not null")
     made = privacy.new_pseudonyms(identities, vault, scope)

@@ -156,3 +156,18 @@ def test_grounded_records_hold_no_people(spark):
     assert ask(supervisor="SUP_AAAAAA", category="Delay")[1].first().total == 2
     assert ask(filters=[{"field": "supervisor", "operator": "in", "value": ["SUP_AAAAAA"]}, {"field": "category", "operator": "like", "value": "bill"}])[1].first().total == 1
     assert ask(keyword="helped", limit=2)[0].count() == 2
+
+
+def test_grounded_records_fetch_the_texts_of_a_page_only(spark):
+    surveys = spark.range(400).select(F.concat(F.lit("S"), F.lpad("id", 3, "0")).alias("survey_id"), F.lit("2024-01-02").alias("survey_date"), *(F.lit(1.0).alias(c) for c in ("nps_score", "csat_score", "professionalism_score")), F.lit("B").alias("agent_bms"), F.lit("Ana").alias("agent_name"), F.lit("Lead").alias("supervisor"), F.lit("w").alias("wave"), F.col("id").cast("int").alias("tenure_days"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    asked = []
+
+    def texts(rows):
+        asked.append(rows.count())
+        return rows.withColumn("verbatim", F.concat(F.lit("mail a@b.org "), "survey_id"))
+
+    ask = lambda **a: grounding.grounded_records(surveys, none("survey_id string, category_id int"), none("category_id int, name string"), none("kind string, name string, pseudonym string"), none("scope string, type string, internal_id string, pseudonym string"), "s", a, texts)
+    records, total, _ = ask(limit=3)
+    assert sorted(r.verbatim for r in records.collect()) == [f"mail [EMAIL_REDACTED] S00{i}" for i in range(3)] and total.first().total == 400 and asked == [3]
+    assert [r.verbatim for r in ask(keyword="S399")[0].collect()] == ["mail [EMAIL_REDACTED] S399"]
