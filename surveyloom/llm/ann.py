@@ -17,16 +17,23 @@ their directions.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surveyloom.llm._io import tidy
 from surveyloom.llm._vectors import search_cells, usable
 
 LEAF = 64
-#: Points that are verified before the first test.
-FIRST = 64
+#: Leaves that a query verifies whole before the first test.
+NEAREST = 4
+#: Shares of the projected distance at which a query stops, verified one after another.
+WAVES = (0.5, 0.75, 1.0)
+#: Queries whose projected distances are taken by one product; vectors verified at once.
+TOGETHER, VERIFIED = 128, 2048
 
 
 def chi_square(x: np.ndarray, dims: int) -> np.ndarray:
@@ -160,29 +167,28 @@ class KdIndex:
         self.projection, self.top, self.ids, self.x = projection, top, ids, x
         self.reach = chi_square_quantile(confidence, projection.planes.shape[1])
         points = projection.low(x)
-        leaves = kd_split(points, LEAF)[0]
+        leaves, self.tree = kd_split(points, LEAF)
         self.order = np.concatenate(leaves)
+        self.ids_in_order = ids[self.order]
         self.bounds = np.append(0, np.cumsum([len(r) for r in leaves]))
         self.points = points[self.order]
         self.low = np.minimum.reduceat(self.points, self.bounds[:-1])
         self.high = np.maximum.reduceat(self.points, self.bounds[:-1])
         self.unit = np.ascontiguousarray(x[self.order] / projection.largest)
+        self.room = np.empty((VERIFIED, x.shape[1]))
         self.verified = self.offered = self.leaves_read = 0
 
     def find(self, query_ids: np.ndarray, q: np.ndarray, kth: np.ndarray):
         unit, low = directions(q)[0], self.projection.low_queries(q)
-        gaps = box_gaps(low, self.low, self.high)
         far = self.projection.distance(q, kth)
-        root = math.sqrt(self.projection.square)
         at, which = [], []
-        for i in range(len(q)):
-            rows, cosine = self._one(unit[i], low[i], gaps[i], far[i], root, int(query_ids[i]))
-            # all that ties the k-th to the last bits stays; the scores on the original vectors decide
-            if len(rows) > self.top:
-                least = np.partition(cosine, len(cosine) - self.top)[len(cosine) - self.top]
-                rows = rows[cosine >= least - 1e-12 * root]
-            at.append(np.full(len(rows), i))
-            which.append(rows)
+        # queries of the same leaf come together, so that they share the leaves they read
+        order = np.argsort(leaf_of(self.tree, low), kind="stable")
+        for a in range(0, len(q), TOGETHER):
+            some = order[a : a + TOGETHER]
+            for i, rows in zip(some.tolist(), self._some(unit[some], low[some], far[some], query_ids[some]), strict=True):
+                at.append(np.full(len(rows), i))
+                which.append(rows)
         at, which = np.concatenate(at), self.order[np.concatenate(which)]
         with np.errstate(over="ignore", invalid="ignore"):
             score = (self.x[which] * q[at]).sum(1)
@@ -191,44 +197,91 @@ class KdIndex:
         place = np.arange(len(at)) - np.searchsorted(at, at)
         return at[place < self.top], which[place < self.top], score[place < self.top]
 
-    def _one(self, unit: np.ndarray, low: np.ndarray, gap: np.ndarray, far: float, root: float, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows verified for one query that may be among its best, with their products."""
-        square = self.projection.square
-        leaves = np.argsort(gap, kind="stable")
-        rows, near = np.zeros(0, np.int64), np.zeros(0)  # read and not yet verified, by projected distance
-        best, product = np.zeros(0, np.int64), np.zeros(0)
-        read, take, step = 0, 4, FIRST
-        self.offered += len(self.order)
-        while True:
-            frontier = gap[leaves[read]] if read < len(leaves) else np.inf
-            limit = min(self.reach * far, frontier)
-            ready = int(np.searchsorted(near, limit, "right"))
-            if ready == 0:
-                if frontier > self.reach * far or read == len(leaves):
-                    return best, product
-                some = leaves[read : read + take]
-                read, take = read + len(some), 2 * take
-                self.leaves_read += len(some)
-                new = np.concatenate([np.arange(self.bounds[k], self.bounds[k + 1]) for k in some.tolist()])
-                rows = np.concatenate((rows, new))
-                near = np.concatenate((near, ((self.points[new] - low) ** 2).sum(1)))
-                order = np.argsort(near, kind="stable")
-                rows, near = rows[order], near[order]
-                continue
-            some, ready = rows[: min(ready, step)], min(ready, step)
-            rows, near, step = rows[ready:], near[ready:], 2 * step
-            self.verified += len(some)
-            mine = self.ids[self.order[some]] != own
-            best, product = np.concatenate((best, some[mine])), np.concatenate((product, self.unit[some[mine]] @ unit))
-            if len(product) >= self.top:
-                kth = np.partition(product, len(product) - self.top)[len(product) - self.top]
-                far = min(far, max(2 * square - 2 * root * kth, 0.0))
+    def _some(self, unit: np.ndarray, low: np.ndarray, far: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+        """For each of some queries the rows verified that may be among its best."""
+        found = [_Found(self, u, f, o) for u, f, o in zip(unit, far.tolist(), own.tolist(), strict=True)]
+        self.offered += len(found) * len(self.order)
+        gap = box_gaps(low, self.low, self.high)
+        first = np.argsort(gap, axis=1, kind="stable")[:, :NEAREST]
+        for one, leaves in zip(found, first.tolist(), strict=True):
+            one.verify(np.concatenate([np.arange(self.bounds[k], self.bounds[k + 1]) for k in leaves]))
+        limits = np.array([one.limit() for one in found])
+        want = gap <= limits[:, None]
+        np.put_along_axis(want, first, False, 1)
+        leaves = np.flatnonzero(want.any(0))
+        self.leaves_read += first.size + int(want.sum())
+        if len(leaves):
+            size = np.diff(self.bounds)[leaves]
+            start = np.append(0, np.cumsum(size))
+            rows = np.arange(start[-1]) + np.repeat(self.bounds[leaves] - start[:-1], size)
+            points, length = self.points[rows], (low * low).sum(1)
+            square = (points * points).sum(1)
+            # projected distances less the query's own square, in one product
+            near = np.column_stack((-2 * low, np.ones(len(low)))) @ np.column_stack((points, square)).T
+            slack = 1e-12 * float(length.max() + square.max())  # what rounding may have added
+            place = np.full(len(self.low), -1)
+            place[leaves] = np.arange(len(leaves))
+            for one, own_near, less, done in zip(found, near, length.tolist(), place[first].tolist(), strict=True):
+                for k in done:
+                    if k >= 0:
+                        own_near[start[k] : start[k + 1]] = np.inf
+                for share in WAVES:
+                    ready = np.flatnonzero(own_near < share * one.limit() + slack - less)
+                    one.verify(rows[ready])
+                    own_near[ready] = np.inf
+        return [one.rows for one in found]
+
+
+class _Found:
+    """What one query has verified and may keep: rows and their products."""
+
+    def __init__(self, index: KdIndex, unit: np.ndarray, far: float, own: int) -> None:
+        self.index, self.unit, self.far, self.own = index, unit, far, own
+        self.rows, self.product, self.least = np.zeros(0, np.int64), np.zeros(0), -np.inf
+
+    def limit(self) -> float:
+        """Projected distance beyond which a vector as near as the k-th lies only with a chance of 1 - confidence."""
+        return self.index.reach * self.far if self.index.reach < np.inf else np.inf
+
+    def verify(self, rows: np.ndarray) -> None:
+        index, square = self.index, self.index.projection.square
+        root, top = math.sqrt(square), index.top
+        index.verified += len(rows)
+        product = np.empty(len(rows))
+        for a in range(0, len(rows), VERIFIED):
+            some = rows[a : a + VERIFIED]
+            np.take(index.unit, some, axis=0, out=index.room[: len(some)], mode="clip")
+            np.dot(index.room[: len(some)], self.unit, out=product[a : a + len(some)])
+        # all that ties the k-th to the last bits stays; the scores on the original vectors decide
+        may = np.flatnonzero(product >= self.least - 1e-12 * root)
+        may = may[index.ids_in_order[rows[may]] != self.own]
+        self.rows, self.product = np.concatenate((self.rows, rows[may])), np.concatenate((self.product, product[may]))
+        if len(may) and len(self.product) >= top:
+            self.least = np.partition(self.product, len(self.product) - top)[len(self.product) - top]
+            stay = self.product >= self.least - 1e-12 * root
+            self.rows, self.product = self.rows[stay], self.product[stay]
+            self.far = min(self.far, max(2 * square - 2 * root * self.least, 0.0))
+
+
+def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch the largest component, and the largest squared length once divided by it."""
+    for batch in batches:
+        if len(batch):
+            v = batch.column("v").flatten().to_numpy().reshape(len(batch), -1)
+            largest = np.abs(v).max()
+            square = ((v / largest) ** 2).sum(1).max()
+            yield pa.RecordBatch.from_arrays([pa.array([largest]), pa.array([square])], names=["largest", "square"])
 
 
 def _projection(vectors: DataFrame, components: int, dims: int, seed: int) -> Projection:
-    largest = vectors.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
-    square = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + (c / largest) * (c / largest)))).first()[0] or 1.0
-    return Projection(components, dims, seed, largest, square * (1 + 1e-12))
+    parts = vectors.select("v").mapInArrow(tidy(_longest), "largest double, square double")
+    # logarithms, since lengths may over- or underflow
+    longest = F.max_by(F.struct("largest", "square"), F.log("square") + 2 * F.log("largest"))
+    found = parts.agg(F.max("largest").alias("largest"), longest.alias("longest")).first()
+    if found["largest"] is None:
+        return Projection(components, dims, seed, 1.0, 1.0)
+    square = found["longest"]["square"] * (found["longest"]["largest"] / found["largest"]) ** 2
+    return Projection(components, dims, seed, found["largest"], square * (1 + 1e-12))
 
 
 def nearest_neighbours(embeddings: DataFrame, every: int = 20, top: int = 20, dims: int = 20, confidence: float = 0.92, seed: int = 11, block_rows: int = 16384, query_rows: int = 65536) -> DataFrame:

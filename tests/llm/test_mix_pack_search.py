@@ -1,5 +1,9 @@
+import os
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -175,6 +179,76 @@ def test_the_chi_square_test_stops_searches():
         assert recall >= 0.9 and index.verified < most * index.offered, (recall, index.verified / index.offered)
 
 
+_COST = """
+import time
+import numpy as np
+from surveyloom.llm.ann import KdIndex, Projection
+
+r = np.random.default_rng(9)
+x = r.standard_normal((20_000, 64))
+x /= np.sqrt((x * x).sum(1))[:, None]
+largest = np.abs(x).max()
+index = KdIndex(Projection(64, 20, 11, largest, float(((x / largest) ** 2).sum(1).max())), 20, 0.92, np.arange(20_000), x)
+q = np.arange(0, 20_000, 200)
+spent = []
+for run in (lambda: index.find(q, x[q], np.full(len(q), -np.inf)), lambda: [x @ x[i] for i in q]) * 3:
+    began = time.process_time()
+    run()
+    spent.append(time.process_time() - began)
+print(min(spent[::2]) / min(spent[1::2]))
+"""
+
+
+def test_a_search_costs_little_more_than_the_products_it_needs():
+    """Without clusters nearly half of all vectors are verified; finding them must not cost far more than all products."""
+    alone = os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}
+    out = subprocess.run([sys.executable, "-c", _COST], env=alone, cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True)
+    assert float(out.stdout.split()[-1]) < 8
+
+
+def test_a_sure_search_is_exact():
+    """With confidence 1 nothing is left out, in any batch of queries, whether or not a bound is known."""
+    from surveyloom.llm.ann import KdIndex, Projection
+
+    r = np.random.default_rng(10)
+    x = r.integers(-2, 3, (3000, 6)).astype(float)
+    x[x.any(1).argmin()] = 1
+    x = x[x.any(1)]
+    x[500:600] = x[500]
+    ids = np.arange(len(x)) * 3
+    index = KdIndex(Projection(6, 4, 11, 2.0, float(((x / 2) ** 2).sum(1).max())), 20, 1.0, ids, x)
+    q = r.permutation(len(x))[:300]
+    for known in (False, True):
+        truth = {int(i): sorted((-float(s), int(v)) for v, s in zip(ids, x @ x[i]) if v != ids[i])[:20] for i in q}
+        kth = np.array([-truth[int(i)][-1][0] if known else -np.inf for i in q])
+        at, which, score = index.find(ids[q], x[q], kth)
+        got = defaultdict(list)
+        for a, w, s in zip(at.tolist(), which.tolist(), score.tolist()):
+            got[int(q[a])].append((-s, int(ids[w])))
+        assert got == truth
+
+
+def test_vectors_that_take_part(spark):
+    from surveyloom.llm._vectors import usable
+
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, [1.0, None]), (2, [nan, 1.0]), (3, [1.0, inf]), (4, [-inf, 1.0]), (5, [None, None]), (6, [0.0, -0.0]), (7, [-0.0, -1.0]), (8, [0.0, 2.0]), (9, []), (10, None), (11, [None, nan])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(r.vec_id for r in usable(df, zero=False).collect()) == [7, 8]
+    assert sorted(r.vec_id for r in usable(df, zero=True).collect()) == [6, 7, 8]
+
+
+def test_the_length_of_the_longest(spark):
+    """Squared lengths that over- or underflow, and a longest vector without the largest component."""
+    from surveyloom.llm.ann import _projection
+
+    for scale in (1e-200, 1.0, 1e200):
+        rows = [(i, [scale * v for v in row]) for i, row in enumerate([[3.0, 3.0, 3.0], [4.0, 0.0, 0.0], [1e-3, 1.0, 0.0]] + [[0.5, 0.5, 0.5]] * 40)]
+        made = _projection(spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(5), 3, 4, 11)
+        assert made.largest == 4 * scale and made.square == pytest.approx(27 / 16, rel=1e-9)
+    assert _projection(spark.createDataFrame([], "vec_id long, v array<double>"), 3, 4, 11).square == pytest.approx(1)
+
+
 def test_nearest_neighbours_of_tiny_huge_and_tied_vectors(spark):
     """Lengths whose squares under- or overflow keep their directions; ties at the cut go to smaller ids."""
     rows = [(0, [1e-200, 0.0]), (20, [0.0, 3e120])] + [(i, [float(i % 7 - 3), float(i % 5 - 2)]) for i in range(21, 120)]
