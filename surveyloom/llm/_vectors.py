@@ -49,11 +49,12 @@ class Index(Protocol):
 def usable(table: DataFrame, zero: bool) -> DataFrame:
     """(vec_id, v): ids and vectors that take part, as doubles; a repeated vec_id counts once."""
     v = F.col("embedding").cast("array<double>")
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
-    # array_contains says null, not false, where components are null
-    rows = rows.filter(~F.array_contains("v", float("nan")) & (F.array_max("v") < float("inf")) & (F.array_min("v") > float("-inf")))
+    largest, least = F.array_max("embedding"), F.array_min("embedding")
+    # not-a-number is the largest; array_contains says null, not false, where a component is null
+    rows = table.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & (largest < float("inf")) & (least > float("-inf")) & ~F.array_contains(v, float("nan")))
     if not zero:
-        rows = rows.filter((F.array_max("v") != 0) | (F.array_min("v") != 0))
+        rows = rows.filter((largest != 0) | (least != 0))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 

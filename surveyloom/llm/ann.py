@@ -4,11 +4,12 @@ Largest inner products become nearest neighbours by one more component that brin
 vectors to the length of the longest.  Gaussian projections to ``dims`` dimensions are
 2-stable: a projected squared distance over the true one has a chi-square distribution.
 The upper part of a kd-tree over the projections deals vectors into cells, a kd-tree of
-each block does the rest.  Leaves are read in order of projected distance, and the points
-of the leaves read are verified one after another in that order, as far as no unread leaf
-can hold a nearer one.  A query stops when a point at its current k-th distance would have
-been projected nearer than everything still to come with probability ``confidence``; by
-the same test whole cells are left out, with the k-th distance of the first cell.
+each block does the rest.  A query verifies its nearest leaves whole, then reads all leaves
+that the test below admits, and verifies their points in waves of growing projected
+distance.  It stops when a point at its current k-th distance would have been projected
+nearer than everything still to come with probability ``confidence``; by the same test
+whole leaves are left unread, and whole cells, with the k-th distance of the first cell.
+Queries of the same leaf go together: their projected distances are one matrix product.
 
 Vectors are divided by their largest component first, so that tiny and huge ones keep
 their directions.

@@ -6,6 +6,7 @@ block becomes an M-tree: pages of entries with a routing object, a covering radi
 distance to the parent's routing object.  Best-first search opens the page with the
 smallest possible distance.  Before a distance is computed, the stored parent distance and
 the triangle inequality bound it; entries that cannot beat the k-th result are skipped.
+Queries of the same part of a tree search together, so that a page is opened once for all.
 Blocks are parts of cells around pivots, which have a covering radius too: a query visits
 only cells that may beat what it found in its home cell.
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from surveyloom.llm._vectors import search_cells, usable
 
 PAGE = 128
+#: Queries that search a tree together.
+TOGETHER = 128
 _EPS = float(np.finfo(float).eps)
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
@@ -101,62 +104,83 @@ class MTree:
         mean = self.x[rows].mean(0)
         return int(rows[np.argmin(((self.x[rows] - mean) ** 2).sum(1))])
 
-    def _one(self, q: np.ndarray, own: int, kth: float, end: float) -> np.ndarray:
-        """Rows that may be among the ``top`` of a query that already has ``kth``; products from ``end`` on are equal."""
-        size = float(np.sqrt(q @ q))
-        # the query at the common length keeps its order and its distances well-conditioned
-        scale = np.sqrt(self.longest) / size if size > 0 and self.longest > 0 else 0.0
-        q = q * scale
+    def _some(self, q: np.ndarray, own: np.ndarray, kth: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """Rows that may be among the ``top`` of each query that already has its ``kth``; products from ``end`` on are equal.
+
+        The queries search together: a page is opened once, for all that may need it, the nearest to any of them first.
+        """
+        size = lengths(q)
+        # a query at the common length keeps its order and its distances well-conditioned
+        some = (size > 0) & (self.longest > 0)
+        scale = np.where(some, np.sqrt(self.longest) / np.where(some, size, 1.0), 0.0)
+        q = q * scale[:, None]
         slack = 4 * self.slack
         reach = lambda dots: np.sqrt(np.maximum(2 * self.longest - 2 * dots, 0))
-        margin = 4 * _EPS * (len(q) + 4) * self.length * np.sqrt(self.longest)
+        margin = 4 * _EPS * (q.shape[1] + 4) * self.length * np.sqrt(self.longest)
         end = end * scale * (1 - 1e-9)
-        limit = float(reach(kth * scale)) if np.isfinite(kth) and scale > 0 else np.inf
-        best, upper, lower = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        self.offered += len(self.ids)
-        heap, serial = [(0.0, 0, self.root, float(reach(self.x[self.start] @ q)))], 0
+        known = np.isfinite(kth) & some
+        limit = np.where(known, reach(np.where(known, kth, 0.0) * scale), np.inf)
+        best, sure = np.full((len(q), self.top), -np.inf), np.full(len(q), -np.inf)
+        at, which, upper = [], [], []
+        self.offered += len(q) * len(self.ids)
+        heap, serial = [(0.0, 0, self.root, np.arange(len(q)), np.zeros(len(q)), reach(q @ self.x[self.start]))], 0
         while heap:
-            bound, _, page, routed = heapq.heappop(heap)
-            if bound > limit + slack:
-                break
+            _, _, page, who, bound, routed = heapq.heappop(heap)
+            still = bound <= limit[who] + slack
+            who, routed = who[still], routed[still]
             # the triangle inequality on stored parent distances, before any distance is computed
-            near = np.flatnonzero(np.abs(routed - page.parent_distance) - page.radius <= limit + slack)
+            near = np.abs(routed[:, None] - page.parent_distance) - page.radius <= (limit[who] + slack)[:, None]
+            who, near = who[near.any(1)], near[near.any(1)]
+            near = np.flatnonzero(near.any(0))
             if not len(near):
                 continue
             rows = page.entries[near]
-            self.computed += len(rows)
-            dots = self.x[rows] @ q
+            self.computed += len(who) * len(rows)
+            dots = q[who] @ self.x[rows].T
             if page.children is None:
-                mine = self.ids[rows] != own
-                best = np.concatenate((best, rows[mine]))
-                upper = np.concatenate((upper, (dots + margin[rows])[mine]))
-                lower = np.concatenate((lower, (dots - margin[rows])[mine]))
-                if len(best) >= self.top:
-                    sure = np.partition(lower, len(lower) - self.top)[len(lower) - self.top]
-                    sure = -np.inf if sure <= -end else min(sure, end)
-                    may = upper >= sure
-                    best, upper, lower = best[may], upper[may], lower[may]
-                    limit = min(limit, float(reach(sure)))
+                may = (dots + margin[rows] >= sure[who, None]) & (self.ids[rows] != own[who, None])
+                hit = np.flatnonzero(may.any(1))
+                i, j = np.nonzero(may[hit])
+                at.append(who[hit][i])
+                which.append(rows[j])
+                upper.append(dots[hit][i, j] + margin[rows[j]])
+                lower = np.concatenate((best[who[hit]], np.where(may[hit], dots[hit] - margin[rows], -np.inf)), 1)
+                lower = np.partition(lower, lower.shape[1] - self.top, axis=1)[:, lower.shape[1] - self.top :]
+                who = who[hit]
+                best[who], least = lower, lower[:, 0]
+                sure[who] = np.where(least <= -end[who], -np.inf, np.minimum(least, end[who]))
+                limit[who] = np.minimum(limit[who], reach(sure[who]))
                 continue
             d = reach(dots)
             low = np.maximum(d - page.radius[near], 0)
-            for i in np.flatnonzero(low <= limit + slack).tolist():
-                serial += 1
-                heapq.heappush(heap, (float(low[i]), serial, page.children[near[i]], float(d[i])))
-        return best
+            for k, ask in enumerate((low <= (limit[who] + slack)[:, None]).T):
+                if ask.any():
+                    serial += 1
+                    heapq.heappush(heap, (float(low[ask, k].min()), serial, page.children[near[k]], who[ask], low[ask, k], d[ask, k]))
+        at, which, upper = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (at, which, upper))
+        stay = upper >= sure[at]
+        at, which = at[stay], which[stay]
+        order = np.argsort(at, kind="stable")
+        return np.split(which[order], np.searchsorted(at[order], np.arange(1, len(q))))
 
     def find(self, query_ids: np.ndarray, q: np.ndarray, kth: np.ndarray):
+        unit = 2.0 ** np.maximum(0, np.ceil(np.log2(np.maximum(1.0, np.abs(q).max(1)))) - 400)
+        # a bound that was cut at 64 bits says nothing
+        reached = np.where(np.abs(kth) < 2.0**62, kth, -np.inf) / self.unit / unit
+        reached = reached - np.abs(reached) * 8 * _EPS
+        small = q / unit[:, None]
+        # queries of the same part of the tree come together
+        order = np.argsort(np.argmax(small @ self.x[self.root.entries].T, axis=1), kind="stable")
         at, which, scores = [], [], []
-        for i in range(len(q)):
-            unit = 2.0 ** max(0, int(np.ceil(np.log2(max(1.0, float(np.abs(q[i]).max()))))) - 400)
-            # a bound that was cut at 64 bits says nothing
-            reached = float(kth[i]) / self.unit / unit if abs(kth[i]) < 2.0**62 else -np.inf
-            rows = self._one(q[i] / unit, int(query_ids[i]), reached - abs(reached) * 8 * _EPS, 2.0**63 / self.unit / unit)
-            score = whole_products(self.whole[rows], q[i])
-            order = np.lexsort((self.ids[rows], ~score))[: self.top]
-            at.append(np.full(len(order), i))
-            which.append(rows[order])
-            scores.append(score[order])
+        for a in range(0, len(q), TOGETHER):
+            some = order[a : a + TOGETHER]
+            found = self._some(small[some], query_ids[some], reached[some], 2.0**63 / self.unit / unit[some])
+            for i, rows in zip(some.tolist(), found, strict=True):
+                score = whole_products(self.whole[rows], q[i])
+                best = np.lexsort((self.ids[rows], ~score))[: self.top]
+                at.append(np.full(len(best), i))
+                which.append(rows[best])
+                scores.append(score[best])
         return np.concatenate(at), np.concatenate(which), np.concatenate(scores)
 
 

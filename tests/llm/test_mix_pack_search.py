@@ -183,13 +183,18 @@ _COST = """
 import time
 import numpy as np
 from surveyloom.llm.ann import KdIndex, Projection
+from surveyloom.llm.topk import MTree
 
 r = np.random.default_rng(9)
-x = r.standard_normal((20_000, 64))
+x = r.standard_normal((ROWS, 64))
 x /= np.sqrt((x * x).sum(1))[:, None]
 largest = np.abs(x).max()
-index = KdIndex(Projection(64, 20, 11, largest, float(((x / largest) ** 2).sum(1).max())), 20, 0.92, np.arange(20_000), x)
-q = np.arange(0, 20_000, 200)
+if TREE:
+    x = np.floor(256 * x)
+    index = MTree(5, np.arange(ROWS), x)
+else:
+    index = KdIndex(Projection(64, 20, 11, largest, float(((x / largest) ** 2).sum(1).max())), 20, 0.92, np.arange(ROWS), x)
+q = np.arange(0, ROWS, ROWS // 100)
 spent = []
 for run in (lambda: index.find(q, x[q], np.full(len(q), -np.inf)), lambda: [x @ x[i] for i in q]) * 3:
     began = time.process_time()
@@ -199,11 +204,12 @@ print(min(spent[::2]) / min(spent[1::2]))
 """
 
 
-def test_a_search_costs_little_more_than_the_products_it_needs():
-    """Without clusters nearly half of all vectors are verified; finding them must not cost far more than all products."""
+@pytest.mark.parametrize(("tree", "rows", "most"), [(False, 20_000, 8), (True, 8_000, 15)])
+def test_a_search_costs_little_more_than_the_products_it_needs(tree, rows, most):
+    """Without clusters half or all of the vectors are looked at; finding them must not cost far more than all products."""
     alone = os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}
-    out = subprocess.run([sys.executable, "-c", _COST], env=alone, cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True)
-    assert float(out.stdout.split()[-1]) < 8
+    out = subprocess.run([sys.executable, "-c", f"ROWS, TREE = {rows}, {tree}\n{_COST}"], env=alone, cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True)
+    assert float(out.stdout.split()[-1]) < most
 
 
 def test_a_sure_search_is_exact():
@@ -228,6 +234,25 @@ def test_a_sure_search_is_exact():
         assert got == truth
 
 
+@pytest.mark.parametrize("known", [False, True])
+def test_queries_that_search_a_tree_together(known):
+    from surveyloom.llm.topk import MTree
+
+    r = np.random.default_rng(12)
+    x = np.floor(6 * (r.standard_normal((30, 5))[r.integers(0, 30, 2500)] + 0.3 * r.standard_normal((2500, 5))))
+    x[700:800], x[900] = x[700], 0
+    ids = np.arange(len(x)) * 2
+    index = MTree(5, ids, x)
+    q = np.append(r.permutation(len(x))[:400], [700, 900])
+    truth = {int(i): sorted((-int(s), int(v)) for v, s in zip(ids, x @ x[i]) if v != ids[i])[:5] for i in q}
+    at, which, score = index.find(ids[q], x[q], np.array([-truth[int(i)][-1][0] if known else -np.inf for i in q], float))
+    got = defaultdict(list)
+    for a, w, s in zip(at.tolist(), which.tolist(), score.tolist()):
+        got[a].append((-s, int(ids[w])))
+    assert [got[a] for a in range(len(q))] == [truth[int(i)] for i in q]
+    assert 0 < index.computed < index.offered
+
+
 def test_vectors_that_take_part(spark):
     from surveyloom.llm._vectors import usable
 
